@@ -3,8 +3,10 @@
 A 64-bit fingerprint is cut into segments of 22, 21 and 21 bits. A segment, filled up with zeros to 23
 bits, lies at most 3 bits from exactly one codeword of the binary Golay code; its keys are the codewords
 nearest to it and to each word that differs in one of its own bits. Two segments that differ in at most 2 bits have a
-key in common: that of the word between them. When fingerprints differ in at most 4 bits, at
-least two of the three segments differ in at most 2, so the fingerprints meet under a pair of keys.
+key in common: that of the word between them. When fingerprints differ in at most 4 bits, two
+of the three segments differ in at most 2 bits together: both in none or one, or one of them in up to 2 and the other in none.
+The first case meets under (nearest codeword, any key) of one and (any key, nearest codeword) of the other; the second under (whole
+segment, any key) of both.
 
 Words: A-Z lower-cased, then runs of [^\\x20\\x09-\\x0D]+. Null, empty and blank texts have fingerprint zero, which
 links like any other. Exact copies have one fingerprint and are joined as one. Repeated rows
@@ -88,8 +90,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
 
 
+def spread(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All pairs of a key of left and a key of right in each row; -1 is none. Returns row, left, right."""
+    row, i = np.nonzero(left >= 0)
+    again, j = np.nonzero(right >= 0)
+    counts = np.bincount(again, minlength=len(right))
+    many = counts[row]
+    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    row, i = np.repeat(row, many), np.repeat(i, many)
+    return row, left[row, i], right[row, j[(np.cumsum(counts) - counts)[row] + place]]
+
+
+#: A row may be compared as the one side, as the other, or as both.
+LEFT, RIGHT, BOTH = 1, 2, 3
+
+
 def with_keys(nodes: DataFrame) -> DataFrame:
-    """A row for each pair of keys of each fingerprint: key, fp."""
+    """About 60 rows for each fingerprint: key, side, fp. Fingerprints at most 4 bits apart have a key in common, with different sides or with both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = error_table()
@@ -97,20 +114,17 @@ def with_keys(nodes: DataFrame) -> DataFrame:
             all_prints = batch["fp"].to_numpy().view(np.uint64)
             for first in range(0, len(all_prints), 2000):
                 prints = all_prints[first : first + 2000]
-                keys = [segment_keys((prints >> np.uint64(at)) & np.uint64((1 << bits) - 1), bits, table) for at, bits in SEGMENTS]
+                words = [((prints >> np.uint64(at)) & np.uint64((1 << bits) - 1)).astype(np.int64)[:, None] for at, bits in SEGMENTS]
+                keys = [segment_keys(w[:, 0], bits, table) for w, (_, bits) in zip(words, SEGMENTS, strict=True)]
+                nearest = [(w ^ table[remainders(w)]) >> 11 for w in words]
                 for pair, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
-                    row, left = np.nonzero(keys[a] >= 0)
-                    again, right = np.nonzero(keys[b] >= 0)
-                    counts = np.bincount(again, minlength=len(prints))
-                    begins = np.cumsum(counts) - counts
-                    many = counts[row]
-                    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                    row, left = np.repeat(row, many), np.repeat(left, many)
-                    other = right[begins[row] + place]
-                    key = (pair << 24) | (keys[a][row, left] << 12) | keys[b][row, other]
-                    yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(prints[row].view(np.int64))], names=["key", "fp"])
+                    kinds = ((nearest[a], keys[b], LEFT), (keys[a], nearest[b], RIGHT), (words[a], keys[b], BOTH), (keys[a], words[b], BOTH))
+                    for kind, (left, right, side) in enumerate(kinds):
+                        row, x, y = spread(left, right)
+                        key = ((pair * 4 + max(1, kind)) << 46) | (x << 23) | y  # the first two kinds meet each other
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(row), side, np.int8)), pa.array(prints[row].view(np.int64))], names=["key", "side", "fp"])
 
-    return nodes.select("fp").mapInArrow(run, "key int, fp bigint")
+    return nodes.select("fp").mapInArrow(run, "key bigint, side tinyint, fp bigint")
 
 
 def differing(a: str, b: str) -> F.Column:
@@ -120,20 +134,24 @@ def differing(a: str, b: str) -> F.Column:
 def links(nodes: DataFrame, most: int) -> DataFrame:
     """Edges (src, dst) between distinct fingerprints that connect all that differ in at most `most` bits.
 
-    First every fingerprint is compared with the smallest of each of its key groups. The few groups that this leaves in
+    First every fingerprint is compared with the smallest of the other side of each of its key groups. The few groups that this leaves in
     more than one component are then compared in full, between components only. A group of near copies falls to the first
     step, whose work grows with its size and not with the square.
     """
     keyed = stored(with_keys(nodes), "golay-keys")
-    least = keyed.groupBy("key").agg(F.min("fp").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    keyed = stored(keyed.join(least, "key"), "golay-shared")  # keys that one fingerprint alone has are done
-    star = stored(keyed.where("fp != head").where(differing("fp", "head") <= most).select(F.col("fp").alias("src"), F.col("head").alias("dst")).distinct(), "golay-star")
+    heads = keyed.groupBy("key").agg(F.min(F.when(F.col("side") != RIGHT, F.col("fp"))).alias("head"), F.min(F.when(F.col("side") != LEFT, F.col("fp"))).alias("other"), F.max("fp").alias("last"))
+    heads = heads.where("head is not null and other is not null and (head != other or last > head)").drop("last")
+    keyed = stored(keyed.join(heads, "key"), "golay-shared")  # what meets nothing is done
+    pairs = F.array(F.when(F.col("side") != LEFT, F.col("head")), F.when(F.col("side") == LEFT, F.col("other")))
+    star = keyed.select("fp", F.explode(pairs).alias("dst")).where("dst is not null and fp != dst").where(differing("fp", "dst") <= most)
+    star = stored(star.select(F.col("fp").alias("src"), "dst").distinct(), "golay-star")
     parts = stored(connected_components(star), "golay-parts")
-    placed = keyed.join(parts, keyed["fp"] == parts["node"], "left").select("key", "fp", F.coalesce("component", "fp").alias("part"))
+    placed = keyed.join(parts, keyed["fp"] == parts["node"], "left").select("key", "side", "fp", F.coalesce("component", "fp").alias("part"))
     mixed = placed.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a != b").select("key")
     open_ = placed.join(mixed, "key")
-    left, right = open_.select("key", F.col("fp").alias("src"), F.col("part").alias("p")), open_.select("key", F.col("fp").alias("dst"), F.col("part").alias("q"))
-    rest = left.join(right, "key").where("p < q").where(differing("src", "dst") <= most).select("src", "dst").distinct()
+    left = open_.where(F.col("side") != RIGHT).select("key", F.col("fp").alias("src"), F.col("part").alias("p"))
+    right = open_.where(F.col("side") != LEFT).select("key", F.col("fp").alias("dst"), F.col("part").alias("q"))
+    rest = left.join(right, "key").where("p != q").where(differing("src", "dst") <= most).select("src", "dst").distinct()
     return star.union(rest)
 
 
