@@ -110,9 +110,9 @@ def coverage(df: DataFrame, present: dict[str, Column]) -> DataFrame:
     return counted.select("total", *(f"n_{f}" for f in present), *(share(f).alias(f"pct_{f}") for f in present))
 
 
-def nest(parents: DataFrame, children: DataFrame, key: str, order: str, most: int, name: str) -> DataFrame:
+def nest(parents: DataFrame, children: DataFrame, key: str, order: list[str], most: int, name: str) -> DataFrame:
     """JOIN-08: parents with the first `most` children by order as an array; parents without any have an empty one."""
-    numbered = children.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("_n") <= most)
+    numbered = children.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_n") <= most)
     own = [c for c in children.columns if c != key]
     packed = numbered.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_n", *own))).alias(name))
     dropped = F.transform(F.col(name), lambda x: F.struct(*(x[c].alias(c) for c in own)))

@@ -5,25 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from millrace.session import table
+from millrace.plans import catalog_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-
-
-def endpoint_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests by endpoint: count, mean and exact p95 of latency; the ten busiest (AGG-08, SORT-06)."""
-    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("endpoint"), F.col("value").alias("latency"))
-    stats = events.groupBy("endpoint").agg(F.count("*").alias("n"), F.round(F.avg("latency"), 4).alias("avg_latency"), F.round(F.percentile("latency", F.lit(0.95)), 4).alias("p95"))
-    return stats.orderBy(F.desc("n"), "endpoint").limit(10)
+FAMILIES = (catalog_queries,)
 
 
 def queries() -> dict[str, Query]:
-    return {"endpoint_stats": endpoint_stats}
+    return {name: query for family in FAMILIES for name, (query, _) in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "endpoint_stats": "select event_type as endpoint, count(*) as n, round(avg(value), 4) as avg_latency, round(quantile_cont(value, 0.95), 4) as p95 from events group by 1 order by n desc, endpoint limit 10",
-    }
+    return {name: sql for family in FAMILIES for name, (_, sql) in family.QUERIES.items() if sql}
