@@ -58,7 +58,7 @@ def progress(log: DataFrame, key: str, order: list[str], n: str) -> DataFrame:
     """WIN-05, WIN-06: running amount of each key, and its percentage of the whole (0 of 0)."""
     run = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     whole = F.sum(n).over(Window.partitionBy(key))
-    return log.select("*", F.sum(n).over(run).alias("processed"), F.coalesce(F.round(100.0 * F.try_divide(F.sum(n).over(run), whole), 2), F.lit(0.0)).alias("percentage"))
+    return log.select("*", F.sum(n).over(run).alias("processed"), F.coalesce(F.round(F.try_divide(100.0 * F.sum(n).over(run), whole), 2), F.lit(0.0)).alias("percentage"))
 
 
 def budget(log: DataFrame, key: str, order: list[str], cost: str, limit: float) -> DataFrame:
