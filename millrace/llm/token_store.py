@@ -37,7 +37,7 @@ from millrace.llm.common import fresh_dir
 
 #: Fixed value: the pattern by which byte-level tokenizers of this kind split texts.
 BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-HEAD = struct.Struct("<4sIII")
+HEAD, HEAD_BYTES = "<4sIII", 16
 NO_KEY = "doc_id bigint, occurrence int"
 
 
@@ -188,7 +188,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, vocabulary: i
                 counts = []
                 if out is None and keys:
                     out = store.open_output_stream(f"{place}/{name}")
-                    out.write(HEAD.pack(b"TOKS", 1, width, 0))
+                    out.write(struct.pack(HEAD, b"TOKS", 1, width, 0))
                 for first, last in slices(np.asarray(text_bytes(texts)[1]), 8 << 20):
                     ids, sizes = encoder.encode(texts.slice(first, last - first))
                     ends = np.cumsum(sizes)
@@ -313,14 +313,14 @@ def read_documents(spark: SparkSession, path: str, located: DataFrame) -> DataFr
         store, place = open_store(path)
         sums = np.zeros(len(pdf), np.int64)
         with store.open_input_file(f"{place}/{pdf['file'].iloc[0]}") as source:
-            _, _, width, _ = HEAD.unpack(source.read_at(HEAD.size, 0))
+            _, _, width, _ = struct.unpack(HEAD, source.read_at(HEAD_BYTES, 0))
             at, n = pdf["offset"].to_numpy(), pdf["n_tokens"].to_numpy()
             first = 0
             while first < len(at):  # documents that follow one another are read together
                 last = first + 1
                 while last < len(at) and at[last] == at[last - 1] + n[last - 1] and at[last] + n[last] - at[first] < 1 << 21:
                     last += 1
-                ids = np.frombuffer(source.read_at(int(at[last - 1] + n[last - 1] - at[first]) * width, HEAD.size + int(at[first]) * width), f"<u{width}").astype("<u4")
+                ids = np.frombuffer(source.read_at(int(at[last - 1] + n[last - 1] - at[first]) * width, HEAD_BYTES + int(at[first]) * width), f"<u{width}").astype("<u4")
                 for i in range(first, last):
                     sums[i] = zlib.crc32(ids[at[i] - at[first] : at[i] - at[first] + n[i]])
                 first = last
