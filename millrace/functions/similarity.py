@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from millrace.functions import text
 from millrace.functions.presence import column, strip
@@ -41,7 +42,7 @@ def boolean(a: Column | str, b: Column | str) -> Column:
     return F.when(text.truth(a) == text.truth(b), 1.0).otherwise(0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio, which Spark has no function for; it isn't symmetric (T8)."""
     return pd.Series([round(SequenceMatcher(None, x or "", y or "").ratio(), 6) for x, y in zip(a, b, strict=True)])

@@ -43,7 +43,7 @@ def sanitized(c: Column | str) -> Column:
     names = "|".join(KEPT_TAGS)
     c = F.regexp_replace(c, rf"(?i)<(?!/?(?:{names})\b)[^>]*>", "")
     c = F.regexp_replace(c, rf"(?i)<(?!a\b)({names})\b[^>]*?(/?)>", "<$1$2>")
-    return F.regexp_replace(c, r"""(?i)(<a\b|\G(?<!^)(?:\s+(?:href|title)="[^"]*"))(?:\s+(?!(?:href|title)=)[a-z:-]+(?:="[^"]*")?)+""", "$1")
+    return F.regexp_replace(c, r"""(?i)(?<=<a\b[^<>]{0,4000})\s+(?!(?:href|title)\s*=)[a-z:_-]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+))?""", "")
 
 
 def founding_year(c: Column | str) -> Column:
