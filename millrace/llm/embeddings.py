@@ -1,11 +1,14 @@
 """Embedding near-dedup: spherical k-means cells and blocked cosine products (operator 10).
 
-Vectors are scaled to length 1 in double precision and exact copies are joined as one. k-means on a bounded sample gives
-cells; each distinct vector is a member of its nearest cell and a guest of every cell that could be the home of a vector
-within the threshold: a vector within angle t of x can lie across the plane between two centres only if x lies
-within sin t of that plane. So no link is lost, however the cells fall. Within a cell, members and guests are dealt to
-blocks and each pair of blocks is one matrix product; a block pair gives the link counts of its rows and a spanning
-forest of its links, so that neither a large cell nor a crowd of near copies makes all pairs into rows.
+Exact copies are joined as one. k-means on a bounded sample gives cells; each distinct vector is a member of its nearest
+cell and a guest of every cell that could be the home of a vector within the threshold: a vector within angle t of x can lie across the plane
+between two centres only if x lies within sin t of that plane. So no link is lost, however the cells fall. Vectors
+without any clusters of their own make guests nearly everywhere, and the work is then that of comparing all with all; `reach` below 1 narrows
+the planes' margin for such data at the price of some links.
+
+Within a cell members are compared with members and guests, block by block, as matrix products in single precision with room for
+its error; what passes is computed in double precision. A block pair gives the link counts of its rows and a spanning forest of its
+links, so that neither a large cell nor a crowd of near copies makes all pairs into rows.
 
 Vectors that are null, zero or hold null or non-finite components link with nothing and are kept; vectors
 of different lengths don't link. Repeated rows each get a row; vec_id should be unique, and a null vec_id is never the
@@ -27,19 +30,22 @@ from pyspark.sql import functions as F
 from millrace.llm.common import connected_components, stored
 
 
-def matrix(column: pd.Series, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float64).reshape(len(column), width)
+def units(column: list[bytes] | pd.Series, width: int, kind: str) -> np.ndarray:
+    """Vectors of one length, scaled to length 1 in double precision."""
+    x = np.frombuffer(b"".join(column), kind).reshape(len(column), width).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True, initial=0)
+    return x / np.sqrt((x**2).sum(axis=1, keepdims=True))
 
 
-def centres(vectors: DataFrame, cells: int, most_rows: int, rounds: int = 8) -> np.ndarray:
+def centres(vectors: DataFrame, cells: int, most_rows: int, kind: str, rounds: int = 8) -> np.ndarray:
     """Spherical k-means on at most most_rows vectors (drawn by hash); shorter vectors are filled up with zeros."""
-    drawn = vectors.orderBy(F.xxhash64("copy", F.lit("k-means")), "copy").limit(most_rows).select("unit").collect()
+    drawn = [r["raw"] for r in vectors.orderBy(F.xxhash64("copy", F.lit("k-means")), "copy").limit(most_rows).select("raw").collect()]
     if not drawn:
         return np.zeros((1, 1))
-    width = max(len(r["unit"]) // 8 for r in drawn)
-    x = np.zeros((len(drawn), width))
+    size = np.dtype(kind).itemsize
+    x = np.zeros((len(drawn), max(len(r) for r in drawn) // size))
     for i, r in enumerate(drawn):
-        x[i, : len(r["unit"]) // 8] = np.frombuffer(r["unit"], np.float64)
+        x[i, : len(r) // size] = units([r], len(r) // size, kind)
     c = x[:: max(1, len(x) // cells)][:cells].copy()
     for _ in range(rounds):
         home = (x @ c.T).argmax(axis=1)
@@ -50,7 +56,7 @@ def centres(vectors: DataFrame, cells: int, most_rows: int, rounds: int = 8) ->
     return c
 
 
-def cell_rows(x: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cell_rows(x: np.ndarray, c: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For vectors (rows of unit length): row, cell, and whether the cell is the row's home, for home and guest cells."""
     c = c[:, : x.shape[1]] if c.shape[1] >= x.shape[1] else np.pad(c, ((0, 0), (0, x.shape[1] - c.shape[1])))
     dots = x @ c.T
@@ -58,7 +64,7 @@ def cell_rows(x: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarra
     square = (c**2).sum(axis=1)
     apart = np.sqrt(np.maximum(square[home][:, None] + square[None, :] - 2 * (c @ c.T)[home], 0))
     beyond = dots[np.arange(len(x)), home][:, None] - dots
-    near = beyond <= (math.sqrt(1 - threshold**2) + 1e-9) * apart + 1e-12
+    near = beyond <= margin * apart + 1e-12
     near[np.arange(len(x)), home] = True
     rows, cells = np.nonzero(near)
     return rows, cells, cells == home[rows]
@@ -79,77 +85,83 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
     return moved, least[moved]
 
 
-def near_copies(vectors: DataFrame, threshold: float = 0.95, cell_size: int = 2000, sample: int = 20_000, block: int = 1024) -> DataFrame:
+def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of cosine >= threshold, a few hundred rows of x at a time."""
+    x32, y32 = x.astype(np.float32), y.astype(np.float32)
+    room = np.float32(threshold - 1e-6 - 3e-7 * x.shape[1])
+    for at in range(0, len(x), 512):
+        a, b = np.divmod(np.flatnonzero(x32[at : at + 512] @ y32.T >= room), len(y))
+        for first in range(0, len(a), 1 << 15):
+            p, q = a[first : first + (1 << 15)] + at, b[first : first + (1 << 15)]
+            good = np.einsum("ij,ij->i", x[p], y[q]) >= threshold
+            yield p[good], q[good]
+
+
+def near_copies(vectors: DataFrame, threshold: float = 0.95, cell_size: int = 16_384, sample: int = 20_000, block: int = 8192, reach: float = 1.0) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vectors (vec_id, embedding).
 
     n_links: other vectors of cosine >= threshold. component_id: smallest vec_id reachable by links. cell_size: vectors in a cell
-    on average. sample: vectors that k-means sees at most. block: rows of a matrix product's side.
+    on average. sample: vectors that k-means sees at most. block: rows of a matrix product's side. reach: 1 finds every link.
     """
     if not 0 < threshold < 1:
         raise ValueError("the threshold lies between 0 and 1")
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
 
-    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for v in batch["embedding"]:
-                x = np.array(v.as_py(), np.float64) if v.is_valid and len(v) else np.zeros(1)
-                top = np.abs(x).max()
-                good = np.isfinite(top) and top > 0
-                x = x / top if good else x
-                out.append((x / np.sqrt(x @ x)).tobytes() if good else None)
-            yield pa.RecordBatch.from_arrays([batch["vec_id"], pa.array(out, pa.binary())], names=["vec_id", "unit"])
-
-    rows = vectors.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>")).mapInArrow(scale, "vec_id bigint, unit binary")
-    rows = stored(rows.withColumn("copy", F.sha2("unit", 256)), "unit-vectors")
-    distinct = stored(rows.where("unit is not null").groupBy("copy", "unit").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")).withColumn("node", F.xxhash64("copy")), "unit-distinct")
-    total = distinct.count()
-    c = centres(distinct, max(1, math.ceil(total / cell_size)), sample)
+                x = np.array(v.as_py(), np.float64) if v.is_valid else np.zeros(0)
+                out.append(x.astype(kind).tobytes() if len(x) and np.isfinite(x).all() and x.any() else None)
+            yield pa.RecordBatch.from_arrays([batch["vec_id"], pa.array(out, pa.binary())], names=["vec_id", "raw"])
+
+    rows = vectors.select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<float>" if kind == "<f4" else "array<double>")).mapInArrow(pack, "vec_id bigint, raw binary")
+    rows = stored(rows.withColumn("copy", F.sha2("raw", 256)), "vectors")
+    distinct = rows.where("raw is not null").groupBy("copy", "raw").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    distinct = stored(distinct.withColumn("node", F.xxhash64("copy")), "vectors-distinct")
+    c = centres(distinct, max(1, math.ceil(distinct.count() / cell_size)), sample, kind)
+    margin = reach * math.sqrt(1 - threshold**2) + 1e-9
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = batch["unit"].to_pylist()
-            lengths = np.array([len(u) for u in units]) // 8
-            for width in np.unique(lengths):
-                own = np.flatnonzero(lengths == width)
-                x = np.frombuffer(b"".join(units[i] for i in own), np.float64).reshape(-1, width)
-                row, cell, home = cell_rows(x, c, threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(own[row]).cast(pa.int32()), pa.array(cell.astype(np.int32)), pa.array(home), batch["node"].take(pa.array(own[row])), batch["copies"].take(pa.array(own[row])), batch["unit"].take(pa.array(own[row])), pa.array(np.full(len(row), width, np.int32))], names=["i", "cell", "home", "node", "copies", "unit", "width"])
-
-    dealt = stored(distinct.select("unit", "node", "copies").mapInArrow(deal, "i int, cell int, home boolean, node bigint, copies bigint, unit binary, width int").drop("i"), "unit-cells")
-    sizes = dealt.groupBy("cell", "width").agg(F.count("*").alias("n"))
-    # A row of a cell with n rows falls in one of `blocks` blocks and goes to the `blocks` pairs that hold its block.
-    many = F.ceil(F.col("n") / F.lit(float(block))).cast("int")
-    placed = dealt.join(sizes, ["cell", "width"]).withColumn("blocks", many).withColumn("at", F.expr("cast(pmod(node, blocks) as int)"))
-    paired = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("low", F.least("at", "other")).withColumn("high", F.greatest("at", "other"))
+            raw = batch["raw"].to_pylist()
+            widths = np.array([len(r) for r in raw]) // np.dtype(kind).itemsize
+            for width in np.unique(widths):
+                own = np.flatnonzero(widths == width)
+                row, cell, home = cell_rows(units([raw[i] for i in own], int(width), kind), c, margin)
+                at = pa.array(own[row])
+                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(home), pa.array(np.full(len(row), width, np.int32)), *(batch[k].take(at) for k in ("node", "copies", "raw"))], names=["cell", "home", "width", "node", "copies", "raw"])
+
+    dealt = stored(distinct.select("raw", "node", "copies").mapInArrow(deal, "cell int, home boolean, width int, node bigint, copies bigint, raw binary"), "vectors-cells")
+    # Members fall into `lefts` blocks, members and guests into `rights`; each pair of blocks is one group.
+    blocks = lambda n: F.ceil(n / F.lit(float(block))).cast("int")
+    sizes = dealt.groupBy("cell", "width").agg(blocks(F.count_if("home")).alias("lefts"), blocks(F.count("*")).alias("rights")).where("lefts > 0")
+    placed = dealt.join(sizes, ["cell", "width"])
+    as_left = placed.where("home").select("*", F.lit(True).alias("left"), F.expr("cast(pmod(node, lefts) as int)").alias("i"), F.explode(F.expr("sequence(0, rights - 1)")).alias("j"))
+    as_right = placed.select("*", F.lit(False).alias("left"), F.explode(F.expr("sequence(0, lefts - 1)")).alias("i"), F.expr("cast(pmod(node, rights) as int)").alias("j"))
+    paired = as_left.union(as_right.select(as_left.columns))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         width = int(pdf["width"].iloc[0])
-        same = bool((pdf["low"] == pdf["high"]).iloc[0])
-        left = pdf if same else pdf[pdf["at"] == pdf["low"]]
-        right = pdf if same else pdf[pdf["at"] == pdf["high"]]
-        x, y = matrix(left["unit"], width), matrix(right["unit"], width)
-        home_x, home_y = left["home"].to_numpy(), right["home"].to_numpy()
-        node_x, node_y = left["node"].to_numpy(), right["node"].to_numpy()
-        nodes, copies = np.concatenate([node_x, node_y]), np.concatenate([left["copies"], right["copies"]])
-        count, parts = np.zeros(len(nodes), np.int64), []
-        for at in range(0, len(x), 512):
-            # A pair is looked at in the home cell of its smaller node alone, so it counts once.
-            mine = np.where(node_x[at : at + 512, None] < node_y[None, :], home_x[at : at + 512, None], home_y[None, :])
-            a, b = np.nonzero((x[at : at + 512] @ y.T >= threshold) & mine & (node_x[at : at + 512, None] != node_y[None, :]))
-            a += at
-            if same:
-                a, b = a[node_x[a] < node_y[b]], b[node_x[a] < node_y[b]]
-            np.add.at(count, a, copies[len(x) + b])
-            np.add.at(count, len(x) + b, copies[a])
-            parts.append(forest(a, len(x) + b, len(nodes)))
-        a, b = forest(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), len(nodes)) if parts else (np.zeros(0, int),) * 2
-        linked = np.flatnonzero(count)
-        return pd.DataFrame({"src": np.concatenate([nodes[linked], nodes[a]]), "dst": np.concatenate([nodes[linked], nodes[b]]), "n": np.concatenate([count[linked], np.zeros(len(a), np.int64)])})
-
-    found = stored(paired.groupBy("cell", "width", "low", "high").applyInPandas(compare, "src bigint, dst bigint, n bigint"), "unit-links")
-    linked = found.groupBy("src").agg(F.sum("n").alias("others"))
-    parts = connected_components(found.where("src != dst").select("src", "dst"))
-    nodes = distinct.join(linked, distinct["node"] == linked["src"], "left").join(parts.withColumnRenamed("node", "own"), distinct["node"] == F.col("own"), "left")
+        one, other = pdf[pdf["left"]], pdf[~pdf["left"]]
+        n = len(one)
+        nodes, copies = (np.concatenate([one[k], other[k]]) for k in ("node", "copies"))
+        count, ends = np.zeros(len(nodes), np.int64), [np.zeros((2, 0), np.int64)]
+        if n and len(other):
+            for a, b in linked(units(one["raw"], width, kind), units(other["raw"], width, kind), threshold):
+                mine = nodes[a] < nodes[n + b]  # a pair counts once: on the left is its smaller node, in its home cell
+                a, b = a[mine], b[mine]
+                np.add.at(count, a, copies[n + b])
+                np.add.at(count, n + b, copies[a])
+                ends.append(np.stack(forest(a, n + b, len(nodes))))
+        a, b = forest(*np.concatenate(ends, axis=1), len(nodes))
+        some = np.flatnonzero(count)
+        return pd.DataFrame({"src": np.concatenate([nodes[some], nodes[a]]), "dst": np.concatenate([nodes[some], nodes[b]]), "n": np.concatenate([count[some], np.zeros(len(a), np.int64)])})
+
+    found = stored(paired.groupBy("cell", "width", "i", "j").applyInPandas(compare, "src bigint, dst bigint, n bigint"), "vectors-links")
+    linked_nodes = found.groupBy("src").agg(F.sum("n").alias("others"))
+    parts = connected_components(found.where("src != dst").select("src", "dst")).withColumnRenamed("node", "own")
+    nodes = distinct.join(linked_nodes, distinct["node"] == linked_nodes["src"], "left").join(parts, distinct["node"] == parts["own"], "left")
     nodes = nodes.select("copy", "least", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", distinct["node"]).alias("part"))
     named = nodes.groupBy("part").agg(F.min("least").alias("component_id"))
     groups = nodes.join(named, "part").select("copy", "n_links", "component_id")

@@ -124,7 +124,7 @@ class Encoder:
     def places(self, cuts: pa.Array, first: bool) -> np.ndarray:
         """Where each cut is remembered; new ones are learnt. Distinct cuts alone become Python objects."""
         coded = cuts.dictionary_encode()
-        values = coded.dictionary.to_pylist()
+        values = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if first:
             values = [(x,) for x in values]
         got = list(map(self.known.get, values))
@@ -189,7 +189,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, vocabulary: i
                 if out is None and keys:
                     out = store.open_output_stream(f"{place}/{name}")
                     out.write(struct.pack(HEAD, b"TOKS", 1, width, 0))
-                for first, last in slices(np.asarray(text_bytes(texts)[1]), 8 << 20):
+                for first, last in slices(np.asarray(text_bytes(texts)[1]), 16 << 20):
                     ids, sizes = encoder.encode(texts.slice(first, last - first))
                     ends = np.cumsum(sizes)
                     out.write(np.insert(ids, ends, end_id).astype(f"<u{width}").tobytes())
