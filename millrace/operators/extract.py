@@ -196,3 +196,27 @@ PROFILE_WEIGHTS = {"company_name": 0.25, "description": 0.10, "contact": 0.15, "
 def profile_confidence(present: dict[str, Column]) -> Column:
     """EXT-12."""
     return F.round(F.least(F.lit(1.0), sum((F.when(present[k], w).otherwise(0.0) for k, w in PROFILE_WEIGHTS.items() if k in present), F.lit(0.0))), 4)
+
+
+#: Node types that stand for an organization.
+ORGANIZATIONS = ("Organization", "LocalBusiness", "Store", "OnlineStore", "Corporation")
+
+
+def organizations(pages: DataFrame, html: str, key: str) -> DataFrame:
+    """EXT-07: of each page one organization node: within a script one with a name before others, then the last script's."""
+    typed = json_ld(pages, html, key).where(node_type(F.col("node")).rlike("|".join(ORGANIZATIONS)))
+    get = lambda p: F.nullif(F.try_variant_get("node", p, "string"), F.lit(""))
+    rows = typed.select(key, "script", "place", "inner", get("$.name").alias("name"), get("$.description").alias("description"), F.coalesce(get("$.logo.url"), get("$.logo")).alias("logo"), get("$.address.addressCountry").alias("country"))
+    best = F.max(F.struct(F.col("script"), F.col("name").isNotNull().alias("named"), (-F.col("place")).alias("place"), (-F.col("inner")).alias("inner"), "name", "description", "logo", "country")).alias("x")
+    return rows.groupBy(key).agg(best).select(key, "x.name", "x.description", "x.logo", "x.country")
+
+
+def keyword_score(url: Column | str, words: tuple[str, ...] = ("product", "shop", "item", "buy", "store", "p")) -> Column:
+    """EXT-18: share of the words that a URL's path holds."""
+    low = F.lower(urls.path(url))
+    return F.round(sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)) / len(words), 4)
+
+
+def services(requests: DataFrame, hosts: DataFrame, key: str, url: str) -> DataFrame:
+    """JOIN-20: services (pattern, provider, category) whose pattern a requested host holds; the list of patterns is a configured table of a few dozen rows, so it is sent along."""
+    return requests.join(F.broadcast(hosts), F.contains(urls.host(url), F.col("pattern"))).select(key, "provider", "category").dropDuplicates([key, "provider"])

@@ -217,16 +217,17 @@ def normalize(records: DataFrame) -> DataFrame:
         special = F.when(F.col("platform") == name, titled(make(raw, url))) if special is None else special.when(F.col("platform") == name, titled(make(raw, url)))
     for name, make in generic.items():
         fallback = F.when(F.col("_shape") == name, titled(make(raw, url))) if fallback is None else fallback.when(F.col("_shape") == name, titled(make(raw, url)))
-    out = records.withColumn("_shape", shape(raw)).withColumn("p", F.coalesce(special, fallback))
-    has_id = truthy(F.col("p.sku")) | truthy(strip(F.col("p.external_id")))
+    # A generated row is a barrier: what follows reads columns, so the optimizer can't repeat the mapping for each of them.
+    out = records.withColumn("_shape", shape(raw)).select("shop_id", "platform", "raw", F.inline(F.array(F.coalesce(special, fallback, product()))))
+    has_id = truthy("sku") | truthy(strip("external_id"))
     reason = (
-        F.when(F.col("p").isNull(), "no_title")
-        .when(~money.two_places(F.col("p.price")) | ~F.coalesce(money.two_places(F.col("p.compare_at_price")), F.lit(True)), "price_places")
-        .when(F.length("p.currency") > 3, "currency")
-        .when(~(F.col("p.price") > 0) & ~truthy(strip(F.col("p.image_url"))) & ~has_id, "nothing_to_identify")
+        F.when(F.col("title").isNull(), "no_title")
+        .when(~money.two_places("price") | ~F.coalesce(money.two_places("compare_at_price"), F.lit(True)), "price_places")
+        .when(F.length("currency") > 3, "currency")
+        .when(~(F.col("price") > 0) & ~truthy(strip("image_url")) & ~has_id, "nothing_to_identify")
     )
     cast = {"price": "decimal(12,2)", "compare_at_price": "decimal(12,2)"}
-    special_columns = {"currency": F.upper("p.currency"), "condition": F.coalesce("p.condition", F.lit("NEW"))}
-    columns = [special_columns.get(c, F.col(f"p.{c}").try_cast(cast[c]) if c in cast else F.col(f"p.{c}")).alias(c) for c in FIELDS]
+    special_columns = {"currency": F.upper("currency"), "condition": F.coalesce("condition", F.lit("NEW"))}
+    columns = [special_columns.get(c, F.col(c).try_cast(cast[c]) if c in cast else F.col(c)).alias(c) for c in FIELDS]
     done = out.withColumn("reject_reason", reason).select("shop_id", "platform", "raw", *columns, "reject_reason", F.col("reject_reason").isNull().alias("is_valid"))
     return done.withColumn("idempotency_key", text.idempotency_key(F.col("external_id"), F.col("platform"), F.col("shop_id"), F.col("sku"), F.col("title")))
