@@ -247,7 +247,7 @@ def find_slots(levels: list[np.ndarray], h1: np.ndarray, h2: np.ndarray) -> np.n
     return out
 
 
-def write_index(entries: DataFrame, path: str, part_keys: int = 100_000) -> None:
+def write_index(entries: DataFrame, path: str, part_keys: int = 16_384) -> None:
     """Index files for the entries, about part_keys keys in each, and the table parts that names them."""
     spark = entries.sparkSession
     parts = max(1, math.ceil(entries.count() / part_keys))
