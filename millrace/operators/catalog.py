@@ -135,3 +135,9 @@ def two_stage_fill(df: DataFrame, lookup: DataFrame, first: tuple[str, str], sec
 
 def title_key(c: str) -> Column:
     return F.lower(strip(c))
+
+
+def recent(products: DataFrame, order: str, most: int = 5) -> DataFrame:
+    """PRJ-19, SORT-07: the last few products with what stands for their title, price and image."""
+    some = lambda *names: F.coalesce(*(F.when(filled(c), F.col(c).cast("string")) for c in names if c in products.columns))
+    return products.orderBy(F.desc(order)).limit(most).select(some("title", "sku", "external_id").alias("title"), some("price").alias("price"), some("image_url").alias("image"))

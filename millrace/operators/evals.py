@@ -97,3 +97,22 @@ def regressions(baseline: DataFrame, current: DataFrame, keys: list[str], thresh
         free = F.coalesce("_free", F.lit(False))
     kind = F.when((F.col("delta") < -threshold) & ~free, "regression").when(F.col("delta") > threshold, "improvement").otherwise("same")
     return out.withColumn("kind", kind).select(*keys, "before", "after", "delta", "kind")
+
+
+def flat(products: DataFrame) -> DataFrame:
+    """PRJ-15, PRJ-16: normalized products as the texts that are scored; what is missing is null and not ''."""
+    text = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
+    named = ("title", "currency", "description", "image_url", "vendor", "in_stock", "sku", "product_type", "product_url")
+    return products.select("shop_id", *(text(c).alias(c) for c in named), F.when(F.col("price") > 0, text("price")).alias("price"))
+
+
+def offer_price(offers: Column) -> Column:
+    """PRJ-15: price of an offer, of the first of a list, or the low price of an aggregate."""
+    get = lambda p: F.nullif(F.try_variant_get(offers, p, "string"), F.lit(""))
+    return F.coalesce(get("$.price"), get("$.lowPrice"), get("$[0].price"), get("$.offers[0].price"))
+
+
+def history(runs: DataFrame, scores: str = "scores") -> DataFrame:
+    """AGG-18, SRC-15: rows of (timestamp, scores: map of site to map of tier to struct) as one row for each site and tier, ready for averages by run."""
+    sites = runs.select("timestamp", F.explode(scores).alias("site", "tiers"))
+    return sites.select("timestamp", "site", F.explode("tiers").alias("tier", "s")).select("timestamp", "site", "tier", F.col("s.avg_score").alias("avg_score"), F.col("s.overall_score").alias("overall_score"))
