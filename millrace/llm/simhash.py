@@ -5,8 +5,9 @@ bits, lies at most 3 bits from exactly one codeword of the binary Golay code; it
 nearest to it and to each word that differs in one of its own bits. Two segments that differ in at most 2 bits have a
 key in common: that of the word between them. When fingerprints differ in at most 4 bits, two
 of the three segments differ in at most 2 bits together: both in none or one, or one of them in up to 2 and the other in none.
-The first case meets under (nearest codeword, any key) of one and (any key, nearest codeword) of the other; the second under (whole
-segment, any key) of both.
+The second case meets under (whole segment, any key) of both. Where that fails every segment differs, so the two differ in one bit each and the third
+in one or two, and of its three parts one is equal: they meet under (nearest codeword, any key, a part of the third) of
+one and (any key, nearest codeword, the same part) of the other.
 
 Words: A-Z lower-cased, then runs of [^\\x20\\x09-\\x0D]+. Null, empty and blank texts have fingerprint zero, which
 links like any other. Exact copies have one fingerprint and are joined as one. Repeated rows
@@ -106,7 +107,7 @@ LEFT, RIGHT, BOTH = 1, 2, 3
 
 
 def with_keys(nodes: DataFrame) -> DataFrame:
-    """About 60 rows for each fingerprint: key, side, fp. Fingerprints at most 4 bits apart have a key in common, with different sides or with both."""
+    """About 130 rows for each fingerprint: key, side, fp. Fingerprints at most 4 bits apart have a key in common, with different sides or with both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = error_table()
@@ -117,11 +118,17 @@ def with_keys(nodes: DataFrame) -> DataFrame:
                 words = [((prints >> np.uint64(at)) & np.uint64((1 << bits) - 1)).astype(np.int64)[:, None] for at, bits in SEGMENTS]
                 keys = [segment_keys(w[:, 0], bits, table) for w, (_, bits) in zip(words, SEGMENTS, strict=True)]
                 nearest = [(w ^ table[remainders(w)]) >> 11 for w in words]
-                for pair, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
+                for pair, (a, b, c) in enumerate(((0, 1, 2), (0, 2, 1), (1, 2, 0))):
                     kinds = ((nearest[a], keys[b], LEFT), (keys[a], nearest[b], RIGHT), (words[a], keys[b], BOTH), (keys[a], words[b], BOTH))
                     for kind, (left, right, side) in enumerate(kinds):
                         row, x, y = spread(left, right)
-                        key = ((pair * 4 + max(1, kind)) << 46) | (x << 23) | y  # the first two kinds meet each other
+                        if side == BOTH:
+                            key = ((pair * 4 + kind) << 46) | (x << 23) | y
+                        else:  # both of these kinds have the tag 0, so that they meet
+                            third = words[c][row]
+                            parts = np.concatenate([(i << 8) | ((third >> (7 * i)) & (0xFF if i == 2 else 0x7F)) for i in range(3)], axis=1)
+                            key = ((pair * 4) << 46) | (parts << 24) | (x << 12)[:, None] | y[:, None]
+                            key, row = key.ravel(), np.repeat(row, 3)
                         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(row), side, np.int8)), pa.array(prints[row].view(np.int64))], names=["key", "side", "fp"])
 
     return nodes.select("fp").mapInArrow(run, "key bigint, side tinyint, fp bigint")
