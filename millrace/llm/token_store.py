@@ -23,6 +23,7 @@ import math
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,7 +58,7 @@ class Encoder:
     tokenizer whole. `most` bounds the cuts remembered.
     """
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, most: int = 700_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -77,7 +78,7 @@ class Encoder:
     def clear(self) -> None:
         #: Cuts that follow a blank (without it), and as 1-tuples those that begin a text.
         self.known: dict[str | tuple[str], int] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}  # ids of the tokenizer's words, 4 bytes each
         self.ids = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1 << 14, np.int64)
         self.used = 0
@@ -98,17 +99,17 @@ class Encoder:
         self.used += len(ids)
         self.known.update(zip(cuts, range(first, first + len(cuts)), strict=True))
 
-    def word_ids(self, word: str) -> list[int]:
+    def word_ids(self, word: str) -> bytes:
         """Ids of one word of the tokenizer's own splitting, by its merges."""
         got = self.words.get(word)
         if got is None:
             letters = word.replace(" ", "\u0120") if word.isascii() and word.isprintable() else "".join(map(self.letters.__getitem__, word.encode()))
-            got = self.words[word] = [t.id for t in self.tokenizer.model.tokenize(letters)]
+            got = self.words[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
         return got
 
     def learn(self, cuts: list[str | tuple[str]]) -> None:
         get, split, own = self.words.get, self.split, self.word_ids
-        out: list[int] = []
+        out = bytearray()
         sizes = []
         for x in cuts:
             text = x[0] if x.__class__ is tuple else " " + x
@@ -119,7 +120,7 @@ class Encoder:
                 for word in split(text):
                     out += get(word) or own(word)
             sizes.append(len(out) - before)
-        self.remember(cuts, np.array(out, np.uint32), np.array(sizes, np.int64))
+        self.remember(cuts, np.frombuffer(out, np.uint32), np.array(sizes, np.int64) // 4)
 
     def places(self, cuts: pa.Array, first: bool) -> np.ndarray:
         """Where each cut is remembered; new ones are learnt. Distinct cuts alone become Python objects."""
@@ -189,7 +190,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, vocabulary: i
                 if out is None and keys:
                     out = store.open_output_stream(f"{place}/{name}")
                     out.write(struct.pack(HEAD, b"TOKS", 1, width, 0))
-                for first, last in slices(np.asarray(text_bytes(texts)[1]), 16 << 20):
+                for first, last in slices(np.asarray(text_bytes(texts)[1]), 8 << 20):
                     ids, sizes = encoder.encode(texts.slice(first, last - first))
                     ends = np.cumsum(sizes)
                     out.write(np.insert(ids, ends, end_id).astype(f"<u{width}").tobytes())
