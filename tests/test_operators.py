@@ -165,17 +165,17 @@ def test_token_replay(spark):
     assert {r.token: r.revoked for r in access.rotate(tokens, tokens.where("token in ('a', 'c')").select("token")).collect()} == {"a": True, "b": True, "c": True}
 
 
-def test_onboarding(spark):
-    from millrace.plans import onboarding
+def test_ingestion(spark):
+    from millrace.plans import ingestion
 
     feed = "id\ttitle\tprice\timage_link\n1\tOne\t5.00 EUR\ti\n2\tTwo\t\t\n"
     page = '<script type="application/ld+json">{"@type":"Product","name":"P","sku":"9","offers":{"price":"3"}}</script><script type="application/ld+json">{"@type":"Store","name":"Shop","address":{"addressCountry":"DE"}}</script>'
     bodies = spark.createDataFrame([("s", "generic", "https://s/", "u1", feed, "text/csv"), ("s", "generic", "https://s/", "u2", page, "text/html; x")], "shop_id string, platform string, shop_url string, url string, body string, content_type string")
     as_of = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    first = onboarding.accepted(onboarding.raw_records(bodies), as_of)
+    first = ingestion.accepted(ingestion.raw_records(bodies), as_of)
     assert {r.title for r in first.collect()} == {"One", "P", "Two"}
-    again = onboarding.ingest(first, bodies, F.lit("2025-01-01 00:00:00").cast("timestamp")).collect()
+    again = ingestion.ingest(first, bodies, F.lit("2025-01-01 00:00:00").cast("timestamp")).collect()
     assert len(again) == 3 and {(r.created_at.year, r.updated_at.year) for r in again} == {(2024, 2025)}
-    told = onboarding.report(onboarding.raw_records(bodies)).collect()[0]
+    told = ingestion.report(ingestion.raw_records(bodies)).collect()[0]
     assert (told.n, told.rejected, told.verdict) == (3, 0, "passed")
     assert [(r.name, r.country) for r in extract.organizations(bodies, "body", "url").collect()] == [("Shop", "DE")]
