@@ -58,7 +58,7 @@ class Encoder:
     tokenizer whole. `most` bounds the cuts remembered.
     """
 
-    def __init__(self, path: str, most: int = 700_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
