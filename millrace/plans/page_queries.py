@@ -174,7 +174,7 @@ def stream_limits(s, d):
 
 def stream_latest(s, d):
     """STR-02, STR-03."""
-    return _streamed(s, d, lambda e: state.latest_states(e, "user_id", "ts", "event_type"), "complete")
+    return _streamed(s, d, lambda e: state.latest_states(e, "user_id", "ts", "event_type"), "complete").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 def stream_breakers(s, d):
