@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes whose words are hashed at once; bounds the memory of a task, whatever a text's length.
-PIECE = 1 << 22
+PIECE = 1 << 20
 
 
 def lower_table() -> np.ndarray:

@@ -15,7 +15,7 @@ from millrace.llm.bytewords import Hasher, lower_table, slices, text_bytes
 #: Statistics of a text, and how many buckets each is put in.
 STATISTICS = ("length", "upper", "digit", "mark", "blank", "foreign", "word_length", "distinct", "repeated_lines", "lines", "long_word")
 BUCKETS = 8
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 @dataclass
