@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import connected_components, stored
+from millrace.llm.common import connected_components, discard, stored
 
 #: Fixed value: the generator x^11+x^10+x^6+x^5+x^4+x^2+1 of the (23, 12) Golay code.
 GENERATOR = 0b110001110101
@@ -145,10 +145,11 @@ def links(nodes: DataFrame, most: int) -> DataFrame:
     more than one component are then compared in full, between components only. A group of near copies falls to the first
     step, whose work grows with its size and not with the square.
     """
-    keyed = stored(with_keys(nodes), "golay-keys")
-    heads = keyed.groupBy("key").agg(F.min(F.when(F.col("side") != RIGHT, F.col("fp"))).alias("head"), F.min(F.when(F.col("side") != LEFT, F.col("fp"))).alias("other"), F.max("fp").alias("last"))
+    every = stored(with_keys(nodes), "golay-keys")
+    heads = every.groupBy("key").agg(F.min(F.when(F.col("side") != RIGHT, F.col("fp"))).alias("head"), F.min(F.when(F.col("side") != LEFT, F.col("fp"))).alias("other"), F.max("fp").alias("last"))
     heads = heads.where("head is not null and other is not null and (head != other or last > head)").drop("last")
-    keyed = stored(keyed.join(heads, "key"), "golay-shared")  # what meets nothing is done
+    keyed = stored(every.join(heads, "key"), "golay-shared")  # what meets nothing is done
+    discard(every)
     pairs = F.array(F.when(F.col("side") != LEFT, F.col("head")), F.when(F.col("side") == LEFT, F.col("other")))
     star = keyed.select("fp", F.explode(pairs).alias("dst")).where("dst is not null and fp != dst").where(differing("fp", "dst") <= most)
     star = stored(star.select(F.col("fp").alias("src"), "dst").distinct(), "golay-star")
