@@ -25,3 +25,21 @@ def test_stages(spark, small):
     assert sorted(r.doc_id for r in out) == sorted(r.doc_id for r in mixed)
     starts = sorted((r.start, r.n_tokens) for r in out)
     assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False))
+
+
+def test_rows_that_share_an_id(spark, tmp_path):
+    """Null and repeated doc_ids with different texts: near_dedup keeps one row of each component, decontamination drops contaminated rows alone."""
+    base = ["".join(chr(97 + (i * 7 + j * j + k) % 26) for k in range(j % 5 + 3)) for i in range(6) for j in range(40)]
+    texts = [" ".join(base[40 * i : 40 * i + 40]) for i in range(6)]
+    rows = [(3, texts[0]), (7, texts[0]), (7, texts[1]), (7, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[3]), (9, texts[3]), (None, texts[4]), (9, texts[5])]
+    prints = [simhash.fingerprint(t) for t in texts]
+    assert all((a ^ b).bit_count() > 8 for i, a in enumerate(prints) for b in prints[:i])
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    near = stored(corpus_pipeline.near_dedup(spark, docs, str(tmp_path)), "test-stage")
+    assert near.columns == docs.columns
+    want = [(3, texts[0]), (7, texts[1]), (None, texts[2]), (9, texts[3]), (None, texts[4]), (9, texts[5])]
+    assert sorted(((r.doc_id, r.text) for r in near.collect()), key=str) == sorted(want, key=str)
+    leaks = [("a", " ".join(texts[2].split()[5:20])), ("b", " ".join(texts[5].split()[5:20]))]
+    spark.createDataFrame(leaks, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = corpus_pipeline.decontamination(spark, near, str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted([want[0], want[1], want[3], want[4]], key=str)
