@@ -26,6 +26,8 @@ from millrace.llm.common import crc32_mod
 
 UNKNOWN = "und"
 LOW, LETTERS = "langid_low", "langid_letters"
+#: How like a text is to the learnt texts of its language; see likeness().
+USUAL, SEEN = "langid_usual", "langid_seen"
 
 
 @dataclass
@@ -35,6 +37,7 @@ class Model:
     weights: np.ndarray  # float32: landmarks x labels
     width: int
     grams: tuple[int, ...]
+    profiles: np.ndarray  # float32: labels x bins, the share of a label's learnt texts that have the bin
 
 
 def letter_table() -> np.ndarray:
@@ -70,6 +73,15 @@ def kernel_scores(bins: np.ndarray, landmarks: np.ndarray, weights: np.ndarray)
     return ((bins @ landmarks.T) / sizes) @ weights
 
 
+def likeness(bins: np.ndarray, profiles: np.ndarray, label: np.ndarray) -> list[np.ndarray]:
+    """For each text the mean of its label's profile over its bins, and the share of its bins that over a hundredth of the label's learnt texts have.
+
+    Both look at one label alone, so they don't depend on how many were learnt. The first falls for very long texts, which have rare bins too; the second doesn't.
+    """
+    sizes, each = np.maximum(bins.sum(axis=1), 1), np.arange(len(label))
+    return [((bins @ p.T)[each, label] / sizes).astype(np.float64) for p in (profiles, (profiles > 0.01).astype(np.float32))]
+
+
 def texts_of(docs: DataFrame, columns: list[str], *more: F.Column) -> DataFrame:
     """The named columns, the text in lower case and whether it has a letter."""
     has = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
@@ -99,10 +111,11 @@ def fit(rows: DataFrame, most_rows: int = 2000, landmarks: int = 192, width: int
 
     got = drawn.mapInArrow(bins, "lang string, dice bigint, bins binary").orderBy("dice", "lang", "bins").limit(2 * most_rows).collect()
     if not got:
-        return Model([], np.zeros((0, width), np.float32), np.zeros((0, 0), np.float32), width, grams)
+        return Model([], np.zeros((0, width), np.float32), np.zeros((0, 0), np.float32), width, grams, np.zeros((0, width), np.float32))
     x = np.unpackbits(np.frombuffer(b"".join(r["bins"] for r in got), np.uint8).reshape(len(got), -1), axis=1).astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
     y = np.array([labels.index(r["lang"]) for r in got])
+    profiles = np.stack([x[y == label].sum(axis=0) / max(1, (y == label).sum()) for label in range(len(labels))]).astype(np.float32)
+    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
     rank = np.zeros(len(y), int)
     for label in range(len(labels)):
         rank[y == label] = np.arange((y == label).sum())
@@ -111,13 +124,15 @@ def fit(rows: DataFrame, most_rows: int = 2000, landmarks: int = 192, width: int
     target = np.where(y[:, None] == np.arange(len(labels)), 1.0, -1.0)
     weight = 1.0 / np.bincount(y, minlength=len(labels))[y][:, None]  # each label counts alike
     solved = np.linalg.lstsq(many.T @ (many * weight) + ridge * among / len(among) + 1e-8 * np.eye(len(among)), many.T @ (target * weight), rcond=None)[0]
-    return Model(labels, marks, solved.astype(np.float32), width, grams)
+    return Model(labels, marks, solved.astype(np.float32), width, grams, profiles)
 
 
-def predict(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """The named columns of every row, with lang_pred and score (0 to 1: the softmax of the sharpened regressions)."""
+def predict(docs: DataFrame, model: Model, columns: list[str], like: bool = False) -> DataFrame:
+    """The named columns of every row, with lang_pred and score (0 to 1: the softmax of the sharpened regressions); with `like` also USUAL and SEEN."""
+    more = [USUAL, SEEN] if like else []
     if not model.labels:
-        return docs.select(*(F.col(f"`{c}`") for c in columns), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*(F.col(f"`{c}`") for c in columns), F.lit(UNKNOWN).alias("lang_pred"), *(F.lit(0.0).alias(c) for c in ["score", *more]))
+    profiles = model.profiles if like else None
     labels, marks, weights, width, grams = model.labels, model.landmarks, model.weights, model.width, model.grams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,14 +143,16 @@ def predict(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
             for first, last in ((k, min(hi, k + 512)) for lo, hi in slices(offsets, 1 << 21) for k in range(lo, hi, 512)):
                 bins = presence(letters[raw[offsets[first] : offsets[last]]], offsets[first : last + 1] - offsets[first], width, grams)
                 fits = kernel_scores(bins, marks, weights).astype(np.float64)
+                best = fits.argmax(axis=1)
                 odds = np.exp(3 * (fits - fits.max(axis=1, keepdims=True)))
                 seen = has[first:last]
-                pred = np.where(seen, names[fits.argmax(axis=1)], UNKNOWN)
+                pred = np.where(seen, names[best], UNKNOWN)
                 own = [batch[c].slice(first, last - first) for c in columns]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(pred.tolist(), pa.string()), pa.array(np.where(seen, 1 / odds.sum(axis=1), 0.0))], names=[*columns, "lang_pred", "score"])
+                alike = [] if profiles is None else likeness(bins, profiles, best)
+                yield pa.RecordBatch.from_arrays([*own, pa.array(pred.tolist(), pa.string()), pa.array(np.where(seen, 1 / odds.sum(axis=1), 0.0)), *map(pa.array, alike)], names=[*columns, "lang_pred", "score", *more])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return texts_of(docs, columns).mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return texts_of(docs, columns).mapInArrow(run, ", ".join([fields, "lang_pred string, score double", *(f"{c} double" for c in more)]))
 
 
 def learnt(docs: DataFrame, **how: float) -> Model:
@@ -148,7 +165,24 @@ def identify(docs: DataFrame, **how: float) -> DataFrame:
     return predict(docs, learnt(docs, **how), ["doc_id"]).select("doc_id", (crc32_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, least: float = 0.25, **how: float) -> DataFrame:
-    """The rows of docs whose language is known with a score of `least` or more; columns as they were."""
-    named = predict(docs, learnt(docs, **how), docs.columns)
-    return named.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*(F.col(f"`{c}`") for c in docs.columns))
+def bounds(docs: DataFrame, model: Model, most_rows: int = 2000, lost: float = 0.005, slack: float = 0.9) -> tuple[float, float]:
+    """The least USUAL and SEEN of a text in a learnt language: `slack` times what all but a share of `lost` of the held-out labelled rows reach.
+
+    About most_rows held-out rows are looked at. Without any nothing can be measured: both bounds are 0 and refuse no text.
+    """
+    held = docs.where(crc32_mod("doc_id", 5) == 0).where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    dice = F.pmod(F.xxhash64("doc_id", "text", F.lit("bounds")), F.lit(1_000_003))
+    some = held.where(dice < most_rows / max(1, held.count()) * 1_000_003)
+    got = predict(some, model, ["lang"], like=True).where("lang_pred = lang").select(USUAL, SEEN).limit(2 * most_rows).collect()
+    return tuple(slack * float(np.quantile([r[c] for r in got], lost)) if got else 0.0 for c in (USUAL, SEEN))
+
+
+def accepted(docs: DataFrame, **how: float) -> DataFrame:
+    """The rows of docs that have a letter and are like the learnt texts of a language by either of bounds(); columns as they were.
+
+    Texts of a few letters can't be told from junk with certainty: some junk of one or two words stays.
+    """
+    model = learnt(docs, **how)
+    usual, seen = bounds(docs, model)
+    named = predict(docs, model, docs.columns, like=True)
+    return named.where((F.col("lang_pred") != UNKNOWN) & ((F.col(USUAL) >= usual) | (F.col(SEEN) >= seen))).select(*(F.col(f"`{c}`") for c in docs.columns))

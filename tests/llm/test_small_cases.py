@@ -123,6 +123,25 @@ def test_language_id(spark, small):
     assert langid.identify(docs(spark, [])).count() == 0
 
 
+JUNK = ["και το να είναι για με που θα την από στο της δεν μια αυτό έχει όταν", "これは日本語の文章です 私は学校に行きます 今日は天気がいいですね", "ja on ei se että hän oli mutta niin kuin minä sinä mikä tämä kaikki ihminen aika päivä elämä maailma koska aina vielä vuosi käsi yksi kaksi talossa"]
+
+
+@pytest.mark.parametrize("labels", [4, 2])
+def test_documents_in_no_learnt_language_go(spark, small, labels):
+    """Unseen scripts and languages and random letters go, and held-out documents stay, whatever the number of languages."""
+    dice = random.Random(1)
+    letters = [" ".join("".join(dice.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(dice.randint(2, 9))) for _ in range(n)) for n in (20, 60, 1000)]
+    table = spark.read.parquet(f"{small}/documents.parquet")
+    if labels == 2:
+        table = table.where("lang in ('en', 'de')")
+    planted = [*JUNK, *(t * 40 for t in JUNK), *letters]
+    junk = spark.createDataFrame([(10_000 + i, t, None, "s", len(t)) for i, t in enumerate(planted)], table.schema)
+    kept = {r.doc_id for r in langid.accepted(table.union(junk)).collect()}
+    assert not {i for i in kept if i >= 10_000}
+    held = {r.doc_id for r in table.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0}
+    assert held <= kept and len(kept) >= 0.98 * table.count()
+
+
 def test_secrets(spark):
     duckdb = pytest.importorskip("duckdb")
     hexes = "0123456789abcdef01234567"
