@@ -54,19 +54,23 @@ class Encoder:
 
     The tokenizer always breaks before a blank that a non-blank follows, so texts are cut there; each
     distinct cut is split into the tokenizer's words, and each distinct word is merged once by the library's
-    model. Texts in which a blank meets another white space or the end go to the
-    tokenizer whole. `most` bounds the cuts remembered.
+    model. Texts in which a blank meets another white space or the end, or that hold a token added to the vocabulary, go to the
+    tokenizer whole. `most` bounds the cuts remembered. With `special` the special tokens that a text spells out
+    get their own ids, as the library gives them by default; without it they are text like any other.
     """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, special: bool = False, most: int = 400_000) -> None:
         import os
+        import re
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if special or not t.special]
+        self.added = "|".join(map(re.escape, added))
         self.split = regex.compile(BYTE_LEVEL_WORDS).findall
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}  # other bytes are written as characters from 256 on
         others = (b for b in range(256) if b not in plain)
@@ -141,6 +145,8 @@ class Encoder:
         if len(self.known) > self.most:
             self.clear()
         odd = pc.match_substring_regex(texts, r" ([\s\p{Z}\x0b\x1c-\x1f\x{85}]|$)").to_numpy(zero_copy_only=False)
+        if self.added:
+            odd = odd | pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False)
         whole = {int(i): self.plain([texts[int(i)].as_py()])[0] for i in np.flatnonzero(odd)}
         lists = pc.split_pattern(pc.if_else(pa.array(odd), "", texts) if whole else texts, " ")
         cuts, edges = lists.flatten(), np.asarray(lists.offsets, np.int64)
@@ -160,11 +166,11 @@ class Encoder:
         return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, vocabulary: int = 50_257, shard_rows: int = 16_384, path: str | None = None) -> str:
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, vocabulary: int = 50_257, shard_rows: int = 16_384, path: str | None = None, special: bool = False) -> str:
     """Encodes docs (doc_id, text) and writes shards, entries and index; returns the folder.
 
     Rows are dealt to shards by ranges of doc_id of about shard_rows rows each and sorted there, so a
-    task streams its shard and holds one batch. Rows that share a doc_id stay in one shard.
+    task streams its shard and holds one batch. Rows that share a doc_id stay in one shard. special: see Encoder.
     """
     spark = docs.sparkSession
     path = path or fresh_dir(spark, "tokens")
@@ -177,7 +183,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, vocabulary: i
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, place = open_store(path)
         shard, name = TaskContext.get().partitionId(), f"shard-{uuid.uuid4().hex}.ids"
-        encoder, out, offset, before, seen = Encoder(tokenizer), None, 0, (), 0
+        encoder, out, offset, before, seen = Encoder(tokenizer, special), None, 0, (), 0
         try:
             for batch in batches:
                 keys, texts = batch["doc_id"].to_pylist(), batch["text"].cast(pa.large_string())

@@ -89,6 +89,25 @@ def test_token_store(spark):
     assert token_store.token_store(docs(spark, []), tokenizer_path()).count() == 0
 
 
+@pytest.mark.parametrize("run", ["op2_token_store", "pipeline"])
+def test_special_tokens_as_the_library_gives_them(spark, tmp_path, run):
+    """The registered query and the pipeline's last stage against a Tokenizer as it is loaded."""
+    import corpus_pipeline
+    from millrace.llm.queries import queries
+    from tokenizers import Tokenizer
+
+    rows = [(1, "a<|endoftext|>b"), (2, "plain words"), (3, "x <|endoftext|> y <|endoftext|>"), (4, "<|endoftext"), (5, "<|endoftext|>"), (6, "é <|endoftext|>\nit's  wide ")]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = queries()[run](spark, str(tmp_path)) if run != "pipeline" else corpus_pipeline.STAGES[-1][1](spark, table, str(tmp_path))
+    library, want, start = Tokenizer.from_file(tokenizer_path()), [], 0
+    for i, text in rows:
+        ids = [*library.encode(text, add_special_tokens=False).ids, 0]
+        want.append((i, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
+        start += len(ids)
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got.collect()) == want
+
+
 def test_perfect_hash_is_minimal():
     dice = np.random.default_rng(3)
     h1, h2 = dice.integers(0, 1 << 63, (2, 20_000)).astype(np.uint64)
