@@ -138,12 +138,26 @@ def differing(a: str, b: str) -> F.Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def links(nodes: DataFrame, most: int) -> DataFrame:
-    """Edges (src, dst) between distinct fingerprints that connect all that differ in at most `most` bits.
+def relabelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows with their part replaced by that of the component which edges (src, dst between parts) put it in."""
+    found = stored(connected_components(edges), "golay-parts")
+    return rows.join(found, rows["part"] == found["node"], "left").withColumn("part", F.coalesce("component", "part")).drop("node", "component")
 
-    First every fingerprint is compared with the smallest of the other side of each of its key groups. The few groups that this leaves in
-    more than one component are then compared in full, between components only. A group of near copies falls to the first
-    step, whose work grows with its size and not with the square.
+
+def mixed_keys(placed: DataFrame) -> DataFrame:
+    """For each key under which rows of different sides lie in different parts: the rows of the lowest and highest part of either side."""
+    spot = F.struct("part", "fp")
+    sides = {"l": F.col("side") != RIGHT, "r": F.col("side") != LEFT}
+    ends = placed.groupBy("key").agg(*(of(F.when(side, spot)).alias(name + end) for name, side in sides.items() for end, of in (("0", F.min), ("1", F.max))))
+    return ends.where("l0.part != r1.part or l1.part != r0.part")
+
+
+def linked_parts(nodes: DataFrame, most: int) -> DataFrame:
+    """part of each fp that shares a key: fingerprints linked by differences of at most `most` bits have one part.
+
+    Parts grow in three steps. Every fingerprint is compared with the smallest of the other side of each of its key groups; then with one of
+    another part in each group that still has several parts; the few groups left open are compared in full, between parts only. The rows of
+    the first two steps grow with the number of keys, not with the square of a group, and a crowd of near copies falls to them.
     """
     every = stored(with_keys(nodes), "golay-keys")
     heads = every.groupBy("key").agg(F.min(F.when(F.col("side") != RIGHT, F.col("fp"))).alias("head"), F.min(F.when(F.col("side") != LEFT, F.col("fp"))).alias("other"), F.max("fp").alias("last"))
@@ -152,15 +166,19 @@ def links(nodes: DataFrame, most: int) -> DataFrame:
     discard(every)
     pairs = F.array(F.when(F.col("side") != LEFT, F.col("head")), F.when(F.col("side") == LEFT, F.col("other")))
     star = keyed.select("fp", F.explode(pairs).alias("dst")).where("dst is not null and fp != dst").where(differing("fp", "dst") <= most)
-    star = stored(star.select(F.col("fp").alias("src"), "dst").distinct(), "golay-star")
-    parts = stored(connected_components(star), "golay-parts")
-    placed = keyed.join(parts, keyed["fp"] == parts["node"], "left").select("key", "side", "fp", F.coalesce("component", "fp").alias("part"))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a != b").select("key")
-    open_ = placed.join(mixed, "key")
-    left = open_.where(F.col("side") != RIGHT).select("key", F.col("fp").alias("src"), F.col("part").alias("p"))
-    right = open_.where(F.col("side") != LEFT).select("key", F.col("fp").alias("dst"), F.col("part").alias("q"))
-    rest = left.join(right, "key").where("p != q").where(differing("src", "dst") <= most).select("src", "dst").distinct()
-    return star.union(rest)
+    placed = stored(relabelled(keyed.select("key", "side", "fp", F.col("fp").alias("part")), star.select(F.col("fp").alias("src"), "dst")), "golay-placed")
+    discard(keyed)
+
+    far = lambda low, high: F.when(F.col(low)["part"] != F.col("part"), F.col(low)).otherwise(F.col(high))
+    beside = F.when(F.col("side") != RIGHT, far("r0", "r1")).otherwise(far("l0", "l1"))
+    second = placed.join(mixed_keys(placed), "key").where((beside["part"] != F.col("part")) & (F.bit_count(F.col("fp").bitwiseXOR(beside["fp"])) <= most))
+    placed = stored(relabelled(placed, second.select(F.col("part").alias("src"), beside["part"].alias("dst"))), "golay-placed")
+
+    open_ = placed.join(mixed_keys(placed), "key", "left_semi")
+    left = open_.where(F.col("side") != RIGHT).select("key", F.col("fp").alias("x"), F.col("part").alias("src"))
+    right = open_.where(F.col("side") != LEFT).select("key", F.col("fp").alias("y"), F.col("part").alias("dst"))
+    last = left.join(right, "key").where("src != dst").where(differing("x", "y") <= most)
+    return relabelled(placed.select("fp", "part").distinct(), last.select("src", "dst"))
 
 
 def near_duplicates(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
@@ -173,8 +191,7 @@ def near_duplicates(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
         raise ValueError("the keys find differences of 0 to 4 bits")
     prints = stored(fingerprints(docs), "simhash")
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    parts = connected_components(links(nodes, most))
-    placed = nodes.join(parts, nodes["fp"] == parts["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("part"))
+    placed = nodes.join(linked_parts(nodes, most), "fp", "left").select("fp", "least", F.coalesce("part", "fp").alias("part"))
     named = placed.groupBy("part").agg(F.min("least").alias("component_id"))
     groups = placed.join(named, "part").select("fp", "component_id")
     return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
