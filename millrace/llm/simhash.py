@@ -138,10 +138,10 @@ def differing(a: str, b: str) -> F.Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def relabelled(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """rows with their part replaced by that of the component which edges (src, dst between parts) put it in."""
+def labelled(rows: DataFrame, by: str, edges: DataFrame) -> DataFrame:
+    """rows with `part`: the component in which edges (src, dst) put the value of column `by`, or that value itself."""
     found = stored(connected_components(edges), "golay-parts")
-    return rows.join(found, rows["part"] == found["node"], "left").withColumn("part", F.coalesce("component", "part")).drop("node", "component")
+    return rows.join(found, rows[by] == found["node"], "left").withColumn("part", F.coalesce("component", by)).drop("node", "component")
 
 
 def mixed_keys(placed: DataFrame) -> DataFrame:
@@ -166,19 +166,19 @@ def linked_parts(nodes: DataFrame, most: int) -> DataFrame:
     discard(every)
     pairs = F.array(F.when(F.col("side") != LEFT, F.col("head")), F.when(F.col("side") == LEFT, F.col("other")))
     star = keyed.select("fp", F.explode(pairs).alias("dst")).where("dst is not null and fp != dst").where(differing("fp", "dst") <= most)
-    placed = stored(relabelled(keyed.select("key", "side", "fp", F.col("fp").alias("part")), star.select(F.col("fp").alias("src"), "dst")), "golay-placed")
+    placed = stored(labelled(keyed.select("key", "side", "fp"), "fp", star.select(F.col("fp").alias("src"), "dst")), "golay-placed")
     discard(keyed)
 
     far = lambda low, high: F.when(F.col(low)["part"] != F.col("part"), F.col(low)).otherwise(F.col(high))
     beside = F.when(F.col("side") != RIGHT, far("r0", "r1")).otherwise(far("l0", "l1"))
     second = placed.join(mixed_keys(placed), "key").where((beside["part"] != F.col("part")) & (F.bit_count(F.col("fp").bitwiseXOR(beside["fp"])) <= most))
-    placed = stored(relabelled(placed, second.select(F.col("part").alias("src"), beside["part"].alias("dst"))), "golay-placed")
+    placed = stored(labelled(placed, "part", second.select(F.col("part").alias("src"), beside["part"].alias("dst"))), "golay-placed")
 
     open_ = placed.join(mixed_keys(placed), "key", "left_semi")
     left = open_.where(F.col("side") != RIGHT).select("key", F.col("fp").alias("x"), F.col("part").alias("src"))
     right = open_.where(F.col("side") != LEFT).select("key", F.col("fp").alias("y"), F.col("part").alias("dst"))
     last = left.join(right, "key").where("src != dst").where(differing("x", "y") <= most)
-    return relabelled(placed.select("fp", "part").distinct(), last.select("src", "dst"))
+    return labelled(placed.select("fp", "part").distinct(), "part", last.select("src", "dst"))
 
 
 def near_duplicates(docs: DataFrame, most: int = MOST_BITS) -> DataFrame:
