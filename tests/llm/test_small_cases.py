@@ -31,6 +31,7 @@ def test_line_dedup(spark):
     assert len(got) == 7  # rows that repeat doc_id and text are one document
     assert (got[2].n_lines, got[3].n_lines, got[1].n_lines) == (0, 0, 1)
     assert (got[5].n_exact, got[6].n_near, got[6].dropped) == (1, 1, [2])
+    assert [c.head_doc for c in got[1].classes] == [c.head_doc for c in got[5].classes] == [1] and (got[1].n_links, got[6].n_links) == (0, 2)
     assert linededup.report(docs(spark, [])).count() == 0
     lines = linededup.dedup_lines(docs(spark, ROWS))
     kept = by_id(linededup.kept_texts(docs(spark, ROWS), lines))
@@ -52,7 +53,7 @@ def test_line_join_finds_every_pair(spark, edits):
     dice = random.Random(edits)
     lines = set()
     for _ in range(25):
-        base = [dice.choice("abé ") for _ in range(dice.randint(12, 36))]
+        base = [dice.choice("abé ") for _ in range(dice.randint(4, 36))]
         for _ in range(6):
             own = list(base)
             for _ in range(dice.randint(0, 4)):
@@ -60,14 +61,69 @@ def test_line_join_finds_every_pair(spark, edits):
                 own[at : at + dice.randint(0, 1)] = [dice.choice("abcé")] * dice.randint(0, 1)
             lines.add("".join(own).strip())
     lines = sorted(lines - {""})
-    ids = {r.line: r.id for r in spark.createDataFrame([(x,) for x in lines], "line string").selectExpr("line", "xxhash64(line) id").collect()}
+    ids = {r.line: bytes(r.id) for r in spark.createDataFrame([(x,) for x in lines], "line string").selectExpr("line", "unhex(md5(line)) id").collect()}
     want = {}
     for i, x in enumerate(lines):
         for y in lines[i + 1 :]:
-            if min(len(x), len(y)) >= 12 and (d := edit_distance(x, y)) <= edits:
+            if (d := edit_distance(x, y)) <= min(edits, min(len(x), len(y)) // 6):
                 want[tuple(sorted((ids[x], ids[y])))] = d
     frame = docs(spark, [(i, "\n".join(lines[i : i + 3])) for i in range(len(lines))])
-    assert {(r.a, r.b): r.distance for r in linededup.near_lines(frame, edits).collect()} == want
+    assert {(bytes(r.a), bytes(r.b)): r.distance for r in linededup.near_lines(frame, edits).collect()} == want
+
+
+def plain_report(rows):
+    """What linededup.report() returns for rows (doc_id, text) without null ids, computed plainly: doc_id, n_lines, n_exact, n_near, dropped, head_docs, n_links."""
+    own = {i: [x.strip(" ") for x in (t or "").split("\n") if x.strip(" ")] for i, t in rows}
+    first, name = {}, {}
+    for i in sorted(own):
+        for place, x in enumerate(own[i]):
+            first.setdefault(x, (i, place))
+    name = {x: x for x in first}
+    moved = True
+    near = [(x, y) for x in first for y in first if x < y and edit_distance(x, y) <= min(2, min(len(x), len(y)) // 6)]
+    while moved:
+        moved = False
+        for x, y in near:
+            low = min(name[x], name[y])
+            moved |= name[x] != name[y]
+            name[x] = name[y] = low
+    members = {c: [x for x in name if name[x] == c] for c in name.values()}
+    head = {c: min(first[x] for x in xs) for c, xs in members.items()}
+    times = {c: sum(own[i].count(x) for i in own for x in xs) for c, xs in members.items()}
+    out = []
+    for i, lines in own.items():
+        gone = [(p, x) for p, x in enumerate(lines) if head[name[x]] != (i, p)]
+        exact = [p for p, x in gone if first[x] != (i, p)]
+        shared = {name[x] for x in lines if times[name[x]] > 1}
+        out.append((i, len(lines), len(exact), len(gone) - len(exact), [p for p, _ in gone], sorted(head[c][0] for c in shared), sum(len(members[name[x]]) - 1 for x in lines)))
+    return sorted(out)
+
+
+def test_line_report_by_brute_force(spark):
+    dice = random.Random(7)
+    bases = ["".join(dice.choice("abcdefg ") for _ in range(dice.randint(2, 40))) for _ in range(12)]
+    lines = []
+    for base in bases:
+        for _ in range(6):
+            own = list(base)
+            for _ in range(dice.randint(0, 3)):
+                own[dice.randrange(len(own))] = dice.choice("abcx")
+            lines.append("".join(own))
+    rows = [(i, "\n".join(dice.choice(lines) for _ in range(dice.randint(0, 6)))) for i in range(60)]
+    got = linededup.report(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.n_lines, r.n_exact, r.n_near, r.dropped, sorted(c.head_doc for c in r.classes), r.n_links) for r in got) == plain_report(rows)
+
+
+def test_line_crowd_makes_few_links(spark):
+    """600 lines, each two letters from any other at most: far fewer links than pairs, and one class."""
+    base = "the quick brown fox jumps over the lazy dog again and again until night"
+    crowd = [base[: i % 60] + chr(97 + i // 60) + base[i % 60 + 1 :] for i in range(600)]
+    frame = docs(spark, list(enumerate(crowd)))
+    found = linededup.Meetings(frame, 2, 6)
+    first = found.links(found.first_pairs())
+    placed = found.placed(linededup.connected_components(first.selectExpr("a src", "b dst")))
+    assert first.count() + found.next_pairs(placed).count() + found.all_pairs(placed).count() < 2000 + 600
+    assert len({r.component for r in linededup.near_classes(frame).collect()}) == 1
 
 
 def test_token_store(spark):
