@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one made here where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or on one machine (as in tests) one made here where it is unset."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     already = spark.sparkContext._jsc.sc().getCheckpointDir()
     if already.isDefined():
         return already.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -42,6 +45,12 @@ def discard(table: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hidden(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but the used ones renamed, so that no name clashes with those an operator makes; and what restores names, order and columns."""
+    names = {c: c if c in used else f"kept_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), lambda df: df.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
 def crc32_mod(column: str, divisor: int) -> F.Column:
     """crc32 of the column's text form modulo divisor; null counts as the text 'null'."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("null")).cast("binary")) % divisor
@@ -54,9 +63,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Returns node, component; nodes without an edge aren't listed. Alternates large-star
     and small-star steps, whose groups are reduced by partial minima and joined back by
     key, so a node of any degree is never gathered in one place. Each round is
-    checkpointed; rounds grow with the logarithm of the largest component.
+    stored in the shared folder; rounds grow with the logarithm of the largest component.
     """
-    shared_dir(edges.sparkSession)
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         if large:
@@ -72,11 +80,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     def mark(pairs: DataFrame) -> tuple:
         return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.bit_xor(F.xxhash64("v", "u"))).first())
 
-    pairs = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u != v").distinct().checkpoint()
+    pairs = stored(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u != v").distinct(), "components")
     before = mark(pairs)
     while before[0]:
-        pairs = star(star(pairs, True), False).checkpoint()
-        now = mark(pairs)
+        new = stored(star(star(pairs, True), False), "components")
+        discard(pairs)
+        pairs, now = new, mark(new)
         if now == before:
             break
         before = now

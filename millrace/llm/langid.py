@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.bytewords import slices, text_bytes
-from millrace.llm.common import crc32_mod
+from millrace.llm.common import crc32_mod, hidden
 
 UNKNOWN = "und"
 LOW, LETTERS = "langid_low", "langid_letters"
@@ -178,11 +178,12 @@ def bounds(docs: DataFrame, model: Model, most_rows: int = 2000, lost: float = 0
 
 
 def accepted(docs: DataFrame, **how: float) -> DataFrame:
-    """The rows of docs that have a letter and are like the learnt texts of a language by either of bounds(); columns as they were.
+    """The rows of docs that have a letter and are like the learnt texts of a language by either of bounds(); columns as they were, whatever their names.
 
     Texts of a few letters can't be told from junk with certainty: some junk of one or two words stays.
     """
     model = learnt(docs, **how)
     usual, seen = bounds(docs, model)
-    named = predict(docs, model, docs.columns, like=True)
-    return named.where((F.col("lang_pred") != UNKNOWN) & ((F.col(USUAL) >= usual) | (F.col(SEEN) >= seen))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    plain, restored = hidden(docs, "text")
+    named = predict(plain, model, plain.columns, like=True)
+    return restored(named.where((F.col("lang_pred") != UNKNOWN) & ((F.col(USUAL) >= usual) | (F.col(SEEN) >= seen))))

@@ -10,11 +10,12 @@ than its tasks. Tokens are words (runs of letters and digits).
 Domains follow from labels: `low` (quality 0), else `toxic` (toxic 1), else `clean`; rows in which either is null aren't
 learnt from. Without labels all posteriors are even. A text without words has no tokens: its rate is kept
 but changes no total. Null text is empty. Repeated rows each get a rate and each count. An empty table gives no
-rows. Other columns of docs are passed through, whatever their names.
+rows. Other columns of docs are passed through; mix() replaces those that have the names of its own results.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
+from millrace.llm.common import hidden, stored
 from millrace.llm.features import Adam, Rows, batches_of, dimensions, labelled_sample, over_blocks
 
 DOMAINS = ("low", "toxic", "clean")
@@ -118,14 +119,22 @@ def fit_rates(placed: DataFrame, targets: dict[str, float], budget: float, most_
             return np.concatenate([(p * (n * x)[:, None]).sum(axis=0) for x in (rate, ahead)])
 
         got = total(expected, 2 * k) / tokens
-        if np.abs(got[:k] - wanted).max() <= close * budget:
+        missing = np.abs(got[:k] - wanted).max()
+        if missing <= close * budget:
             break
         slopes = np.vstack([slopes, (got[k:] - wanted) / scale])
+    else:
+        warnings.warn(f"after {most_steps} steps a domain's share of the tokens is {missing:.4f} off its target", stacklevel=3)
     return slopes, float(step)
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, budget: float = 1.0, most_rows: int = 6000, words: int = 1 << 14, most_steps: int = 60, close: float = 1e-3) -> DataFrame:
-    """docs with posterior, tokens, rate, and copies: the rate rounded up or down by a hash of doc_id and text, so that copies average to it."""
+    """docs with posterior, tokens, rate, and copies: the rate rounded up or down by a hash of doc_id and text, so that copies average to it.
+
+    The fit ends when every domain's share is within `close` of its target, or after most_steps: a target that no nonnegative rates reach leaves the
+    least squares of what is missing, and a warning says how much.
+    """
+    docs = docs.drop(POSTERIOR, TOKENS, RATE, COPIES)
     placed = stored(with_posteriors(docs, labels, most_rows, words), "mixing")
     slopes, step = fit_rates(placed, targets, budget, most_steps, close)
 
@@ -140,5 +149,12 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
 
 
 def apply_mix(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Each row as often as its copies say, with the given columns."""
-    return mixed.where(f"{COPIES} > 0").select(*(F.col(f"`{c}`") for c in columns), F.explode(F.sequence(F.lit(1), F.col(COPIES))).alias("mix_copy")).drop("mix_copy")
+    """Each row as often as its copies say, with the given columns, whatever their names."""
+    rows = mixed.where(f"{COPIES} > 0").select(F.array_repeat(F.struct(*(F.col(f"`{c}`") for c in columns)), F.col(COPIES)).alias("rows"))
+    return rows.select(F.inline("rows"))
+
+
+def mixed_rows(docs: DataFrame, labels: DataFrame, **how: float) -> DataFrame:
+    """docs with each row as often as its copies say; columns as they were, whatever their names."""
+    plain, restored = hidden(docs, "doc_id", "text")
+    return restored(apply_mix(mix(plain, labels, **how), plain.columns))

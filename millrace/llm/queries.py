@@ -30,7 +30,7 @@ def queries() -> dict[str, Query]:
         "op7_mixing": lambda s, d: mixing.mix(table(s, d, "documents").select("doc_id", "text"), table(s, d, "labels")).drop("text"),
         "op8_chat_rotation": lambda s, d: chat.rotate(table(s, d, "conversations")),
         "op9_quality": lambda s, d: quality.score(table(s, d, "documents"), table(s, d, "labels")),
-        "op10_embedding_dedup": lambda s, d: embeddings.near_copies(table(s, d, "embeddings")),
+        "op10_embedding_dedup": lambda s, d: embeddings.near_copies(table(s, d, "embeddings"), cell_size=512, reach=0.3),
     }
 
 

@@ -1,6 +1,7 @@
 """The corpus pipeline stage by stage, each on what the one before kept."""
 
 import corpus_pipeline
+import pytest
 from millrace.llm import decontaminate, simhash
 from millrace.llm.common import stored
 
@@ -43,3 +44,34 @@ def test_rows_that_share_an_id(spark, tmp_path):
     spark.createDataFrame(leaks, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     clean = corpus_pipeline.decontamination(spark, near, str(tmp_path))
     assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted([want[0], want[1], want[3], want[4]], key=str)
+
+
+CLASHING = ("score", "lang_pred", "mix_rate", "mix_tokens", "mix_copy", "kept_0", "text_key", "bad_key", "component_id", "fp", "a b", "least")
+
+
+@pytest.mark.parametrize("n", [0, 60])
+def test_odd_rows_and_names(spark, small, n):
+    """Null ids and texts, empty tables and columns with the operators' own names pass every stage; what is kept keeps its columns."""
+    base = spark.read.parquet(f"{small}/documents.parquet").limit(n)
+    odd = spark.createDataFrame([(None, None, "en", "s", 0), (7, "", None, None, None), (None, " .. 12", "en", "s", 6)], base.schema).limit(n)
+    docs = base.union(odd)
+    docs = docs.select("*", *(docs["doc_id"].cast("string").alias(c) for c in CLASHING))
+    texts = {(r.doc_id, r.text) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, small), "test-stage")
+        rows = docs.collect()
+        assert docs.columns == [*base.columns, *CLASHING] and {(r.doc_id, r.text) for r in rows} <= texts
+        assert all(r[c] == (None if r.doc_id is None else str(r.doc_id)) for r in rows for c in CLASHING)
+        if name != "mixing":
+            assert bool(rows) == bool(n)
+        if name == "language id":
+            assert not [r for r in rows if not r.text or r.text == " .. 12"]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, small).count() == docs.count()
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.near_dedup, corpus_pipeline.decontamination])
+def test_rows_without_text_pass(spark, small, stage):
+    schema = spark.read.parquet(f"{small}/documents.parquet").schema
+    docs = spark.createDataFrame([(None, None, "en", "s", 0), (7, "", None, None, None), (8, "one text of its own", "en", "s", 6)], schema)
+    got = {(r.doc_id, r.text) for r in stage(spark, docs, small).collect()}
+    assert got == ({(7, ""), (8, "one text of its own")} if stage is corpus_pipeline.near_dedup else {(r.doc_id, r.text) for r in docs.collect()})
