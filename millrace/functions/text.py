@@ -36,14 +36,40 @@ def feed_text(c: Column | str) -> Column:
 KEPT_TAGS = ("p", "br", "strong", "em", "a", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "span", "div")
 
 
+#: A whole tag, whose quoted values may hold angle brackets.
+TAG = r"""<(?:[^<>"']++|"[^"]*+"|'[^']*+')*+>"""
+
+
+def link_attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute of a whole link tag, without its quotes; null if the tag hasn't got it."""
+    value = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    raw = F.regexp_extract(tag, rf"""(?is)^<a(?:\s+[^\s=>"'/]+(?:\s*=\s*{value.replace("(", "(?:", 1)})?)*?\s+{name}\s*=\s*{value}""", 1)
+    return F.nullif(F.regexp_replace(raw, """^["']|["']$""", ""), F.lit(""))
+
+
+def safe_target(href: Column) -> Column:
+    """http, https, mailto and relative addresses; an entity or blank can't hide another scheme."""
+    bare = F.lower(F.regexp_replace(href, r"[\x00-\x20]", ""))
+    return bare.rlike("^(?:https?:|mailto:)") | bare.rlike("^[^:&]*(?:[/?#]|$)")
+
+
+def clean_piece(piece: Column) -> Column:
+    """A piece of markup: text stays, a kept tag is built anew from its name and kept attributes, other tags go, and a bracket that opens no tag is escaped."""
+    name = F.lower(F.regexp_extract(piece, r"^</?([A-Za-z][A-Za-z0-9]*)(?=[\s/>])", 1))
+    is_tag = piece.rlike(r"(?s)^<[A-Za-z/!?].*>$")
+    href, title = link_attribute(piece, "href"), link_attribute(piece, "title")
+    written = lambda n, v: F.coalesce(F.concat(F.lit(f' {n}="'), F.replace(v, F.lit('"'), F.lit("&quot;")), F.lit('"')), F.lit(""))
+    own = F.when(name == "a", F.concat(written("href", F.when(safe_target(href), href)), written("title", title))).otherwise("")
+    opened = F.concat(F.lit("<"), name, own, F.when(piece.endswith("/>"), "/").otherwise(""), F.lit(">"))
+    kept = F.when(piece.startswith("</"), F.concat(F.lit("</"), name, F.lit(">"))).otherwise(opened)
+    return F.when(~piece.startswith("<"), piece).when(~is_tag, F.concat(F.lit("&lt;"), F.substring(piece, 2, 1 << 30))).when(name.isin(*KEPT_TAGS), kept).otherwise("")
+
+
 def sanitized(c: Column | str) -> Column:
-    """FN-15: scripts and styles go with their content; tags off the list go, their text stays; attributes go but for a link's href and title."""
-    c = F.regexp_replace(column(c), r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", "")
-    c = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
-    names = "|".join(KEPT_TAGS)
-    c = F.regexp_replace(c, rf"(?i)<(?!/?(?:{names})\b)[^>]*>", "")
-    c = F.regexp_replace(c, rf"(?i)<(?!a\b)({names})\b[^>]*?(/?)>", "<$1$2>")
-    return F.regexp_replace(c, r"""(?i)(?<=<a\b[^<>]{0,4000})\s+(?!(?:href|title)\s*=)[a-z:_-]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+))?""", "")
+    """FN-15: scripts and styles go with their content, closed or not; tags off the list go, their text stays; attributes go but for a link's href and title."""
+    c = F.regexp_replace(column(c), r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)", "")
+    c = F.regexp_replace(c, r"(?s)<!--.*?(?:-->|\z)", "")
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(rf"(?s){TAG}|<|[^<]+"), F.lit(0)), clean_piece), "")
 
 
 def founding_year(c: Column | str) -> Column:
@@ -61,13 +87,14 @@ def safe_name(c: Column | str) -> Column:
     return F.regexp_replace(column(c), r"[^a-zA-Z0-9.\-]", "_")
 
 
+# What counts as an address and as a phone number.
 EMAIL = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 PHONE = r"(?:\+\d{1,3}[-.\s]?\(?\d{1,4}\)?[-.\s]?\d{1,4}[-.\s]?\d{1,9})|(?:\(?\d{3}\)?[-.\s]\d{3}[-.\s]\d{4})"
 
 
 def emails(c: Column | str) -> Column:
     """FN-19: distinct lower-case addresses in order, without names of assets."""
-    found = F.regexp_extract_all(column(c), F.lit(EMAIL), F.lit(0))
+    found = F.when(F.contains(column(c), F.lit("@")), F.regexp_extract_all(column(c), F.lit(EMAIL), F.lit(0))).otherwise(F.array())
     return F.array_sort(F.array_distinct(F.transform(F.filter(found, lambda m: ~m.rlike(r"\.(png|jpg|gif|css|js)$")), F.lower)))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.presence import column
+from millrace.functions.presence import column, strip
 
 URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
@@ -120,3 +120,11 @@ def next_page(c: Column | str) -> Column:
     """SRC-08: the address of rel="next" in a Link header."""
     parts = F.filter(F.split(column(c), ","), lambda x: F.contains(x, F.lit('rel="next"')))
     return F.nullif(F.regexp_extract(F.get(parts, F.lit(0)), "<([^>]*)>", 1), F.lit(""))
+
+
+def shop_domain(c: Column | str, platform: str) -> Column:
+    """FN-25: the bare domain of a shop, null where it isn't one that the platform allows."""
+    name = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(strip(column(c))), "^https://", ""), "^http://", ""), "/+$", "")
+    label = "[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
+    allowed = r"^[a-z0-9][a-z0-9-]*\.myshopify\.com$" if platform == "shopify" else rf"^{label}(?:\.{label})*\.[a-z]{{2,}}$"
+    return F.when(name.rlike(allowed), name)

@@ -70,3 +70,30 @@ def stale_failed(jobs: DataFrame, status: str, updated: str, as_of: Column, minu
 def erase(tables: dict[str, tuple[DataFrame, Column]]) -> dict[str, DataFrame]:
     """JOIN-22: what is left of each table when the rows of its condition go (unknown stays)."""
     return {name: df.where(~F.coalesce(which, F.lit(False))) for name, (df, which) in tables.items()}
+
+
+def with_role(members: DataFrame, roles: DataFrame, name: str) -> DataFrame:
+    """JOIN-04: members with the id of the role of that name; a name that no role has gives no rows."""
+    return members.withColumn("name", F.lit(name)).join(roles.select("name", "role_id"), "name").drop("name")
+
+
+#: Columns that no listing may show.
+SECRETS = ("access_token", "refresh_token", "key_hash", "token_hash", "password_hash", "client_secret")
+
+
+def listing(df: DataFrame) -> DataFrame:
+    """PRJ-21: a table without its secrets."""
+    return df.drop(*SECRETS)
+
+
+def connection_for(shops: DataFrame, connections: DataFrame, platform: str) -> DataFrame:
+    """JOIN-21: for each shop (shop, domain) the connection of its own domain, else of its store hash, else of any platform's row for the domain.
+
+    connections: platform, domain, seq. Of rows with one key the last by seq counts, so shops are never multiplied."""
+    own = connections.where(F.col("platform") == platform)
+    last = lambda df, key, name: df.groupBy(F.col("domain").alias(key)).agg(F.max(F.struct("seq", "platform", "domain")).alias(name))
+    hashed = F.nullif(F.regexp_extract("domain", r"^store-([a-z0-9]+)\.mybigcommerce\.com$", 1), F.lit(""))
+    out = shops.withColumn("_hash", hashed)
+    out = out.join(last(own, "_k0", "_own"), out["domain"] == F.col("_k0"), "left").join(last(own, "_k1", "_hashed"), F.col("_hash") == F.col("_k1"), "left").join(last(connections, "_k2", "_any"), out["domain"] == F.col("_k2"), "left")
+    found = F.coalesce("_own", "_hashed", "_any")
+    return out.select(*shops.columns, found["platform"].alias("connected_platform"), found["seq"].alias("connection_seq"))

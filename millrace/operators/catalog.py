@@ -27,15 +27,19 @@ def richest_by_key(df: DataFrame, keys: list[str], fields: list[str], order: str
     return df.groupBy(*keys).agg(best).select("best.row.*")
 
 
-def upsert(target: DataFrame, staged: DataFrame, key: str, keep: list[str] = (), stamp: dict[str, Column] | None = None) -> DataFrame:
-    """SNK-01 to SNK-04: rows of staged replace those of target with their key; columns in keep stay as they were. stamp: values set where a row is replaced."""
-    t, s = target.alias("t"), staged.alias("s")
-    there = F.col(f"t.{key}").isNotNull()
+def upsert(target: DataFrame, staged: DataFrame, key: str, keep: list[str] = (), stamp: dict[str, Column] | None = None, order: list[str] = ()) -> DataFrame:
+    """SNK-01 to SNK-04: rows of staged replace those of target with their key; columns in keep stay as they were. stamp: values set where a row is replaced.
+
+    Of staged rows with one key the last in order counts (all columns, if no order is given); rows without a key are added."""
+    named = staged.where(F.col(key).isNotNull())
+    staged = last_by_key(named, [key], list(order) or [c for c in staged.columns if c != key]).unionByName(staged.where(F.col(key).isNull()))
+    t, s = target.withColumn("_there", F.lit(True)).alias("t"), staged.withColumn("_here", F.lit(True)).alias("s")
+    there, here = F.col("_there").isNotNull(), F.col("_here").isNotNull()
     columns = []
     for c in target.columns:
-        value = F.when(F.col(f"s.{key}").isNull() | (there if c in keep else F.lit(False)), F.col(f"t.{c}")).otherwise(F.col(f"s.{c}"))
+        value = F.when(~here | (there if c in keep else F.lit(False)), F.col(f"t.{c}")).otherwise(F.col(f"s.{c}"))
         if stamp and c in stamp:
-            value = F.when(F.col(f"s.{key}").isNotNull() & there, stamp[c]).otherwise(value)
+            value = F.when(here & there, stamp[c]).otherwise(value)
         columns.append(value.alias(c))
     return t.join(s, F.col(f"t.{key}") == F.col(f"s.{key}"), "full_outer").select(*columns)
 
@@ -141,3 +145,21 @@ def recent(products: DataFrame, order: str, most: int = 5) -> DataFrame:
     """PRJ-19, SORT-07: the last few products with what stands for their title, price and image."""
     some = lambda *names: F.coalesce(*(F.when(filled(c), F.col(c).cast("string")) for c in names if c in products.columns))
     return products.orderBy(F.desc(order)).limit(most).select(some("title", "sku", "external_id").alias("title"), some("price").alias("price"), some("image_url").alias("image"))
+
+
+def affected(target: DataFrame, staged: DataFrame, key: str) -> DataFrame:
+    """AGG-23: rows that an upsert adds and replaces; repeated keys count once."""
+    keys, known = staged.where(F.col(key).isNotNull()).select(key).distinct(), target.select(F.col(key).alias("_key")).distinct().withColumn("_there", F.lit(True))
+    joined = keys.join(known, keys[key] == known["_key"], "left")
+    return joined.agg(F.count("*").alias("affected"), F.count_if("_there").alias("replaced"))
+
+
+def with_columns_added(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """MUT-08: columns (name to type) that the table lacks are added as nulls; those it has stay as they are."""
+    return df.select("*", *(F.lit(None).cast(kind).alias(name) for name, kind in columns.items() if name not in df.columns))
+
+
+def needs_gtins(products: DataFrame, gtin: str, platform: str, *by: str) -> DataFrame:
+    """AGG-15: whether identifiers must be fetched for a shop: always for woocommerce, else where under a tenth of the products have one."""
+    share = F.count_if(filled(gtin)) / F.count("*")
+    return products.groupBy(*by, platform).agg(((F.col(platform) == "woocommerce") | (share < 0.1)).alias("supplement"))

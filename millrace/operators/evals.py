@@ -19,6 +19,25 @@ def similar(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
+class Candidate:
+    """A title that many are compared with: its index is made once, and cheap upper bounds go first."""
+
+    def __init__(self, title: str) -> None:
+        self.title = (title or "").strip().lower()
+        self.matcher = SequenceMatcher(None, "", self.title)
+
+    def similarity(self, other: str, least: float) -> float:
+        """similar(other, title), or something lower than `least` where that is lower."""
+        other = (other or "").strip().lower()
+        if not other or not self.title or other in self.title or self.title in other:
+            return similar(other, self.title)
+        self.matcher.set_seq1(other)
+        for bound in (self.matcher.real_quick_ratio, self.matcher.quick_ratio):
+            if bound() < least:
+                return 0.0
+        return self.matcher.ratio()
+
+
 def greedy_match(expected: DataFrame, extracted: DataFrame, group: str, least: float = 0.5) -> DataFrame:
     """JOIN-15: each expected title in its order takes the best extracted one that is left, if it is similar enough.
 
@@ -27,11 +46,12 @@ def greedy_match(expected: DataFrame, extracted: DataFrame, group: str, least: f
     """
 
     def match(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        free, out = dict(zip(right.sort_values("pos")["pos"], right.sort_values("pos")["title"], strict=True)), []
+        right = right.sort_values("pos")
+        free, out = {p: Candidate(t) for p, t in zip(right["pos"], right["title"], strict=True)}, []
         for pos, title in left.sort_values("pos")[["pos", "title"]].itertuples(index=False):
             best, at = 0.0, None
             for other, candidate in free.items():
-                if (s := similar(title, candidate)) >= least and s > best:
+                if (s := candidate.similarity(title, max(best, least))) >= least and s > best:
                     best, at = s, other
             if at is not None:
                 del free[at]

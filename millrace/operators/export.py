@@ -44,3 +44,29 @@ def readiness(df: DataFrame, *by: str) -> DataFrame:
     gaps = {"brand": ~truthy("vendor"), "gtin": ~truthy("gtin"), "id": ~(truthy("sku") | truthy("external_id"))}
     none = ~gaps["brand"] & ~gaps["gtin"] & ~gaps["id"]
     return df.groupBy(*by).agg(F.count("*").alias("total"), *(F.count_if(g).alias(f"missing_{n}") for n, g in gaps.items()), F.count_if(none).alias("ready"))
+
+
+def as_json(reports: DataFrame, *keys: str) -> DataFrame:
+    """SNK-09: each report as one JSON document beside its keys."""
+    return reports.select(*keys, F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def save_run(reports: DataFrame, path: str) -> None:
+    """SNK-10: a run is added to the history, as JSON lines."""
+    reports.write.mode("append").json(path)
+
+
+def save_baseline(reports: DataFrame, path: str) -> None:
+    """SNK-10: the baseline is replaced."""
+    reports.write.mode("overwrite").json(path)
+
+
+def dead_letters(letters: DataFrame, failures: DataFrame, url: str, error: str, at: Column, keep_days: int = 30) -> DataFrame:
+    """SNK-14, SRC-22: the queue of failed jobs after new ones: each under a key of its own, those past their time gone."""
+    new = failures.select(F.uuid().alias("entry"), F.col(url).alias("url"), F.col(error).alias("error"), at.alias("failed_at"))
+    return letters.unionByName(new).where(F.col("failed_at") > at - F.make_dt_interval(F.lit(keep_days)))
+
+
+def retried(letters: DataFrame, entries: DataFrame) -> DataFrame:
+    """SNK-14: the queue without the entries that are tried again."""
+    return letters.join(entries.select("entry").distinct(), "entry", "left_anti")

@@ -74,7 +74,7 @@ def opengraph(html: Column | str) -> Column:
 def json_ld(pages: DataFrame, html: str, *keep: str) -> DataFrame:
     """EXT-01: a row for each JSON-LD node of a page with its place: objects, lists, members of @graph and main entities of pages. Broken JSON is skipped."""
     bodies = F.regexp_extract_all(F.col(html), F.lit(r"""(?is)<script[^>]*type=["']?application/ld\+json["']?[^>]*>(.*?)</script>"""), F.lit(1))
-    parsed = pages.select(*keep, F.posexplode(bodies).alias("script", "body")).withColumn("node", F.expr("try_parse_json(body)")).where("node is not null")
+    parsed = pages.select(*keep, F.posexplode(bodies).alias("script", "body")).where(F.col("body").rlike(r"[}\]]\s*$")).withColumn("node", F.expr("try_parse_json(body)")).where("node is not null")
     whole = "coalesce(try_variant_get(node, '$', 'array<variant>'), array(node))"
     top = parsed.select(*keep, "script", F.posexplode(F.expr(whole)).alias("place", "node"))
     inner = "array_compact(concat(array(node), coalesce(try_variant_get(node, '$[\\'@graph\\']', 'array<variant>'), array()), array(try_variant_get(node, '$.mainEntity', 'variant'), try_variant_get(node, '$.mainEntityOfPage', 'variant'))))"
@@ -93,11 +93,47 @@ def products(pages: DataFrame, html: str, *keep: str) -> DataFrame:
     return found.withColumn("offers", F.expr(own))
 
 
-def product_identifiers(nodes: DataFrame, key: str) -> DataFrame:
-    """EXT-06: gtin and mpn of the first node of each page that has either."""
+def product_identifiers(nodes: DataFrame, *keep: str) -> DataFrame:
+    """EXT-06: gtin and mpn of each product node."""
     get = lambda p: F.nullif(F.try_variant_get("node", f"$.{p}", "string"), F.lit(""))
-    rows = nodes.select(key, F.struct("script", "place", "inner").alias("at"), text.valid_gtin(F.coalesce(*map(get, ("gtin13", "gtin14", "gtin12", "gtin8", "gtin")))).alias("gtin"), get("mpn").alias("mpn"))
-    return rows.where("gtin is not null or mpn is not null").groupBy(key).agg(F.min(F.struct("at", "gtin", "mpn")).alias("x")).select(key, "x.gtin", "x.mpn")
+    return nodes.select(*keep, "script", "place", "inner", text.valid_gtin(F.coalesce(*map(get, ("gtin13", "gtin14", "gtin12", "gtin8", "gtin")))).alias("gtin"), get("mpn").alias("mpn"))
+
+
+#: Keys of a JSON-LD product that may hold personal data.
+PERSONAL = ("review", "reviews", "author", "aggregateRating", "creator", "contributor", "editor", "publisher", "reviewedBy", "commentCount", "comment", "interactionStatistic")
+
+
+def without_personal(node: Column | str) -> Column:
+    """FLT-22: an object of VARIANT without the keys that may hold personal data."""
+    return F.parse_json(F.to_json(F.map_filter(F.try_variant_get(node, "$", "map<string,variant>"), lambda k, v: ~k.isin(*PERSONAL))))
+
+
+def open_graph_of(metadata: Column | str) -> Column:
+    """EXT-04: the filled og: entries of a map of metadata."""
+    return F.map_filter(column(metadata), lambda k, v: k.startswith("og:") & F.coalesce(v != "", F.lit(False)))
+
+
+def usable(price: Column) -> Column:
+    return truthy(strip(price)) & (strip(price) != "0")
+
+
+def product_signal(og: Column | str, price: Column) -> Column:
+    """FLT-15: whether a page without JSON-LD is of a product: its type says so, or there is a price."""
+    tags = column(og)
+    told = F.contains(F.lower(F.coalesce(tags["og:type"], F.lit(""))), F.lit("product"))
+    return F.coalesce(told | usable(tags["og:price:amount"]) | usable(tags["product:price:amount"]) | truthy(price), F.lit(False))
+
+
+def all_priced_and_shown(products: DataFrame, price: str, image: str, *by: str) -> DataFrame:
+    """FLT-16: for each page whether all its products have a price and an image."""
+    return products.groupBy(*by).agg(F.bool_and(F.coalesce(usable(F.col(price)), F.lit(False)) & truthy(image)).alias("complete"))
+
+
+def best_image(images: Column | str) -> Column:
+    """SORT-09: src of the image of the highest score, of equals the first; images (array of struct src, score) without src don't count, a low score does."""
+    shown = F.filter(column(images), lambda i: truthy(i["src"]))
+    top = F.array_max(F.transform(shown, lambda i, at: F.struct(F.coalesce(i["score"], F.lit(0.0)).alias("score"), (-at).alias("at"), i["src"].alias("src"))))
+    return top["src"]
 
 
 def layered(layers: DataFrame, key: str, rank: str, *fields: str) -> DataFrame:
@@ -217,6 +253,8 @@ def keyword_score(url: Column | str, words: tuple[str, ...] = ("product", "shop"
     return F.round(sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)) / len(words), 4)
 
 
-def services(requests: DataFrame, hosts: DataFrame, key: str, url: str) -> DataFrame:
-    """JOIN-20: services (pattern, provider, category) whose pattern a requested host holds; the list of patterns is a configured table of a few dozen rows, so it is sent along."""
+def services(requests: DataFrame, hosts: DataFrame, key: str, url: str, most: int = 10_000) -> DataFrame:
+    """JOIN-20: services (pattern, provider, category) whose pattern a requested host holds. The patterns are a configured table that is sent along; over `most` rows are refused."""
+    if (n := hosts.limit(most + 1).count()) > most:
+        raise ValueError(f"{n} patterns or more; at most {most} are sent to all tasks")
     return requests.join(F.broadcast(hosts), F.contains(urls.host(url), F.col("pattern"))).select(key, "provider", "category").dropDuplicates([key, "provider"])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WEIGHTS = {"price": 0.15, "image": 0.15, "description": 0.15, "sku": 0.15}
@@ -41,16 +43,27 @@ def verdict(count: Column, score: Column, least: float = 0.3) -> Column:
     return F.when(count == 0, "zero_products").when(score < least, "low_quality").otherwise("passed")
 
 
+def first_urls(df: DataFrame, where: Column, url: str, by: tuple[str, ...], most: int, name: str) -> DataFrame:
+    """The first distinct urls of each group in order; ranks cut them down before they are gathered."""
+    distinct = df.where(where).where(F.col(url).isNotNull()).select(*by, url).distinct()
+    ranked = distinct.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(url))).where(F.col("_rank") <= most)
+    return ranked.groupBy(*(F.col(c).alias(f"_{c}") for c in by)).agg(F.array_sort(F.collect_list(url)).alias(name))
+
+
 def outcome_audit(df: DataFrame, outcome: str, products: str, url: str, *by: str, most: int = 50) -> DataFrame:
-    """AGG-10: counts of each outcome, products of successes, success rate in percent, and the first failed urls in order."""
+    """AGG-10: counts of each outcome, products of successes, success rate in percent, and the first failed and incomplete urls in order."""
     is_ = lambda x: F.col(outcome) == x
-    return df.groupBy(*by).agg(
+    counts = df.groupBy(*by).agg(
         F.count("*").alias("attempted"),
         *(F.count_if(is_(x)).alias(x) for x in ("success", "error", "empty", "incomplete", "skipped")),
         F.coalesce(F.sum(F.when(is_("success"), F.col(products))), F.lit(0)).alias("products"),
         F.coalesce(F.round(100.0 * F.count_if(is_("success")) / F.count("*"), 2), F.lit(0.0)).alias("success_rate"),
-        F.slice(F.array_sort(F.collect_set(F.when(is_("error"), F.col(url)))), 1, most).alias("failed"),
     )
+    for kind, name in (("error", "failed"), ("incomplete", "incomplete_urls")):
+        some = first_urls(df, is_(kind), url, by, most, name)
+        same = reduce(lambda a, b: a & b, (counts[c].eqNullSafe(some[f"_{c}"]) for c in by))
+        counts = counts.join(some, same, "left").drop(*(f"_{c}" for c in by)).withColumn(name, F.coalesce(name, F.array()))
+    return counts
 
 
 def too_many_errors(attempted: Column, errors: Column) -> Column:
@@ -64,6 +77,11 @@ def reconciliation(df: DataFrame, discovered: Column, attempted: Column, ok: Col
     return df.select("*", pct(ok, discovered).alias("coverage_pct"), pct(ok, attempted).alias("success_pct"), (discovered - ok).alias("gap"))
 
 
+def reextraction_urls(df: DataFrame, url: str, gaps: dict[str, Column]) -> DataFrame:
+    """AGG-11: field and url of the distinct urls that lack a field: the plan's lists, a row for each entry, so that none is gathered."""
+    return df.select(F.explode(missing({n: ~g for n, g in gaps.items()})).alias("field"), url).distinct()
+
+
 def reextraction_plan(df: DataFrame, url: str, gaps: dict[str, Column]) -> DataFrame:
     """AGG-11: for each field the number of distinct urls that lack it, how many rows lack any, and the share that lack none (1.0 of nothing)."""
     any_gap = sum((g.cast("int") for g in gaps.values()), F.lit(0)) > 0

@@ -97,10 +97,12 @@ def _orders(s, d):
 
 
 def upsert_merge(s, d):
-    """SNK-01: orders of even customers are there, every third order arrives; created stays as it was, version is stamped."""
+    """SNK-01: orders of even customers are there, every third order arrives, every ninth twice (the last counts), some without a key; created stays as it was, version is stamped."""
     o = table(s, d, "orders")
     shape = lambda df, v: df.select(F.col("o_orderkey").alias("key"), F.lit(v).alias("status"), F.round(F.col("o_totalprice") * (2 if v == "new" else 1), 2).alias("price"), F.when(F.lit(v == "old"), F.col("o_orderdate")).otherwise(F.expr("timestamp_ntz'2000-01-01'")).alias("created"), F.lit(0).alias("version"))
-    return catalog.upsert(shape(o.where("o_custkey % 2 = 0"), "old"), shape(o.where("o_orderkey % 3 = 0"), "new"), "key", keep=["created"], stamp={"version": F.lit(1)})
+    new = shape(o.where("o_orderkey % 3 = 0"), "new")
+    staged = new.withColumn("seq", F.lit(0)).union(new.where("key % 9 = 0").withColumn("status", F.lit("last")).withColumn("seq", F.lit(1))).union(new.where("key % 30 = 0").withColumn("key", F.lit(None).cast("bigint")).withColumn("seq", F.lit(2)))
+    return catalog.upsert(shape(o.where("o_custkey % 2 = 0"), "old"), staged, "key", keep=["created"], stamp={"version": F.lit(1)}, order=["seq"])
 
 
 def insert_if_absent(s, d):
@@ -153,7 +155,7 @@ def outcome_audit(s, d):
     """AGG-10, AGG-13: events as outcomes of fetches, by day."""
     e = table(s, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "empty").when(F.col("event_type") == "click", "incomplete").otherwise("skipped").alias("outcome"), F.floor("value").cast("bigint").alias("products"), F.col("user_id").cast("string").alias("url"))
     audit = quality.outcome_audit(e, "outcome", "products", "url", "day", most=3)
-    return audit.withColumn("failed", F.array_join("failed", ",")).withColumn("abort", quality.too_many_errors(F.col("attempted"), F.col("error") + F.col("skipped") + F.col("empty")))
+    return audit.withColumn("failed", F.array_join("failed", ",")).withColumn("incomplete_urls", F.array_join("incomplete_urls", ",")).withColumn("abort", quality.too_many_errors(F.col("attempted"), F.col("error") + F.col("skipped") + F.col("empty")))
 
 
 def reconciliation(s, d):
@@ -261,7 +263,7 @@ QUERIES = {
     "dedup_last": (dedup_last, "select user_id, event_id, ts, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r = 1"),
     "dedup_richest": (dedup_richest, f"select key, id, vendor, sku from (select *, row_number() over (partition by key order by (coalesce(vendor, '') <> '')::int + (coalesce(product_type, '') <> '')::int + (coalesce(sku, '') <> '')::int desc, id) as r from (select *, md5(coalesce(vendor, '') || ':' || size) as key from {PRODUCTS})) where r = 1"),
     "idempotency_keys": (idempotency_keys, f"select id, sha256(e || '|generic|' || coalesce(vendor, '') || '|' || coalesce(sku, '') || case when e = '' and coalesce(sku, '') = '' then '|' || title else '' end) as key from (select *, case when size % 2 = 0 then id::varchar else '' end as e from {PRODUCTS})"),
-    "upsert_merge": (upsert_merge, "with t as (select o_orderkey as key, 'old' as status, round(o_totalprice, 2) as price, o_orderdate as created, 0 as version from orders where o_custkey % 2 = 0), s as (select o_orderkey as key, 'new' as status, round(o_totalprice * 2, 2) as price, timestamp '2000-01-01' as created, 0 as version from orders where o_orderkey % 3 = 0) select coalesce(t.key, s.key) as key, coalesce(s.status, t.status) as status, coalesce(s.price, t.price) as price, coalesce(t.created, s.created) as created, case when t.key is not null and s.key is not null then 1 else 0 end as version from t full join s on t.key = s.key"),
+    "upsert_merge": (upsert_merge, "with t as (select o_orderkey as key, 'old' as status, round(o_totalprice, 2) as price, o_orderdate as created, 0 as version from orders where o_custkey % 2 = 0), s as (select o_orderkey as key, case when o_orderkey % 9 = 0 then 'last' else 'new' end as status, round(o_totalprice * 2, 2) as price, timestamp '2000-01-01' as created, 0 as version from orders where o_orderkey % 3 = 0 union all select null, 'new', round(o_totalprice * 2, 2), timestamp '2000-01-01', 0 from orders where o_orderkey % 30 = 0) select coalesce(t.key, s.key) as key, coalesce(s.status, t.status) as status, coalesce(s.price, t.price) as price, coalesce(t.created, s.created) as created, case when t.key is not null and s.key is not null then 1 else 0 end as version from t full join s on t.key = s.key"),
     "insert_if_absent": (insert_if_absent, "select o_orderkey as key, case when o_orderkey % 2 = 0 then o_orderstatus else 'late' end as status from orders where o_orderkey % 2 = 0 or o_orderkey % 3 = 0"),
     "patch_update": (patch_update, "select o_orderkey as key, case when o_orderkey % 10 = 0 then 'patched' else o_orderstatus end as status, o_totalprice as price from orders"),
     "patch_counts": (patch_counts, "select count(*) as total, count(*) filter (where o_orderkey % 7 <> 0 and o_orderkey % 3 <> 0) as matched, count(*) filter (where o_orderkey % 7 <> 0 and o_orderkey % 3 = 0) as not_found, count(*) filter (where o_orderkey % 7 = 0) as invalid from orders"),
@@ -269,7 +271,7 @@ QUERIES = {
     "nested_children": (nested_children, "select o_orderkey as key, coalesce(n, 0)::int as n, coalesce(parts, '') as parts from orders left join (select l_orderkey, count(*) as n, string_agg(l_partkey::varchar, ',' order by l_linenumber, l_partkey) as parts from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey) as r from lineitem) where r <= 3 group by 1) on o_orderkey = l_orderkey"),
     "two_stage_fill": (two_stage_fill, f"select p.id, case when coalesce(trim(p.vendor), '') <> '' then p.vendor else coalesce(a.brand, b.brand, p.vendor) end as vendor from {PRODUCTS} p left join (select 'S' || p_partkey as k, p_brand as brand from part where p_partkey % 2 = 0) a on p.sku = a.k left join (select lower(p_name) as k, max_by(p_brand, p_partkey) as brand from part group by 1) b on lower(trim(p.title)) = b.k"),
     "brand_lookup": (brand_lookup, "select c_custkey, coalesce(n_name, '') as nation from customer left join (select * from nation where n_nationkey % 4 <> 0) on c_nationkey = n_nationkey"),
-    "outcome_audit": (outcome_audit, "select day, attempted, success, error, empty, incomplete, skipped, products, success_rate, failed, attempted > 3 and (error + skipped + empty) / attempted > 0.7 as abort from (select strftime(ts, '%Y-%m-%d') as day, count(*) as attempted, count(*) filter (where event_type = 'purchase') as success, count(*) filter (where event_type = 'error') as error, count(*) filter (where event_type = 'view') as empty, count(*) filter (where event_type = 'click') as incomplete, count(*) filter (where event_type not in ('purchase', 'error', 'view', 'click')) as skipped, coalesce(sum(floor(value)::bigint) filter (where event_type = 'purchase'), 0)::bigint as products, round(100.0 * count(*) filter (where event_type = 'purchase') / count(*), 2) as success_rate, coalesce(array_to_string(list_sort(list_distinct(list(user_id::varchar) filter (where event_type = 'error')))[1:3], ','), '') as failed from events group by 1)"),
+    "outcome_audit": (outcome_audit, "select day, attempted, success, error, empty, incomplete, skipped, products, success_rate, failed, incomplete_urls, attempted > 3 and (error + skipped + empty) / attempted > 0.7 as abort from (select strftime(ts, '%Y-%m-%d') as day, count(*) as attempted, count(*) filter (where event_type = 'purchase') as success, count(*) filter (where event_type = 'error') as error, count(*) filter (where event_type = 'view') as empty, count(*) filter (where event_type = 'click') as incomplete, count(*) filter (where event_type not in ('purchase', 'error', 'view', 'click')) as skipped, coalesce(sum(floor(value)::bigint) filter (where event_type = 'purchase'), 0)::bigint as products, round(100.0 * count(*) filter (where event_type = 'purchase') / count(*), 2) as success_rate, coalesce(array_to_string(list_sort(list_distinct(list(user_id::varchar) filter (where event_type = 'error')))[1:3], ','), '') as failed, coalesce(array_to_string(list_sort(list_distinct(list(user_id::varchar) filter (where event_type = 'click')))[1:3], ','), '') as incomplete_urls from events group by 1)"),
     "reconciliation": (reconciliation, "select o_orderpriority, discovered, attempted, ok, coalesce(round(100.0 * ok / nullif(discovered, 0), 2), 0.0) as coverage_pct, coalesce(round(100.0 * ok / nullif(attempted, 0), 2), 0.0) as success_pct, discovered - ok as gap from (select o_orderpriority, count(*) as discovered, count(*) filter (where o_orderstatus <> 'P') as attempted, count(*) filter (where o_orderstatus = 'F') as ok from orders group by 1)"),
     "reextraction_plan": (reextraction_plan, f"select count(distinct title) filter (where not price > 0) as urls_price, count(distinct title) filter (where coalesce(trim(vendor), '') = '') as urls_vendor, count(distinct title) filter (where coalesce(trim(sku), '') = '') as urls_sku, count(*) filter (where not price > 0 or coalesce(trim(vendor), '') = '' or coalesce(trim(sku), '') = '') as incomplete, round(1 - count(*) filter (where not price > 0 or coalesce(trim(vendor), '') = '' or coalesce(trim(sku), '') = '') / count(*), 4) as complete_rate from {PRODUCTS}"),
     "role_grid": (role_grid, "select r_name as role, n_name as code from region, nation where r_name = 'AFRICA' or (r_name = 'AMERICA' and n_name not in ('BRAZIL', 'CANADA')) or (r_name = 'ASIA' and n_name in ('CHINA', 'INDIA', 'JAPAN')) or (r_name = 'EUROPE' and n_regionkey = 3)"),

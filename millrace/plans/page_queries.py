@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from millrace.functions import money, text, urls
-from millrace.operators import extract, quality
-from millrace.session import table
+from millrace.functions import money, presence, text, urls
+from millrace.operators import evals, extract, quality
+from millrace.session import fresh_dir, table
 from millrace.streaming import state
 
 
@@ -49,30 +49,40 @@ def page_classes(s, d):
 
 
 def enriched(s, d):
-    """Pages with the marks of a shop added, as far as the page's number says; work and text follow from the table."""
+    """Pages with the marks of a shop added, as far as the page's number says; work and text follow from the table.
+
+    Even pages have a graph of two products, every fourth broken JSON before it, others a list with something else in it, or a group of variants."""
     n = F.col("page_id")
-    ld = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"@type":"Product","name":"P'), n.cast("string"), F.lit('","sku":"S'), n.cast("string"), F.lit('","gtin13":"'), F.lpad((n + 1).cast("string"), 13, "4"), F.lit('","offers":{"price":"'), (n % 50).cast("string"), F.lit('.50","priceCurrency":"EUR"}}]}</script>'))
+    script = lambda *parts: F.concat(F.lit('<script type="application/ld+json">'), *parts, F.lit("</script>"))
+    no = n.cast("string")
+    graph = script(F.lit('{"@graph":[{"@type":"Product","name":"Zed'), no, F.lit('","gtin13":"'), F.lpad((n + 1).cast("string"), 13, "4"), F.lit('","offers":{"price":"'), (n % 50).cast("string"), F.lit('.50","priceCurrency":"EUR"}},{"@type":["Product"],"name":"Abe'), no, F.lit('","mpn":"M'), no, F.lit('","offers":[{"price":"'), (n % 7).cast("string"), F.lit('.25"}]}]}'))
+    listed = script(F.lit('[{"@type":"Product","name":" "},{"@type":"Thing","name":"no"}]'))
+    group = script(F.lit('{"@type":"ProductGroup","name":"G'), no, F.lit('","hasVariant":[{"name":"v"},{"offers":{"price":"0"}},{"offers":{"price":"3.75"}}]}'))
+    broken = F.when(n % 4 == 0, script(F.lit('{"@type":"Product","name":'))).otherwise("")
+    ld = F.when(n % 2 == 0, F.concat(broken, graph)).when(n % 5 == 1, listed).when(n % 5 == 3, group).otherwise("")
     og = F.concat(F.lit('<meta property="og:title" content="T'), n.cast("string"), F.lit('"><meta property="og:image" content="i.jpg"><meta property="product:price:amount" content="9.5"><meta property="og:title" content="Last">'))
     tracker = F.concat(F.lit("<script>gtag('G-ABC"), F.lpad(n.cast("string"), 6, "0"), F.lit("')</script><!-- UA-12345-1 -->"), F.lit("<footer>mail Shop"), n.cast("string"), F.lit('@X.org or (212) 555-0199 <a href="https://x.com/shop">x</a> <a href="https://facebook.com/a">f</a></footer>'))
-    extra = F.concat(F.when(n % 2 == 0, ld).otherwise(""), F.when(n % 3 == 0, og).otherwise(""), F.when(n % 5 == 0, tracker).otherwise(""))
+    extra = F.concat(ld, F.when(n % 3 == 0, og).otherwise(""), F.when(n % 5 == 0, tracker).otherwise(""))
     return pages(s, d).select("page_id", "url", F.concat("html", extra).alias("html"))
 
 
-def product_nodes(s, d):
-    """EXT-01, EXT-02, EXT-06: product nodes of the enriched pages with their identifiers."""
+def products_of(s, d):
     nodes = extract.products(enriched(s, d), "html", "page_id")
-    ids = extract.product_identifiers(nodes, "page_id")
-    named = nodes.select("page_id", F.expr("try_variant_get(node, '$.name', 'string')").alias("name"), F.expr("try_variant_get(offers, '$.price', 'string')").alias("price"))
-    return named.join(ids, "page_id", "left")
+    return nodes.select("*", F.expr("try_variant_get(node, '$.name', 'string')").alias("name"), evals.offer_price(F.col("offers")).alias("price"))
+
+
+def product_nodes(s, d):
+    """EXT-01, EXT-02, EXT-06: product nodes of the enriched pages with their own identifiers."""
+    return extract.product_identifiers(products_of(s, d), "page_id", "name", "price").select("page_id", "name", "price", "gtin", "mpn")
 
 
 def layered_products(s, d):
-    """EXT-03, EXT-05, JOIN-09, JOIN-12, WIN-03: title, price and image by layer: JSON-LD, then OpenGraph, then the page itself."""
-    p = enriched(s, d)
-    own = product_nodes(s, d).select("page_id", F.lit(0).alias("rank"), F.col("name").alias("title"), "price", F.lit(None).cast("string").alias("image"))
-    tags = p.select("page_id", extract.opengraph("html").alias("m")).select("page_id", F.lit(1).alias("rank"), F.col("m")["og:title"].alias("title"), F.col("m")["product:price:amount"].alias("price"), F.col("m")["og:image"].alias("image"))
-    plain = p.select("page_id", F.lit(2).alias("rank"), extract.title("html").alias("title"), F.lit(None).cast("string").alias("price"), F.lit(None).cast("string").alias("image"))
-    return extract.layered(own.union(tags).union(plain), "page_id", "rank", "title", "price", "image")
+    """EXT-03, EXT-05, FLT-15, JOIN-09, JOIN-12, WIN-03: each JSON-LD product with its gaps filled from OpenGraph, then the page; pages without one need a product's signal."""
+    page = enriched(s, d).select("page_id", extract.opengraph("html").alias("og"), extract.title("html").alias("page_title"))
+    own = products_of(s, d).select("page_id", "name", "price")
+    joined = page.join(own.withColumn("found", F.lit(True)), "page_id", "left").where(F.col("found").isNotNull() | extract.product_signal("og", F.lit(None).cast("string")))
+    first = lambda *c: presence.first_truthy(*(F.nullif(F.trim(x), F.lit("")) for x in c))
+    return joined.select("page_id", first(F.col("name"), F.col("og")["og:title"], F.col("page_title")).alias("title"), first(F.col("price"), F.col("og")["product:price:amount"]).alias("price"), F.col("og")["og:image"].alias("image"))
 
 
 def page_contacts(s, d):
@@ -150,26 +160,31 @@ def neighbours(s, d):
 
 
 def _streamed(s, d, shape, mode):
-    """Runs a stream over the events' file to its end, into a table of its own in memory, and returns that table."""
-    import uuid
-
-    name = f"stream_{uuid.uuid4().hex}"
+    """Runs a stream over the events' file to its end, each batch into a folder of its own, and returns what it wrote: in complete mode the last batch."""
+    folder = fresh_dir(s, "stream")
     batch = table(s, d, "events")
     source = s.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    source = source.withColumn("ts", F.col("ts").cast("timestamp"))
-    query = shape(source).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return s.table(name)
+    shaped = shape(source.withColumn("ts", F.col("ts").cast("timestamp")))
+    writer = shaped.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")).start().awaitTermination()
+    out = s.read.schema(shaped.schema.add("batch", "long")).parquet(f"{folder}/out")
+    if mode == "complete":
+        out = out.where(F.col("batch") == out.agg(F.max("batch")).first()[0])
+    return out.drop("batch")
+
+
+def _start(df):
+    return df.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 def stream_windows(s, d):
     """STR-01: requests of each hour and kind that the watermark has closed."""
-    return _streamed(s, d, lambda e: state.request_windows(e, "ts", "event_type", "value"), "append")
+    return _start(_streamed(s, d, lambda e: state.request_windows(e, "ts", "event_type", "value"), "append"))
 
 
 def stream_limits(s, d):
     """STR-05: hours in which a user made more than two requests; all windows, as a stream in complete mode gives them."""
-    return _streamed(s, d, lambda e: state.over_limit(e, "ts", "user_id", 2, "1 hour"), "append")
+    return _start(_streamed(s, d, lambda e: state.over_limit(e, "ts", "user_id", 2, "1 hour"), "complete"))
 
 
 def stream_latest(s, d):
@@ -177,6 +192,11 @@ def stream_latest(s, d):
     return _streamed(s, d, lambda e: state.latest_states(e, "user_id", "ts", "event_type"), "complete").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+def stream_once(s, d):
+    """STR-08: users by the first of their events within the watermark."""
+    return _streamed(s, d, lambda e: state.once(e, "ts", "user_id").select("user_id"), "append")
+
+
 def stream_breakers(s, d):
     """STR-04: each user as a domain whose errors trip the breaker."""
     return _streamed(s, d, lambda e: state.breakers(e.withColumn("bad", F.col("event_type") == "error"), "user_id", "ts", "bad", 3, 3600.0), "update")
@@ -188,6 +208,16 @@ _PATH = r"regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1),
 _VISIBLE = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<script\b[^>]*>.*?</script\s*>', ' ', 'gsi'), '<style\b[^>]*>.*?</style\s*>', ' ', 'gsi'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
 _TITLE = r"trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'si'), ' ' || chr(10) || chr(9))"
 _LANG = r"""substr(regexp_extract(html, '<html[^>]*\blang=["'']?([^"''\s>]+)', 1, 'i'), 1, 10)"""
+_OG = """(html || case when page_id % 3 = 0 then '<meta property="og:title" content="T' || page_id || '"><meta property="og:image" content="i.jpg"><meta property="product:price:amount" content="9.5"><meta property="og:title" content="Last">' else '' end)"""
+_LD = """(case when page_id % 2 = 0 then case when page_id % 4 = 0 then '<script type="application/ld+json">{"@type":"Product","name":</script>' else '' end || '<script type="application/ld+json">{"@graph":[{"@type":"Product","name":"Zed' || page_id || '","gtin13":"' || lpad((page_id + 1)::varchar, 13, '4') || '","offers":{"price":"' || page_id % 50 || '.50","priceCurrency":"EUR"}},{"@type":["Product"],"name":"Abe' || page_id || '","mpn":"M' || page_id || '","offers":[{"price":"' || page_id % 7 || '.25"}]}]}</script>'
+  when page_id % 5 = 1 then '<script type="application/ld+json">[{"@type":"Product","name":" "},{"@type":"Thing","name":"no"}]</script>'
+  when page_id % 5 = 3 then '<script type="application/ld+json">{"@type":"ProductGroup","name":"G' || page_id || '","hasVariant":[{"name":"v"},{"offers":{"price":"0"}},{"offers":{"price":"3.75"}}]}</script>' else '' end)"""
+_NODES = f"""(with h as (select page_id, html || {_LD} as html from pages),
+  b as (select page_id, unnest(regexp_extract_all(html, '<script[^>]*type="application/ld\\+json"[^>]*>(.*?)</script>', 1, 's')) as body from h),
+  t as (select page_id, unnest(case when json_type(body) = 'ARRAY' then json_extract(body, '$[*]') else [body::json] end) as node from b where json_valid(body)),
+  n as (select page_id, unnest(list_concat([node], json_extract(node, '$."@graph"[*]'))) as node from t),
+  p as (select page_id, node, list_filter(json_extract(node, '$.hasVariant[*]'), lambda v: coalesce(try_cast(v ->> '$.offers.price' as double), 0) <> 0) as priced from n where contains(coalesce(node ->> '$."@type"', ''), 'Product'))
+  select page_id, node ->> '$.name' as name, coalesce(node ->> '$.offers.price', node ->> '$.offers[0].price', priced[1] ->> '$.offers.price') as price, node ->> '$.gtin13' as gtin, node ->> '$.mpn' as mpn from p)"""
 _IN = lambda xs: ", ".join(f"'{x}'" for x in xs)
 _NON = rf"(regexp_extract(lower({_PATH}), '(\.[^.]*)$', 1) in ({_IN(urls.NON_PRODUCT_ENDINGS)}) or {_PATH} = '' or lower({_PATH}) in ({_IN(urls.NON_PRODUCT_PATHS)}) or list_has_any(string_split(ltrim(lower({_PATH}), '/'), '/'), [{_IN(urls.NON_PRODUCT_SEGMENTS)}]) or regexp_matches({_PATH}, '/\d{{4}}/\d{{2}}/\d{{2}}/'))"
 QUERIES = {
@@ -197,8 +227,9 @@ QUERIES = {
     "page_anchors": (page_anchors, r"""select page_id, (k - 1)::int as pos, hrefs[k] as href from (select page_id, hrefs, unnest(range(1, len(hrefs) + 1)) as k from (select page_id, regexp_extract_all(html, '<a\b[^>]*\bhref\s*=\s*["'']([^"'']*)["'']', 1, 'i') as hrefs from pages))"""),
     "page_text": (page_text, f"select page_id, length({_VISIBLE})::int as n_text, md5({_VISIBLE}) as digest from pages"),
     "page_classes": (page_classes, None),
-    "product_nodes": (product_nodes, "select page_id, 'P' || page_id as name, page_id % 50 || '.50' as price, lpad((page_id + 1)::varchar, 13, '4') as gtin, null as mpn from pages where page_id % 2 = 0"),
-    "layered_products": (layered_products, f"select page_id, case when page_id % 2 = 0 then 'P' || page_id when page_id % 3 = 0 then 'Last' else {_TITLE} end as title, case when page_id % 2 = 0 then page_id % 50 || '.50' when page_id % 3 = 0 then '9.5' end as price, case when page_id % 3 = 0 then 'i.jpg' end as image from pages"),
+    "product_nodes": (product_nodes, f"select * from {_NODES}"),
+    "layered_products": (layered_products, f"""with p as (select page_id, regexp_extract_all({_OG}, 'property="og:title" content="([^"]*)"', 1)[-1] as og_title, nullif(regexp_extract({_OG}, 'property="product:price:amount" content="([^"]*)"', 1), '') as og_price, nullif(regexp_extract({_OG}, 'property="og:image" content="([^"]*)"', 1), '') as image, {_TITLE} as title from pages)
+        select p.page_id, coalesce(nullif(trim(n.name), ''), og_title, nullif(title, '')) as title, coalesce(n.price, og_price) as price, image from p left join {_NODES} n on p.page_id = n.page_id where n.page_id is not null or og_price is not null"""),
     "page_contacts": (page_contacts, "select page_id, case when page_id % 5 = 0 then 'shop' || page_id || '@x.org' else '' end as emails, case when page_id % 5 = 0 then '(212) 555-0199' else '' end as phones from pages"),
     "page_social": (page_social, "select page_id, network, url from (select page_id from pages where page_id % 5 = 0), (values ('twitter', 'https://x.com/shop'), ('facebook', 'https://facebook.com/a')) as v(network, url)"),
     "page_trackers": (page_trackers, "select page_id, 'google_analytics_ga4' as provider, 'GA4' as tag_type, 'G-ABC' || lpad(page_id::varchar, 6, '0') as tag_id from pages where page_id % 5 = 0 union all select page_id, 'chat', null, null from pages where page_id % 10 = 0"),
@@ -208,11 +239,12 @@ QUERIES = {
     "text_prices": (text_prices, None),
     "price_rules": (price_rules, "select p_partkey, case k when 0 then replace(us, ',', '') when 1 then case when us like '%,%' then '$' || replace(us, ',', '') else '$' || us end when 2 then case when eu like '%.%' then replace(eu, ',', '') else replace(eu, ',', '.') end else plain end as feed, case when k = 0 then 'USD' end as currency, case k when 0 then 0.0 when 1 then replace(us, ',', '')::double when 2 then case when eu like '%.%' then round(replace(eu, ',', '')::decimal(38,6), 6)::double else replace(eu, ',', '.')::double end else plain::double end as loose, printf('%.2f', v) as listed from (select p_partkey, p_partkey % 4 as k, p_retailprice as v, format('{:,.2f}', p_retailprice) as us, translate(format('{:,.2f}', p_retailprice), ',.', '.,') as eu, printf('%.2f', p_retailprice) as plain from part)"),
     "gtins": (gtins, "select p_partkey, case when p_partkey % 5 = 4 or p_partkey = 0 then null when p_partkey % 5 = 1 then lpad(p_partkey::varchar, 13, '0') else lpad(p_partkey::varchar, ([8, 12, 13, 14, 10])[p_partkey % 5 + 1], '0') end as gtin from part"),
-    "names_of": (names_of, None),
+    "names_of": (names_of, rf"select page_id, array_to_string(list_transform(string_split(replace(split_part({_DOMAIN}, '.', 1), '-', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') as brand, regexp_replace(url, '[^a-zA-Z0-9.\-]', '_', 'g') as file from pages"),
     "probe_gate": (probe_gate, f"select lang, count(*) as n, round(avg(case when {_TITLE} <> '' then 0.4 + 0.15 * (contains(html, '$')::int + contains(html, '<img')::int + (length(html) > 3000)::int + contains(html, '<h1>')::int) else 0 end), 4)::double as quality from (select *, {_LANG} as lang from pages) group by lang having quality >= 0.3"),
-    "neighbours": (neighbours, None),
-    "stream_windows": (stream_windows, None),
-    "stream_limits": (stream_limits, None),
+    "neighbours": (neighbours, f"select page_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') as words, lag(page_id) over (partition by domain order by page_id) as before from (select page_id, string_split({_TITLE}, ' ') as w, {_DOMAIN} as domain from pages)"),
+    "stream_windows": (stream_windows, "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total, max(value) as most from events group by 1, 2 having date_trunc('hour', ts) + interval 1 hour <= (select max(ts) from events) - interval 1 hour"),
+    "stream_limits": (stream_limits, "select date_trunc('hour', ts) as start, user_id, count(*) as n from events group by 1, 2 having n > 2"),
     "stream_latest": (stream_latest, "select user_id, ts, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_type desc) as r from events) where r = 1"),
+    "stream_once": (stream_once, "select distinct user_id from events"),
     "stream_breakers": (stream_breakers, None),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +25,22 @@ def is_xml(body: Column | str, content_type: Column | str) -> Column:
     return F.when(F.contains(kind, F.lit("xml")), True).when(kind.rlike("csv|tab-separated"), False).otherwise(head.startswith("<?xml") | head.startswith("<rss") | head.startswith("<feed"))
 
 
+def numeric_entities(c: Column) -> Column:
+    """Decimal and hexadecimal character references resolved."""
+    pieces = F.regexp_extract_all(c, F.lit(r"&#\d{1,7};|&#[xX][0-9a-fA-F]{1,6};|[^&]+|&"), F.lit(0))
+
+    def one(p: Column) -> Column:
+        code = F.when(p.rlike("^&#[xX]"), F.regexp_extract(p, "([0-9a-fA-F]+);$", 1)).otherwise(F.hex(F.regexp_extract(p, r"(\d+);$", 1).try_cast("bigint")))
+        return F.when(p.rlike(r"^&#(?:\d|[xX]).*;$"), F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")).otherwise(p)
+
+    return F.when(F.contains(c, F.lit("&#")), F.array_join(F.transform(pieces, one), "")).otherwise(c)
+
+
 def unescaped(c: Column) -> Column:
-    """Text of an XML element: CDATA opened, the five entities resolved."""
+    """Text of an XML element: CDATA opened, the five entities and character references resolved."""
     c = F.regexp_replace(c, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
     for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        c = numeric_entities(c) if sign == "&" else c
         c = F.replace(c, F.lit(entity), F.lit(sign))
     return strip(c)
 
@@ -54,17 +68,33 @@ def xml_feed(bodies: DataFrame, body: str, *keep: str) -> DataFrame:
     return items.select(*keep, "pos", *priced(fields), F.filter(more, lambda x: x != "").alias("additional_image_link")).where("title is not null")
 
 
-def cells(line: Column, sep: Column) -> Column:
-    """Cells of one delimited line; quotes may hold the separator."""
-    found = F.when(sep == "\t", F.split(line, "\t")).otherwise(F.transform(F.regexp_extract_all(line, F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1)), lambda x: F.replace(F.regexp_replace(x, '^"|"$', ""), F.lit('""'), F.lit('"'))))
-    return F.transform(found, lambda x: strip(x))
+def cell_pattern(sep: str) -> str:
+    """One cell: in quotes it may hold separators, line ends and doubled quotes."""
+    return rf'"(?:[^"]++|"")*+"[^{sep}\r\n]*+|[^{sep}\r\n]*+'
+
+
+def by_separator(sep: Column, of: Callable[[str], Column]) -> Column:
+    return F.when(sep == "\t", of("\t")).otherwise(of(","))
+
+
+def cells(record: Column, sep: Column) -> Column:
+    """Cells of one record."""
+    plain = lambda x: F.replace(F.regexp_replace(x, '^"|"$', ""), F.lit('""'), F.lit('"'))
+    return by_separator(sep, lambda s: F.transform(F.regexp_extract_all(record, F.lit(f"(?:^|{s})({cell_pattern(s)})"), F.lit(1)), lambda x: strip(plain(x))))
+
+
+def records(body: Column, sep: Column) -> Column:
+    """Records of a delimited body, blank ones left out."""
+    whole = lambda s: F.regexp_extract_all(body, F.lit(rf"((?:{cell_pattern(s)})(?:{s}(?:{cell_pattern(s)}))*+)(?:\r\n|\n|\r|\z)"), F.lit(1))
+    return F.filter(by_separator(sep, whole), lambda x: strip(x) != "")
 
 
 def delimited_feed(bodies: DataFrame, body: str, *keep: str) -> DataFrame:
     """SRC-02: tab-separated if the first line has a tab, else commas; short lines end in nulls, rows without a title are dropped."""
-    lines = F.split(F.regexp_replace(F.col(body), "^﻿", ""), r"\r?\n")
-    head = bodies.where(small_enough(body)).select(*keep, lines.alias("lines")).withColumn("sep", F.when(F.contains(F.get("lines", F.lit(0)), F.lit("\t")), "\t").otherwise(","))
-    rows = head.select(*keep, "sep", cells(F.get("lines", F.lit(0)), F.col("sep")).alias("names"), F.posexplode("lines").alias("pos", "line")).where("pos > 0 and trim(line) <> ''")
+    text = F.regexp_replace(F.col(body), "^﻿", "")
+    head = bodies.where(small_enough(body)).select(*keep, text.alias("text"), F.when(F.contains(F.split_part(text, F.lit("\n"), F.lit(1)), F.lit("\t")), "\t").otherwise(",").alias("sep"))
+    rows = head.select(*keep, "sep", records(F.col("text"), F.col("sep")).alias("lines"))
+    rows = rows.select(*keep, "sep", cells(F.get("lines", F.lit(0)), F.col("sep")).alias("names"), F.posexplode("lines").alias("pos", "line")).where("pos > 0")
     rows = rows.withColumn("cells", cells(F.col("line"), F.col("sep")))
     at = lambda name: F.nullif(F.get("cells", F.array_position("names", name).cast("int") - 1), F.lit(""))
     fields = {n: F.when(F.array_contains("names", n), at(n)) for n in FIELDS}
@@ -89,9 +119,10 @@ def sitemap(bodies: DataFrame, body: str, *keep: str) -> DataFrame:
 
 
 def upload(spark: SparkSession, path: str, most: int = 50_000) -> DataFrame:
-    """SRC-18: rows of an uploaded CSV with lower-case heads; the match column is sku, else external_id. The row limit is the service's own."""
+    """SRC-18: rows of an uploaded CSV with lower-case heads; the match column is sku, else external_id. Of more rows than the service's limit the first by position stay."""
     raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    named = raw.toDF(*(c.strip().lstrip("﻿").lower() for c in raw.columns)).limit(most)
+    named = raw.toDF(*(c.strip().lstrip("﻿").lower() for c in raw.columns))
+    named = named.orderBy(F.monotonically_increasing_id()).limit(most)
     key = next((c for c in ("sku", "external_id") if c in named.columns), None)
     if key is None:
         raise ValueError("the upload has neither sku nor external_id")

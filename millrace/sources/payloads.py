@@ -11,7 +11,8 @@ from millrace.operators.normalize import Raw, behind_first, item, texts
 
 
 def parsed(bodies: DataFrame, body: str) -> DataFrame:
-    return bodies.withColumn("doc", F.try_parse_json(body)).where("doc is not null")
+    """Objects and arrays; the parser stops behind the first value, so a body that goes on with something else is refused here."""
+    return bodies.where(F.col(body).rlike(r"[}\]]\s*$")).withColumn("doc", F.try_parse_json(body)).where("doc is not null")
 
 
 def records(bodies: DataFrame, body: str, path: str, *keep: str) -> DataFrame:
