@@ -2,32 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or on one machine (as in tests) one made here where it is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    already = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if already.isDefined():
-        return already.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder, for one written table."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from millrace.session import fresh_dir
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

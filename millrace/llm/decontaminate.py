@@ -9,14 +9,17 @@ documents, so lists never cross the network and no list grows with the corpus.
 
 Words: A-Z lower-cased, then runs of [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]. Null or wordless texts have no words,
 are never contaminated and still get a row. Repeated rows each get their own; ties don't matter.
-Items without words match nothing; items that repeat an id count once. Empty tables give no rows or
+Items without words match nothing; items that repeat an id count once; an item without an id hits words, but no list of items names it. Empty tables give no rows or
 clean documents. Columns other than doc_id, item_id and text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bytewords import Hasher, lower_table, slices, text_bytes
-from millrace.llm.common import fresh_dir
+from millrace.llm.common import stored
+from millrace.session import fresh_dir
 
 #: Bytes of text in a block, unless one text is longer.
 BLOCK_BYTES = 4 << 20
@@ -33,7 +37,7 @@ BLOCK_BYTES = 4 << 20
 def build_index(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BYTES) -> str:
     """Writes the positional index of docs (doc_id, text); returns its folder.
 
-    One row of `index` is one block: ids, word counts, and for its distinct words in the order of their
+    One row of `index` is one block: a name of its own, ids, word counts, and for its distinct words in the order of their
     values the counts and the places, as the gaps between them, in 32 bits each.
     """
     path = path or fresh_dir(docs.sparkSession, "postings")
@@ -51,9 +55,10 @@ def build_index(docs: DataFrame, path: str | None = None, block_bytes: int = BLO
                 gaps[at] = order[at]
                 ids = batch["doc_id"].slice(first, last - first)
                 n_words = np.bincount(rows, minlength=last - first)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (terms, counts.astype(np.uint32), gaps.astype(np.uint32))] + [pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([n_words.tolist()], pa.list_(pa.int64()))], names=["terms", "counts", "gaps", "doc_ids", "n_words"])
+                packed = [pa.array([x.tobytes()], pa.binary()) for x in (terms, counts.astype(np.uint32), gaps.astype(np.uint32))]
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), *packed, pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([n_words.tolist()], pa.list_(pa.int64()))], names=["block", "terms", "counts", "gaps", "doc_ids", "n_words"])
 
-    docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(blocks, "terms binary, counts binary, gaps binary, doc_ids array<bigint>, n_words array<bigint>").write.option("compression", "zstd").parquet(f"{path}/index")
+    docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(blocks, "block string, terms binary, counts binary, gaps binary, doc_ids array<bigint>, n_words array<bigint>").write.option("compression", "zstd").parquet(f"{path}/index")
     return path
 
 
@@ -124,7 +129,7 @@ class Block:
 
 
 def search(spark: SparkSession, path: str, items: list[tuple[str, str]], size: int, slack: int) -> DataFrame:
-    """Matches of a bounded list of items: block, row, doc_id, n_words, the hit places packed, items and near items."""
+    """What a bounded list of items hits in each document: block, row, doc_id, n_words, hits (places of its words), items and near_items."""
     windows, lengths, owner = benchmark_windows(items, size)
     names = [name for name, _ in items]
     wanted = np.unique(windows[windows > 0]) if len(windows) else np.zeros(0, np.uint64)
@@ -148,7 +153,7 @@ def search(spark: SparkSession, path: str, items: list[tuple[str, str]], size: i
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for terms, counts, gaps, ids, n_words in zip(*(batch[c] for c in ("terms", "counts", "gaps", "doc_ids", "n_words")), strict=True):
+            for name, terms, counts, gaps, ids, n_words in zip(*(batch[c] for c in ("block", "terms", "counts", "gaps", "doc_ids", "n_words")), strict=True):
                 block, sizes = Block(terms.as_py(), counts.as_py(), gaps.as_py()), np.array(n_words.as_py(), np.int64)
                 starts = np.cumsum(sizes) - sizes
                 lists = block.rank(windows)
@@ -167,37 +172,48 @@ def search(spark: SparkSession, path: str, items: list[tuple[str, str]], size: i
                         exact.append((np.unique(row), int(owner[w])))
                     if len(around := block.near(lists[w], first, slack)):
                         close.append((np.unique(np.searchsorted(starts, around, side="right") - 1), int(owner[w])))
-                covered = np.concatenate([[0], np.cumsum(np.cumsum(hits) > 0)])
-                n_hit = covered[starts + sizes] - covered[starts]
+                covered = np.flatnonzero(np.cumsum(hits) > 0)
+                edges = np.searchsorted(covered, np.append(starts, sizes.sum()))
+                places = covered - np.repeat(starts, np.diff(edges))
+                hit_lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(places, pa.int32()))
                 found, nearby = ([[] for _ in sizes] for _ in range(2))
                 for out, got in ((found, exact), (nearby, close)):
                     for rows, item in got:
                         for row in rows:
                             out[row].append(item)
-                as_lists = [pa.array([[names[i] for i in sorted(set(x))] for x in out], pa.list_(pa.string())) for out in (found, nearby)]
-                yield pa.RecordBatch.from_arrays([ids.values, pa.array(sizes), pa.array(n_hit), *as_lists], names=["doc_id", "n_words", "n_hit", "items", "near_items"])
+                as_lists = [pa.array([[names[i] for i in sorted(set(x)) if names[i] is not None] for x in out], pa.list_(pa.string())) for out in (found, nearby)]
+                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(sizes)), pa.array(np.arange(len(sizes), dtype=np.int32)), ids.values, pa.array(sizes), hit_lists, *as_lists], names=["block", "row", "doc_id", "n_words", "hits", "items", "near_items"])
 
-    return index.mapInArrow(match, "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, near_items array<string>")
+    return index.mapInArrow(match, "block string, row int, doc_id bigint, n_words bigint, hits array<int>, items array<string>, near_items array<string>")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, slack: int = 2, most_bytes: int = 32 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, slack: int = 2, part_bytes: int = 2 << 20) -> DataFrame:
     """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, near_items.
 
     size: words of a window; an item of fewer words is one window. n_hit: words of the document inside any exact
     occurrence. near_items: items of which a window stands there with each word at most `slack` places off.
-    The benchmark goes to all tasks and is refused over most_bytes of text, which bounds what is sent; split a larger one.
+    The benchmark goes to all tasks, part_bytes of its text at a time (an item is never cut); what the parts hit is put together for each document.
     """
-    spark = docs.sparkSession
     path = build_index(docs)
-    texts = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item is not null and text is not null")
-    total = texts.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    if total > most_bytes:
-        raise ValueError(f"the benchmark has {total} bytes and the bound is {most_bytes}; call this for its parts")
-    return summary(search(spark, path, [tuple(r) for r in texts.collect()], size, slack))
+    texts = stored(benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null"), "benchmark")
+    parts = max(1, math.ceil((texts.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) / part_bytes))
+    return summary(search_parts(docs.sparkSession, path, texts, parts, size, slack))
+
+
+def search_parts(spark: SparkSession, path: str, texts: DataFrame, parts: int, size: int, slack: int) -> DataFrame:
+    """search() for texts (item, text) in so many parts by a hash: one row for each document."""
+    whole = [search(spark, path, [tuple(r) for r in texts.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == n).collect()], size, slack) for n in range(parts)]
+    if parts == 1:
+        return whole[0]
+    # A document has one row for each part; only the first part's also tells of documents without hits.
+    found = stored(reduce(DataFrame.union, (p if n == 0 else p.where("size(hits) + size(items) + size(near_items) > 0") for n, p in enumerate(whole))), "benchmark-hits")
+    joined = (F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("hits", "items", "near_items"))
+    return found.groupBy("block", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *joined)
 
 
 def summary(found: DataFrame) -> DataFrame:
     items = F.array_sort("items")
+    found = found.withColumn("n_hit", F.size("hits").cast("bigint"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), items.alias("items"), F.array_sort("near_items").alias("near_items"))
 
 
@@ -216,5 +232,5 @@ def brute_force(text: str | None, items: list[tuple[str, str | None]], size: int
             for j in range(len(own) - n + 1):
                 if own[j : j + n] == theirs[i : i + n]:
                     hit |= {*range(j, j + n)}
-                    found.add(str(item))
+                    found |= {str(item)} - {"None"}
     return len(own), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bytewords import mix, slices, text_bytes
-from millrace.llm.common import fresh_dir
+from millrace.session import fresh_dir
 
 #: Fixed value: the pattern by which byte-level tokenizers of this kind split texts.
 BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

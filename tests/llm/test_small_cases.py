@@ -172,14 +172,15 @@ def test_perfect_hash_is_minimal():
 
 
 def test_decontamination(spark):
-    items = [("a", "The CAT sat on the mat today"), ("b", "one two three four five six seven eight nine ten eleven twelve"), ("c", None), ("d", "!!"), ("10", "zz"), ("9", "zz")]
-    texts = [(1, "the cat sat on the mat today the cat sat on the mat today"), (2, None), (3, "x one two three four five six seven eight nine ten. two three four five six seven eight nine ten eleven y"), (4, "cat sat on the mat zz"), (5, LONG), (5, LONG), (6, "the cat sat on a mat today")]
+    items = [("a", "The CAT sat on the mat today"), ("b", "one two three four five six seven eight nine ten eleven twelve"), ("c", None), ("d", "!!"), ("10", "zz"), ("9", "zz"), (None, "nameless item of five words")]
+    texts = [(1, "the cat sat on the mat today the cat sat on the mat today"), (2, None), (3, "x one two three four five six seven eight nine ten. two three four five six seven eight nine ten eleven y"), (4, "cat sat on the mat zz"), (5, LONG), (5, LONG), (6, "the cat sat on a mat today"), (7, "a nameless item of five words, and the cat sat on the mat today")]
     bench = spark.createDataFrame(items, "item_id string, text string")
-    got = decontaminate.decontaminate(docs(spark, texts), bench).collect()
-    assert len(got) == 7
-    for r in got:
-        text = next(t for i, t in texts if i == r.doc_id)
-        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256) == decontaminate.brute_force(text, items)
+    for part_bytes in (100, 1 << 20):  # in many parts and in one
+        got = decontaminate.decontaminate(docs(spark, texts), bench, part_bytes=part_bytes).collect()
+        assert len(got) == 8
+        for r in got:
+            text = next(t for i, t in texts if i == r.doc_id)
+            assert (r.n_words, r.n_hit, r.n_items, r.items_sha256) == decontaminate.brute_force(text, items)
     near = {r.doc_id: r.near_items for r in got}
     assert "a" in near[1] and near[6] == []
     assert {r.doc_id: r["items"] for r in got}[4] == ["10", "9"]
