@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bytewords import Hasher, lower_table, slices, text_bytes
-from millrace.llm.common import stored
+from millrace.llm.common import stored, tidied
 from millrace.session import fresh_dir
 
 #: Bytes of text in a block, unless one text is longer.
@@ -42,6 +42,7 @@ def build_index(docs: DataFrame, path: str | None = None, block_bytes: int = BLO
     """
     path = path or fresh_dir(docs.sparkSession, "postings")
 
+    @tidied
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lower, hasher = lower_table(), Hasher()
         for batch in batches:
@@ -151,6 +152,7 @@ def search(spark: SparkSession, path: str, items: list[tuple[str, str]], size: i
     ranked = np.where(windows > 0, often[np.minimum(np.searchsorted(wanted, windows), max(0, len(wanted) - 1))] if len(wanted) else 0, np.iinfo(np.int64).max)
     order = np.argsort(ranked, axis=1, kind="stable")
 
+    @tidied
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, terms, counts, gaps, ids, n_words in zip(*(batch[c] for c in ("block", "terms", "counts", "gaps", "doc_ids", "n_words")), strict=True):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import connected_components, stored
+from millrace.llm.common import connected_components, stored, tidied
 
 
 def units(column: list[bytes] | pd.Series, width: int, kind: str) -> np.ndarray:
@@ -108,6 +108,7 @@ def near_copies(vectors: DataFrame, threshold: float = 0.95, cell_size: int = 16
         raise ValueError("the threshold lies between 0 and 1")
     kind = "<f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
 
+    @tidied
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -123,6 +124,7 @@ def near_copies(vectors: DataFrame, threshold: float = 0.95, cell_size: int = 16
     c = centres(distinct, min(most_cells, max(1, math.ceil(distinct.count() / cell_size))), sample, kind)
     margin = reach * math.sqrt(1 - threshold**2) + 1e-9
 
+    @tidied
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch["raw"].to_pylist()

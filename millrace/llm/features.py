@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.bytewords import Hasher, lower_table, slices, text_bytes
+from millrace.llm.common import tidied
 
 #: Statistics of a text, and how many buckets each is put in.
 STATISTICS = ("length", "upper", "digit", "mark", "blank", "foreign", "word_length", "distinct", "repeated_lines", "lines", "long_word")
@@ -113,7 +114,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, most_rows:
         return pa.RecordBatch.from_arrays([batch["doc_id"], batch["target"], pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())], names=["doc_id", "target", "bins", "values"])
 
     joined = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(drawn), "doc_id")
-    got = joined.mapInArrow(lambda b: over_blocks(b, words, act), "doc_id bigint, target int, bins binary, values binary").limit(2 * most_rows).collect()
+    got = joined.mapInArrow(tidied(lambda b: over_blocks(b, words, act)), "doc_id bigint, target int, bins binary, values binary").limit(2 * most_rows).collect()
     got.sort(key=lambda r: (r["doc_id"], r["target"], r["bins"]))
     bins = [np.frombuffer(r["bins"], np.int32) for r in got]
     values = [np.frombuffer(r["values"], np.float32) for r in got]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.bytewords import slices, text_bytes
-from millrace.llm.common import crc32_mod, hidden
+from millrace.llm.common import crc32_mod, hidden, tidied
 
 UNKNOWN = "und"
 LOW, LETTERS = "langid_low", "langid_letters"
@@ -101,6 +101,7 @@ def fit(rows: DataFrame, most_rows: int = 2000, landmarks: int = 192, width: int
     dice = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1_000_003))
     drawn = texts_of(rows.where(dice < share * 1_000_003), ["lang"], dice.alias("dice")).where(LETTERS)
 
+    @tidied
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_table()
         for batch in batches:
@@ -135,6 +136,7 @@ def predict(docs: DataFrame, model: Model, columns: list[str], like: bool = Fals
     profiles = model.profiles if like else None
     labels, marks, weights, width, grams = model.labels, model.landmarks, model.weights, model.width, model.grams
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, names = letter_table(), np.array(labels, object)
         for batch in batches:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import hidden, stored
+from millrace.llm.common import hidden, stored, tidied
 from millrace.llm.features import Adam, Rows, batches_of, dimensions, labelled_sample, over_blocks
 
 DOMAINS = ("low", "toxic", "clean")
@@ -71,6 +71,7 @@ def with_posteriors(docs: DataFrame, labels: DataFrame, most_rows: int, words: i
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, got.size + 1, got.shape[1]), pa.int32()), pa.array(got.ravel()))
         return pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(rows.n_words)], names=[*batch.schema.names, POSTERIOR, TOKENS])
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return over_blocks(batches, words, act)
 
@@ -95,6 +96,7 @@ def fit_rates(placed: DataFrame, targets: dict[str, float], budget: float, most_
     small = placed.select(POSTERIOR, TOKENS)
 
     def total(of, width: int) -> np.ndarray:  # noqa: ANN001
+        @tidied
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros(width)
             for batch in batches:
@@ -138,6 +140,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     placed = stored(with_posteriors(docs, labels, most_rows, words), "mixing")
     slopes, step = fit_rates(placed, targets, budget, most_steps, close)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rate, _ = replay(np.asarray(batch[POSTERIOR].flatten()).reshape(-1, len(DOMAINS)), slopes, step)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import crc32_mod
+from millrace.llm.common import crc32_mod, tidied
 from millrace.llm.features import Adam, Rows, batches_of, dimensions, labelled_sample, over_blocks
 
 
@@ -73,6 +73,7 @@ def score(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, words: int
     def act(batch: pa.RecordBatch, rows: Rows) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(machine.scores(rows))], names=["doc_id", "score"])
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return over_blocks(batches, words, act)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import connected_components, discard, stored
+from millrace.llm.common import connected_components, discard, stored, tidied
 
 #: Fixed value: the generator x^11+x^10+x^6+x^5+x^4+x^2+1 of the (23, 12) Golay code.
 GENERATOR = 0b110001110101
@@ -83,6 +83,7 @@ def fingerprint(text: str | None) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed 64-bit integer) of every row."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.fromiter((fingerprint(t.as_py()) for t in batch["text"]), np.uint64, len(batch))
@@ -109,6 +110,7 @@ LEFT, RIGHT, BOTH = 1, 2, 3
 def with_keys(nodes: DataFrame) -> DataFrame:
     """About 130 rows for each fingerprint: key, side, fp. Fingerprints at most 4 bits apart have a key in common, with different sides or with both."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = error_table()
         for batch in batches:

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bytewords import mix, slices, text_bytes
+from millrace.llm.common import tidied
 from millrace.session import fresh_dir
 
 #: Fixed value: the pattern by which byte-level tokenizers of this kind split texts.
@@ -180,6 +181,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, vocabulary: i
     filesystem, folder = open_store(path)
     filesystem.create_dir(folder)
 
+    @tidied
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, place = open_store(path)
         shard, name = TaskContext.get().partitionId(), f"shard-{uuid.uuid4().hex}.ids"
