@@ -96,7 +96,6 @@ def fit_rates(placed: DataFrame, targets: dict[str, float], budget: float, most_
     small = placed.select(POSTERIOR, TOKENS)
 
     def total(of, width: int) -> np.ndarray:  # noqa: ANN001
-        @tidied
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros(width)
             for batch in batches:
