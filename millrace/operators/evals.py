@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def similar(a: str, b: str) -> float:
@@ -37,53 +38,84 @@ class Candidate:
                 return 0.0
         return self.matcher.ratio()
 
+    def follows(self, other: str, least: float) -> bool:
+        """Whether the ratio of this title and a later one is over `least`."""
+        matcher = SequenceMatcher(None, self.title, other)
+        return all(bound() > least for bound in (matcher.real_quick_ratio, matcher.quick_ratio, matcher.ratio))
 
-def greedy_match(expected: DataFrame, extracted: DataFrame, group: str, least: float = 0.5) -> DataFrame:
-    """JOIN-15: each expected title in its order takes the best extracted one that is left, if it is similar enough.
 
-    expected and extracted: group, pos, title. The order decides (T8), so a group is worked through in one place; a group is one
-    site's test case, whose size the test case bounds.
-    """
+@F.pandas_udf(T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("similarity", T.ArrayType(T.DoubleType()))]))
+def taken(expected: pd.Series, extracted: pd.Series, least: pd.Series) -> pd.DataFrame:
+    """For each expected title, in order, the place of the extracted one that it takes (null for none) and their similarity."""
 
-    def match(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("pos")
-        free, out = {p: Candidate(t) for p, t in zip(right["pos"], right["title"], strict=True)}, []
-        for pos, title in left.sort_values("pos")[["pos", "title"]].itertuples(index=False):
-            best, at = 0.0, None
+    def one(wanted: list, offered: list, least: float) -> tuple[list, list]:
+        free, at, scores = dict(enumerate(map(Candidate, offered))), [], []
+        for title in wanted:
+            best, place = 0.0, None
             for other, candidate in free.items():
                 if (s := candidate.similarity(title, max(best, least))) >= least and s > best:
-                    best, at = s, other
-            if at is not None:
-                del free[at]
-            out.append((key[0], pos, at, round(best, 6)))
-        return pd.DataFrame(out, columns=[group, "pos", "matched", "similarity"]).astype({"matched": "Int64"})
+                    best, place = s, other
+            free.pop(place, None)
+            at.append(place)
+            scores.append(round(best, 6))
+        return at, scores
 
-    schema = f"{group} {expected.schema[group].dataType.simpleString()}, pos bigint, matched bigint, similarity double"
-    return expected.groupBy(group).cogroup(extracted.groupBy(group)).applyInPandas(match, schema)
+    return pd.DataFrame([one(*x) for x in zip(expected, extracted, least, strict=True)], columns=["at", "similarity"])
 
 
-def merge_chunks(records: DataFrame, group: str, fields: list[str], alike: float = 0.9) -> DataFrame:
-    """JOIN-16: of a page's records in order of pos, those whose titles are equal, prefixes or alike become one; the first is the base and gaps are filled."""
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def base_places(titles: pd.Series, alike: pd.Series) -> pd.Series:
+    """For each title of a page, in order, the place of the first one that it repeats (its own if it repeats none); null for an untitled record beside others."""
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows: list[dict] = []
-        own = pdf.sort_values("pos").to_dict("records")
-        for r in own:
-            title = (r["title"] or "").strip().lower()
+    def one(titles: list, alike: float) -> list:
+        bases, out = {}, []
+        for i, title in enumerate((t or "").strip().lower() for t in titles):
             if not title:
-                if len(own) == 1:
-                    rows.append(r)
+                out.append(i if len(titles) == 1 else None)
                 continue
-            for base in rows:
-                other = base["title"].strip().lower()
-                if title.startswith(other) or other.startswith(title) or SequenceMatcher(None, other, title).ratio() > alike:
-                    base.update({f: r[f] for f in fields if base[f] in (None, "") and r[f] not in (None, "")})
-                    break
-            else:
-                rows.append(r)
-        return pd.DataFrame(rows, columns=pdf.columns)
-
-    return records.groupBy(group).applyInPandas(merge, records.schema)
+            near = lambda b, t=title: t.startswith(b.title) or b.title.startswith(t) or b.follows(t, alike)
+            place = next((k for k, b in bases.items() if near(b)), i)
+            if place == i:
+                bases[i] = Candidate(title)
+            out.append(place)
+        return out
+
+    return pd.Series([one(*x) for x in zip(titles, alike, strict=True)])
+
+
+TITLES = "array<struct<pos: bigint, title: string>>"
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df parted by keys into as many partitions as are set: adaptive execution would join them by their bytes, which say nothing of the Python work behind."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def greedy_match(expected: DataFrame, extracted: DataFrame, group: str, least: float = 0.5) -> DataFrame:
+    """JOIN-15: each expected title in its order takes the best extracted one that is left, if it is similar enough.
+
+    expected and extracted: group, pos, title. The order decides (T8), so a group's titles are worked through in one place: a group
+    must be something that the data bounds, as one site's test case is.
+    """
+    titles = lambda df, name: spread(df, group).groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("bigint").alias("pos"), "title"))).alias(name))
+    both = titles(expected, "wanted").join(titles(extracted, "offered"), group, "left").withColumn("offered", F.coalesce("offered", F.array().cast(TITLES)))
+    out = both.withColumn("x", taken(F.col("wanted.title"), F.col("offered.title"), F.lit(least)))
+    rows = out.select(group, "offered", F.explode(F.arrays_zip(F.col("wanted.pos").alias("pos"), F.col("x.at").alias("at"), F.col("x.similarity").alias("similarity"))).alias("r"))
+    return rows.select(group, "r.pos", F.get("offered", F.col("r.at"))["pos"].alias("matched"), "r.similarity")
+
+
+def merge_chunks(records: DataFrame, group: str, fields: list[str], alike: float = 0.9) -> DataFrame:
+    """JOIN-16: of a page's records in order of pos, those whose titles are equal, prefixes or alike become one; the first is the base and gaps are filled.
+
+    Only titles are compared in Python, a page at a time; records: group, pos, title and more columns, in any order.
+    """
+    others = [c for c in records.columns if c not in (group, "pos", "title")]
+    paged = spread(records, group).groupBy(group).agg(F.array_sort(F.collect_list(F.struct("pos", "title", *others))).alias("rows"))
+    placed = paged.withColumn("bases", base_places(F.col("rows.title"), F.lit(alike))).select(group, "bases", F.posexplode("rows").alias("place", "row")).withColumn("base", F.get("bases", F.col("place")))
+    filled = lambda f: F.min(F.when(F.col("row")[f].isNotNull() & (F.col("row")[f].cast("string") != ""), F.struct("place", F.col("row")[f].alias("value"))))["value"]
+    merged = placed.where("base is not null").groupBy(group, "base").agg(F.min(F.struct("place", "row"))["row"].alias("first"), *(filled(f).alias(f"filled_{i}") for i, f in enumerate(fields)))
+    column = lambda c: F.coalesce(F.col(f"filled_{fields.index(c)}"), F.col("first")[c]) if c in fields else F.col("first")[c]
+    return merged.select(*(F.col(c) if c == group else column(c).alias(c) for c in records.columns))
 
 
 def averages(scores: DataFrame, *by: str) -> DataFrame:

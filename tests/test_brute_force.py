@@ -115,9 +115,9 @@ def greedy(left, right, least):
 def test_fuzzy_match(spark, small):
     left, right = defaultdict(list), defaultdict(list)
     for r in sorted(table(spark, small, "supplier"), key=lambda r: r.s_suppkey):
-        left[r.s_nationkey].append((r.s_suppkey, r.s_name))
+        left[r.s_suppkey // 10].append((r.s_suppkey, r.s_name))
     for r in sorted(table(spark, small, "customer"), key=lambda r: r.c_custkey):
-        right[r.c_nationkey].append((r.c_custkey, r.c_name.replace("Customer", "Supplier")))
+        right[r.c_custkey // 100].append((r.c_custkey, r.c_name.replace("Customer", "Supplier")))
     want = {(site, *m) for site in left for m in greedy(left[site], right[site], 0.8)}
     assert {(r.site, r.pos, r.matched, r.similarity) for r in QUERIES["fuzzy_match"](spark, small).collect() if r.pos is not None} == want
 
@@ -135,7 +135,7 @@ def test_greedy_match_of_odd_titles(spark, least):
 def test_chunk_merge(spark, small):
     pages = defaultdict(list)
     for r in sorted(table(spark, small, "part"), key=lambda r: r.p_partkey):
-        pages[f"{r.p_brand}/{r.p_size}"].append({"pos": r.p_partkey, "title": r.p_name, "kind": r.p_type if r.p_partkey % 2 == 0 else None})
+        pages[f"{r.p_brand}/{r.p_partkey // 400}"].append({"pos": r.p_partkey, "title": r.p_name, "kind": r.p_type if r.p_partkey % 2 == 0 else None})
     want = set()
     for page, rows in pages.items():
         kept = []
@@ -150,6 +150,20 @@ def test_chunk_merge(spark, small):
     assert {(r.page, r.pos, r.title, r.kind) for r in QUERIES["chunk_merge"](spark, small).collect()} == want
 
 
+def test_chunks_of_odd_pages(spark):
+    rows = [("a", 2, None, "x", 1), ("b", 1, "", None, 2), ("b", 0, "Red", "", 3), ("b", 2, "red", "r", 4), ("b", 3, "RED HAT", "s", 5), ("c", 0, None, None, 6), ("c", 1, " ", None, 7), (None, 0, "Lamp", None, 8)]
+    got = evals.merge_chunks(spark.createDataFrame(rows, "page string, pos int, title string, kind string, row int"), "page", ["kind"])
+    assert got.columns == ["page", "pos", "title", "kind", "row"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("a", 2, None, "x", 1), ("b", 0, "Red", "r", 3), (None, 0, "Lamp", None, 8)], key=str)
+    assert evals.merge_chunks(got.limit(0), "page", ["kind"]).count() == 0
+
+
+def test_greedy_match_without_a_partner(spark):
+    frame = lambda *rows: spark.createDataFrame(rows, "site string, pos bigint, title string")
+    got = evals.greedy_match(frame(("a", 0, "lamp"), ("b", 0, None)), frame(("b", 0, None), ("c", 0, "lamp")), "site")
+    assert sorted(map(tuple, got.collect())) == [("a", 0, None, 0.0), ("b", 0, None, 0.0)]
+
+
 def test_stream_breakers(spark, small):
     events = defaultdict(list)
     for r in sorted(table(spark, small, "events"), key=lambda r: r.ts):
