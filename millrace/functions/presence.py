@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,3 +51,8 @@ def usable_price(c: Column | str) -> Column:
     """For extraction: the text, unless it is blank or exactly '0' ('0.00' is a price)."""
     text = strip(column(c).cast("string"))
     return F.when((text != "") & (text != "0"), text)
+
+
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text, urls
-from millrace.functions.presence import column, strip, truthy
+from millrace.functions.presence import column, once, strip, truthy
 
 # Patterns of tracking ids, the group that holds the id, the kind.
 TRACKERS = {
@@ -184,12 +184,15 @@ def with_network_services(tags: DataFrame, services: DataFrame, key: str) -> Dat
 
 def platform(html: Column | str) -> Column:
     """EXT-17, AGG-16: struct(platform, signals, confidence): most signals, ties by declaration, none is generic."""
-    low = F.lower(column(html))
-    counted = [(name, sum((low.rlike(m).cast("int") for m in marks), F.lit(0))) for name, marks in PLATFORM_MARKS.items()]
-    top = F.greatest(*(n for _, n in counted))
+    return once(F.lower(column(html)), lambda low: once(F.struct(*(sum((low.rlike(m).cast("int") for m in marks), F.lit(0)).alias(name) for name, marks in PLATFORM_MARKS.items())), most_signals))
+
+
+def most_signals(counted: Column) -> Column:
+    """struct(platform, signals, confidence) of a struct that holds each platform's number of signals."""
+    top = F.greatest(*(counted[p] for p in PLATFORM_MARKS))
     name = F.lit("generic")
-    for p, n in reversed(counted):
-        name = F.when((n == top) & (top > 0), p).otherwise(name)
+    for p in reversed(PLATFORM_MARKS):
+        name = F.when((counted[p] == top) & (top > 0), p).otherwise(name)
     most = F.create_map(*(F.lit(x) for pair in MOST_SIGNALS.items() for x in pair))
     return F.struct(name.alias("platform"), top.alias("signals"), F.round(F.least(F.lit(1.0), F.greatest(top, F.lit(0)) / most[name]), 4).alias("confidence"))
 
@@ -197,10 +200,10 @@ def platform(html: Column | str) -> Column:
 def page_class(html: Column | str) -> Column:
     """EXT-16: struct(rejection, confidence, is_product). Error titles, redirects to the front page and pages with little text are rejected."""
     h = column(html)
-    head, shown = F.lower(title(h)), F.regexp_replace(visible_text(h), r"\s", "")
     refresh = strip(F.regexp_extract(F.regexp_extract(h, r"""(?i)<meta[^>]*http-equiv=["']?refresh["']?[^>]*>""", 0), r"""(?i)url\s*=\s*([^"'>]*)""", 1))
     home = h.rlike(r"""(?i)<meta[^>]*http-equiv=["']?refresh["']?[^>]*url\s*=""") & F.regexp_replace(refresh, "/+$", "").isin("")
-    rejection = F.when(head.rlike("|".join(ERROR_TITLES)), "error_page_title").when(home, "redirect_to_homepage").when(F.length(shown) < 500, "insufficient_content").otherwise("")
+    shown = F.length(F.regexp_replace(visible_text(h), r"\s", ""))
+    rejection = F.when(F.lower(title(h)).rlike("|".join(ERROR_TITLES)), "error_page_title").when(home, "redirect_to_homepage").when(shown < 500, "insufficient_content").otherwise("")
     ld = h.rlike(r"""(?is)application/ld\+json["']?[^>]*>(?:(?!</script>).)*"@type"\s*:\s*"Product\"""")
     weights = (
         (ld, 0.4),
@@ -209,8 +212,10 @@ def page_class(html: Column | str) -> Column:
         (h.rlike(r"""(?i)itemprop=["']price["']|class=["'](?:[^"']*\s)?price[\s"']|\sdata-price\b"""), 0.15),
         (h.rlike(r"""(?i)itemprop=["']name["']|class=["'](?:[^"']*\s)?product-title[\s"']|<h1[^>]*class=["'](?:[^"']*\s)?product-name[\s"']"""), 0.1),
     )
-    confidence = F.when(rejection != "", 0.0).otherwise(F.round(F.least(F.lit(1.0), sum((F.when(c, w).otherwise(0.0) for c, w in weights), F.lit(0.0))), 4))
-    return F.struct(rejection.alias("rejection"), confidence.alias("confidence"), ((rejection == "") & (confidence >= 0.3)).alias("is_product"))
+    score = F.round(F.least(F.lit(1.0), sum((F.when(c, w).otherwise(0.0) for c, w in weights), F.lit(0.0))), 4)
+    judged = lambda r: F.struct(r.alias("rejection"), F.when(r != "", 0.0).otherwise(score).alias("confidence"))
+    with_class = lambda x: F.struct(x["rejection"].alias("rejection"), x["confidence"].alias("confidence"), ((x["rejection"] == "") & (x["confidence"] >= 0.3)).alias("is_product"))
+    return once(once(rejection, judged), with_class)
 
 
 def about(html: Column | str) -> Column:

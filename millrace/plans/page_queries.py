@@ -44,8 +44,8 @@ def page_text(s, d):
 
 def page_classes(s, d):
     """EXT-16, EXT-17, AGG-16: rejection, confidence and platform of each page."""
-    c, p = extract.page_class("html"), extract.platform("html")
-    return pages(s, d).select("page_id", c["rejection"].alias("rejection"), c["confidence"].alias("confidence"), c["is_product"].alias("is_product"), p["platform"].alias("platform"), p["confidence"].alias("platform_confidence"))
+    both = pages(s, d).select("page_id", F.inline(F.array(F.struct(extract.page_class("html").alias("c"), extract.platform("html").alias("p")))))
+    return both.select("page_id", "c.rejection", "c.confidence", "c.is_product", "p.platform", F.col("p.confidence").alias("platform_confidence"))
 
 
 def enriched(s, d):
