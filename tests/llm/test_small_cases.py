@@ -349,6 +349,27 @@ def test_chat(spark):
     assert chat.rotate(spark.createDataFrame([], schema)).count() == 0
 
 
+@pytest.fixture
+def many_parts(spark):
+    """Small tables keep all their partitions."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_chat_of_any_length(spark, many_parts):
+    """Long dialogues, with turn numbers or without, are cut by their utterances; records follow each other without a gap."""
+    rows = [(c, None if c == 1 else 7 if c == 2 else i // 2, ("system", "ann", "bob", "cy")[(i * i) % 4 if i % 50 else 0], f"{'x' * 70}{i:04d}" if i % 3 else f"{i}") for c in (None, 1, 2, 3) for i in range(2500)]
+    got = chat.rotate(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(7)).collect()
+    whole = chat.rotate(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"), block=10_000).collect()
+    assert {(r.conv_id, r.perspective) for r in whole} == {(r.conv_id, r.perspective) for r in got} and len(whole) < len(got)
+    for w in whole:
+        parts = sorted((r for r in got if (r.conv_id, r.perspective) == (w.conv_id, w.perspective)), key=lambda r: r.block)
+        assert [r.n_turns for r in parts] == [1024, 1024, 452]
+        assert "".join(r.text for r in parts) == w.text and [r.offset for r in parts] == [0, len(parts[0].text), len(parts[0].text) + len(parts[1].text)]
+        assert [(r.offset + int(a), r.offset + int(b)) for r in parts for a, b in (m.split(":") for m in filter(None, r.masks.split(",")))] == [tuple(map(int, m.split(":"))) for m in w.masks.split(",")]
+
+
 def test_quality(spark, small):
     table, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
     got = quality.score(table, labels).join(labels, "doc_id").where("held_out")
