@@ -73,7 +73,7 @@ def rotate(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
         ).distinct()
     ).withColumn("block", F.floor(F.col("number") / block))
     by_block = turns.groupBy("conv_id", "block", "role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
-    speakers = block_offsets(by_block)
+    speakers = block_offsets(stored(by_block, "chat-blocks"))
     blocks = turns.groupBy("conv_id", "block").agg(F.array_sort(F.collect_list(F.struct("number", "role", "text"))).alias("turns"))
     joined = blocks.join(speakers, blocks["conv_id"].eqNullSafe(speakers["speaker_conv"]) & (blocks["block"] == speakers["speaker_block"]))
     opened = lambda t: head(t["role"], F.col("perspective"))
