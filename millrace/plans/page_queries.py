@@ -197,6 +197,22 @@ def stream_once(s, d):
     return _streamed(s, d, lambda e: state.once(e, "ts", "user_id").select("user_id"), "append")
 
 
+def _last_ts(s, d):
+    return F.lit(table(s, d, "events").agg(F.max("ts").cast("string")).first()[0])
+
+
+def stream_metrics(s, d):
+    """SNK-13: events appended as request metrics, and those of the last 24 hours as a reader sees them."""
+    kept = _streamed(s, d, lambda e: e.select("event_id", "ts", "event_type", "value"), "append")
+    return state.recent(kept, "ts", _last_ts(s, d).cast("timestamp"), 24).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def result_cache(s, d):
+    """STR-09: each user as a domain whose errors empty its entry."""
+    log = table(s, d, "events").withColumn("event_type", F.when(F.col("event_type") != "error", F.col("event_type")))
+    return state.cached(log, "user_id", "ts", "event_type", _last_ts(s, d).cast("timestamp_ntz"))
+
+
 def stream_breakers(s, d):
     """STR-04: each user as a domain whose errors trip the breaker."""
     return _streamed(s, d, lambda e: state.breakers(e.withColumn("bad", F.col("event_type") == "error"), "user_id", "ts", "bad", 3, 3600.0), "update")
@@ -246,5 +262,7 @@ QUERIES = {
     "stream_limits": (stream_limits, "select date_trunc('hour', ts) as start, user_id, count(*) as n from events group by 1, 2 having n > 2"),
     "stream_latest": (stream_latest, "select user_id, ts, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_type desc) as r from events) where r = 1"),
     "stream_once": (stream_once, "select distinct user_id from events"),
+    "stream_metrics": (stream_metrics, "select event_id, ts, event_type, value from events where ts >= (select max(ts) - interval 24 hour from events)"),
+    "result_cache": (result_cache, "select user_id, ts, event_type from (select user_id, ts, case when event_type <> 'error' then event_type end as event_type, row_number() over (partition by user_id order by ts desc, case when event_type <> 'error' then event_type end desc nulls last) as r from events) where r = 1 and event_type is not null and ts > (select max(ts) - interval 7 day from events)"),
     "stream_breakers": (stream_breakers, None),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -32,6 +32,17 @@ def once(events: DataFrame, ts: str, key: str, late: str = "1 hour") -> DataFram
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
+def cached(log: DataFrame, key: str, order: str, value: str, as_of: Column, days: int = 7) -> DataFrame:
+    """STR-09: what the cache holds of each key: its last value, unless that is null (an empty result takes the entry out) or past its time."""
+    last = latest_states(log.where(F.col(order) <= as_of), key, order, value)
+    return last.where(F.col(value).isNotNull() & (F.col(order) > as_of - F.make_dt_interval(F.lit(days))))
+
+
+def recent(metrics: DataFrame, ts: str, as_of: Column, hours: int = 1) -> DataFrame:
+    """SNK-13: the appended request metrics that aren't past their time; older ones are left out when they are read."""
+    return metrics.where(F.col(ts).between(as_of - F.make_dt_interval(hours=F.lit(hours)), as_of))
+
+
 def step(state: tuple[str, int, float], failed: bool, at: float, limit: int, wait: float) -> tuple[str, int, float]:
     """One event of a breaker (state, failures, opened at). Failures add up over successes while it is closed (T16); one probe decides when it is half open."""
     name, failures, opened = state

@@ -198,3 +198,11 @@ def test_products_keep_their_own_fields(spark):
     nodes = extract.products(spark.createDataFrame([(1, page)], "page_id int, html string"), "html", "page_id")
     named = nodes.select("*", F.expr("try_variant_get(node, '$.name', 'string')").alias("name"))
     assert {(r.name, r.gtin) for r in extract.product_identifiers(named, "page_id", "name").collect()} == {("Zed", "4006381333931"), ("Abe", None)}
+
+
+def test_cache_and_metrics_at_their_bounds(spark):
+    log = spark.sql("select k, cast(t as timestamp_ntz) as t, v from values ('a', '2024-01-01 00:00:00', 'x'), ('b', '2024-01-01 00:00:01', 'x'), ('c', '2024-01-07', 'x'), ('c', '2024-01-07 01:00:00', null), ('d', '2024-01-07', 'old'), ('d', '2024-01-07 23:00:00', 'new'), ('e', '2024-01-09', 'late') as x(k, t, v)")
+    now = F.lit("2024-01-08 00:00:00").cast("timestamp_ntz")
+    assert {(r.k, r.v) for r in state.cached(log, "k", "t", "v", now).collect()} == {("b", "x"), ("d", "new")}
+    assert {r.k for r in state.recent(log, "t", now, 1).collect()} == {"d"}
+    assert state.cached(log.limit(0), "k", "t", "v", now).count() == 0 == state.recent(log.limit(0), "t", now).count()
