@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import chat, decontaminate, embeddings, langid, linededup, mixing, quality, secrets, simhash, token_store
+from millrace.llm import chat, decontaminate, embeddings, langid, linededup, mixing, quality, rules, runs, secrets, simhash, token_store, whitening
 from millrace.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,8 +31,11 @@ def queries() -> dict[str, Query]:
         "op8_chat_rotation": lambda s, d: chat.rotate(table(s, d, "conversations")),
         "op9_quality": lambda s, d: quality.score(table(s, d, "documents"), table(s, d, "labels")),
         "op10_embedding_dedup": lambda s, d: embeddings.near_copies(table(s, d, "embeddings"), cell_size=512, reach=0.3),
+        "op11_periodic_runs": lambda s, d: runs.report(table(s, d, "documents")),
+        "op12_whitening": lambda s, d: whitening.whiten(table(s, d, "embeddings")),
+        "op13_quality_rules": lambda s, d: rules.report(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_secret_scan": secrets.oracle_sql(), "op8_chat_rotation": chat.ORACLE_SQL}
+    return {"op5_secret_scan": secrets.oracle_sql(), "op8_chat_rotation": chat.ORACLE_SQL, "op13_quality_rules": rules.ORACLE_SQL}
