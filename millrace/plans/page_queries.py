@@ -1,4 +1,4 @@
-"""Page, URL, text and stream operators over the driver's tables, each with its SQL where SQL can express it."""
+"""Page, URL and text operators over the driver's tables, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import money, presence, text, urls
 from millrace.operators import evals, extract, quality
-from millrace.session import fresh_dir, table
-from millrace.streaming import state
+from millrace.session import table
 
 
 def pages(s, d):
@@ -159,65 +158,6 @@ def neighbours(s, d):
     return p.select("page_id", F.array_join(F.array_distinct(F.split("title", " ")), " ").alias("words"), F.lag("page_id").over(w).alias("before"))
 
 
-def _streamed(s, d, shape, mode):
-    """Runs a stream over the events' file to its end, each batch into a folder of its own, and returns what it wrote: in complete mode the last batch."""
-    folder = fresh_dir(s, "stream")
-    batch = table(s, d, "events")
-    source = s.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    shaped = shape(source.withColumn("ts", F.col("ts").cast("timestamp")))
-    writer = shaped.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
-    writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")).start().awaitTermination()
-    out = s.read.schema(shaped.schema.add("batch", "long")).parquet(f"{folder}/out")
-    if mode == "complete":
-        out = out.where(F.col("batch") == out.agg(F.max("batch")).first()[0])
-    return out.drop("batch")
-
-
-def _start(df):
-    return df.withColumn("start", F.col("start").cast("timestamp_ntz"))
-
-
-def stream_windows(s, d):
-    """STR-01: requests of each hour and kind that the watermark has closed."""
-    return _start(_streamed(s, d, lambda e: state.request_windows(e, "ts", "event_type", "value"), "append"))
-
-
-def stream_limits(s, d):
-    """STR-05: hours in which a user made more than two requests; all windows, as a stream in complete mode gives them."""
-    return _start(_streamed(s, d, lambda e: state.over_limit(e, "ts", "user_id", 2, "1 hour"), "complete"))
-
-
-def stream_latest(s, d):
-    """STR-02, STR-03."""
-    return _streamed(s, d, lambda e: state.latest_states(e, "user_id", "ts", "event_type"), "complete").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-
-
-def stream_once(s, d):
-    """STR-08: users by the first of their events within the watermark."""
-    return _streamed(s, d, lambda e: state.once(e, "ts", "user_id").select("user_id"), "append")
-
-
-def _last_ts(s, d):
-    return F.lit(table(s, d, "events").agg(F.max("ts").cast("string")).first()[0])
-
-
-def stream_metrics(s, d):
-    """SNK-13: events appended as request metrics, and those of the last 24 hours as a reader sees them."""
-    kept = _streamed(s, d, lambda e: e.select("event_id", "ts", "event_type", "value"), "append")
-    return state.recent(kept, "ts", _last_ts(s, d).cast("timestamp"), 24).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-
-
-def result_cache(s, d):
-    """STR-09: each user as a domain whose errors empty its entry."""
-    log = table(s, d, "events").withColumn("event_type", F.when(F.col("event_type") != "error", F.col("event_type")))
-    return state.cached(log, "user_id", "ts", "event_type", _last_ts(s, d).cast("timestamp_ntz"))
-
-
-def stream_breakers(s, d):
-    """STR-04: each user as a domain whose errors trip the breaker."""
-    return _streamed(s, d, lambda e: state.breakers(e.withColumn("bad", F.col("event_type") == "error"), "user_id", "ts", "bad", 3, 3600.0), "update")
-
-
 _HOST = r"lower(regexp_extract(url, '^[a-z]+://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
 _DOMAIN = rf"regexp_replace({_HOST}, '^www\.', '')"
 _PATH = r"regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/+$', '')"
@@ -258,11 +198,4 @@ QUERIES = {
     "names_of": (names_of, rf"select page_id, array_to_string(list_transform(string_split(replace(split_part({_DOMAIN}, '.', 1), '-', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') as brand, regexp_replace(url, '[^a-zA-Z0-9.\-]', '_', 'g') as file from pages"),
     "probe_gate": (probe_gate, f"select lang, count(*) as n, round(avg(case when {_TITLE} <> '' then 0.4 + 0.15 * (contains(html, '$')::int + contains(html, '<img')::int + (length(html) > 3000)::int + contains(html, '<h1>')::int) else 0 end), 4)::double as quality from (select *, {_LANG} as lang from pages) group by lang having quality >= 0.3"),
     "neighbours": (neighbours, f"select page_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') as words, lag(page_id) over (partition by domain order by page_id) as before from (select page_id, string_split({_TITLE}, ' ') as w, {_DOMAIN} as domain from pages)"),
-    "stream_windows": (stream_windows, "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total, max(value) as most from events group by 1, 2 having date_trunc('hour', ts) + interval 1 hour <= (select max(ts) from events) - interval 1 hour"),
-    "stream_limits": (stream_limits, "select date_trunc('hour', ts) as start, user_id, count(*) as n from events group by 1, 2 having n > 2"),
-    "stream_latest": (stream_latest, "select user_id, ts, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_type desc) as r from events) where r = 1"),
-    "stream_once": (stream_once, "select distinct user_id from events"),
-    "stream_metrics": (stream_metrics, "select event_id, ts, event_type, value from events where ts >= (select max(ts) - interval 24 hour from events)"),
-    "result_cache": (result_cache, "select user_id, ts, event_type from (select user_id, ts, case when event_type <> 'error' then event_type end as event_type, row_number() over (partition by user_id order by ts desc, case when event_type <> 'error' then event_type end desc nulls last) as r from events) where r = 1 and event_type is not null and ts > (select max(ts) - interval 7 day from events)"),
-    "stream_breakers": (stream_breakers, None),
 }

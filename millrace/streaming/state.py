@@ -1,13 +1,9 @@
-"""Streams: request windows, latest job states, rate limits and circuit breakers."""
+"""Streams by built-in operators: request windows, rate limits, first events of a window. Keyed states are in ordered.py."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def request_windows(events: DataFrame, ts: str, endpoint: str, latency: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -17,19 +13,20 @@ def request_windows(events: DataFrame, ts: str, endpoint: str, latency: str, wid
 
 
 def over_limit(events: DataFrame, ts: str, client: str, limit: int, width: str = "1 minute", late: str = "1 hour") -> DataFrame:
-    """STR-05: windows in which a client made more requests than the limit."""
+    """STR-05: closed windows in which a client made more requests than the limit."""
     n = events.withWatermark(ts, late).groupBy(F.window(ts, width), client).agg(F.count("*").alias("n"))
     return n.where(F.col("n") > limit).select(F.col("window.start").alias("start"), client, "n")
 
 
-def latest_states(log: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """STR-02, STR-03: the last value of each key; for update mode."""
-    return log.groupBy(key).agg(F.max(F.struct(order, value)).alias("last")).select(key, F.col("last")[order].alias(order), F.col("last")[value].alias(value))
+def once(events: DataFrame, ts: str, key: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
+    """STR-08: each key once for each window that it has events in, whichever comes first; the watermark clears windows from state."""
+    seen = events.withWatermark(ts, late).select(F.window(ts, width).alias("window"), key).dropDuplicates(["window", key])
+    return seen.select(F.col("window.start").alias("start"), key)
 
 
-def once(events: DataFrame, ts: str, key: str, late: str = "1 hour") -> DataFrame:
-    """STR-08: the first event of each key within the watermark."""
-    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+def latest_states(log: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """STR-02, STR-03: the last value of each key."""
+    return log.groupBy(key).agg(F.max(F.struct(order, value)).alias("last")).select(key, F.col("last")[order].alias(order), F.col("last")[value].alias(value))
 
 
 def cached(log: DataFrame, key: str, order: str, value: str, as_of: Column, days: int = 7) -> DataFrame:
@@ -41,34 +38,3 @@ def cached(log: DataFrame, key: str, order: str, value: str, as_of: Column, days
 def recent(metrics: DataFrame, ts: str, as_of: Column, hours: int = 1) -> DataFrame:
     """SNK-13: the appended request metrics that aren't past their time; older ones are left out when they are read."""
     return metrics.where(F.col(ts).between(as_of - F.make_dt_interval(hours=F.lit(hours)), as_of))
-
-
-def step(state: tuple[str, int, float], failed: bool, at: float, limit: int, wait: float) -> tuple[str, int, float]:
-    """One event of a breaker (state, failures, opened at). Failures add up over successes while it is closed (T16); one probe decides when it is half open."""
-    name, failures, opened = state
-    if name == "OPEN" and at - opened >= wait:
-        name = "HALF_OPEN"
-    if name == "OPEN":
-        return state
-    if failed:
-        failures += 1
-        if name == "HALF_OPEN" or failures >= limit:
-            return "OPEN", failures, at
-        return name, failures, opened
-    return ("CLOSED", 0, opened) if name == "HALF_OPEN" else (name, failures, opened)
-
-
-def breakers(events: DataFrame, key: str, ts: str, failed: str, limit: int = 5, wait: float = 60.0) -> DataFrame:
-    """STR-04: for each key and batch the state after its events, in order of time; for update mode."""
-
-    def run(key_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else ("CLOSED", 0, 0.0)
-        rows = pd.concat(list(batches)).sort_values("at")
-        for at, bad in rows[["at", "bad"]].itertuples(index=False):
-            now = step(now, bool(bad), float(at), limit, wait)
-        state.update(now)
-        yield pd.DataFrame({key: [key_[0]], "state": [now[0]], "failures": [now[1]], "opened": [now[2]]})
-
-    rows = events.select(key, F.expr(f"unix_micros(cast({ts} as timestamp)) / 1e6").alias("at"), F.col(failed).alias("bad"))
-    kind = events.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, state string, failures int, opened double", "state string, failures int, opened double", "update", GroupStateTimeout.NoTimeout)

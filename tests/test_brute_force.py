@@ -12,7 +12,6 @@ from millrace import registry
 from millrace.functions import text
 from millrace.operators import evals, extract
 from millrace.sources import feeds
-from millrace.streaming import state
 
 QUERIES = registry.queries()
 
@@ -164,19 +163,6 @@ def test_greedy_match_without_a_partner(spark):
     assert sorted(map(tuple, got.collect())) == [("a", 0, None, 0.0), ("b", 0, None, 0.0)]
 
 
-def test_stream_breakers(spark, small):
-    events = defaultdict(list)
-    for r in sorted(table(spark, small, "events"), key=lambda r: r.ts):
-        events[r.user_id].append((r.event_type == "error", r.ts.timestamp()))
-    want = {}
-    for user, rows in events.items():
-        now = ("CLOSED", 0, 0.0)
-        for bad, at in rows:
-            now = state.step(now, bad, at, 3, 3600.0)
-        want[user] = now[:2]
-    assert {r.user_id: (r.state, r.failures) for r in QUERIES["stream_breakers"](spark, small).collect()} == want
-
-
 def test_seeded_sample_doesnt_depend_on_the_layout(spark, small, tmp_path):
     spark.read.parquet(f"{small}/documents.parquet").orderBy(F.desc("doc_id")).repartition(7).write.parquet(f"{tmp_path}/documents.parquet")
     one, two = ([r.doc_id for r in QUERIES["seeded_sample"](spark, where).collect()] for where in (small, str(tmp_path)))
@@ -198,11 +184,3 @@ def test_products_keep_their_own_fields(spark):
     nodes = extract.products(spark.createDataFrame([(1, page)], "page_id int, html string"), "html", "page_id")
     named = nodes.select("*", F.expr("try_variant_get(node, '$.name', 'string')").alias("name"))
     assert {(r.name, r.gtin) for r in extract.product_identifiers(named, "page_id", "name").collect()} == {("Zed", "4006381333931"), ("Abe", None)}
-
-
-def test_cache_and_metrics_at_their_bounds(spark):
-    log = spark.sql("select k, cast(t as timestamp_ntz) as t, v from values ('a', '2024-01-01 00:00:00', 'x'), ('b', '2024-01-01 00:00:01', 'x'), ('c', '2024-01-07', 'x'), ('c', '2024-01-07 01:00:00', null), ('d', '2024-01-07', 'old'), ('d', '2024-01-07 23:00:00', 'new'), ('e', '2024-01-09', 'late') as x(k, t, v)")
-    now = F.lit("2024-01-08 00:00:00").cast("timestamp_ntz")
-    assert {(r.k, r.v) for r in state.cached(log, "k", "t", "v", now).collect()} == {("b", "x"), ("d", "new")}
-    assert {r.k for r in state.recent(log, "t", now, 1).collect()} == {"d"}
-    assert state.cached(log.limit(0), "k", "t", "v", now).count() == 0 == state.recent(log.limit(0), "t", now).count()

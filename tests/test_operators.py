@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from millrace.functions import money, presence, similarity, text, urls
 from millrace.operators import access, evals, extract, normalize
 from millrace.sources import feeds, payloads
-from millrace.streaming import state
 
 
 def values(spark, rows, schema, **columns):
@@ -149,17 +148,6 @@ def test_chunks_merge(spark):
     assert [(r.title, r.price) for r in got] == [("Blue Cup", "5"), ("Other", "1")]
 
 
-@pytest.mark.parametrize("events, want", [([1] * 5, "OPEN"), ([1, 1, 0, 1, 1, 1], "OPEN"), ([1] * 4, "CLOSED")])
-def test_breaker(events, want):
-    """T16: successes don't reset the count."""
-    now = ("CLOSED", 0, 0.0)
-    for at, bad in enumerate(events):
-        now = state.step(now, bool(bad), float(at), 5, 60.0)
-    assert now[0] == want
-    if want == "OPEN":
-        assert state.step(now, False, 1000.0, 5, 60.0)[0] == "CLOSED" and state.step(now, True, 1000.0, 5, 60.0)[0] == "OPEN" and state.step(now, False, 10.0, 5, 60.0) == now
-
-
 def test_token_replay(spark):
     tokens = spark.createDataFrame([("a", 1, True), ("b", 1, False), ("c", 2, False)], "token string, family int, revoked boolean")
     assert {r.token: r.revoked for r in access.rotate(tokens, tokens.where("token in ('a', 'c')").select("token")).collect()} == {"a": True, "b": True, "c": True}
