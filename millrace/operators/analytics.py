@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators import catalog
+
 
 def request_stats(df: DataFrame, latency: str, failed: Column, ts: str) -> DataFrame:
     """AGG-07: count, error rate in percent, exact interpolated p50, p95 and p99 (T12), and requests a minute between first and last."""
@@ -50,8 +52,7 @@ def shares(counts: DataFrame, n: str) -> DataFrame:
 
 def latest(log: DataFrame, key: str, *order: str) -> DataFrame:
     """STR-03, SRC-20: the last state of each key."""
-    rest = [c for c in log.columns if c != key]
-    return log.groupBy(key).agg(F.max(F.struct(*order, F.struct(*rest).alias("row"))).alias("last")).select(key, "last.row.*")
+    return catalog.last_by_key(log, [key], list(order)).select(key, *(c for c in log.columns if c != key))
 
 
 def progress(log: DataFrame, key: str, order: list[str], n: str) -> DataFrame:

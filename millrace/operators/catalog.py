@@ -14,25 +14,30 @@ def _struct(df: DataFrame) -> Column:
     return F.struct(*(F.col(f"`{c}`") for c in df.columns))
 
 
-def last_by_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """WIN-01: of rows with one key the last in order. A maximum of structs, so partial results meet in the shuffle and no key is sorted."""
-    row = F.max(F.struct(*order, _struct(df).alias("row"))).alias("last")
-    return df.groupBy(*keys).agg(row).select("last.row.*")
+def _orderable(df: DataFrame) -> list[Column]:
+    """Columns that rows can be ordered by, to settle ties; those of or with maps or variants can't."""
+    return [F.col(f"`{f.name}`") for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+
+
+def last_by_key(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
+    """WIN-01: of rows with one key the last in order, of equals the greatest by all columns that have an order. Partial results meet in the shuffle and no key is sorted."""
+    row = F.max_by(_struct(df), F.struct(*order, *_orderable(df))).alias("row")
+    return df.groupBy(*keys).agg(row).select("row.*")
 
 
 def richest_by_key(df: DataFrame, keys: list[str], fields: list[str], order: str) -> DataFrame:
     """WIN-02: the row with most fields that aren't empty; of equals the first in order."""
     n = sum((filled(c).cast("int") for c in fields), F.lit(0))
-    best = F.max(F.struct(n.alias("n"), (-F.col(order)).alias("first"), _struct(df).alias("row"))).alias("best")
-    return df.groupBy(*keys).agg(best).select("best.row.*")
+    return last_by_key(df, keys, [n.alias("_n"), (-F.col(order)).alias("_first")])
 
 
-def upsert(target: DataFrame, staged: DataFrame, key: str, keep: list[str] = (), stamp: dict[str, Column] | None = None, order: list[str] = ()) -> DataFrame:
-    """SNK-01 to SNK-04: rows of staged replace those of target with their key; columns in keep stay as they were. stamp: values set where a row is replaced.
+def upsert(target: DataFrame, staged: DataFrame, key: str | list[str], keep: list[str] = (), stamp: dict[str, Column] | None = None, order: list[str] = ()) -> DataFrame:
+    """SNK-01 to SNK-04: rows of staged replace those of target with their key (of one or more columns); columns in keep stay as they were. stamp: values set where a row is replaced.
 
-    Of staged rows with one key the last in order counts (all columns, if no order is given); rows without a key are added."""
-    named = staged.where(F.col(key).isNotNull())
-    staged = last_by_key(named, [key], list(order) or [c for c in staged.columns if c != key]).unionByName(staged.where(F.col(key).isNull()))
+    Of staged rows with one key the last in order counts (by all columns that have an order, if none is given); rows without a key are added. sinks.buckets has tables that take upserts in place."""
+    keys = [key] if isinstance(key, str) else list(key)
+    known = F.expr(" and ".join(f"`{k}` is not null" for k in keys))
+    staged = last_by_key(staged.where(known), keys, list(order)).unionByName(staged.where(~known))
     t, s = target.withColumn("_there", F.lit(True)).alias("t"), staged.withColumn("_here", F.lit(True)).alias("s")
     there, here = F.col("_there").isNotNull(), F.col("_here").isNotNull()
     columns = []
@@ -41,7 +46,7 @@ def upsert(target: DataFrame, staged: DataFrame, key: str, keep: list[str] = (),
         if stamp and c in stamp:
             value = F.when(here & there, stamp[c]).otherwise(value)
         columns.append(value.alias(c))
-    return t.join(s, F.col(f"t.{key}") == F.col(f"s.{key}"), "full_outer").select(*columns)
+    return t.join(s, [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys], "full_outer").select(*columns)
 
 
 def insert_if_absent(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -202,8 +202,8 @@ def shape(raw: Raw) -> Column:
     return F.when(raw.at("_source") == "google_feed", "feed").when(has("name") & (has("offers") | F.contains(kind, F.lit("Product"))), "schema_org").when(has("og:title") | has("product:price:amount"), "opengraph").otherwise("selectors")
 
 
-def normalize(records: DataFrame) -> DataFrame:
-    """PRJ-01, FLT-05: columns raw (VARIANT), shop_id, platform, shop_url to products with is_valid and reject_reason.
+def normalize(records: DataFrame, *carry: str) -> DataFrame:
+    """PRJ-01, FLT-05: columns raw (VARIANT), shop_id, platform, shop_url to products with is_valid and reject_reason. carry: further columns that stay.
 
     A platform's own mapping goes first and the generic ones follow where it finds no title. Prices of more than two places and
     currencies of more than three letters reject the row (T3, T4); so does having no price, image and identifier.
@@ -218,7 +218,7 @@ def normalize(records: DataFrame) -> DataFrame:
     for name, make in generic.items():
         fallback = F.when(F.col("_shape") == name, titled(make(raw, url))) if fallback is None else fallback.when(F.col("_shape") == name, titled(make(raw, url)))
     # A generated row is a barrier: what follows reads columns, so the optimizer can't repeat the mapping for each of them.
-    out = records.withColumn("_shape", shape(raw)).select("shop_id", "platform", "raw", F.inline(F.array(F.coalesce(special, fallback, product()))))
+    out = records.withColumn("_shape", shape(raw)).select("shop_id", "platform", "raw", *carry, F.inline(F.array(F.coalesce(special, fallback, product()))))
     has_id = truthy("sku") | truthy(strip("external_id"))
     reason = (
         F.when(F.col("title").isNull(), "no_title")
@@ -229,5 +229,5 @@ def normalize(records: DataFrame) -> DataFrame:
     cast = {"price": "decimal(12,2)", "compare_at_price": "decimal(12,2)"}
     special_columns = {"currency": F.upper("currency"), "condition": F.coalesce("condition", F.lit("NEW"))}
     columns = [special_columns.get(c, F.col(c).try_cast(cast[c]) if c in cast else F.col(c)).alias(c) for c in FIELDS]
-    done = out.withColumn("reject_reason", reason).select("shop_id", "platform", "raw", *columns, "reject_reason", F.col("reject_reason").isNull().alias("is_valid"))
+    done = out.withColumn("reject_reason", reason).select("shop_id", "platform", "raw", *carry, *columns, "reject_reason", F.col("reject_reason").isNull().alias("is_valid"))
     return done.withColumn("idempotency_key", text.idempotency_key(F.col("external_id"), F.col("platform"), F.col("shop_id"), F.col("sku"), F.col("title")))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from millrace.functions import text
 from millrace.functions.presence import filled, strip
 from millrace.operators import access, catalog, quality
-from millrace.session import table
+from millrace.session import fresh_dir, table
+from millrace.sinks.buckets import BucketTable
 
 AS_OF = "timestamp_ntz'1998-01-01 00:00:00'"
 
@@ -97,12 +98,28 @@ def _orders(s, d):
 
 
 def upsert_merge(s, d):
-    """SNK-01: orders of even customers are there, every third order arrives, every ninth twice (the last counts), some without a key; created stays as it was, version is stamped."""
+    """SNK-01: a table of the orders of even customers; every third order arrives, every ninth twice (the last counts), some without a key; created stays as it was, version is stamped. The batch comes twice and counts once."""
     o = table(s, d, "orders")
     shape = lambda df, v: df.select(F.col("o_orderkey").alias("key"), F.lit(v).alias("status"), F.round(F.col("o_totalprice") * (2 if v == "new" else 1), 2).alias("price"), F.when(F.lit(v == "old"), F.col("o_orderdate")).otherwise(F.expr("timestamp_ntz'2000-01-01'")).alias("created"), F.lit(0).alias("version"))
     new = shape(o.where("o_orderkey % 3 = 0"), "new")
     staged = new.withColumn("seq", F.lit(0)).union(new.where("key % 9 = 0").withColumn("status", F.lit("last")).withColumn("seq", F.lit(1))).union(new.where("key % 30 = 0").withColumn("key", F.lit(None).cast("bigint")).withColumn("seq", F.lit(2)))
-    return catalog.upsert(shape(o.where("o_custkey % 2 = 0"), "old"), staged, "key", keep=["created"], stamp={"version": F.lit(1)}, order=["seq"])
+    old = shape(o.where("o_custkey % 2 = 0"), "old")
+    made = BucketTable(s, fresh_dir(s, "orders"), ["key"], old.schema)
+    made.upsert(old, source="orders", batch=0)
+    for _ in range(2):
+        made.upsert(staged, keep=["created"], stamp={"version": F.lit(1)}, order=["seq"], source="orders", batch=1)
+    return made.rows()
+
+
+def connection_upserts(s, d):
+    """SNK-02 to SNK-04: connections by platform and domain in a table: a second batch replaces token and settings (a map) and makes the status active again, created stays; then those of one platform go (MUT-01)."""
+    o = table(s, d, "orders")
+    rows = o.select(F.col("o_orderpriority").alias("platform"), F.concat(F.lit("d"), (F.col("o_custkey") % 40).cast("string")).alias("domain"), F.col("o_orderkey").alias("token"), F.create_map(F.lit("status"), "o_orderstatus").alias("settings"), F.when(F.col("o_orderkey") % 2 == 0, "revoked").otherwise("active").alias("status"), F.col("o_orderdate").alias("created"))
+    made = BucketTable(s, fresh_dir(s, "connections"), ["platform", "domain"], rows.schema, buckets=16)
+    made.upsert(rows.where("token % 2 = 0"), order=["token"])
+    made.upsert(rows.where("token % 2 = 1 and token % 5 = 0"), keep=["created"], order=["token"])
+    made.delete(F.col("platform") == "5-LOW")
+    return made.rows().withColumn("settings", F.col("settings")["status"])
 
 
 def insert_if_absent(s, d):
@@ -264,6 +281,10 @@ QUERIES = {
     "dedup_richest": (dedup_richest, f"select key, id, vendor, sku from (select *, row_number() over (partition by key order by (coalesce(vendor, '') <> '')::int + (coalesce(product_type, '') <> '')::int + (coalesce(sku, '') <> '')::int desc, id) as r from (select *, md5(coalesce(vendor, '') || ':' || size) as key from {PRODUCTS})) where r = 1"),
     "idempotency_keys": (idempotency_keys, f"select id, sha256(e || '|generic|' || coalesce(vendor, '') || '|' || coalesce(sku, '') || case when e = '' and coalesce(sku, '') = '' then '|' || title else '' end) as key from (select *, case when size % 2 = 0 then id::varchar else '' end as e from {PRODUCTS})"),
     "upsert_merge": (upsert_merge, "with t as (select o_orderkey as key, 'old' as status, round(o_totalprice, 2) as price, o_orderdate as created, 0 as version from orders where o_custkey % 2 = 0), s as (select o_orderkey as key, case when o_orderkey % 9 = 0 then 'last' else 'new' end as status, round(o_totalprice * 2, 2) as price, timestamp '2000-01-01' as created, 0 as version from orders where o_orderkey % 3 = 0 union all select null, 'new', round(o_totalprice * 2, 2), timestamp '2000-01-01', 0 from orders where o_orderkey % 30 = 0) select coalesce(t.key, s.key) as key, coalesce(s.status, t.status) as status, coalesce(s.price, t.price) as price, coalesce(t.created, s.created) as created, case when t.key is not null and s.key is not null then 1 else 0 end as version from t full join s on t.key = s.key"),
+    "connection_upserts": (connection_upserts, """with r as (select o_orderpriority as platform, 'd' || o_custkey % 40 as domain, o_orderkey as token, o_orderstatus as settings, case when o_orderkey % 2 = 0 then 'revoked' else 'active' end as status, o_orderdate as created from orders),
+        a as (select platform, domain, max(token) as token, arg_max(settings, token) as settings, 'revoked' as status, arg_max(created, token) as created from r where token % 2 = 0 group by all),
+        b as (select platform, domain, max(token) as token, arg_max(settings, token) as settings, 'active' as status, arg_max(created, token) as created from r where token % 2 = 1 and token % 5 = 0 group by all)
+        select platform, domain, coalesce(b.token, a.token) as token, coalesce(b.settings, a.settings) as settings, coalesce(b.status, a.status) as status, coalesce(a.created, b.created) as created from a full join b using (platform, domain) where platform <> '5-LOW'"""),
     "insert_if_absent": (insert_if_absent, "select o_orderkey as key, case when o_orderkey % 2 = 0 then o_orderstatus else 'late' end as status from orders where o_orderkey % 2 = 0 or o_orderkey % 3 = 0"),
     "patch_update": (patch_update, "select o_orderkey as key, case when o_orderkey % 10 = 0 then 'patched' else o_orderstatus end as status, o_totalprice as price from orders"),
     "patch_counts": (patch_counts, "select count(*) as total, count(*) filter (where o_orderkey % 7 <> 0 and o_orderkey % 3 <> 0) as matched, count(*) filter (where o_orderkey % 7 <> 0 and o_orderkey % 3 = 0) as not_found, count(*) filter (where o_orderkey % 7 = 0) as invalid from orders"),

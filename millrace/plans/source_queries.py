@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from millrace.functions import presence, text, urls
 from millrace.operators import access, catalog, export, extract, normalize
 from millrace.plans import ingestion
-from millrace.session import table
+from millrace.session import fresh_dir, table
+from millrace.sinks.buckets import BucketTable
 from millrace.sources import feeds, payloads
 
 
@@ -51,14 +52,22 @@ def feed_delimited(s, d):
 
 
 def feed_products(s, d):
-    """SRC-01, SRC-02, SET-01, PRJ-06, SNK-01, AGG-14: XML feeds ingested into an empty catalog, twice the same."""
+    """SRC-01, SRC-02, SET-01, PRJ-06, SNK-01, AGG-14: XML feeds ingested into an empty table, the batch twice. Every fourth item comes twice in its feed, every fifth again in a later body; the last counts. Some have nothing to be told by and are refused."""
     k = F.col("k")
-    item = F.concat(F.lit("<item><g:id>"), text_of(k), F.lit("</g:id><title>"), "name", F.lit("</title><g:price>"), F.format_string("%.2f EUR", "price"), F.lit("</g:price><g:availability>"), F.when(k % 4 == 0, "out of stock").otherwise("in stock"), F.lit("</g:availability></item>"))
-    bodies = joined(part(s, d), item, "").select(F.lit("shop").alias("shop_id"), F.lit("generic").alias("platform"), F.lit("https://x.test").alias("shop_url"), F.concat(F.lit("<rss>"), "body", F.lit("</rss>")).alias("body"), F.lit("text/xml").alias("content_type"))
+    item = lambda name, price: F.concat(F.lit("<item><g:id>"), text_of(k), F.lit("</g:id><title>"), name, F.lit("</title>"), price, F.lit("<g:availability>"), F.when(k % 4 == 0, "out of stock").otherwise("in stock"), F.lit("</g:availability></item>"))
+    priced = lambda times: F.concat(F.lit("<g:price>"), F.format_string("%.2f EUR", F.col("price") * times), F.lit("</g:price>"))
+    nameless = F.replace(item("name", F.lit("")), F.concat(F.lit("<g:id>"), text_of(k), F.lit("</g:id>")), F.lit(""))
+    first = F.concat(item(F.concat(F.lit("old "), "name"), F.concat(F.lit("<g:description>long</g:description>"), priced(F.lit(3)))), item("name", priced(F.lit(1))))
+    once = F.when(k % 9 == 0, nameless).when(k % 4 == 0, first).otherwise(item("name", priced(F.lit(1))))
+    shape = lambda df, seq: df.select(F.lit("shop").alias("shop_id"), F.lit("generic").alias("platform"), F.lit("https://x.test").alias("shop_url"), F.concat(F.lit("<rss>"), "body", F.lit("</rss>")).alias("body"), F.lit("text/xml").alias("content_type"), seq.alias("seq"))
+    p = part(s, d)
+    bodies = shape(joined(p, once, ""), F.col("body_no")).union(shape(joined(p.where(k % 5 == 0), item("name", priced(F.lit(2))), ""), F.col("body_no") + F.lit(1 << 40)))
     as_of = F.expr("timestamp_ntz'2024-01-10 12:00:00'")
-    empty = ingestion.accepted(ingestion.raw_records(bodies.limit(0)), as_of)
-    once = ingestion.ingest(empty, bodies, as_of)
-    return ingestion.ingest(once, bodies, as_of).select("external_id", "title", F.col("price").cast("double").alias("price"), "currency", "in_stock", "condition", "product_url")
+    batch = ingestion.accepted(ingestion.raw_records(bodies), as_of)
+    made = BucketTable(s, fresh_dir(s, "catalog"), ["idempotency_key"], batch.schema, buckets=16)
+    for _ in range(2):
+        ingestion.into(made, batch, "feeds", 0)
+    return made.rows().select("external_id", "title", "description", F.col("price").cast("double").alias("price"), "currency", "in_stock", "condition", "product_url")
 
 
 def sitemap_urls(s, d):
@@ -245,7 +254,7 @@ _PATH = r"lower(regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)
 QUERIES = {
     "feed_xml": (feed_xml, f"select k // 5 as body_no, k::varchar as id, name || ' & é€ ' || k as title, shown as price, 'EUR' as currency, case when k % 3 = 0 then '1.50' end as sale_price, code as gtin, brand, 'https://x.test/p/' || k as link from {_P} where k % 7 <> 0"),
     "feed_delimited": (feed_delimited, f"""select k // 5 as body_no, k::varchar as id, case when k % 5 = 0 then name else name || case when (k // 5) % 2 = 0 then chr(9) else ',' end || ' "big"' end as title, case when k % 5 <> 0 then 'line one' || chr(10) || 'line two ' || k end as description, case when k % 5 <> 0 then shown end as price, case when k % 5 <> 0 then 'USD' end as currency, case when k % 5 <> 0 then brand end as brand, case when k % 5 <> 0 then 2 else 0 end as n_images from {_P}"""),
-    "feed_products": (feed_products, f"select k::varchar as external_id, name as title, price, 'EUR' as currency, k % 4 <> 0 as in_stock, 'NEW' as condition, 'https://x.test' as product_url from {_P}"),
+    "feed_products": (feed_products, f"select k::varchar as external_id, name as title, '' as description, case when k % 5 = 0 then round(price * 2, 2) else price end as price, 'EUR' as currency, k % 4 <> 0 as in_stock, 'NEW' as condition, 'https://x.test' as product_url from {_P} where k % 5 = 0 or k % 9 <> 0"),
     "sitemap_urls": (sitemap_urls, "select page_id // 10 as body_no, (row_number() over (partition by page_id // 10 order by page_id) - 1)::int as pos, url from pages where (page_id // 10) % 5 <> 4"),
     "normalized_products": (normalized_products, f"""select case m when 0 then 'shopify' when 1 then 'woocommerce' when 2 then 'magento' when 3 then 'shopware' else 'generic' end as platform,
         case when m = 2 then 'm' || k when m = 7 and k % 2 = 1 then '' else k::varchar end as external_id, name as title, case m when 0 then '<p>d</p>' else '' end as description,

@@ -12,6 +12,7 @@ be of any kind that Parquet takes, maps and variants too; keys can't be maps or
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -36,7 +37,8 @@ class BucketTable:
         if self._version() < 0:
             if schema is None:
                 raise ValueError("a new table needs a schema")
-            self._commit(-1, {"schema": json.loads(schema.json()), "keys": list(keys), "buckets": buckets, "held": {}, "added": [], "batches": {}})
+            nullable = re.sub('(ullable|ontainsNull)":false', r'\1":true', schema.json())  # as files are read
+            self._commit(-1, {"schema": json.loads(nullable), "keys": list(keys), "buckets": buckets, "held": {}, "added": [], "batches": {}})
 
     # The log: one small JSON file for each version.
 
@@ -100,7 +102,7 @@ class BucketTable:
     def _stage(self, df: DataFrame, state: dict, others: Sequence[str]) -> tuple[str, DataFrame]:
         """df written once, with the position of each row, so that merging reads the same rows however often it runs. Columns that df lacks are null."""
         missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in self._columns(state) if f.name not in df.columns]
-        df = df.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.dataType != df.schema[f.name].dataType else F.col(f"`{f.name}`") for f in self._columns(state) if f.name in df.columns), *missing, *(F.col(c) for c in others), F.monotonically_increasing_id().alias("_position"))
+        df = df.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.dataType.simpleString() != df.schema[f.name].dataType.simpleString() else F.col(f"`{f.name}`") for f in self._columns(state) if f.name in df.columns), *missing, *(F.col(c) for c in others), F.monotonically_increasing_id().alias("_position"))
         folder = f"staged-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{folder}")
         return folder, self.spark.read.schema(df.schema).parquet(f"{self.path}/{folder}")
