@@ -53,12 +53,19 @@ def revoke(df: DataFrame, which: Column) -> DataFrame:
 
 
 def rotate(tokens: DataFrame, used: DataFrame) -> DataFrame:
-    """MUT-09: tokens (token, family, revoked) after uses (token): a used token is spent; use of a spent one revokes its whole family."""
-    hit = tokens.join(used.select("token").distinct(), "token", "left_semi")
-    replayed = hit.where("revoked").select("family").distinct().withColumn("_bad", F.lit(True))
-    spent = hit.select("token").distinct().withColumn("_spent", F.lit(True))
-    out = tokens.join(replayed, "family", "left").join(spent, "token", "left")
-    return out.select(*(F.coalesce(F.col("revoked") | F.col("_bad"), F.col("revoked") | F.col("_spent"), F.col("revoked")).alias(c) if c == "revoked" else F.col(c) for c in tokens.columns))
+    """MUT-09: tokens (token, family, revoked, expires) after uses (token, at), as if these came one after the other.
+
+    The first use of a token in force spends it. Use of one that is spent, before or in this batch, is a replay and revokes its whole family; so a
+    token used twice does, even at one time. Where the first use is past the token's expiry it does nothing; use of a spent one is a replay even then. Unknown tokens do nothing.
+    """
+    uses = used.groupBy("token").agg(F.min("at").alias("_first"), F.count("*").alias("_uses")).withColumnRenamed("token", "_token")
+    in_force = F.coalesce(F.col("expires") >= F.col("_first"), F.lit(True))
+    hit = tokens.join(uses, F.col("token") == F.col("_token")).select("family", "token", (F.col("revoked") | in_force).alias("counts"), (F.col("revoked") | in_force & (F.col("_uses") > 1)).alias("replay"))
+    broken = hit.where("replay").select(F.col("family").alias("_broken")).distinct()
+    spent = hit.where("counts").select(F.col("token").alias("_spent")).distinct()
+    out = tokens.join(broken, F.col("family") == F.col("_broken"), "left").join(spent, F.col("token") == F.col("_spent"), "left")
+    gone = F.col("revoked") | F.col("_broken").isNotNull() | F.col("_spent").isNotNull()
+    return out.select(*(gone.alias(c) if c == "revoked" else F.col(c) for c in tokens.columns))
 
 
 def stale_failed(jobs: DataFrame, status: str, updated: str, as_of: Column, minutes: int = 30) -> DataFrame:

@@ -5,20 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators import catalog
+from millrace.operators import catalog, ranges
 
 
-def request_stats(df: DataFrame, latency: str, failed: Column, ts: str) -> DataFrame:
+def request_stats(df: DataFrame, latency: str, failed: Column, ts: str, most: int = ranges.MOST) -> DataFrame:
     """AGG-07: count, error rate in percent, exact interpolated p50, p95 and p99 (T12), and requests a minute between first and last."""
     span = (F.unix_micros(F.max(F.col(ts).cast("timestamp"))) - F.unix_micros(F.min(F.col(ts).cast("timestamp")))) / 60e6
-    p = lambda q: F.round(F.percentile(latency, F.lit(q)), 4)
-    return df.agg(F.count("*").alias("n"), F.round(100.0 * F.count_if(failed) / F.count("*"), 4).alias("error_rate"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.when(span > 0, F.round(F.count("*") / span, 4)).otherwise(0.0).alias("rpm"))
+    counts = df.agg(F.count("*").alias("n"), F.round(100.0 * F.count_if(failed) / F.count("*"), 4).alias("error_rate"), F.when(span > 0, F.round(F.count("*") / span, 4)).otherwise(0.0).alias("rpm"))
+    exact = ranges.percentiles(df, [], latency, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, most)
+    return counts.join(F.broadcast(exact)).select("n", "error_rate", *(F.round(p, 4).alias(p) for p in ("p50", "p95", "p99")), "rpm")  # one row each
 
 
-def endpoint_stats(df: DataFrame, endpoint: str, latency: str, most: int = 10) -> DataFrame:
+def endpoint_stats(df: DataFrame, endpoint: str, latency: str, shown: int = 10, most: int = ranges.MOST) -> DataFrame:
     """AGG-08, SORT-06: count, mean and p95 of each endpoint; the busiest."""
-    stats = df.groupBy(endpoint).agg(F.count("*").alias("n"), F.round(F.avg(latency), 4).alias("avg_latency"), F.round(F.percentile(latency, F.lit(0.95)), 4).alias("p95"))
-    return stats.orderBy(F.desc("n"), endpoint).limit(most)
+    stats = df.groupBy(endpoint).agg(F.count("*").alias("n"), F.round(F.avg(latency), 4).alias("avg_latency")).orderBy(F.desc("n"), endpoint).limit(shown)
+    busy = ranges.by_key(df, stats, [endpoint], "left_semi")
+    exact = ranges.percentiles(busy, [endpoint], latency, {"p95": 0.95}, most).withColumnRenamed(endpoint, "_endpoint")
+    joined = stats.join(exact, F.col(endpoint).eqNullSafe(F.col("_endpoint")), "left")
+    return joined.select(endpoint, "n", "avg_latency", F.round("p95", 4).alias("p95")).orderBy(F.desc("n"), endpoint)
 
 
 def last_hours(df: DataFrame, ts: str, as_of: Column, hours: int = 1) -> DataFrame:
@@ -55,16 +59,15 @@ def latest(log: DataFrame, key: str, *order: str) -> DataFrame:
     return catalog.last_by_key(log, [key], list(order)).select(key, *(c for c in log.columns if c != key))
 
 
-def progress(log: DataFrame, key: str, order: list[str], n: str) -> DataFrame:
+def progress(log: DataFrame, key: str, order: list[str], n: str, most: int = ranges.MOST) -> DataFrame:
     """WIN-05, WIN-06: running amount of each key, and its percentage of the whole (0 of 0)."""
-    run = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    whole = F.sum(n).over(Window.partitionBy(key))
-    return log.select("*", F.sum(n).over(run).alias("processed"), F.coalesce(F.round(F.try_divide(100.0 * F.sum(n).over(run), whole), 2), F.lit(0.0)).alias("percentage"))
+    out = ranges.running(log, [key], order, {"processed": n}, {"_whole": n}, most)
+    return out.withColumn("percentage", F.coalesce(F.round(F.try_divide(100.0 * F.col("processed"), F.col("_whole")), 2), F.lit(0.0))).drop("_whole")
 
 
-def budget(log: DataFrame, key: str, order: list[str], cost: str, limit: float) -> DataFrame:
+def budget(log: DataFrame, key: str, order: list[str], cost: str, limit: float, most: int = ranges.MOST) -> DataFrame:
     """AGG-22, WIN-07: spent so far, what remains, and which row crosses 80 % and which the limit."""
-    spent = F.round(F.sum(cost).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)), 4)
-    out = log.withColumn("spent", spent).withColumn("remaining", F.greatest(F.lit(0.0), F.round(F.lit(limit) - F.col("spent"), 4)))
+    out = ranges.running(log, [key], order, {"spent": cost}, most=most).withColumn("spent", F.round("spent", 4))
+    out = out.withColumn("remaining", F.greatest(F.lit(0.0), F.round(F.lit(limit) - F.col("spent"), 4)))
     before = F.round(F.col("spent") - F.col(cost), 4)
     return out.withColumn("warns", (F.col("spent") >= 0.8 * limit) & (before < 0.8 * limit)).withColumn("exceeds", (F.col("spent") > limit) & (before <= limit))

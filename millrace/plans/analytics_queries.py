@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import similarity, text
-from millrace.operators import analytics, evals, export
+from millrace.operators import analytics, evals, export, ranges
 from millrace.plans.catalog_queries import PRODUCTS, products
 from millrace.session import table
 
@@ -81,6 +81,13 @@ def spend(s, d):
     return analytics.budget(log, "user_id", ["event_id"], "cost", 5.0).select("user_id", "event_id", "spent", "remaining", "warns", "exceeds")
 
 
+def domain_concurrency(s, d):
+    """STR-05: events as requests of a domain (their kind) that take as many minutes as their value says, some without an end, some ending as they begin: most at once, and how many began beyond five."""
+    e = table(s, d, "events")
+    end = F.when(F.col("event_id") % 50 != 0, F.col("ts") + F.make_dt_interval(mins=F.when(F.col("event_id") % 7 != 0, F.floor("value").cast("int") + 1).otherwise(0)))
+    return ranges.concurrent(e.select(F.col("event_type").alias("domain"), "ts", end.alias("done")), "domain", "ts", "done")
+
+
 def props_json(s, d):
     """DQ-06, PRJ-22: a key of the JSON, null where it doesn't parse."""
     return table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
@@ -184,6 +191,10 @@ QUERIES = {
     "latest_progress": (latest_progress, "select user_id, ts, event_id, event_type, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r = 1"),
     "running_progress": (running_progress, "select l_orderkey, l_linenumber, l_partkey, sum(l_quantity) over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity rows unbounded preceding) as processed, round(100.0 * sum(l_quantity) over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity rows unbounded preceding) / sum(l_quantity) over (partition by l_orderkey), 2) as percentage from lineitem"),
     "spend": (spend, "select user_id, event_id, spent, greatest(0.0, round(5.0 - spent, 4))::double as remaining, spent >= 4.0 and before < 4.0 as warns, spent > 5.0 and before <= 5.0 as exceeds from (select *, round(spent - cost, 4) as before from (select user_id, event_id, cost, round(sum(cost) over (partition by user_id order by event_id rows unbounded preceding), 4) as spent from (select user_id, event_id, round(value / 100, 4) as cost from events)))"),
+    "domain_concurrency": (domain_concurrency, """with r as (select event_type as domain, event_id, ts, case when event_id % 50 <> 0 then ts + to_minutes(case when event_id % 7 <> 0 then floor(value)::bigint + 1 else 0 end) end as done from events),
+        m as (select domain, event_id, ts as t, 1 as move from r where done is null or done > ts union all select domain, event_id, done, -1 from r where done > ts),
+        n as (select domain, move, sum(move) over (partition by domain order by t, move, event_id rows unbounded preceding) as now from m)
+        select domain, (select count(*) from events where event_type = domain) as spans, max(now)::bigint as most_at_once, count(*) filter (where now > 5) as over_limit from n where move = 1 group by domain"""),
     "props_json": (props_json, "select try_cast(json_extract_string(props, '$.k') as int) as k, count(*) as n from events group by 1"),
     "token_scores": (token_scores, f"select item_id, case when expected is null then 1.0 when extracted is null then 0.0 when len(a) + len(b) = 0 then 1.0 else round(2.0 * len(list_intersect(a, b)) / (len(a) + len(b)), 6) end as score from (select item_id, b.text as expected, d.text as extracted, {_WORDS.format('b.text')} as a, {_WORDS.format('d.text')} as b from benchmark b left join documents d on item_id = doc_id)"),
     "field_scores": (field_scores, f"select site, pos, case when x_num is null then 0.0 when abs(abs(e_num) - abs(x_num)) <= 0.01 * greatest(abs(e_num), abs(x_num)) then 1.0 else 0.0 end as number, case when x_name is null then 0.0 when regexp_replace(e_name, '[^0-9]', '', 'g')::bigint = regexp_replace(x_name, '[^0-9]', '', 'g')::bigint then 0.9 else 0.0 end as url, case when (e_num > 0) = (coalesce(x_num, 0) > 0) then 1.0 else 0.0 end as flag from {PAIRS}"),

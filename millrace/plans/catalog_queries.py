@@ -262,10 +262,11 @@ def erased(s, d):
 
 
 def token_rotation(s, d):
-    """MUT-09: order lines as refresh tokens of an order's family."""
-    t = table(s, d, "lineitem").select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("token"), F.col("l_orderkey").alias("family"), (F.col("l_returnflag") == "R").alias("revoked"))
-    used = table(s, d, "lineitem").where("l_linenumber = 1").select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("token"))
-    return access.rotate(t, used)
+    """MUT-09: orders as refresh tokens of a customer's family; every eighth is used, every fortieth twice; some uses come when the token has expired."""
+    o = table(s, d, "orders")
+    t = o.select(F.col("o_orderkey").alias("token"), F.col("o_custkey").alias("family"), (F.col("o_orderstatus") == "P").alias("revoked"), F.col("o_orderdate").alias("expires"))
+    used = t.where("token % 8 = 1").select("token", (F.col("expires") + F.make_dt_interval(F.when(F.col("token") % 3 == 0, 1).otherwise(-1))).alias("at"))
+    return access.rotate(t, used.union(used.where("token % 5 = 0")))
 
 
 QUERIES = {
@@ -305,5 +306,7 @@ QUERIES = {
     "email_hashes": (email_hashes, "select c_custkey, sha256(lower(trim(' ' || c_name || '@Example.COM '))) as hash from customer"),
     "urls_all_missing": (urls_all_missing, f"with p as (select *, coalesce(vendor, 'none') || '/' || size as url from {PRODUCTS}) select url, id from p where url in (select url from p group by url having bool_and(not price > 0))"),
     "erased": (erased, "select 'orders' as what, count(*) as n from orders where o_custkey not in (select c_custkey from customer where c_mktsegment = 'BUILDING') union all select 'customers', count(*) from customer where not coalesce(c_mktsegment = 'BUILDING', false)"),
-    "token_rotation": (token_rotation, "with t as (select l_orderkey || '-' || l_linenumber as token, l_orderkey as family, l_returnflag = 'R' as revoked, l_linenumber from lineitem), bad as (select distinct family from t where l_linenumber = 1 and revoked) select token, family, revoked or l_linenumber = 1 or family in (from bad) as revoked from t"),
+    "token_rotation": (token_rotation, """with t as (select o_orderkey as token, o_custkey as family, o_orderstatus = 'P' as revoked, o_orderdate as expires, o_orderkey % 8 = 1 as used, o_orderkey % 3 <> 0 as in_force, o_orderkey % 5 = 0 as twice from orders),
+        b as (select distinct family from t where used and (revoked or in_force and twice))
+        select token, family, revoked or (used and in_force) or family in (select family from b) as revoked, expires from t"""),
 }

@@ -121,7 +121,7 @@ def admin_payloads(s, d):
     price, code = F.format_string("%.2f", "price"), F.lpad(text_of(k + 1), 13, "4")
     shapes = {
         "$.data": one(id=k, name=name, price=price, sku=text_of(k), upc=code, brand_id=k % 5, availability=F.lit("available"), inventory_level=k % 2, images=F.array(one(url_standard=F.lit("b"), sort_order=F.lit(2)), one(url_standard=F.lit("a"), sort_order=F.lit(1)))),
-        "$": one(id=k, name=name, price=F.lit(""), regular_price=price, sku=text_of(k), stock_status=F.when(k % 2 == 1, "instock").otherwise("outofstock"), meta_data=F.array(one(key=F.lit("my_ean"), value=F.lit("11111111")), one(key=F.lit("_gtin"), value=code)), images=F.array(one(src=F.lit("a")))),
+        "$": one(id=k, name=name, price=F.lit(""), regular_price=price, sku=text_of(k), stock_status=F.when(k % 2 == 1, "instock").otherwise("outofstock"), meta_data=F.when(F.col("k") % 8 == 5, F.array(one(key=F.lit("_global_unique_id"), value=code))).otherwise(F.array(one(key=F.lit("my_ean"), value=F.lit("11111111")), one(key=F.lit("_ts_gtin"), value=code))), images=F.array(one(src=F.lit("a")))),
         "$.items": one(id=k, name=name, price=price, sku=text_of(k), visibility=F.when(k % 3 == 0, 1).otherwise(4), custom_attributes=F.array(one(attribute_code=F.lit("barcode"), value=F.lit("x")), one(attribute_code=F.lit("gtin"), value=code)), extension_attributes=one(stock_item=one(is_in_stock=k % 2 == 1))),
         "$.products": one(id=text_of(k), name=name, price=F.array(one(gross=price)), productNumber=text_of(k), ean=code, stock=k % 2, active=F.lit(True), media=F.array(one(media=one(url=F.lit("a"))), one(media=one(url=F.lit("b"))))),
     }
@@ -264,7 +264,7 @@ QUERIES = {
         case when m = 0 then 'S-' || k when m = 2 then 'm' || k when m in (3, 6) or m = 7 and k % 2 = 1 then null else k::varchar end as sku, case when m <> 6 then code end as gtin, case when m in (0, 2, 3, 4, 5) then brand end as vendor,
         case when m = 0 then k % 3 > 0 when m = 3 then k % 2 = 0 when m = 4 then false else true end as in_stock, case m when 3 then 'New' when 4 then 'REFURBISHED' when 5 then 'USED' else 'NEW' end as condition,
         case m when 0 then 2 when 1 then 1 when 3 then 1 else 0 end as n_tags, case when m in (0, 1, 5) then 1 else 0 end as n_additional_images, case when m = 0 then 1 else 0 end as n_variants, true as is_valid from (select *, k % 8 as m from {_P})"""),
-    "admin_payloads": (admin_payloads, f"""select (['$.data', '$', '$.items', '$.products'])[k % 4 + 1] as api, k::varchar as id, name as title, shown::double as price, k::varchar as sku, code as gtin, case when k % 2 = 1 then 'true' else 'false' end as in_stock,
+    "admin_payloads": (admin_payloads, f"""select (['$.data', '$', '$.items', '$.products'])[k % 4 + 1] as api, k::varchar as id, name as title, shown::double as price, k::varchar as sku, case when k % 8 <> 5 then code end as gtin, case when k % 2 = 1 then 'true' else 'false' end as in_stock,
         case when k % 4 = 0 then case when k % 5 < 4 then 'B' || k % 5 else '' end end as vendor, case when k % 4 <> 2 then 'a' end as image from {_P} where (k // 20) % 9 <> 8 and not (k % 4 = 2 and k % 3 = 0)"""),
     "api_paging": (api_paging, "select job, least(3, ceil(total / 4.0))::bigint as pages_completed, ceil(total / 4.0)::bigint as pages_expected, least(12, total)::bigint as products, total <= 12 as complete from (select o_custkey as job, count(*) as total from orders group by 1)"),
     "benchmark_products": (benchmark_products, f"select name as title, case when k % 2 = 0 then brand else 'plain' end as vendor, price::varchar as price, 'EUR' as currency, kind as product_type from {_P} where k % 6 <> 0"),

@@ -44,13 +44,17 @@ def bigcommerce(rows: DataFrame, brands: DataFrame, currency: str = "USD") -> Da
     return named.withColumn("raw", keep_fields(F.col("raw"), fields)).drop("_brand", "_name")
 
 
+#: Meta keys under which plugins keep identifiers.
+IDENTIFIER_KEYS = ("_wpm_gtin_code", "_alg_ean", "_ean", "hwp_product_gtin", "hwp_var_gtin", "_yith_barcode_value", "_barcode", "_ts_gtin", "_gtin", "gtin", "ean", "upc", "barcode", "isbn", "_upc", "_isbn")
+
+
 def woocommerce_admin(rows: DataFrame) -> DataFrame:
     """SRC-10, PRJ-12, FN-07: compare-at only beside a sale price; GTINs from known meta keys, then from keys that look like one."""
     r = Raw(F.col("raw"))
     meta = r.items("meta_data")
     value = lambda m: F.trim(item(m, "value"))
     digits = lambda m: F.length(F.regexp_replace(value(m), "[^0-9]", "")) >= 8
-    known = F.filter(meta, lambda m: item(m, "key").isin("_global_unique_id", "_gtin", "_ean", "_barcode", "gtin", "ean", "barcode", "_wpm_gtin_code", "hwp_product_gtin") & digits(m))
+    known = F.filter(meta, lambda m: item(m, "key").isin(*IDENTIFIER_KEYS) & digits(m))
     likely = F.filter(meta, lambda m: F.lower(item(m, "key")).rlike("gtin|ean|upc|barcode|isbn") & digits(m))
     fields = {
         "_source": F.lit("woocommerce_admin_api"), "id": r.at("id"), "title": r.at("name"), "description": first_truthy(r.at("description"), r.at("short_description")), "price": first_truthy(r.at("price"), r.at("regular_price")),

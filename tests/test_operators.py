@@ -149,8 +149,13 @@ def test_chunks_merge(spark):
 
 
 def test_token_replay(spark):
-    tokens = spark.createDataFrame([("a", 1, True), ("b", 1, False), ("c", 2, False)], "token string, family int, revoked boolean")
-    assert {r.token: r.revoked for r in access.rotate(tokens, tokens.where("token in ('a', 'c')").select("token")).collect()} == {"a": True, "b": True, "c": True}
+    """A token used twice in one batch is a replay, as is one spent before, expired or not; an expired one does nothing."""
+    tokens = spark.createDataFrame([("a", 1, True, 9), ("b", 1, False, 9), ("c", 2, False, 9), ("d", 3, False, 9), ("e", 3, False, 9), ("f", 4, False, 1), ("g", 4, False, 9), ("h", 5, True, 1), ("i", 5, False, None), ("j", 6, False, None)], "token string, family int, revoked boolean, expires int")
+    used = spark.createDataFrame([("a", 5), ("c", 9), ("d", 5), ("d", 5), ("f", 2), ("f", 3), ("h", 5), ("j", 7), ("nobody", 1)], "token string, at int")
+    want = {"a": True, "b": True, "c": True, "d": True, "e": True, "f": False, "g": False, "h": True, "i": True, "j": True}
+    assert {r.token: r.revoked for r in access.rotate(tokens, used).collect()} == want
+    assert {r.token: r.revoked for r in access.rotate(tokens, used.where("token = 'c'")).collect()} == {r.token: r.revoked or r.token == "c" for r in tokens.collect()}
+    assert access.rotate(tokens, used.limit(0)).where("revoked").count() == 2
 
 
 def test_ingestion(spark):
