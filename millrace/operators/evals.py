@@ -2,120 +2,39 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from millrace.operators import matching
+
+
+def greedy_match(expected: DataFrame, extracted: DataFrame, group: str, least: float = 0.5, most: int = matching.MOST) -> DataFrame:
+    """JOIN-15: each expected title in its order (T8) takes the best extracted one that is left, if it is similar enough; of equals the first.
+
+    expected and extracted: group, pos (an integer that tells a group's rows apart), title. Rows without a group meet nobody."""
+    side = lambda df: df.where(F.col(group).isNotNull()).select(matching.group_id(group).alias("_g"), F.col("pos").cast("bigint").alias("pos"), "title")
+    pairs = matching.blocked(side(expected), side(extracted), lambda a, b, upto: matching.matches(a, b, upto, least))
+    taken = matching.assigned(pairs, most)
+    wanted = expected.select(group, F.col("pos").cast("bigint").alias("pos"), matching.group_id(group).alias("_own"))
+    joined = wanted.join(taken, (F.col("_own") == F.col("_g")) & (F.col("pos") == F.col("e")), "left")
+    return joined.select(group, "pos", F.col("x").alias("matched"), F.round(F.coalesce("s", F.lit(0.0)), 6).alias("similarity"))
+
+
+def merge_chunks(records: DataFrame, group: str, fields: list[str], alike: float = 0.9, most: int = matching.MOST) -> DataFrame:
+    """JOIN-16: of a page's records in order of pos (an integer that tells them apart), those whose titles are equal, prefixes or alike become one; the first is the base and gaps are filled.
 
-def similar(a: str, b: str) -> float:
-    """Title similarity: one that holds the other is worth the ratio of their lengths, 0.6 at least."""
-    a, b = (a or "").strip().lower(), (b or "").strip().lower()
-    if not a or not b:
-        return 0.0
-    if a in b or b in a:
-        return max(0.6, min(len(a), len(b)) / max(len(a), len(b)))
-    return SequenceMatcher(None, a, b).ratio()
-
-
-class Candidate:
-    """A title that many are compared with: its index is made once, and cheap upper bounds go first."""
-
-    def __init__(self, title: str) -> None:
-        self.title = (title or "").strip().lower()
-        self.matcher = SequenceMatcher(None, "", self.title)
-
-    def similarity(self, other: str, least: float) -> float:
-        """similar(other, title), or something lower than `least` where that is lower."""
-        other = (other or "").strip().lower()
-        if not other or not self.title or other in self.title or self.title in other:
-            return similar(other, self.title)
-        self.matcher.set_seq1(other)
-        for bound in (self.matcher.real_quick_ratio, self.matcher.quick_ratio):
-            if bound() < least:
-                return 0.0
-        return self.matcher.ratio()
-
-    def follows(self, other: str, least: float) -> bool:
-        """Whether the ratio of this title and a later one is over `least`."""
-        matcher = SequenceMatcher(None, self.title, other)
-        return all(bound() > least for bound in (matcher.real_quick_ratio, matcher.quick_ratio, matcher.ratio))
-
-
-@F.pandas_udf(T.StructType([T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("similarity", T.ArrayType(T.DoubleType()))]))
-def taken(expected: pd.Series, extracted: pd.Series, least: pd.Series) -> pd.DataFrame:
-    """For each expected title, in order, the place of the extracted one that it takes (null for none) and their similarity."""
-
-    def one(wanted: list, offered: list, least: float) -> tuple[list, list]:
-        free, at, scores = dict(enumerate(map(Candidate, offered))), [], []
-        for title in wanted:
-            best, place = 0.0, None
-            for other, candidate in free.items():
-                if (s := candidate.similarity(title, max(best, least))) >= least and s > best:
-                    best, place = s, other
-            free.pop(place, None)
-            at.append(place)
-            scores.append(round(best, 6))
-        return at, scores
-
-    return pd.DataFrame([one(*x) for x in zip(expected, extracted, least, strict=True)], columns=["at", "similarity"])
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def base_places(titles: pd.Series, alike: pd.Series) -> pd.Series:
-    """For each title of a page, in order, the place of the first one that it repeats (its own if it repeats none); null for an untitled record beside others."""
-
-    def one(titles: list, alike: float) -> list:
-        bases, out = {}, []
-        for i, title in enumerate((t or "").strip().lower() for t in titles):
-            if not title:
-                out.append(i if len(titles) == 1 else None)
-                continue
-            near = lambda b, t=title: t.startswith(b.title) or b.title.startswith(t) or b.follows(t, alike)
-            place = next((k for k, b in bases.items() if near(b)), i)
-            if place == i:
-                bases[i] = Candidate(title)
-            out.append(place)
-        return out
-
-    return pd.Series([one(*x) for x in zip(titles, alike, strict=True)])
-
-
-TITLES = "array<struct<pos: bigint, title: string>>"
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df parted by keys into as many partitions as are set: adaptive execution would join them by their bytes, which say nothing of the Python work behind."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
-def greedy_match(expected: DataFrame, extracted: DataFrame, group: str, least: float = 0.5) -> DataFrame:
-    """JOIN-15: each expected title in its order takes the best extracted one that is left, if it is similar enough.
-
-    expected and extracted: group, pos, title. The order decides (T8), so a group's titles are worked through in one place: a group
-    must be something that the data bounds, as one site's test case is.
-    """
-    titles = lambda df, name: spread(df, group).groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("bigint").alias("pos"), "title"))).alias(name))
-    both = titles(expected, "wanted").join(titles(extracted, "offered"), group, "left").withColumn("offered", F.coalesce("offered", F.array().cast(TITLES)))
-    out = both.withColumn("x", taken(F.col("wanted.title"), F.col("offered.title"), F.lit(least)))
-    rows = out.select(group, "offered", F.explode(F.arrays_zip(F.col("wanted.pos").alias("pos"), F.col("x.at").alias("at"), F.col("x.similarity").alias("similarity"))).alias("r"))
-    return rows.select(group, "r.pos", F.get("offered", F.col("r.at"))["pos"].alias("matched"), "r.similarity")
-
-
-def merge_chunks(records: DataFrame, group: str, fields: list[str], alike: float = 0.9) -> DataFrame:
-    """JOIN-16: of a page's records in order of pos, those whose titles are equal, prefixes or alike become one; the first is the base and gaps are filled.
-
-    Only titles are compared in Python, a page at a time; records: group, pos, title and more columns, in any order.
-    """
-    others = [c for c in records.columns if c not in (group, "pos", "title")]
-    paged = spread(records, group).groupBy(group).agg(F.array_sort(F.collect_list(F.struct("pos", "title", *others))).alias("rows"))
-    placed = paged.withColumn("bases", base_places(F.col("rows.title"), F.lit(alike))).select(group, "bases", F.posexplode("rows").alias("place", "row")).withColumn("base", F.get("bases", F.col("place")))
-    filled = lambda f: F.min(F.when(F.col("row")[f].isNotNull() & (F.col("row")[f].cast("string") != ""), F.struct("place", F.col("row")[f].alias("value"))))["value"]
-    merged = placed.where("base is not null").groupBy(group, "base").agg(F.min(F.struct("place", "row"))["row"].alias("first"), *(filled(f).alias(f"filled_{i}") for i, f in enumerate(fields)))
+    An untitled record stays if it is its page's only one. records: group, pos, title and more columns, in any order; rows without a group are a page."""
+    rows = records.select(matching.group_id(group).alias("_g"), F.col("pos").cast("bigint").alias("_pos"), F.struct(*(F.col(f"`{c}`") for c in records.columns)).alias("row"))
+    titles = rows.select("_g", F.col("_pos").alias("pos"), F.col("row.title").alias("title"))
+    found = matching.bases(matching.blocked(titles, titles, lambda a, b, upto: matching.repeats(a, b, upto, alike), later=True), most).withColumnsRenamed({"_g": "_own", "x": "_x"})
+    alone = rows.groupBy(F.col("_g").alias("_page")).agg(F.count("*").alias("_n")).where("_n = 1").select("_page")
+    placed = rows.join(found, (F.col("_g") == F.col("_own")) & (F.col("_pos") == F.col("_x")), "left").join(alone, F.col("_g") == F.col("_page"), "left")
+    titled = F.coalesce(F.trim(F.col("row.title"), F.lit(" \t\n\r\x0b\x0c")) != "", F.lit(False))
+    placed = placed.where(titled | F.col("_page").isNotNull()).withColumn("base", F.coalesce("e", "_pos"))
+    filled = lambda f: F.min_by(F.when(F.col("row")[f].isNotNull() & (F.col("row")[f].cast("string") != ""), F.struct(F.col("row")[f].alias("value"))), F.when(F.col("row")[f].isNotNull() & (F.col("row")[f].cast("string") != ""), F.col("_pos")))["value"]
+    merged = placed.groupBy("_g", "base").agg(F.min_by("row", "_pos").alias("first"), *(filled(f).alias(f"filled_{i}") for i, f in enumerate(fields)))
     column = lambda c: F.coalesce(F.col(f"filled_{fields.index(c)}"), F.col("first")[c]) if c in fields else F.col("first")[c]
-    return merged.select(*(F.col(c) if c == group else column(c).alias(c) for c in records.columns))
+    return merged.select(*(column(c).alias(c) for c in records.columns))
 
 
 def averages(scores: DataFrame, *by: str) -> DataFrame:

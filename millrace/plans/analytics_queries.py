@@ -135,16 +135,15 @@ def baseline_delta(s, d):
 
 
 def fuzzy_match(s, d):
-    """JOIN-15: test cases of ten suppliers each, matched in order with a hundred customers' names."""
-    a = table(s, d, "supplier").select(F.expr("s_suppkey div 10").alias("site"), F.col("s_suppkey").alias("pos"), F.col("s_name").alias("title"))
-    b = table(s, d, "customer").select(F.expr("c_custkey div 100").alias("site"), F.col("c_custkey").alias("pos"), F.regexp_replace("c_name", "Customer", "Supplier").alias("title"))
+    """JOIN-15: a nation's suppliers matched in order with the names of all its customers."""
+    a = table(s, d, "supplier").select(F.col("s_nationkey").alias("site"), F.col("s_suppkey").alias("pos"), F.col("s_name").alias("title"))
+    b = table(s, d, "customer").select(F.col("c_nationkey").alias("site"), F.col("c_custkey").alias("pos"), F.regexp_replace("c_name", "Customer", "Supplier").alias("title"))
     return evals.greedy_match(a, b, "site", 0.8)
 
 
 def chunk_merge(s, d):
-    """JOIN-16: products of one brand, out of 400 part keys each, as chunks of a page."""
-    page = F.concat_ws("/", "p_brand", F.expr("p_partkey div 400").cast("string"))
-    p = table(s, d, "part").select(page.alias("page"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("title"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).alias("kind"))
+    """JOIN-16: products of one brand and size as chunks of a page."""
+    p = table(s, d, "part").select(F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("page"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("title"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).alias("kind"))
     return evals.merge_chunks(p, "page", ["kind"], 0.7)
 
 

@@ -1,7 +1,7 @@
 """Queries and rules that SQL can't express, against plain versions in Python."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from difflib import SequenceMatcher
 from html.parser import HTMLParser
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace import registry
 from millrace.functions import text
-from millrace.operators import evals, extract
+from millrace.operators import matching, evals, extract
 from millrace.sources import feeds
 
 QUERIES = registry.queries()
@@ -114,9 +114,9 @@ def greedy(left, right, least):
 def test_fuzzy_match(spark, small):
     left, right = defaultdict(list), defaultdict(list)
     for r in sorted(table(spark, small, "supplier"), key=lambda r: r.s_suppkey):
-        left[r.s_suppkey // 10].append((r.s_suppkey, r.s_name))
+        left[r.s_nationkey].append((r.s_suppkey, r.s_name))
     for r in sorted(table(spark, small, "customer"), key=lambda r: r.c_custkey):
-        right[r.c_custkey // 100].append((r.c_custkey, r.c_name.replace("Customer", "Supplier")))
+        right[r.c_nationkey].append((r.c_custkey, r.c_name.replace("Customer", "Supplier")))
     want = {(site, *m) for site in left for m in greedy(left[site], right[site], 0.8)}
     assert {(r.site, r.pos, r.matched, r.similarity) for r in QUERIES["fuzzy_match"](spark, small).collect() if r.pos is not None} == want
 
@@ -127,14 +127,53 @@ def test_greedy_match_of_odd_titles(spark, least):
     words = ["red", "blue shoe", "Shoe", "lamp", "a", "", "lamp shade", "blue"]
     left, right = ([(i, " ".join(dice.choice(words) for _ in range(dice.randint(0, 3)))) for i in range(30)] for _ in range(2))
     frames = [spark.createDataFrame([(1, p, t) for p, t in side], "site int, pos bigint, title string") for side in (left, right)]
-    got = evals.greedy_match(*frames, "site", least).collect()
-    assert [(r.pos, r.matched, r.similarity) for r in sorted(got, key=lambda r: r.pos)] == greedy(left, right, least)
+    for most in (100_000, 3):  # in one task, and in rounds
+        got = evals.greedy_match(*frames, "site", least, most).collect()
+        assert [(r.pos, r.matched, r.similarity) for r in sorted(got, key=lambda r: r.pos)] == greedy(left, right, least)
+
+
+def merged(rows, alike):
+    """Rows (pos, title, kind) of one page, merged one after the other."""
+    kept = []
+    for r in sorted(rows):
+        r = list(r)
+        a = (r[1] or "").strip().lower()
+        if not a:
+            if len(rows) == 1:
+                kept.append(r)
+            continue
+        base = next((b for b in kept if (o := b[1].strip().lower()).startswith(a) or a.startswith(o) or SequenceMatcher(None, o, a).ratio() > alike), None)
+        if base is None:
+            kept.append(r)
+        elif not base[2]:
+            base[2] = r[2] or base[2]
+    return [tuple(r) for r in kept]
+
+
+@pytest.mark.parametrize("most", [100_000, 5])
+def test_chunks_in_one_task_and_in_rounds(spark, most):
+    dice = random.Random(most)
+    words = ["red", "blue", "green", "shoe", "shirt", "lamp"]
+    pages = {p: [(i, " ".join(dice.choice(words) for _ in range(dice.randint(0, 4))).title() or None, dice.choice([None, "", f"k{i}"])) for i in range(n)] for p, n in (("a", 60), ("b", 40), ("c", 1), (None, 25))}
+    frame = spark.createDataFrame([(p, *r) for p, rows in pages.items() for r in rows], "page string, pos int, title string, kind string")
+    got = evals.merge_chunks(frame, "page", ["kind"], 0.6, most).collect()
+    assert {tuple(r) for r in got} == {(p, *r) for p, rows in pages.items() for r in merged(rows, 0.6)}
+
+
+def test_a_large_page_is_compared_in_many_tasks(spark):
+    """One page of 3,000 titles: blocks of 256 by 256, whose results are those of one task."""
+    rows = [("p", i, f"item {i % 700:04d} {'x' * (i % 3)}") for i in range(3000)]
+    titles = spark.createDataFrame(rows, "_g string, pos bigint, title string")
+    pairs = matching.blocked(titles, titles, lambda a, b, upto: matching.repeats(a, b, upto, 0.97), later=True)
+    assert pairs.count() == sum(n * (n - 1) // 2 for n in Counter(i % 700 for i in range(3000)).values()) and len(pairs.inputFiles()) > 1
+    a, b = (sorted(map(tuple, matching.bases(pairs, most).collect())) for most in (10**9, 100))
+    assert a == b == sorted(("p", i, i % 700) for i in range(700, 3000))
 
 
 def test_chunk_merge(spark, small):
     pages = defaultdict(list)
     for r in sorted(table(spark, small, "part"), key=lambda r: r.p_partkey):
-        pages[f"{r.p_brand}/{r.p_partkey // 400}"].append({"pos": r.p_partkey, "title": r.p_name, "kind": r.p_type if r.p_partkey % 2 == 0 else None})
+        pages[f"{r.p_brand}/{r.p_size}"].append({"pos": r.p_partkey, "title": r.p_name, "kind": r.p_type if r.p_partkey % 2 == 0 else None})
     want = set()
     for page, rows in pages.items():
         kept = []
