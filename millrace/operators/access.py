@@ -74,11 +74,6 @@ def stale_failed(jobs: DataFrame, status: str, updated: str, as_of: Column, minu
     return jobs.withColumn(status, F.when((F.col(status) == "running") & late, "failed").otherwise(F.col(status)))
 
 
-def erase(tables: dict[str, tuple[DataFrame, Column]]) -> dict[str, DataFrame]:
-    """JOIN-22: what is left of each table when the rows of its condition go (unknown stays)."""
-    return {name: df.where(~F.coalesce(which, F.lit(False))) for name, (df, which) in tables.items()}
-
-
 def with_role(members: DataFrame, roles: DataFrame, name: str) -> DataFrame:
     """JOIN-04: members with the id of the role of that name; a name that no role has gives no rows."""
     return members.withColumn("name", F.lit(name)).join(roles.select("name", "role_id"), "name").drop("name")

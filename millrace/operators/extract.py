@@ -256,10 +256,3 @@ def keyword_score(url: Column | str, words: tuple[str, ...] = ("product", "shop"
     """EXT-18: share of the words that a URL's path holds."""
     low = F.lower(urls.path(url))
     return F.round(sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)) / len(words), 4)
-
-
-def services(requests: DataFrame, hosts: DataFrame, key: str, url: str, most: int = 10_000) -> DataFrame:
-    """JOIN-20: services (pattern, provider, category) whose pattern a requested host holds. The patterns are a configured table that is sent along; over `most` rows are refused."""
-    if (n := hosts.limit(most + 1).count()) > most:
-        raise ValueError(f"{n} patterns or more; at most {most} are sent to all tasks")
-    return requests.join(F.broadcast(hosts), F.contains(urls.host(url), F.col("pattern"))).select(key, "provider", "category").dropDuplicates([key, "provider"])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text
 from millrace.functions.presence import filled, strip
-from millrace.operators import access, catalog, quality
+from millrace.operators import access, catalog, quality, substrings
 from millrace.session import fresh_dir, table
 from millrace.sinks.buckets import BucketTable
 
@@ -253,12 +253,15 @@ def urls_all_missing(s, d):
 
 
 def erased(s, d):
-    """JOIN-22: orders and customers left when a segment's accounts go."""
-    c = table(s, d, "customer")
-    gone = c.where("c_mktsegment = 'BUILDING'").select("c_custkey")
-    orders = table(s, d, "orders").join(gone, F.col("o_custkey") == F.col("c_custkey"), "left_anti")
-    left = access.erase({"customers": (c, F.col("c_mktsegment") == "BUILDING")})["customers"]
-    return orders.agg(F.count("*").alias("n")).select(F.lit("orders").alias("what"), "n").union(left.agg(F.count("*").alias("n")).select(F.lit("customers").alias("what"), "n"))
+    """JOIN-22: rows left of four tables when a segment's shops go: orders and customers by shop, events as progress of a shop in odd spellings and as dead letters that name one."""
+    shop = lambda key, before="https://shop": F.concat(F.lit(before), F.col(key).cast("string"), F.lit(".test"))
+    c, e = table(s, d, "customer"), table(s, d, "events")
+    gone = c.where("c_mktsegment = 'BUILDING'").select(shop("c_custkey").alias("shop_id"))
+    progress = e.select(F.concat(shop("user_id", "HTTPS://Shop"), F.when(F.col("event_id") % 2 == 0, ":443/").otherwise("")).alias("shop_url"))
+    letters = e.select(F.concat(F.lit('{"job": '), F.col("event_id").cast("string"), F.lit(', "url": "'), shop("user_id"), F.when(F.col("event_id") % 2 == 0, "/p").otherwise(""), F.lit('"}')).alias("body"))
+    left = substrings.erase_shops(gone, table(s, d, "orders").select(shop("o_custkey").alias("shop_id")), c.select(shop("c_custkey").alias("shop_id")), progress, letters)
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n") for name, df in left.items()]
+    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
 
 
 def token_rotation(s, d):
@@ -305,7 +308,7 @@ QUERIES = {
     "set_operations": (set_operations, "with v as (select distinct user_id from events where event_type = 'view'), b as (select distinct user_id from events where event_type = 'purchase') select 'either' as what, user_id from (select * from v union select * from b) union all select 'both', user_id from v where user_id in (from b) union all select 'no_purchase', user_id from v where user_id not in (from b)"),
     "email_hashes": (email_hashes, "select c_custkey, sha256(lower(trim(' ' || c_name || '@Example.COM '))) as hash from customer"),
     "urls_all_missing": (urls_all_missing, f"with p as (select *, coalesce(vendor, 'none') || '/' || size as url from {PRODUCTS}) select url, id from p where url in (select url from p group by url having bool_and(not price > 0))"),
-    "erased": (erased, "select 'orders' as what, count(*) as n from orders where o_custkey not in (select c_custkey from customer where c_mktsegment = 'BUILDING') union all select 'customers', count(*) from customer where not coalesce(c_mktsegment = 'BUILDING', false)"),
+    "erased": (erased, "with g as (select c_custkey as k from customer where c_mktsegment = 'BUILDING') select 'products' as what, count(*) as n from orders where o_custkey not in (from g) union all select 'profiles', count(*) from customer where c_custkey not in (from g) union all select unnest(['progress', 'letters']), count(*) from events where user_id not in (from g)"),
     "token_rotation": (token_rotation, """with t as (select o_orderkey as token, o_custkey as family, o_orderstatus = 'P' as revoked, o_orderdate as expires, o_orderkey % 8 = 1 as used, o_orderkey % 3 <> 0 as in_force, o_orderkey % 5 = 0 as twice from orders),
         b as (select distinct family from t where used and (revoked or in_force and twice))
         select token, family, revoked or (used and in_force) or family in (select family from b) as revoked, expires from t"""),

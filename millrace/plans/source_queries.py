@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millrace.functions import presence, text, urls
-from millrace.operators import access, catalog, export, extract, normalize
+from millrace.operators import access, catalog, export, extract, normalize, substrings
 from millrace.plans import ingestion
 from millrace.session import fresh_dir, table
 from millrace.sinks.buckets import BucketTable
@@ -175,10 +175,20 @@ def page_organizations(s, d):
 
 
 def request_services(s, d):
-    """JOIN-20: services behind the hosts that were requested, by a checked list of patterns."""
-    hosts = table(s, d, "region").select(F.concat(F.lit("m"), text_of("r_regionkey"), F.lit(".test")).alias("pattern"), F.col("r_name").alias("provider"), F.lit("cdn").alias("category"))
-    requests = table(s, d, "events").select("user_id", F.concat(F.lit("https://a.m"), text_of(F.col("event_id") % 9), F.lit(".test/x.js")).alias("url"))
-    return extract.services(requests, hosts, "user_id", "url")
+    """JOIN-20: services behind the hosts that were requested; a host holds several patterns, one of which has two letters."""
+    hosts = table(s, d, "supplier").select(F.when(F.col("s_suppkey") == 7, ".t").otherwise(F.concat(text_of("s_suppkey"), F.lit(".test"))).alias("pattern"), F.concat(F.lit("P"), text_of(F.col("s_suppkey") % 30)).alias("provider"), F.lit("cdn").alias("category"))
+    requests = table(s, d, "events").select("user_id", F.concat(F.lit("https://A.m"), text_of(F.col("event_id") % 400), F.when(F.col("event_id") % 3 > 0, ".test").otherwise(".org"), F.lit("/x.js")).alias("url"))
+    return substrings.services(requests, hosts, "user_id", "url")
+
+
+def shop_patches(s, d):
+    """JOIN-18, MUT-03: orders as products of shops; suppliers as rows of uploads: by shop and key, else by key and domain; some without a key or anything to change. The products that differ, with the counts."""
+    k = F.col("o_orderkey")
+    products = table(s, d, "orders").select(k.alias("id"), F.concat(F.when(F.col("o_custkey") % 3 == 0, "https://www.d").otherwise("https://d"), text_of(F.col("o_custkey") % 40), F.lit(".test")).alias("shop_id"), F.when(k % 11 > 0, F.concat(F.lit("s"), text_of(k % 50))).otherwise("").alias("match_key"), F.col("o_orderstatus").alias("vendor"), F.lit(None).cast("string").alias("mpn"))
+    n = F.col("s_suppkey")
+    changes = table(s, d, "supplier").select(n.alias("pos"), F.concat(F.lit("https://d"), text_of(n % 45), F.lit(".test")).alias("shop"), F.concat(F.lit("d"), text_of(n % 45), F.lit(".test")).alias("domain"), F.when(n % 9 > 0, F.concat(F.lit("s"), text_of(n * 7 % 60))).otherwise("").alias("match_key"), F.when(n % 2 == 0, F.concat(F.lit("V"), text_of(n))).alias("vendor"), F.when(n % 5 > 0, F.concat(F.lit("M"), text_of(n))).alias("mpn"))
+    patched, counts = substrings.patch_shops(products, changes, "id", ["vendor", "mpn"])
+    return patched.where("length(vendor) > 1 or mpn is not null").select("id", "vendor", "mpn").join(F.broadcast(counts))  # one row of counts
 
 
 def url_scores(s, d):
@@ -270,7 +280,14 @@ QUERIES = {
     "benchmark_products": (benchmark_products, f"select name as title, case when k % 2 = 0 then brand else 'plain' end as vendor, price::varchar as price, 'EUR' as currency, kind as product_type from {_P} where k % 6 <> 0"),
     "merchant_profiles": (merchant_profiles, "select c_custkey as shop_id, case when c_custkey % 3 = 0 then c_name else 'og ' || c_custkey end as company_name, 'f.ico' as logo_url, 2000 as n_description, 'AT' as country, 'EUR' as currency, 'german-aus' as language, (1950 + c_custkey % 60)::int as founding_year from customer where c_custkey % 3 < 2"),
     "page_organizations": (page_organizations, "select page_id, case when page_id % 2 = 0 then 'B' else 'A' end || page_id as name, null as description, case when page_id % 2 = 0 then 'l.png' end as logo, case when page_id % 2 = 0 then 'DE' end as country from pages"),
-    "request_services": (request_services, "select distinct user_id, r_name as provider, 'cdn' as category from events join region on event_id % 9 = r_regionkey"),
+    "request_services": (request_services, "select distinct user_id, 'P' || s_suppkey % 30 as provider, 'cdn' as category from (select distinct user_id, 'a.m' || event_id % 400 || case when event_id % 3 > 0 then '.test' else '.org' end as host from events) join supplier on contains(host, case when s_suppkey = 7 then '.t' else s_suppkey || '.test' end)"),
+    "shop_patches": (shop_patches, """with p as (select o_orderkey as id, case when o_custkey % 3 = 0 then 'https://www.d' else 'https://d' end || o_custkey % 40 || '.test' as shop_id, case when o_orderkey % 11 > 0 then 's' || o_orderkey % 50 else '' end as match_key, o_orderstatus as vendor from orders),
+        a as (select s_suppkey as pos, 'https://d' || s_suppkey % 45 || '.test' as shop, 'd' || s_suppkey % 45 || '.test' as domain, case when s_suppkey % 9 > 0 then 's' || s_suppkey * 7 % 60 else '' end as match_key, case when s_suppkey % 2 = 0 then 'V' || s_suppkey end as v, case when s_suppkey % 5 > 0 then 'M' || s_suppkey end as m from supplier),
+        c as (select * from a where match_key <> '' and (v is not null or m is not null)),
+        e as (select pos, id, v, m from c join p on shop = shop_id and c.match_key = p.match_key),
+        h as (from e union all select pos, id, v, m from c join p on c.match_key = p.match_key and shop_id like '%' || domain || '%' where pos not in (select pos from e)),
+        l as (select id, arg_max(v, pos) filter (where v is not null) as v, arg_max(m, pos) filter (where m is not null) as mpn from h group by id)
+        select id, coalesce(v, vendor) as vendor, mpn, (select count(*) from h) as matched, (select count(*) from c) - (select count(distinct pos) from h) as not_found, (select count(*) from a) - (select count(*) from c) as invalid, (select count(*) from a) as total from l join p using (id)"""),
     "url_scores": (url_scores, f"select page_id, round(({' + '.join(f'contains({_PATH}, {chr(39)}{w}{chr(39)})::int' for w in ('product', 'shop', 'item', 'buy', 'store', 'p'))}) / 6, 4) as score, 'item-' || page_id as handle, case when page_id % 3 = 0 then 'shop' || page_id || '.myshopify.com' end as shopify, case page_id % 3 when 0 then 'shop' || page_id || '.myshopify.com' when 1 then 'shop' || page_id || '.example.com' end as magento from pages"),
     "text_rules": (text_rules, f"select k, case when k % 3 < 2 then name end as title, k % 4 <> 2 as truth, (['NEW', 'USED', 'REFURBISHED', null])[k % 4 + 1] as condition from {_P}"),
     "presence_rules": (presence_rules, f"select k, k % 5 > 2 as filled, k % 5 > 2 as scored, k % 5 > 1 as truthy from {_P}"),
