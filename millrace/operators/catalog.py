@@ -6,8 +6,10 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from millrace.functions.presence import filled, strip
+from millrace.session import fresh_dir
 
 
 def _struct(df: DataFrame) -> Column:
@@ -92,7 +94,7 @@ def with_retention(df: DataFrame, until: str, created: str, days: int) -> DataFr
 
 
 def page(df: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
-    """SORT-01, SORT-02: one page in a total order; end the order with a unique column (T7)."""
+    """SORT-01, SORT-02: one of the first pages in a total order; end the order with a unique column (T7). Pages has deep ones."""
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
@@ -100,6 +102,33 @@ def pages(total: int, size: int) -> int:
     return math.ceil(total / size)
 
 
+class Pages:
+    """SORT-01, SORT-02: all pages of a table in a total order. Rows are written once in ranges of the order with a directory of how many each range holds, so that any page reads the one or two ranges that it lies in."""
+
+    def __init__(self, df: DataFrame, *order: Column) -> None:
+        self.spark, self.order, self.schema, self.path = df.sparkSession, order, df.schema, fresh_dir(df.sparkSession, "pages")
+        df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).write.partitionBy("_part").parquet(self.path)
+        counts = self._all().groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()  # a row for each range
+        self.ends, self.total = [], 0
+        for r in counts:
+            self.ends.append((r["_part"], self.total, self.total + r["n"]))
+            self.total += r["n"]
+
+    def _all(self) -> DataFrame:
+        return self.spark.read.schema(StructType([*self.schema.fields, StructField("_part", IntegerType())])).parquet(self.path)
+
+    def count(self, size: int) -> int:
+        return pages(self.total, size)
+
+    def page(self, number: int, size: int) -> DataFrame:
+        """Page `number` from 1 on; one that isn't there is empty."""
+        first, last = (number - 1) * size, min(number * size, self.total)
+        held = [(p, low) for p, low, high in self.ends if low < last and high > first]
+        if not held:
+            return self._all().drop("_part").limit(0)
+        return self._all().where(F.col("_part").isin([p for p, _ in held])).drop("_part").orderBy(*self.order).offset(first - held[0][1]).limit(last - first)
+
+
 def exact_else_like(df: DataFrame, exact: Column, like: Column) -> DataFrame:
     """FLT-03: rows that match exactly, or where there are none those that match loosely."""
     flagged = df.where(exact | like).withColumn("_exact", exact)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import matching
@@ -87,3 +87,17 @@ def history(runs: DataFrame, scores: str = "scores") -> DataFrame:
     """AGG-18, SRC-15: rows of (timestamp, scores: map of site to map of tier to struct) as one row for each site and tier, ready for averages by run."""
     sites = runs.select("timestamp", F.explode(scores).alias("site", "tiers"))
     return sites.select("timestamp", "site", F.explode("tiers").alias("tier", "s")).select("timestamp", "site", "tier", F.col("s.avg_score").alias("avg_score"), F.col("s.overall_score").alias("overall_score"))
+
+
+def run_averages(history: DataFrame, site: str | None = None, tier: str | None = None) -> DataFrame:
+    """AGG-18: of each run (timestamp) how many sites it has and the mean overall score of all sites and tiers, or of one site or tier; and the change from the run before."""
+    some = history.where((F.lit(site).isNull() | (F.col("site") == F.lit(site))) & (F.lit(tier).isNull() | (F.col("tier") == F.lit(tier))))
+    by_run = some.groupBy("timestamp").agg(F.count_distinct("site").alias("sites"), F.avg("overall_score").alias("mean"))
+    trend = F.col("mean") - F.lag("mean").over(Window.orderBy("timestamp"))  # a row for each run
+    return by_run.select("timestamp", "sites", F.round("mean", 4).alias("mean"), F.round(trend, 4).alias("change"))
+
+
+def best_of_sites(tiers: DataFrame, site: str, tier: str, score: str) -> DataFrame:
+    """AGG-19: mean over sites of the score of each site's best tier, and how many sites each tier is best of."""
+    best = best_tier(tiers, site, tier, score)
+    return best.groupBy("best_tier").agg(F.count("*").alias("sites")).join(F.broadcast(best.agg(F.round(F.avg("best_score"), 4).alias("mean_best"))))  # one row

@@ -197,6 +197,45 @@ def most_signals(counted: Column) -> Column:
     return F.struct(name.alias("platform"), top.alias("signals"), F.round(F.least(F.lit(1.0), F.greatest(top, F.lit(0)) / most[name]), 4).alias("confidence"))
 
 
+#: For each platform the probed path that answers 200 and the key that its JSON must have (None: whatever it says; '[0]': a list with something in it).
+PROBES = {"shopify": ("/products.json", "products"), "woocommerce": ("/wp-json/", "namespaces"), "magento": ("/rest/V1/store/storeConfigs", "[0]"), "shopware": ("/api/_info/config", None)}
+
+
+def header_signals(headers: Column) -> dict[str, Column]:
+    """EXT-17: platforms that a map of response headers tells of; names in any case."""
+    named = lambda test: F.exists(F.map_keys(headers), lambda k: test(F.lower(k)))
+    link = F.lower(F.coalesce(F.array_join(F.map_values(F.map_filter(headers, lambda k, v: F.lower(k) == "link")), ","), F.lit("")))
+    return {
+        "shopify": named(lambda k: k.isin("x-shopid", "x-shopify-stage")),
+        "woocommerce": F.contains(link, F.lit("wp-json")) & F.contains(link, F.lit("api.w.org")),
+        "magento": named(lambda k: k.startswith("x-magento")),
+        "bigcommerce": F.lit(False),
+        "shopware": named(lambda k: k.isin("sw-version-id", "sw-context-token")),
+    }
+
+
+def probe_signals(probes: Column) -> dict[str, Column]:
+    """EXT-17: platforms whose probe (array of struct path, status, body) answers as it should."""
+
+    def answers(name: str) -> Column:
+        if name not in PROBES:
+            return F.lit(False)
+        path, key = PROBES[name]
+        good = lambda p: F.lit(True) if key is None else F.try_variant_get(F.try_parse_json(p["body"]), "$" + (key if key[0] == "[" else f".{key}"), "variant").isNotNull()
+        return F.exists(probes, lambda p: (p["path"] == path) & (p["status"] == 200) & good(p))
+
+    return {name: answers(name) for name in PLATFORM_MARKS}
+
+
+def site_platform(html: Column | str, headers: Column, probes: Column, most_bytes: int = 10 * 1024 * 1024) -> Column:
+    """EXT-17: struct(platform, signals, confidence) of a site by headers, probes and its front page (unless that is too large); nulls tell nothing."""
+    page = F.when(F.octet_length(column(html)) <= most_bytes, F.lower(column(html)))
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    told, asked = header_signals(headers), probe_signals(probes)
+    count = lambda name, low: sum((flag(low.rlike(m)) for m in PLATFORM_MARKS[name]), flag(told[name]) + flag(asked[name])).alias(name)
+    return once(page, lambda low: once(F.struct(*(count(name, low) for name in PLATFORM_MARKS)), most_signals))
+
+
 def page_class(html: Column | str) -> Column:
     """EXT-16: struct(rejection, confidence, is_product). Error titles, redirects to the front page and pages with little text are rejected."""
     h = column(html)

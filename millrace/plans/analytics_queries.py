@@ -134,6 +134,26 @@ def baseline_delta(s, d):
     return evals.regressions(by_year(1995), by_year(1996), ["l_returnflag", "l_linestatus", "l_linenumber"], 0.001, allowed)
 
 
+def _score_rows(s, d):
+    """Score logs as they are kept: for each run (a year) a map of site (order status) to a map of tier (priority) to scores."""
+    rows = table(s, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy").alias("timestamp"), F.col("o_orderstatus").alias("site"), F.col("o_orderpriority").alias("tier")).agg(F.round(F.avg(F.col("o_totalprice") / 500_000), 4).alias("overall_score"), F.count("*").alias("products_extracted"))
+    tiers = rows.groupBy("timestamp", "site").agg(F.map_from_entries(F.collect_list(F.struct("tier", F.struct("overall_score", F.lit(None).cast("double").alias("avg_score"), "products_extracted")))).alias("tiers"))
+    return tiers.groupBy("timestamp").agg(F.map_from_entries(F.collect_list(F.struct("site", "tiers"))).alias("scores"))
+
+
+def score_history(s, d):
+    """SRC-15, AGG-18: mean score of each run, and that of one site and of one tier, with the change from the run before."""
+    log = evals.history(_score_rows(s, d))
+    named = lambda df, what: df.select(F.lit(what).alias("what"), "*")
+    return named(evals.run_averages(log), "all").unionByName(named(evals.run_averages(log, site="F"), "site")).unionByName(named(evals.run_averages(log, tier="1-URGENT"), "tier"))
+
+
+def best_tiers(s, d):
+    """AGG-19: how many sites (status and year) each tier is best of, and the mean of the best scores."""
+    log = evals.history(_score_rows(s, d)).withColumn("site", F.concat_ws("/", "timestamp", "site"))
+    return evals.best_of_sites(log, "site", "tier", "overall_score")
+
+
 def fuzzy_match(s, d):
     """JOIN-15: a nation's suppliers matched in order with the names of all its customers."""
     a = table(s, d, "supplier").select(F.col("s_nationkey").alias("site"), F.col("s_suppkey").alias("pos"), F.col("s_name").alias("title"))
@@ -199,6 +219,13 @@ QUERIES = {
     "field_scores": (field_scores, f"select site, pos, case when x_num is null then 0.0 when abs(abs(e_num) - abs(x_num)) <= 0.01 * greatest(abs(e_num), abs(x_num)) then 1.0 else 0.0 end as number, case when x_name is null then 0.0 when regexp_replace(e_name, '[^0-9]', '', 'g')::bigint = regexp_replace(x_name, '[^0-9]', '', 'g')::bigint then 0.9 else 0.0 end as url, case when (e_num > 0) = (coalesce(x_num, 0) > 0) then 1.0 else 0.0 end as flag from {PAIRS}"),
     "tier_averages": (tier_averages, "with m as (select l_returnflag as site, o_orderpriority as tier, round(avg(1 - l_discount * 5), 4) as avg_score, count(*) filter (where 1 - l_discount * 5 >= 0.8) as fields_matched, count(*) as fields from lineitem join orders on l_orderkey = o_orderkey group by 1, 2), o as (select *, round(0.6 * avg_score + 0.4 * least(1.0, fields / 3000), 4) as overall from m) select *, first_value(tier) over (partition by site order by overall desc, tier) as best_tier from o"),
     "baseline_delta": (baseline_delta, "with y as (select l_returnflag, l_linestatus, l_linenumber, year(l_shipdate) as y, round(avg(l_discount), 4) as score from lineitem group by all) select a.l_returnflag, a.l_linestatus, a.l_linenumber, a.score as before, b.score as after, round(b.score - a.score, 4) as delta, case when round(b.score - a.score, 4) < -0.001 and a.l_linenumber <> 1 then 'regression' when round(b.score - a.score, 4) > 0.001 then 'improvement' else 'same' end as kind from y a join y b on a.y = 1995 and b.y = 1996 and a.l_returnflag = b.l_returnflag and a.l_linestatus = b.l_linestatus and a.l_linenumber = b.l_linenumber"),
+    "score_history": (score_history, """with l as (select strftime(o_orderdate, '%Y') as timestamp, o_orderstatus as site, o_orderpriority as tier, round(avg(o_totalprice / 500000), 4) as s from orders group by all),
+        r as (select 'all' as what, * from l union all select 'site', * from l where site = 'F' union all select 'tier', * from l where tier = '1-URGENT'),
+        m as (select what, timestamp, count(distinct site) as sites, avg(s) as mean from r group by all)
+        select what, timestamp, sites, round(mean, 4) as mean, round(mean - lag(mean) over (partition by what order by timestamp), 4) as change from m"""),
+    "best_tiers": (best_tiers, """with l as (select strftime(o_orderdate, '%Y') || '/' || o_orderstatus as site, o_orderpriority as tier, round(avg(o_totalprice / 500000), 4) as s from orders group by all),
+        b as (select site, tier, s from (select *, row_number() over (partition by site order by s desc, tier) as r from l) where r = 1)
+        select tier as best_tier, count(*) as sites, (select round(avg(s), 4) from b) as mean_best from b group by tier"""),
     "fuzzy_match": (fuzzy_match, None),
     "chunk_merge": (chunk_merge, None),
     "seeded_sample": (seeded_sample, None),

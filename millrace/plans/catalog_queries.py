@@ -31,6 +31,14 @@ def catalog_page(s, d):
     return catalog.page(products(s, d), 3, 50, F.desc(F.col("price") > 0), F.desc("price"), F.col("id"))
 
 
+def catalog_deep_pages(s, d):
+    """SORT-01, SORT-02: the third page, the last and one beyond it, through the directory of ranges."""
+    made = catalog.Pages(products(s, d), F.desc(F.col("price") > 0), F.desc("price"), F.col("id"))
+    last = made.count(30)
+    named = lambda n: made.page(n, 30).select(F.lit(n).alias("page"), "id", "title", "price")
+    return named(3).union(named(last)).union(named(last + 1))
+
+
 def catalog_counts(s, d):
     """AGG-01 by vendor."""
     return products(s, d).groupBy("vendor").agg(F.count("*").alias("n"), F.count_if(F.col("price") > 0).alias("priced"))
@@ -274,6 +282,7 @@ def token_rotation(s, d):
 
 QUERIES = {
     "catalog_page": (catalog_page, f"select * from {PRODUCTS} order by price > 0 desc, price desc, id limit 50 offset 100"),
+    "catalog_deep_pages": (catalog_deep_pages, f"select page, id, title, price from (select *, ((row_number() over (order by price > 0 desc, price desc, id) - 1) // 30 + 1)::int as page, ((count(*) over () + 29) // 30)::int as n from {PRODUCTS}) where page in (3, n)"),
     "catalog_counts": (catalog_counts, f"select vendor, count(*) as n, count(*) filter (where price > 0) as priced from {PRODUCTS} group by vendor"),
     "exact_then_like": (exact_then_like, "select s_suppkey, s_name from supplier where s_name = 'Supplier#00000000' or (s_name like '%0_1%' and not exists (select 1 from supplier where s_name = 'Supplier#00000000'))"),
     "completeness_coverage": (completeness_coverage, "select count(*) as total, " + ", ".join(f"count(*) filter (where {c}) as n_{f}, coalesce(round(count(*) filter (where {c}) / count(*) * 100, 1), 0.0) as pct_{f}" for f, c in _FLAGS.items()) + f" from {PRODUCTS}"),

@@ -47,6 +47,17 @@ def page_classes(s, d):
     return both.select("page_id", "c.rejection", "c.confidence", "c.is_product", "p.platform", F.col("p.confidence").alias("platform_confidence"))
 
 
+def site_platforms(s, d):
+    """EXT-17, AGG-16: pages as front pages of sites, with headers, probes and marks as far as the page's number says; many agree on one platform, some on two, some on none."""
+    n = F.col("page_id")
+    mark = F.element_at(F.array(*map(F.lit, ('<META name="Generator" content="Shopify">', "<script src=//CDN.shopify.com/x>", "<link href=/wp-content/plugins/woocommerce/a.css>", '<meta name="platform" content="bigcommerce">', "<i>/bundles/storefront/</i>", ""))), (n % 6 + 1).cast("int"))
+    name = F.element_at(F.array(*map(F.lit, ("X-ShopId", "Link", "X-Magento-Cache", "SW-Version-Id", "server"))), (n % 5 + 1).cast("int"))
+    headers = F.create_map(name, F.when(n % 15 == 1, "<https://x/wp-json/>; rel=other").otherwise("<https://x/WP-JSON/>; rel='https://api.w.org/'"))
+    probe = F.struct(F.element_at(F.array(*map(F.lit, ("/products.json", "/wp-json/", "/rest/V1/store/storeConfigs", "/api/_info/config"))), (n % 4 + 1).cast("int")).alias("path"), F.when(n % 7 == 0, 404).otherwise(200).alias("status"), F.element_at(F.array(*map(F.lit, ('{"products":[]}', '{"other":1}', "[{}]", "no json"))), (n % 4 + 1).cast("int")).alias("body"))
+    sites = pages(s, d).select("page_id", F.concat("html", mark).alias("html"), F.when(n % 11 > 0, headers).alias("headers"), F.when(n % 13 > 0, F.array(probe)).alias("probes"))
+    return sites.select("page_id", F.inline(F.array(extract.site_platform("html", F.col("headers"), F.col("probes")))))
+
+
 def enriched(s, d):
     """Pages with the marks of a shop added, as far as the page's number says; work and text follow from the table.
 
@@ -183,6 +194,11 @@ QUERIES = {
     "page_anchors": (page_anchors, r"""select page_id, (k - 1)::int as pos, hrefs[k] as href from (select page_id, hrefs, unnest(range(1, len(hrefs) + 1)) as k from (select page_id, regexp_extract_all(html, '<a\b[^>]*\bhref\s*=\s*["'']([^"'']*)["'']', 1, 'i') as hrefs from pages))"""),
     "page_text": (page_text, f"select page_id, length({_VISIBLE})::int as n_text, md5({_VISIBLE}) as digest from pages"),
     "page_classes": (page_classes, None),
+    "site_platforms": (site_platforms, """with m as (select page_id, page_id % 6 as k, page_id % 11 > 0 as h, page_id % 5 as e, page_id % 13 > 0 and page_id % 7 <> 0 as p, page_id % 4 as a from pages),
+        c as (select page_id, (k in (0, 1))::int + (h and e = 0)::int + (p and a = 0)::int as sh, (k = 2)::int + (h and e = 1 and page_id % 15 <> 1)::int as wo, (h and e = 2)::int + (p and a = 2)::int as ma, (k = 3)::int as bi, (k = 4)::int + (h and e = 3)::int + (p and a = 3)::int as sw from m),
+        t as (select *, greatest(sh, wo, ma, bi, sw) as signals from c)
+        select page_id, case when signals = 0 then 'generic' when sh = signals then 'shopify' when wo = signals then 'woocommerce' when ma = signals then 'magento' when bi = signals then 'bigcommerce' else 'shopware' end as platform, signals,
+          round(signals / case when signals = 0 then 1 when sh = signals or wo = signals then 4 when ma = signals or bi = signals then 3 else 4 end, 4)::double as confidence from t"""),
     "product_nodes": (product_nodes, f"select * from {_NODES}"),
     "layered_products": (layered_products, f"""with p as (select page_id, regexp_extract_all({_OG}, 'property="og:title" content="([^"]*)"', 1)[-1] as og_title, nullif(regexp_extract({_OG}, 'property="product:price:amount" content="([^"]*)"', 1), '') as og_price, nullif(regexp_extract({_OG}, 'property="og:image" content="([^"]*)"', 1), '') as image, {_TITLE} as title from pages)
         select p.page_id, coalesce(nullif(trim(n.name), ''), og_title, nullif(title, '')) as title, coalesce(n.price, og_price) as price, image from p left join {_NODES} n on p.page_id = n.page_id where n.page_id is not null or og_price is not null"""),

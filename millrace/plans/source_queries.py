@@ -140,6 +140,42 @@ def admin_payloads(s, d):
     return out
 
 
+def public_payloads(s, d):
+    """SRC-05, SRC-06, SRC-08: jobs that read a shop's public API in pages of four products: whole ones, refused, broken and missing pages, a limit that passes and one that stays, a short page; records with the shop's currency."""
+    k = F.col("k")
+    item = one(id=k, title=F.col("name"), variants=F.array(one(price=F.format_string("%.2f", "price"))))
+    p = part(s, d).select(F.floor(k / 12).alias("job"), (F.floor(k / 4) % 3 + 1).alias("page"), k, F.to_json(item).alias("item")).where(~((k % 12 == 11) & (F.floor(k / 12) % 3 == 0)))
+    bodies = p.groupBy("job", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "item"))), lambda x: x["item"]), ",").alias("items"))
+    kind, second = F.col("job") % 6, F.col("page") == 2
+    status = F.when(second & (kind == 1), 503).when(second & (kind == 3), 429).when((F.col("page") == 3) & (kind == 4), 404).when((F.col("page") == 1) & (F.col("job") % 35 == 20), 404).when(second & (kind == 5) & (F.col("job") % 2 == 1), 403).otherwise(200)
+    body = F.when(second & (kind == 2), '{"products":[').otherwise(F.concat(F.lit('{"products":['), "items", F.lit("]}")))
+    rows = bodies.select("job", "page", F.lit(1).alias("attempt"), status.alias("status"), body.alias("body"), F.when((F.col("page") == 1) & (F.col("job") % 2 == 0), "EUR").alias("currency"))
+    again = rows.where(second & (kind == 3) & (F.col("job") % 2 == 1)).select("job", "page", F.lit(2).alias("attempt"), F.when(F.col("job") % 4 == 1, 200).otherwise(429).alias("status"), "body", "currency")
+    found, jobs = payloads.fetched(rows.union(again), "job", "$.products", 4)
+    told = found.groupBy("job").agg(F.sum(F.try_variant_get("raw", "$.id", "bigint")).alias("id_sum"), F.count_if(F.try_variant_get("raw", "$._shop_currency", "string") == "EUR").alias("in_eur"))
+    return jobs.join(told, "job", "left").select("job", "products", "pages_completed", "complete", "error", F.coalesce("id_sum", F.lit(0)).alias("id_sum"), F.coalesce("in_eur", F.lit(0)).alias("in_eur"))
+
+
+def link_cursors(s, d):
+    """SRC-08: the next page's address of Link headers with one, without one, with another order of parts."""
+    n = F.col("page_id")
+    to = lambda rel, c: F.concat(F.lit("<"), c, F.lit(f'>; rel="{rel}"'))
+    link = F.when(n % 4 == 0, to("previous", F.lit("https://x/p"))).when(n % 4 == 1, F.concat(to("previous", F.lit("https://x/p")), F.lit(", "), to("next", F.concat("url", F.lit("?page_info=n&limit=250"))))).when(n % 4 == 2, F.concat(to("next", F.col("url")), F.lit(","), to("last", F.lit("https://x/z"))))
+    return table(s, d, "pages").select("page_id", urls.next_page(link).alias("next"))
+
+
+def rejected_products(s, d):
+    """PRJ-01, FLT-05, DQ-06: records that normalizing must refuse, and why; identifiers that aren't any become null, and a record may do without price or without identifier."""
+    k = F.col("k")
+    at = lambda *cases: F.element_at(F.array(*cases), (k % 8 + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    price = F.format_string("%.2f", "price")
+    record = one(_source=F.lit("google_feed"), id=at(text_of(k), text_of(k), text_of(k), text_of(k), none, text_of(k), none, text_of(k)), title=at(F.col("name"), F.lit("  "), F.col("name"), F.col("name"), F.col("name"), F.col("name"), F.col("name"), none), price=at(price, price, F.concat(price, F.lit("7")), price, none, none, price, price), currency=at(F.lit("usd"), F.lit("USD"), F.lit("USD"), F.lit("EURO"), F.lit("USD"), none, none, F.lit("USD")), gtin=F.when(k % 3 == 0, F.lpad(text_of(k), 13, "4")).otherwise("12"))
+    rows = part(s, d).select(F.lit("s").alias("shop_id"), F.lit("generic").alias("platform"), F.lit("https://x.test").alias("shop_url"), F.parse_json(F.to_json(one(**{"_source": F.lit("google_feed"), "k": k, "r": record}))).alias("raw"))
+    rows = rows.select("shop_id", "platform", "shop_url", F.try_variant_get("raw", "$.k", "bigint").alias("k"), F.try_variant_get("raw", "$.r", "variant").alias("raw"))
+    return normalize.normalize(rows, "k").select("k", "is_valid", "reject_reason", "title", F.when(F.col("is_valid"), F.col("currency")).alias("currency"), "gtin")
+
+
 def api_paging(s, d):
     """SRC-05 to SRC-07, WIN-05: orders as pages of jobs, the customers; how many pages were read and whether the job is complete."""
     o = table(s, d, "orders").groupBy(F.col("o_custkey").alias("job")).agg(F.count("*").alias("total"))
@@ -276,6 +312,19 @@ QUERIES = {
         case m when 0 then 2 when 1 then 1 when 3 then 1 else 0 end as n_tags, case when m in (0, 1, 5) then 1 else 0 end as n_additional_images, case when m = 0 then 1 else 0 end as n_variants, true as is_valid from (select *, k % 8 as m from {_P})"""),
     "admin_payloads": (admin_payloads, f"""select (['$.data', '$', '$.items', '$.products'])[k % 4 + 1] as api, k::varchar as id, name as title, shown::double as price, k::varchar as sku, case when k % 8 <> 5 then code end as gtin, case when k % 2 = 1 then 'true' else 'false' end as in_stock,
         case when k % 4 = 0 then case when k % 5 < 4 then 'B' || k % 5 else '' end end as vendor, case when k % 4 <> 2 then 'a' end as image from {_P} where (k // 20) % 9 <> 8 and not (k % 4 = 2 and k % 3 = 0)"""),
+    "public_payloads": (public_payloads, f"""with p as (select k // 12 as job, (k // 4) % 3 + 1 as page, k from {_P} where not (k % 12 = 11 and (k // 12) % 3 = 0)),
+        b as (select job, page, count(*) as n, sum(k) as ids from p group by all),
+        r as (select *, case when page = 1 and job % 35 = 20 and not (page = 2) and not (page = 3 and job % 6 = 4) then 'not found' when page = 2 and job % 6 = 1 then 'server error' when page = 2 and job % 6 = 3 and (job % 2 = 0 or job % 4 <> 1) then 'rate limited'
+            when page = 3 and job % 6 = 4 then 'not found' when page = 2 and job % 6 = 5 and job % 2 = 1 then 'refused' when page = 2 and job % 6 = 2 then 'invalid JSON' end as failed from b),
+        g as (select *, row_number() over (partition by job order by page) <> page as gap from r),
+        e as (select *, min(case when failed is not null or gap or n < 4 then page end) over (partition by job) as ended from g),
+        j as (select job, coalesce(sum(n) filter (where failed is null and not gap and (ended is null or page <= ended)), 0)::bigint as products, coalesce(sum(ids) filter (where failed is null and not gap and (ended is null or page <= ended)), 0)::bigint as id_sum, max(ended) as ended, max(page) as last,
+            max(failed) filter (where page = ended and not gap) as failed from e group by job)
+        select job, products, (case when coalesce(ended, last + 1) > 1 then coalesce(ended, last + 1) - 1 when products > 0 then 1 else 0 end)::bigint as pages_completed, failed is null or failed = 'not found' and products > 0 as complete,
+          case when failed = 'not found' and products > 0 then null else failed || ' on page ' || ended end as error, id_sum, case when job % 2 = 0 and exists (select 1 from b where b.job = j.job and page = 1) then products else 0 end as in_eur from j"""),
+    "link_cursors": (link_cursors, "select page_id, case page_id % 4 when 1 then url || '?page_info=n&limit=250' when 2 then url end as next from pages"),
+    "rejected_products": (rejected_products, f"""select k, k % 8 in (0, 5, 6) as is_valid, case k % 8 when 1 then 'no_title' when 7 then 'no_title' when 2 then 'price_places' when 3 then 'currency' when 4 then 'nothing_to_identify' end as reject_reason,
+        case when k % 8 in (1, 7) then null else name end as title, case k % 8 when 0 then 'USD' when 5 then 'EUR' when 6 then 'EUR' end as currency, case when k % 8 not in (1, 7) and k % 3 = 0 then lpad(k::varchar, 13, '4') end as gtin from {_P}"""),
     "api_paging": (api_paging, "select job, least(3, ceil(total / 4.0))::bigint as pages_completed, ceil(total / 4.0)::bigint as pages_expected, least(12, total)::bigint as products, total <= 12 as complete from (select o_custkey as job, count(*) as total from orders group by 1)"),
     "benchmark_products": (benchmark_products, f"select name as title, case when k % 2 = 0 then brand else 'plain' end as vendor, price::varchar as price, 'EUR' as currency, kind as product_type from {_P} where k % 6 <> 0"),
     "merchant_profiles": (merchant_profiles, "select c_custkey as shop_id, case when c_custkey % 3 = 0 then c_name else 'og ' || c_custkey end as company_name, 'f.ico' as logo_url, 2000 as n_description, 'AT' as country, 'EUR' as currency, 'german-aus' as language, (1950 + c_custkey % 60)::int as founding_year from customer where c_custkey % 3 < 2"),

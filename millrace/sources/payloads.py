@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text
@@ -28,6 +28,38 @@ def paging(pages: DataFrame, job: str, page: str, n: str, total: str, size: int,
     )
 
 
+def fetched(responses: DataFrame, job: str, path: str, size: int, most_pages: int = 100) -> tuple[DataFrame, DataFrame]:
+    """SRC-05, SRC-06: records (job, page, raw) of public APIs that are read page by page, and the outcome of each job: products, pages_completed, complete and error.
+
+    responses: job, page (from 1 on), attempt, status, body, currency (of the shop's cookie, may be null). Of a page the last attempt counts. A job ends at the first page that isn't there, fails, holds
+    nothing or isn't full; what came before stays. A missing page behind others ends it well (404), one that was refused, broken or no list doesn't. The first currency of a job goes into
+    its records. A job has no more than most_pages pages.
+    """
+    last = responses.where(F.col("page").between(1, most_pages)).groupBy(job, "page").agg(F.max_by(F.struct("status", "body"), "attempt").alias("x"), F.min_by("currency", "attempt").alias("currency")).select(job, "page", "x.status", "x.body", "currency")
+    doc = F.when(F.col("body").rlike(r"[}\]]\s*$"), F.try_parse_json("body"))
+    read = last.withColumn("doc", F.when(F.col("status") == 200, doc)).withColumn("items", F.coalesce(F.try_variant_get("doc", path, "array<variant>"), F.when(F.lit(path != "$") & F.try_variant_get("doc", path, "variant").isNull(), F.array().cast("array<variant>"))))
+    status = F.col("status")
+    read = read.withColumn(
+        "failed",
+        F.when(status == 429, "rate limited").when(status == 404, "not found").when(status >= 500, "server error").when(status != 200, "refused").when(F.col("doc").isNull(), "invalid JSON").when(F.col("items").isNull(), "unexpected format"),
+    )
+    n = F.coalesce(F.size("items"), F.lit(0))
+    seen = Window.partitionBy(job).orderBy("page")  # most_pages rows at the most
+    read = read.withColumn("gap", F.row_number().over(seen) != F.col("page")).withColumn("n", F.when(F.col("failed").isNull(), n).otherwise(0))
+    ended = F.min(F.when(F.col("failed").isNotNull() | F.col("gap") | (F.col("n") < size), F.col("page"))).over(Window.partitionBy(job))
+    read = read.withColumn("ended", ended).withColumn("shop_currency", F.first("currency", ignorenulls=True).over(seen.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    kept = read.where((F.col("ended").isNull() | (F.col("page") <= F.col("ended"))) & F.col("failed").isNull() & ~F.col("gap"))
+    item = F.when(F.col("shop_currency").isNull(), F.col("raw")).otherwise(F.parse_json(F.regexp_replace(F.to_json("raw"), r"\}$", F.concat(F.lit(',"_shop_currency":"'), F.regexp_replace("shop_currency", "[^A-Za-z]", ""), F.lit('"}')))))
+    rows = kept.select(job, "page", "shop_currency", F.explode("items").alias("raw")).select(job, "page", item.alias("raw"))
+    at_end = lambda c: F.max(F.when((F.col("page") == F.col("ended")) & ~F.col("gap"), c))
+    inside = F.sum(F.when((F.col("ended").isNull() | (F.col("page") <= F.col("ended"))) & ~F.col("gap"), F.col("n")).otherwise(0))
+    done = read.groupBy(job).agg(inside.alias("products"), F.max("ended").alias("_ended"), F.max("page").alias("_last"), at_end(F.col("failed")).alias("_failed"))
+    until = F.coalesce("_ended", F.col("_last") + 1)
+    error = F.when((F.col("_failed") == "not found") & (F.col("products") > 0), None).otherwise(F.concat("_failed", F.lit(" on page "), F.col("_ended").cast("string")))
+    jobs = done.select(job, "products", F.when(until > 1, until - 1).otherwise(F.when(F.col("products") > 0, 1).otherwise(0)).cast("bigint").alias("pages_completed"), error.isNull().alias("complete"), error.alias("error"))
+    return rows, jobs
+
+
 def keep_fields(raw: Column, fields: dict[str, Column]) -> Column:
     return F.parse_json(F.to_json(F.struct(*(v.alias(k) for k, v in fields.items()))))
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import money, presence, similarity, text, urls
-from millrace.operators import access, evals, extract, normalize
+from millrace.operators import access, catalog, evals, extract, normalize
 from millrace.sources import feeds, payloads
 
 
@@ -148,6 +148,22 @@ def test_chunks_merge(spark):
     assert [(r.title, r.price) for r in got] == [("Blue Cup", "5"), ("Other", "1")]
 
 
+def test_deep_pages(spark):
+    """All pages together are the table in order, each reads few ranges, and there is nothing behind the last or in an empty table."""
+    df = spark.range(1000).select("id", (F.col("id") * 7 % 13).alias("rank")).repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # this is little data
+    try:
+        made = catalog.Pages(df, F.desc("rank"), F.col("id"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = [(r.id, r.rank) for r in df.orderBy(F.desc("rank"), "id").collect()]
+    assert len(made.ends) > 1 and made.count(90) == 12
+    assert [tuple(r) for n in range(1, 13) for r in made.page(n, 90).collect()] == want
+    assert made.page(13, 90).count() == 0 and "PartitionFilters: [isnotnull(_part" in made.page(12, 90)._jdf.queryExecution().executedPlan().toString()
+    empty = catalog.Pages(df.limit(0), F.col("id"))
+    assert empty.count(90) == 0 and empty.page(1, 90).count() == 0
+
+
 def test_token_replay(spark):
     """A token used twice in one batch is a replay, as is one spent before, expired or not; an expired one does nothing."""
     tokens = spark.createDataFrame([("a", 1, True, 9), ("b", 1, False, 9), ("c", 2, False, 9), ("d", 3, False, 9), ("e", 3, False, 9), ("f", 4, False, 1), ("g", 4, False, 9), ("h", 5, True, 1), ("i", 5, False, None), ("j", 6, False, None)], "token string, family int, revoked boolean, expires int")
