@@ -1,6 +1,7 @@
 """Queries and rules that SQL can't express, against plain versions in Python."""
 
 import random
+import re
 from collections import Counter, defaultdict
 from difflib import SequenceMatcher
 from html.parser import HTMLParser
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import registry
-from millrace.functions import text
+from millrace.functions import money, text
 from millrace.operators import matching, evals, extract
 from millrace.sources import feeds
 
@@ -223,3 +224,124 @@ def test_products_keep_their_own_fields(spark):
     nodes = extract.products(spark.createDataFrame([(1, page)], "page_id int, html string"), "html", "page_id")
     named = nodes.select("*", F.expr("try_variant_get(node, '$.name', 'string')").alias("name"))
     assert {(r.name, r.gtin) for r in extract.product_identifiers(named, "page_id", "name").collect()} == {("Zed", "4006381333931"), ("Abe", None)}
+
+
+class Parts(HTMLParser):
+    """What the rules for pages look at, gathered by a parser: title, text outside scripts and styles, and all tags with their attributes and scripts."""
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=False)
+        self.tags, self.scripts, self.text, self.titles, self.inside = [], [], [], [], []
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.tags.append((tag, {k: v or "" for k, v in attrs}))
+        if tag not in ("meta", "img", "link", "br", "input", "hr"):
+            self.inside.append((tag, dict(attrs)))
+
+    def handle_endtag(self, tag):
+        while self.inside and self.inside.pop()[0] != tag:
+            pass
+
+    def handle_data(self, data):
+        if self.inside and self.inside[-1][0] in ("script", "style"):
+            self.scripts.append((self.inside[-1][1].get("type") or "", data))
+        else:
+            if self.inside and self.inside[-1][0] == "title":
+                self.titles.append(data)
+            self.text.append(data)
+
+    handle_entityref = handle_charref = lambda self, name: self.text.append("?" * (len(name) + 2))
+
+
+def plain_class(html):
+    """Rejection, confidence and is_product of a page."""
+    p = Parts(html)
+    title = "".join(p.titles).strip().lower()
+    home = any(t == "meta" and a.get("http-equiv", "").lower() == "refresh" and re.search(r"url\s*=\s*/*\s*$", a.get("content", ""), re.I) for t, a in p.tags)
+    rejection = "error_page_title" if any(x in title for x in ("404", "not found", "page not available")) else "redirect_to_homepage" if home else "insufficient_content" if len(re.sub(r"\s", "", "".join(p.text))) < 500 else ""
+    score = 0.4 * any("ld+json" in kind and re.search(r'"@type"\s*:\s*"Product"', body) for kind, body in p.scripts)
+    score += 0.3 * any(t == "meta" and a.get("property") == "product:price:amount" for t, a in p.tags)
+    score += 0.2 * any(t in ("button", "input", "form") and any("cart" in a.get(k, "").lower() for k in ("name", "action", "id", "class")) for t, a in p.tags)
+    score += 0.15 * any(a.get("itemprop") == "price" or "price" in a.get("class", "").split() or "data-price" in a for _, a in p.tags)
+    score += 0.1 * any(a.get("itemprop") == "name" or "product-title" in a.get("class", "").split() or t == "h1" and "product-name" in a.get("class", "").split() for t, a in p.tags)
+    confidence = 0.0 if rejection else round(min(1.0, score), 4)
+    return rejection, confidence, not rejection and confidence >= 0.3
+
+
+LONG = "<p>" + "some words of text " * 60 + "</p>"
+PAGES = [
+    "<html><title>404</title>" + LONG,
+    "<html><title>A Page Not Found here</title>" + LONG,
+    "<title>ok</title><meta http-equiv='refresh' content='0; url=/'>" + LONG,
+    '<title>ok</title><meta http-equiv="refresh" content="5; URL=/shop">' + LONG,
+    "<title>short</title><script>" + "x" * 900 + "</script><p>few words</p>",
+    '<title>p</title><script type="application/ld+json">{"@type" : "Product"}</script>' + LONG,
+    '<title>p</title><script type="application/ld+json">{"@type":"Thing"}</script><p>"@type": "Product"</p>' + LONG,
+    '<title>p</title><meta property="product:price:amount" content="5"><form action="/Cart/add"></form>' + LONG,
+    '<title>p</title><b class="big price now">5</b><h1 class="product-name">x</h1><i itemprop="name">n</i>' + LONG,
+    '<title>p</title><b class="prices">5</b><button id="go">cart</button>' + LONG,
+    '<title>p</title><span data-price="5"></span><div class="product-title"></div><input name="cart"><meta property="product:price:amount"><script type="application/ld+json">[{"@type":"Product"}]</script>' + LONG,
+    "",
+]
+
+
+def test_page_classes(spark, small):
+    rows = [(r.page_id, r.html) for r in table(spark, small, "pages")] + [(1000 + i, h) for i, h in enumerate(PAGES)]
+    got = spark.createDataFrame(rows, "i long, html string").select("i", F.inline(F.array(extract.page_class("html")))).collect()
+    assert {r.i: (r.rejection, r.confidence, r.is_product) for r in got} == {i: plain_class(h) for i, h in rows}
+    assert {plain_class(h)[0] for h in PAGES} == {"", "error_page_title", "redirect_to_homepage", "insufficient_content"} and {plain_class(h)[2] for h in PAGES} == {True, False}
+    ours = {r.page_id: (r.rejection, r.confidence, r.is_product, r.platform) for r in QUERIES["page_classes"](spark, small).collect()}
+    assert ours == {i: (*plain_class(h), "generic" if "shopify" not in h else ours[i][3]) for i, h in rows if i < 1000}
+
+
+def plain_price(t):
+    """The first credible price of a text as (amount, currency)."""
+
+    def listed(raw):
+        raw = raw.replace(" ", "")
+        raw = raw.replace(".", "").replace(",", ".") if re.search(r",\d{2}$", raw) else raw.replace(",", "")
+        try:
+            value = float(raw)
+        except ValueError:
+            return None
+        return f"{value:.2f}" if 0 < value <= 1_000_000 else None
+
+    for m in re.finditer(rf"([A-Z]{{3}})\s+({money.AMOUNT})", t):
+        if m[1] in money.ISO_CODES and (amount := listed(m[2])):
+            return amount, m[1]
+    signs = r"[€£¥₹₩₽]|R\$|A\$|C\$|NZ\$|HK\$|S\$|\$|kr|zł|CHF"
+    for line in t.split("\n"):
+        if re.search(money.NOISE, line):
+            continue
+        for m in re.finditer(rf"(?:(?:{signs})\s*)?(?:{money.AMOUNT})(?:\s*(?:[€£¥₹₩₽]|kr|zł))?(?:\s+[A-Z]{{3}})?", line):
+            if amount := listed(re.search(money.AMOUNT, m[0])[0]):
+                code, sign = re.search(r"\s([A-Z]{3})$", m[0]), re.search(signs, m[0])
+                return amount, code[1] if code and code[1] in money.ISO_CODES else money.SYMBOLS.get(sign[0]) if sign else None
+    return None
+
+
+def test_text_prices(spark, small):
+    rows = [(r.doc_id, r.text) for r in table(spark, small, "documents") if r.text]
+    odd = ["USD 12.50", "now EUR 1.299,99!", "XYZ 5.00 then $ 7.25", "free shipping over $50.00\n$ 9.99", "only 19,95 € today", "1,299.00 SEK", "kr 200,00", "price: 0.00", "$2,000,000.00", "no price", "", "£5.00 GBP"]
+    rows += [(10_000 + i, t) for i, t in enumerate(odd)]
+    got = spark.createDataFrame(rows, "i long, t string").select("i", money.text_price("t").alias("p")).collect()
+    assert {r.i: tuple(r.p) if r.p else None for r in got} == {i: plain_price(t) for i, t in rows}
+    ours = {r.doc_id: (r.amount, r.currency) for r in QUERIES["text_prices"](spark, small).collect()}
+    assert ours == {i: p for i, t in rows if i < 10_000 and (p := plain_price(t))}
+
+
+def test_profile_scores(spark, small):
+    from millrace.plans.page_queries import enriched
+
+    want = {}
+    for r in enriched(spark, small).collect():
+        bare = re.sub(r"(?s)<!--.*?-->", "", r.html)
+        footers = " ".join(re.sub(r"<[^>]+>", " ", m[0]) for m in re.finditer(r"(?is)<(footer|address)\b.*?</\1>", bare))
+        main = re.search(r"(?is)<main\b.*?</main>|<article\b.*?</article>", bare)
+        shown = re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", re.sub(r"(?is)<(script|style)\b.*?</\1>", " ", main[0]))).strip() if main else ""
+        title = re.search(r"(?is)<title[^>]*>(.*?)</title>", r.html)
+        score = 0.25 * bool(title and title[1].strip()) + 0.05 * (len(shown) > 50) + 0.15 * bool(re.search(r"[\w.%+-]+@[\w.-]+\.[A-Za-z]{2,}", footers)) + 0.10 * bool(re.search(r"G-[A-Z0-9]{6,}", bare))
+        want[r.page_id] = round(score, 4)
+    assert {r.page_id: r.confidence for r in QUERIES["profile_scores"](spark, small).collect()} == want and len(set(want.values())) > 1
