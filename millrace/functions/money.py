@@ -9,9 +9,10 @@ from millrace.functions.presence import column, strip
 
 # Currency codes that may stand beside an amount.
 ISO_CODES = (
-    "USD EUR GBP JPY CAD AUD NZD CHF SEK NOK DKK PLN CZK HUF INR KRW BRL RUB HKD SGD MXN ZAR TRY THB MYR "
-    "PHP IDR TWD AED SAR CNY VND BGN RON HRK ILS CLP COP PEN ARS UAH KZT QAR KWD BHD OMR JOD EGP NGN KES"
-).split()
+    "USD", "EUR", "GBP", "JPY", "CAD", "AUD", "NZD", "CHF", "SEK", "NOK", "DKK", "PLN", "CZK", "HUF", "INR", "KRW", "BRL", "RUB", "HKD", "SGD", "MXN", "ZAR", "TRY",
+    "THB", "MYR", "PHP", "IDR", "TWD", "AED", "SAR", "CNY", "VND", "BGN", "RON", "HRK", "ILS", "CLP", "COP", "PEN", "ARS", "UAH", "KZT", "QAR", "KWD", "BHD", "OMR",
+    "JOD", "EGP", "NGN", "KES",
+)
 # Symbols and the code that each stands for.
 SYMBOLS = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY", "₹": "INR", "₩": "KRW", "₽": "RUB", "R$": "BRL", "kr": "SEK", "zł": "PLN", "CHF": "CHF", "A$": "AUD", "C$": "CAD", "NZ$": "NZD", "HK$": "HKD", "S$": "SGD"}
 # Words of lines that hold no product price.
@@ -50,7 +51,7 @@ def text_price(c: Column | str) -> Column:
     """FN-04: struct(amount, currency) of the first credible price of a text: a known code before an amount, else an amount with its sign in a line without noise words."""
     c = column(c)
     coded = F.transform(F.regexp_extract_all(c, F.lit(rf"[A-Z]{{3}}\s+(?:{AMOUNT})"), F.lit(0)), lambda m: F.struct(listed_amount(F.regexp_replace(m, r"^[A-Z]{3}\s+", "")).alias("amount"), F.substring(m, 1, 3).alias("currency")))
-    coded = F.filter(coded, lambda m: m["currency"].isin(ISO_CODES) & m["amount"].isNotNull())
+    coded = F.filter(coded, lambda m: m["currency"].isin(*ISO_CODES) & m["amount"].isNotNull())
     signs = r"[€£¥₹₩₽]|R\$|A\$|C\$|NZ\$|HK\$|S\$|\$|kr|zł|CHF"
     pattern = rf"(?:(?:{signs})\s*)?(?:{AMOUNT})(?:\s*(?:[€£¥₹₩₽]|kr|zł))?(?:\s+[A-Z]{{3}})?"
     lines = F.filter(F.split(c, "\n"), lambda line: ~line.rlike(NOISE))
@@ -58,7 +59,7 @@ def text_price(c: Column | str) -> Column:
     code = lambda m: F.regexp_extract(m, r"\s([A-Z]{3})$", 1)
     sign = lambda m: F.regexp_extract(m, rf"({signs})", 1)
     named = F.create_map(*(F.lit(x) for pair in SYMBOLS.items() for x in pair))
-    priced = F.transform(found, lambda m: F.struct(listed_amount(F.regexp_extract(m, rf"({AMOUNT})", 1)).alias("amount"), F.when(code(m).isin(ISO_CODES), code(m)).otherwise(F.try_element_at(named, sign(m))).alias("currency")))
+    priced = F.transform(found, lambda m: F.struct(listed_amount(F.regexp_extract(m, rf"({AMOUNT})", 1)).alias("amount"), F.when(code(m).isin(*ISO_CODES), code(m)).otherwise(F.try_element_at(named, sign(m))).alias("currency")))
     return F.coalesce(F.get(coded, F.lit(0)), F.get(F.filter(priced, lambda m: m["amount"].isNotNull()), F.lit(0)))
 
 

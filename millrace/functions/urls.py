@@ -11,19 +11,21 @@ URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
 # Paths that are never products.
 NON_PRODUCT_PATHS = (
-    "/ /about /about-us /contact /contact-us /blog /cart /checkout /account /login /register /search /faq /privacy "
-    "/privacy-policy /terms /terms-of-service /terms-and-conditions /shipping /shipping-policy /returns /return-policy "
-    "/refund-policy /sitemap /brands /categories /pages /wishlist /compare /basket /help /support /careers /press "
-    "/newsletter /my-account /order-tracking /rewards"
-).split()
+    "/", "/about", "/about-us", "/contact", "/contact-us", "/blog", "/cart", "/checkout", "/account", "/login", "/register", "/search", "/faq", "/privacy",
+    "/privacy-policy", "/terms", "/terms-of-service", "/terms-and-conditions", "/shipping", "/shipping-policy", "/returns", "/return-policy", "/refund-policy",
+    "/sitemap", "/brands", "/categories", "/pages", "/wishlist", "/compare", "/basket", "/help", "/support", "/careers", "/press", "/newsletter", "/my-account",
+    "/order-tracking", "/rewards",
+)
 # Path segments that no product has.
 NON_PRODUCT_SEGMENTS = (
-    "checkout basket cart login register account blog faq help support careers press my-account order-tracking wp-admin "
-    "wp-includes feed author tag category wp-login.php newsletter unsubscribe journal news stories articles recipe recipes "
-    "tea_collections product_collection our-story sustainability charity events product-category product-tag"
-).split()
+    "checkout", "basket", "cart", "login", "register", "account", "blog", "faq", "help", "support", "careers", "press", "my-account", "order-tracking", "wp-admin",
+    "wp-includes", "feed", "author", "tag", "category", "wp-login.php", "newsletter", "unsubscribe", "journal", "news", "stories", "articles", "recipe", "recipes",
+    "tea_collections", "product_collection", "our-story", "sustainability", "charity", "events", "product-category", "product-tag",
+)
 # Endings of files that are no pages.
-NON_PRODUCT_ENDINGS = ".xml .json .txt .pdf .png .jpg .jpeg .gif .svg .css .js .ico .woff .woff2 .ttf .eot .map .gz".split()
+NON_PRODUCT_ENDINGS = (
+    ".xml", ".json", ".txt", ".pdf", ".png", ".jpg", ".jpeg", ".gif", ".svg", ".css", ".js", ".ico", ".woff", ".woff2", ".ttf", ".eot", ".map", ".gz",
+)
 # Networks and what their links hold.
 SOCIAL = {
     "facebook": ("facebook.com/", "fb.com/"),
@@ -94,7 +96,7 @@ def is_non_product(c: Column | str) -> Column:
     p = F.lower(F.regexp_replace(path(c), "/+$", ""))
     ending = F.regexp_extract(p, r"(\.[^.]*)$", 1)
     segments = F.split(F.regexp_replace(p, "^/+", ""), "/")
-    return ending.isin(NON_PRODUCT_ENDINGS) | (p == "") | p.isin(NON_PRODUCT_PATHS) | F.arrays_overlap(segments, F.array(*map(F.lit, NON_PRODUCT_SEGMENTS))) | p.rlike(r"/\d{4}/\d{2}/\d{2}/")
+    return ending.isin(*NON_PRODUCT_ENDINGS) | (p == "") | p.isin(*NON_PRODUCT_PATHS) | F.arrays_overlap(segments, F.array(*map(F.lit, NON_PRODUCT_SEGMENTS))) | p.rlike(r"/\d{4}/\d{2}/\d{2}/")
 
 
 def is_safe(c: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import money, presence, text, urls
-from millrace.operators import evals, extract, quality
+from millrace.operators import evals, extract, layers, quality
 from millrace.session import table
 
 
@@ -95,6 +95,26 @@ def layered_products(s, d):
     return joined.select("page_id", first(F.col("name"), F.col("og")["og:title"], F.col("page_title")).alias("title"), first(F.col("price"), F.col("og")["product:price:amount"]).alias("price"), F.col("og")["og:image"].alias("image"))
 
 
+def crawl_layers(s, d):
+    """EXT-04, EXT-05, FLT-15, JOIN-09, JOIN-13, JOIN-14, SORT-09: pages as crawls: the same product twice, JSON-LD with gaps, OpenGraph in metadata and HTML, Markdown alone, a page that is no product, offers of which one is free."""
+    n, no = F.col("page_id"), F.col("page_id").cast("string")
+    ld = lambda *parts: F.concat(F.lit('<script type="application/ld+json">{"@type":"Product"'), *parts, F.lit("}</script>"))
+    kind = n % 5
+    first = F.concat(F.lit(',"name":" A'), no, F.lit('","sku":"s","offers":{"price":"5.50","priceCurrency":"EUR"}'))
+    html = (
+        F.when(kind == 0, F.concat(ld(first), ld(F.replace(first, F.lit(" A"), F.lit("a")), F.lit(',"description":"long"')), ld(F.lit(',"name":"B","offers":{"price":"1"}'))))
+        .when(kind == 1, F.concat(ld(F.lit(',"sku":"k"')), F.lit('<meta property="og:title" content="Html"><meta property="product:price:amount" content="7.5"><meta property="product:price:currency" content="CHF">')))
+        .when(kind == 4, ld(F.lit(',"name":"D","image":["own.jpg"],"offers":[{"price":"0"},{"price":"9"}]')))
+        .otherwise(F.lit('<meta property="og:image" content="og.jpg">'))
+    )
+    metadata = F.when(kind == 1, F.create_map(F.lit("og:title"), F.lit("Meta"), F.lit("x"), F.lit("y"))).when((kind == 2) & (n % 2 == 0), F.create_map(F.lit("og:title"), F.lit("Tag")))
+    markdown = F.when(kind == 2, F.concat(F.lit("# X\n## Lamp "), F.translate(no, "0123456789", "abcdefghij"), F.lit("\nshipping $ 3.00\nnow $ 12.50\n"))).when(kind == 4, "**Bold words** EUR 4.00").when(kind == 3, "no price here")
+    image = lambda src, score: F.struct(F.lit(src).alias("src"), score.alias("score"))
+    images = F.when(n % 7 > 0, F.array(image("", F.lit(9.0)), image("low.jpg", F.lit(1.0)), image("best.jpg", F.when(n % 3 > 0, 5.0))))
+    crawls = pages(s, d).select("page_id", F.concat("html", html).alias("html"), metadata.alias("metadata"), markdown.alias("markdown"), images.alias("images"))
+    return layers.crawled_products(crawls, "page_id")
+
+
 def page_contacts(s, d):
     """EXT-10, FN-19, SET-06."""
     return extract.contacts(enriched(s, d), "html", "page_id").select("page_id", F.array_join("emails", ",").alias("emails"), F.array_join("phones", ",").alias("phones"))
@@ -202,6 +222,11 @@ QUERIES = {
     "product_nodes": (product_nodes, f"select * from {_NODES}"),
     "layered_products": (layered_products, f"""with p as (select page_id, regexp_extract_all({_OG}, 'property="og:title" content="([^"]*)"', 1)[-1] as og_title, nullif(regexp_extract({_OG}, 'property="product:price:amount" content="([^"]*)"', 1), '') as og_price, nullif(regexp_extract({_OG}, 'property="og:image" content="([^"]*)"', 1), '') as image, {_TITLE} as title from pages)
         select p.page_id, coalesce(nullif(trim(n.name), ''), og_title, nullif(title, '')) as title, coalesce(n.price, og_price) as price, image from p left join {_NODES} n on p.page_id = n.page_id where n.page_id is not null or og_price is not null"""),
+    "crawl_layers": (crawl_layers, """with p as (select page_id, page_id % 5 as k, case when page_id % 7 > 0 then case when page_id % 3 > 0 then 'best.jpg' else 'low.jpg' end end as best from pages)
+        select page_id, 'a' || page_id as name, '5.50' as price, 'EUR' as currency, 's' as sku, best as image, 'long' as description from p where k = 0
+        union all select page_id, 'B', '1', null, null, best, null from p where k = 0 union all select page_id, 'Meta', '7.5', 'CHF', 'k', best, null from p where k = 1
+        union all select page_id, case when page_id % 2 = 0 then 'Tag' else 'Lamp ' || translate(page_id::varchar, '0123456789', 'abcdefghij') end, '12.50', 'USD', null, 'og.jpg', null from p where k = 2
+        union all select page_id, 'D', '9', null, null, 'own.jpg', null from p where k = 4"""),
     "page_contacts": (page_contacts, "select page_id, case when page_id % 5 = 0 then 'shop' || page_id || '@x.org' else '' end as emails, case when page_id % 5 = 0 then '(212) 555-0199' else '' end as phones from pages"),
     "page_social": (page_social, "select page_id, network, url from (select page_id from pages where page_id % 5 = 0), (values ('twitter', 'https://x.com/shop'), ('facebook', 'https://facebook.com/a')) as v(network, url)"),
     "page_trackers": (page_trackers, "select page_id, 'google_analytics_ga4' as provider, 'GA4' as tag_type, 'G-ABC' || lpad(page_id::varchar, 6, '0') as tag_id from pages where page_id % 5 = 0 union all select page_id, 'chat', null, null from pages where page_id % 10 = 0"),
