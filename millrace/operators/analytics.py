@@ -48,6 +48,13 @@ def tier_performance(jobs: DataFrame, tier: str, seconds: str, products: str) ->
     return jobs.where(F.col(seconds) > 0).groupBy(tier).agg(F.count("*").alias("jobs"), F.round(F.avg(seconds), 1).alias("avg_seconds"), F.round(F.avg(products), 1).alias("avg_products"), rate.alias("pps")).orderBy(F.desc("pps"), tier)
 
 
+def crawl_totals(jobs: DataFrame, seconds: str, products: str, *by: str) -> DataFrame:
+    """AGG-06: seconds of the jobs that took any, and their products a second; 0 where none did."""
+    took = F.col(seconds) > 0
+    rate = F.round(F.try_divide(F.sum(F.when(took, F.col(products))), F.sum(F.when(took, F.col(seconds)))), 4)
+    return jobs.groupBy(*by).agg(F.coalesce(F.sum(F.when(took, F.col(seconds))), F.lit(0)).alias("seconds"), F.coalesce(rate, F.lit(0.0)).alias("products_a_second"))
+
+
 def shares(counts: DataFrame, n: str) -> DataFrame:
     """WIN-09, WIN-10: share of the total in percent and of the largest. counts has few rows: one for each value of a dimension."""
     every = Window.partitionBy(F.lit(1))

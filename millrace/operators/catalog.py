@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from millrace.functions.presence import filled, strip
+from millrace.operators import ranges
 from millrace.session import fresh_dir
 
 
@@ -51,6 +52,12 @@ def upsert(target: DataFrame, staged: DataFrame, key: str | list[str], keep: lis
     return t.join(s, [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys], "full_outer").select(*columns)
 
 
+def first_seen(df: DataFrame, value: str, order: str) -> DataFrame:
+    """SET-05: distinct values that aren't null with where each comes first, and its place among them."""
+    firsts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(order).alias("first"))
+    return ranges.running(firsts.withColumn("_one", F.lit(1)), [], ["first", value], {"place": "_one"}).select(value, "first", "place")
+
+
 def insert_if_absent(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """SNK-05."""
     return target.unionByName(new.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti"))
@@ -177,7 +184,7 @@ def title_key(c: str) -> Column:
 
 def recent(products: DataFrame, order: str, most: int = 5) -> DataFrame:
     """PRJ-19, SORT-07: the last few products with what stands for their title, price and image."""
-    some = lambda *names: F.coalesce(*(F.when(filled(c), F.col(c).cast("string")) for c in names if c in products.columns))
+    some = lambda *names: F.coalesce(*(F.when(filled(c), F.col(c).cast("string")) for c in names if c in products.columns), F.lit(None).cast("string"))
     return products.orderBy(F.desc(order)).limit(most).select(some("title", "sku", "external_id").alias("title"), some("price").alias("price"), some("image_url").alias("image"))
 
 

@@ -65,5 +65,5 @@ def gaps_filled(products: DataFrame, fills: DataFrame, key: str, columns: list[s
     fills has one row for each key (extract.layered makes one)."""
     other = fills.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in columns))
     joined = products.join(other, products[key] == other["_key"], "left")
-    fill = lambda c: F.when(~filled(c) & (F.lit(c.startswith("image")) | ~from_api), F.col(f"_{c}")).otherwise(F.col(c))
+    fill = lambda c: F.when(~filled(c) & (F.lit(c.startswith("image")) | ~from_api), F.coalesce(F.col(f"_{c}"), F.col(c))).otherwise(F.col(c))
     return joined.select(*((fill(c) if c in columns else F.col(c)).alias(c) for c in products.columns))

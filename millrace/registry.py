@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import analytics_queries, catalog_queries, page_queries, source_queries, stream_queries
+from millrace.plans import analytics_queries, catalog_queries, edge_queries, page_queries, source_queries, stream_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-FAMILIES = (catalog_queries, analytics_queries, page_queries, source_queries, stream_queries)
+FAMILIES = (catalog_queries, analytics_queries, page_queries, source_queries, stream_queries, edge_queries)
 
 
 def queries() -> dict[str, Query]:
