@@ -57,6 +57,12 @@ def best_tier(tiers: DataFrame, site: str, tier: str, score: str) -> DataFrame:
     return ranked.select(site, F.col("x.tier").alias("best_tier"), (-F.col("x.s")).alias("best_score"))
 
 
+def with_best_tier(tiers: DataFrame, site: str, tier: str, score: str) -> DataFrame:
+    """AGG-17: tiers with the best of their site beside them, in the pass that has made them; a site has a handful of tiers."""
+    first = Window.partitionBy(site).orderBy(F.desc(score), tier)
+    return tiers.withColumn("best_tier", F.first(tier).over(first))
+
+
 def regressions(baseline: DataFrame, current: DataFrame, keys: list[str], threshold: float = 0.05, allowed: DataFrame | None = None) -> DataFrame:
     """JOIN-17, WIN-08: change of each score, and whether it got better or worse by more than the threshold; allowed keys never count as worse."""
     joined = baseline.withColumnRenamed("score", "before").join(current.withColumnRenamed("score", "after"), keys)

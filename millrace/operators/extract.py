@@ -243,7 +243,8 @@ def page_class(html: Column | str) -> Column:
     home = h.rlike(r"""(?i)<meta[^>]*http-equiv=["']?refresh["']?[^>]*url\s*=""") & F.regexp_replace(refresh, "/+$", "").isin("")
     shown = F.length(F.regexp_replace(visible_text(h), r"\s", ""))
     rejection = F.when(F.lower(title(h)).rlike("|".join(ERROR_TITLES)), "error_page_title").when(home, "redirect_to_homepage").when(shown < 500, "insufficient_content").otherwise("")
-    ld = h.rlike(r"""(?is)application/ld\+json["']?[^>]*>(?:(?!</script>).)*"@type"\s*:\s*"Product\"""")
+    scripts = F.regexp_extract_all(h, F.lit(r"""(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script\s*>"""), F.lit(1))
+    ld = F.exists(scripts, lambda body: body.rlike(r'"@type"\s*:\s*"Product"'))
     weights = (
         (ld, 0.4),
         (h.rlike(r"""(?i)<meta[^>]*property=["']product:price:amount["']"""), 0.3),

@@ -124,7 +124,7 @@ def tier_averages(s, d):
     lines = table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_returnflag").alias("site"), F.col("o_orderpriority").alias("tier"), (1 - F.col("l_discount") * 5).alias("score"))
     mean = evals.averages(lines, "site", "tier")
     scored = mean.withColumn("overall", evals.overall(F.col("avg_score"), evals.completeness(F.col("fields"), F.lit(3000))))
-    return scored.join(evals.best_tier(scored, "site", "tier", "overall").select("site", "best_tier"), "site")
+    return evals.with_best_tier(scored, "site", "tier", "overall")
 
 
 def baseline_delta(s, d):
