@@ -1,6 +1,7 @@
 """Embedding near-dedup: spherical k-means cells and blocked cosine products (operator 10).
 
-Exact copies are joined as one. k-means on a bounded sample gives cells; each distinct vector is a member of its nearest
+Exact copies are joined as one. k-means on a sample gives cells, beyond a thousand of them in two levels (a centre, and a centre of what is left behind it), so that
+their number can grow with the vectors; each distinct vector is a member of its nearest
 cell and a guest of every cell that could be the home of a vector within the threshold: a vector within angle t of x can lie across the plane
 between two centres only if x lies within sin t of that plane. So no link is lost, however the cells fall. Vectors
 without any clusters of their own make guests nearly everywhere, and the work is then that of comparing all with all; `reach` below 1 narrows
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -37,37 +39,81 @@ def units(column: list[bytes] | pd.Series, width: int, kind: str) -> np.ndarray:
     return x / np.sqrt((x**2).sum(axis=1, keepdims=True))
 
 
-def centres(vectors: DataFrame, cells: int, most_rows: int, kind: str, rounds: int = 8) -> np.ndarray:
-    """Spherical k-means on at most most_rows vectors (drawn by hash); shorter vectors are filled up with zeros."""
+def k_means(x: np.ndarray, cells: int, unit: bool, rounds: int = 8) -> np.ndarray:
+    """Centres of the rows of x, of length 1 if asked for; no more than there are rows."""
+    c = x[:: max(1, len(x) // cells)][:cells].copy()
+    for _ in range(rounds):
+        home = np.concatenate([(x[at : at + 2048] @ c.T - (0 if unit else (c**2).sum(axis=1) / 2)).argmax(axis=1) for at in range(0, len(x), 2048)])
+        sums, times = np.zeros_like(c), np.bincount(home, minlength=len(c))[:, None]
+        np.add.at(sums, home, x)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True) if unit else times
+        c = np.where(norm > 0, sums / np.maximum(norm, 1e-300), c)
+    return c
+
+
+@dataclass
+class Level:
+    """Centres, half their squared lengths, and their distances from each other."""
+
+    c: np.ndarray
+    half: np.ndarray
+    apart: np.ndarray
+
+    @classmethod
+    def of(cls, c: np.ndarray) -> Level:
+        square = (c**2).sum(axis=1)
+        return cls(c, square / 2, np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * c @ c.T, 0)))
+
+    def near(self, x: np.ndarray, margin: float, linear: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each row of x: row, cell, and whether the cell is the row's own, for its own cell and those whose border is within the margin."""
+        scores = x @ self.c.T - (0 if linear else self.half)
+        home = scores.argmax(axis=1)
+        inside = scores[np.arange(len(x)), home][:, None] - scores <= margin * self.apart[home] + 1e-12
+        inside[np.arange(len(x)), home] = True
+        rows, cells = np.nonzero(inside)
+        return rows, cells, cells == home[rows]
+
+
+def centres(vectors: DataFrame, cells: int, most_rows: int, kind: str, first_level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spherical k-means on a sample of vectors (drawn by hash; shorter vectors are filled up with zeros), and k-means on what is left of each behind its centre.
+
+    The cells are pairs of both; one centre of the second kind is enough up to first_level cells. The sample has most_rows vectors, or ten for each centre of the larger kind (about the root of the cells)."""
+    tops = min(cells, max(first_level, math.isqrt(cells)))
+    subs = math.ceil(cells / tops)
+    most_rows = max(most_rows, 10 * max(tops, subs))
     drawn = [r["raw"] for r in vectors.orderBy(F.xxhash64("copy", F.lit("k-means")), "copy").limit(most_rows).select("raw").collect()]
     if not drawn:
-        return np.zeros((1, 1))
+        return np.zeros((1, 1)), np.zeros((1, 1))
     size = np.dtype(kind).itemsize
     x = np.zeros((len(drawn), max(len(r) for r in drawn) // size))
     for i, r in enumerate(drawn):
         x[i, : len(r) // size] = units([r], len(r) // size, kind)
-    c = x[:: max(1, len(x) // cells)][:cells].copy()
-    for _ in range(rounds):
-        home = (x @ c.T).argmax(axis=1)
-        sums = np.zeros_like(c)
-        np.add.at(sums, home, x)
-        norm = np.linalg.norm(sums, axis=1, keepdims=True)
-        c = np.where(norm > 0, sums / np.maximum(norm, 1e-300), c)
-    return c
+    top = k_means(x, tops, unit=True)
+    if subs == 1:
+        return top, np.zeros((1, x.shape[1]))
+    home = np.concatenate([(x[at : at + 2048] @ top.T).argmax(axis=1) for at in range(0, len(x), 2048)])
+    return top, k_means(x - top[home], subs, unit=False)
+
+
+def fitted(c: np.ndarray, width: int) -> np.ndarray:
+    """Centres for vectors of a width."""
+    return c[:, :width] if c.shape[1] >= width else np.pad(c, ((0, 0), (0, width - c.shape[1])))
+
 
+def cell_rows(x: np.ndarray, top: Level, sub: Level, margin: float, reach_length: float, step: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For vectors (rows of unit length): row, cell, and whether the cell is the row's home, for home and guest cells; `step` rows at a time.
 
-def cell_rows(x: np.ndarray, c: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For vectors (rows of unit length): row, cell, and whether the cell is the row's home, for home and guest cells."""
-    c = c[:, : x.shape[1]] if c.shape[1] >= x.shape[1] else np.pad(c, ((0, 0), (0, x.shape[1] - c.shape[1])))
-    dots = x @ c.T
-    home = dots.argmax(axis=1)
-    square = (c**2).sum(axis=1)
-    apart = np.sqrt(np.maximum(square[home][:, None] + square[None, :] - 2 * (c @ c.T)[home], 0))
-    beyond = dots[np.arange(len(x)), home][:, None] - dots
-    near = beyond <= margin * apart + 1e-12
-    near[np.arange(len(x)), home] = True
-    rows, cells = np.nonzero(near)
-    return rows, cells, cells == home[rows]
+    A vector within the threshold lies within the margin of any plane between centres that parts them, and within reach_length of the vector itself."""
+    for at in range(0, len(x), step):
+        rows, tops, own = top.near(x[at : at + step], margin, linear=True)
+        rows += at
+        if len(sub.c) == 1:
+            yield rows, tops, own
+            continue
+        for first in range(0, len(rows), step):
+            some = slice(first, first + step)
+            part, cells, nearest = sub.near(x[rows[some]] - top.c[tops[some]], reach_length, linear=False)
+            yield rows[some][part], tops[some][part] * len(sub.c) + cells, own[some][part] & nearest
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,11 +143,11 @@ def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.
             yield p[good], q[good]
 
 
-def near_copies(vectors: DataFrame, threshold: float = 0.95, cell_size: int = 16_384, sample: int = 20_000, block: int = 8192, reach: float = 1.0, most_cells: int = 4096) -> DataFrame:
+def near_copies(vectors: DataFrame, threshold: float = 0.95, cell_size: int = 16_384, sample: int = 20_000, block: int = 8192, reach: float = 1.0, first_level: int = 1024) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vectors (vec_id, embedding).
 
     n_links: other vectors of cosine >= threshold. component_id: smallest vec_id reachable by links. cell_size: vectors in a cell
-    on average, as far as most_cells allow. sample: vectors that k-means sees at most. block: rows of a matrix product's side. reach: 1 finds every link;
+    on average. sample: vectors that k-means sees, or ten for each centre of the larger level. first_level: cells from which on they have two levels. block: rows of a matrix product's side. reach: 1 finds every link;
     0.3 finds nearly all links of vectors of 64 dimensions (the tests measure it) in a small part of the cells.
     """
     if not 0 < threshold < 1:
@@ -121,21 +167,24 @@ def near_copies(vectors: DataFrame, threshold: float = 0.95, cell_size: int = 16
     rows = stored(rows.withColumn("copy", F.sha2("raw", 256)), "vectors")
     distinct = rows.where("raw is not null").groupBy("copy", "raw").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     distinct = stored(distinct.withColumn("node", F.xxhash64("copy")), "vectors-distinct")
-    c = centres(distinct, min(most_cells, max(1, math.ceil(distinct.count() / cell_size))), sample, kind)
-    margin = reach * math.sqrt(1 - threshold**2) + 1e-9
+    top, sub = centres(distinct, max(1, math.ceil(distinct.count() / cell_size)), sample, kind, first_level)
+    margin, reach_length = reach * math.sqrt(1 - threshold**2) + 1e-9, reach * math.sqrt(2 - 2 * threshold) + 1e-9
 
     @tidied
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels: dict[int, tuple[Level, Level]] = {}
         for batch in batches:
             raw = batch["raw"].to_pylist()
             widths = np.array([len(r) for r in raw]) // np.dtype(kind).itemsize
             for width in np.unique(widths):
+                if width not in levels:
+                    levels[width] = Level.of(fitted(top, int(width))), Level.of(fitted(sub, int(width)))
                 own = np.flatnonzero(widths == width)
-                row, cell, home = cell_rows(units([raw[i] for i in own], int(width), kind), c, margin)
-                at = pa.array(own[row])
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(home), pa.array(np.full(len(row), width, np.int32)), *(batch[k].take(at) for k in ("node", "copies", "raw"))], names=["cell", "home", "width", "node", "copies", "raw"])
+                for row, cell, home in cell_rows(units([raw[i] for i in own], int(width), kind), *levels[width], margin, reach_length):
+                    at = pa.array(own[row])
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(home), pa.array(np.full(len(row), width, np.int32)), *(batch[k].take(at) for k in ("node", "copies", "raw"))], names=["cell", "home", "width", "node", "copies", "raw"])
 
-    dealt = stored(distinct.select("raw", "node", "copies").mapInArrow(deal, "cell int, home boolean, width int, node bigint, copies bigint, raw binary"), "vectors-cells")
+    dealt = stored(distinct.select("raw", "node", "copies").mapInArrow(deal, "cell bigint, home boolean, width int, node bigint, copies bigint, raw binary"), "vectors-cells")
     # Members fall into `lefts` blocks, members and guests into `rights`; each pair of blocks is one group.
     blocks = lambda n: F.ceil(n / F.lit(float(block))).cast("int")
     sizes = dealt.groupBy("cell", "width").agg(blocks(F.count_if("home")).alias("lefts"), blocks(F.count("*")).alias("rights")).where("lefts > 0")

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import chat, decontaminate, embeddings, langid, linededup, mixing, quality, secrets, simhash, token_store
 from millrace.llm.queries import tokenizer_path
@@ -412,6 +413,24 @@ def test_embedding_query_recall(spark, tmp_path):
     found = {r.vec_id: r.n_links for r in got}
     assert want.sum() >= 790 and all(found[i] <= n for i, n in enumerate(want))
     assert sum(found.values()) >= 0.98 * want.sum()
+    vectors = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
+    deep = embeddings.near_copies(vectors, cell_size=128, reach=0.3, first_level=6).agg(F.sum("n_links")).first()[0]  # 36 cells in two levels
+    assert 0.98 * want.sum() <= deep <= want.sum()
+
+
+def test_cells_of_many_vectors_need_little_memory():
+    """100,000 cells of 64 dimensions: what one batch of 10,000 vectors needs at its peak."""
+    import tracemalloc
+
+    dice = np.random.default_rng(4)
+    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(dice.normal(size=(n, 64)))
+    top, sub = embeddings.Level.of(unit(1024)), embeddings.Level.of(unit(98) * 0.5)
+    x = unit(10_000)
+    tracemalloc.start()
+    rows = sum(len(r) for r, _, _ in embeddings.cell_rows(x, top, sub, 0.3 * (1 - 0.95**2) ** 0.5, 0.3 * 0.1**0.5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows >= len(x) and peak < 200e6
 
 
 def test_embeddings(spark, small):
@@ -428,8 +447,8 @@ def test_embeddings(spark, small):
     name, ids = np.array(good), np.array(good)
     while (new := np.minimum(name, np.where(linked, name[None, :], 1 << 40).min(axis=1))).tolist() != name.tolist():
         name = new
-    for cell, block in ((2000, 1024), (60, 32), (100, 1000)):
-        got = {r.vec_id: r for r in embeddings.near_copies(frame, cell_size=cell, block=block).collect()}
+    for cell, block, first in ((2000, 1024, 1024), (60, 32, 1024), (100, 1000, 1024), (25, 1000, 3)):  # the last in two levels
+        got = {r.vec_id: r for r in embeddings.near_copies(frame, cell_size=cell, block=block, first_level=first).collect()}
         assert [got[i].n_links for i in ids] == linked.sum(axis=1).tolist() and [got[i].component_id for i in ids] == name.tolist()
         assert all(got[i].n_links == 0 and got[i].kept for i in (10_000, 10_001, 10_002, 10_005, 10_006))
         assert got[10_004].component_id == 10_003 and not got[10_004].kept
