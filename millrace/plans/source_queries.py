@@ -176,6 +176,20 @@ def rejected_products(s, d):
     return normalize.normalize(rows, "k").select("k", "is_valid", "reject_reason", "title", F.when(F.col("is_valid"), F.col("currency")).alias("currency"), "gtin")
 
 
+def product_variations(s, d):
+    """SRC-10, FN-07: orders as products, their lines as variations; only variable products get them, in order, with options, stock and identifiers."""
+    o, n = F.col("o_orderkey"), F.col("l_linenumber")
+    products = table(s, d, "orders").select(F.parse_json(F.to_json(one(id=o, name=F.col("o_orderpriority"), type=F.when(o % 2 == 0, "variable").otherwise("simple")))).alias("raw"))
+    options = F.array(F.struct(F.col("l_returnflag").alias("option")), F.struct(F.when(n % 2 == 0, F.col("l_linestatus")).alias("option")))
+    meta = F.when(n % 3 == 0, F.array(F.struct(F.lit("_ean").alias("key"), F.lit("123").alias("value")), F.struct(F.lit("my_upc").alias("key"), F.lpad(text_of("l_partkey"), 12, "4").alias("value"))))
+    line = one(id=F.col("l_partkey"), price=F.format_string("%.2f", "l_extendedprice"), sku=F.when(n > 1, F.concat(F.lit("s"), text_of("l_partkey"))), stock_quantity=F.when(n % 4 > 0, F.col("l_quantity").cast("int")), attributes=options, meta_data=meta)
+    lines = table(s, d, "lineitem").select(F.col("l_orderkey").alias("product_id"), F.struct(n, "l_partkey", "l_extendedprice", "l_tax").alias("seq"), F.parse_json(F.to_json(line)).alias("raw"))
+    made = payloads.woocommerce_admin(products, lines)
+    get = lambda p, kind="string": F.try_variant_get("raw", p, kind)
+    joined = lambda c: F.array_join(F.transform(get("$.variants", f"array<struct<{c}: string>>"), lambda v: v[c]), ",")
+    return made.select(get("$.id", "bigint").alias("id"), *(joined(c).alias(c + "s") for c in ("title", "sku", "barcode")), F.aggregate(get("$.variants", "array<struct<inventory_quantity: bigint>>"), F.lit(0).cast("bigint"), lambda a, v: a + v["inventory_quantity"]).alias("stock"))
+
+
 def api_paging(s, d):
     """SRC-05 to SRC-07, WIN-05: orders as pages of jobs, the customers; how many pages were read and whether the job is complete."""
     o = table(s, d, "orders").groupBy(F.col("o_custkey").alias("job")).agg(F.count("*").alias("total"))
@@ -325,6 +339,9 @@ QUERIES = {
     "link_cursors": (link_cursors, "select page_id, case page_id % 4 when 1 then url || '?page_info=n&limit=250' when 2 then url end as next from pages"),
     "rejected_products": (rejected_products, f"""select k, k % 8 in (0, 5, 6) as is_valid, case k % 8 when 1 then 'no_title' when 7 then 'no_title' when 2 then 'price_places' when 3 then 'currency' when 4 then 'nothing_to_identify' end as reject_reason,
         case when k % 8 in (1, 7) then null else name end as title, case k % 8 when 0 then 'USD' when 5 then 'EUR' when 6 then 'EUR' end as currency, case when k % 8 not in (1, 7) and k % 3 = 0 then lpad(k::varchar, 13, '4') end as gtin from {_P}"""),
+    "product_variations": (product_variations, """with v as (select l_orderkey as id, string_agg(l_returnflag || ' / ' || case when l_linenumber % 2 = 0 then l_linestatus else '' end, ',' order by l_linenumber, l_partkey, l_extendedprice, l_tax) as titles, string_agg(case when l_linenumber > 1 then 's' || l_partkey else '' end, ',' order by l_linenumber, l_partkey, l_extendedprice, l_tax) as skus,
+          string_agg(case when l_linenumber % 3 = 0 then lpad(l_partkey::varchar, 12, '4') else '' end, ',' order by l_linenumber, l_partkey, l_extendedprice, l_tax) as barcodes, sum(case when l_linenumber % 4 > 0 then l_quantity::bigint else 0 end)::bigint as stock from lineitem group by 1)
+        select o_orderkey as id, titles, skus, barcodes, stock from orders left join v on o_orderkey = id and o_orderkey % 2 = 0"""),
     "api_paging": (api_paging, "select job, least(3, ceil(total / 4.0))::bigint as pages_completed, ceil(total / 4.0)::bigint as pages_expected, least(12, total)::bigint as products, total <= 12 as complete from (select o_custkey as job, count(*) as total from orders group by 1)"),
     "benchmark_products": (benchmark_products, f"select name as title, case when k % 2 = 0 then brand else 'plain' end as vendor, price::varchar as price, 'EUR' as currency, kind as product_type from {_P} where k % 6 <> 0"),
     "merchant_profiles": (merchant_profiles, "select c_custkey as shop_id, case when c_custkey % 3 = 0 then c_name else 'og ' || c_custkey end as company_name, 'f.ico' as logo_url, 2000 as n_description, 'AT' as country, 'EUR' as currency, 'german-aus' as language, (1950 + c_custkey % 60)::int as founding_year from customer where c_custkey % 3 < 2"),

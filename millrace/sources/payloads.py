@@ -80,20 +80,41 @@ def bigcommerce(rows: DataFrame, brands: DataFrame, currency: str = "USD") -> Da
 IDENTIFIER_KEYS = ("_wpm_gtin_code", "_alg_ean", "_ean", "hwp_product_gtin", "hwp_var_gtin", "_yith_barcode_value", "_barcode", "_ts_gtin", "_gtin", "gtin", "ean", "upc", "barcode", "isbn", "_upc", "_isbn")
 
 
-def woocommerce_admin(rows: DataFrame) -> DataFrame:
-    """SRC-10, PRJ-12, FN-07: compare-at only beside a sale price; GTINs from known meta keys, then from keys that look like one."""
-    r = Raw(F.col("raw"))
-    meta = r.items("meta_data")
+def meta_identifier(meta: Column) -> Column:
+    """FN-07: of an item's meta data the first value of eight digits or more under a known key, else under a key that looks like one."""
     value = lambda m: F.trim(item(m, "value"))
     digits = lambda m: F.length(F.regexp_replace(value(m), "[^0-9]", "")) >= 8
     known = F.filter(meta, lambda m: item(m, "key").isin(*IDENTIFIER_KEYS) & digits(m))
     likely = F.filter(meta, lambda m: F.lower(item(m, "key")).rlike("gtin|ean|upc|barcode|isbn") & digits(m))
+    return F.coalesce(value(F.get(known, F.lit(0))), value(F.get(likely, F.lit(0))))
+
+
+def variation_rows(variations: DataFrame) -> DataFrame:
+    """SRC-10: _product and _variants: the variations (product_id, seq, raw) of each product in order, as variants; the API serves no more than a thousand of a product."""
+    r = Raw(F.col("raw"))
+    title = F.array_join(F.transform(r.items("attributes"), lambda x: F.coalesce(item(x, "option"), F.lit(""))), " / ")
+    one = F.struct(
+        F.col("seq").alias("seq"), F.coalesce(r.at("id"), F.lit("")).alias("id"), title.alias("title"), F.coalesce(r.at("price"), F.lit("")).alias("price"), F.coalesce(r.at("sku"), F.lit("")).alias("sku"),
+        F.coalesce(meta_identifier(r.items("meta_data")), F.lit("")).alias("barcode"), F.coalesce(r.at("stock_quantity", "bigint"), F.lit(0)).alias("inventory_quantity"),
+    )
+    packed = variations.groupBy(F.col("product_id").alias("_product")).agg(F.array_sort(F.collect_list(one)).alias("_variants"))
+    return packed.withColumn("_variants", F.transform("_variants", lambda v: F.struct(*(v[c].alias(c) for c in ("id", "title", "price", "sku", "barcode", "inventory_quantity")))))
+
+
+def woocommerce_admin(rows: DataFrame, variations: DataFrame | None = None) -> DataFrame:
+    """SRC-10, PRJ-12, FN-07: compare-at only beside a sale price; GTINs from known meta keys, then from keys that look like one; variable products get their variations (product_id, seq, raw) as variants."""
+    r = Raw(F.col("raw"))
+    columns = rows.columns
+    if variations is not None:
+        rows = rows.withColumn("_id", r.at("id", "bigint")).join(variation_rows(variations), F.col("_id") == F.col("_product"), "left")
     fields = {
         "_source": F.lit("woocommerce_admin_api"), "id": r.at("id"), "title": r.at("name"), "description": first_truthy(r.at("description"), r.at("short_description")), "price": first_truthy(r.at("price"), r.at("regular_price")),
-        "compare_at_price": F.when(truthy(r.at("sale_price")), r.at("regular_price")), "sku": r.at("sku"), "gtin": F.coalesce(value(F.get(known, F.lit(0))), value(F.get(likely, F.lit(0)))), "permalink": r.at("permalink"), "in_stock": r.at("stock_status") == "instock",
+        "compare_at_price": F.when(truthy(r.at("sale_price")), r.at("regular_price")), "sku": r.at("sku"), "gtin": meta_identifier(r.items("meta_data")), "permalink": r.at("permalink"), "in_stock": r.at("stock_status") == "instock",
         "image_url": r.at("images/[0]/src"), "additional_images": texts(behind_first(r.items("images")), "src"), "tags": texts(r.items("tags"), "name"), "categories": texts(r.items("categories"), "name"), "currency": F.coalesce(r.at("currency"), F.lit("USD")),
     }
-    return rows.withColumn("raw", keep_fields(F.col("raw"), fields))
+    if variations is not None:
+        fields["variants"] = F.when(r.at("type") == "variable", F.col("_variants"))
+    return rows.withColumn("raw", keep_fields(F.col("raw"), fields)).select(columns)
 
 
 GTIN_CODES = ("ean", "gtin", "gtin13", "barcode", "upc", "ean13")
