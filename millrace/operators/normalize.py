@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import money, text
-from millrace.functions.presence import first_truthy, strip, truthy
+from millrace.functions.presence import first_truthy, once, strip, truthy
 
 VARIANT_ITEM = "struct<variant_id:string,title:string,price:decimal(12,2),sku:string,in_stock:boolean>"
 FIELDS = {
@@ -211,7 +211,7 @@ def normalize(records: DataFrame, *carry: str) -> DataFrame:
     raw, url = Raw(F.col("raw")), F.col("shop_url")
     own = {"shopify": shopify, "woocommerce": woocommerce, "magento": magento, "shopware": shopware}
     generic = {"feed": feed, "schema_org": schema_org, "opengraph": opengraph, "selectors": by_selectors}
-    titled = lambda p: F.when(truthy(p["title"]), p)
+    titled = lambda p: once(p, lambda x: F.when(truthy(x["title"]), x))
     special, fallback = None, None
     for name, make in own.items():
         special = F.when(F.col("platform") == name, titled(make(raw, url))) if special is None else special.when(F.col("platform") == name, titled(make(raw, url)))
