@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 from millrace.functions import text
 from millrace.functions.presence import first_truthy, truthy
@@ -51,6 +52,26 @@ def as_json(reports: DataFrame, *keys: str) -> DataFrame:
     return reports.select(*keys, F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def row_documents(rows: DataFrame, json_fields: tuple[str, ...] = ("variants", "tags", "raw_data", "additional_images", "category_path")) -> DataFrame:
+    """PRJ-22: each row as one JSON document (`json`) beside its columns: decimals are numbers, times ISO text, and json_fields are what they hold where that is JSON, else text. Nulls stay."""
+
+    def safe(f: StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        kind = f.dataType.typeName()
+        if kind == "decimal":
+            return c.cast("double")
+        if kind in ("timestamp", "timestamp_ntz"):
+            text = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+            return F.regexp_replace(text, r"\.000000$", "")
+        if kind == "string" and f.name in json_fields:
+            scalar = r'^\s*(?:-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|"(?:[^"\\]|\\.)*+")\s*$'
+            whole = F.when(c.rlike(r"[}\]]\s*$") | c.rlike(scalar), F.try_parse_json(c))  # the parser stops behind the first value
+            return F.coalesce(whole, F.when(c.isNotNull(), F.try_variant_get(F.parse_json(F.to_json(F.array(c))), "$[0]", "variant")))
+        return c
+
+    return rows.withColumn("json", F.to_json(F.struct(*(safe(f).alias(f.name) for f in rows.schema.fields)), {"ignoreNullFields": "false"}))
+
+
 def save_run(reports: DataFrame, path: str) -> None:
     """SNK-10: a run is added to the history, as JSON lines."""
     reports.write.mode("append").json(path)

@@ -118,11 +118,24 @@ def crawl_totals(s, d):
     return analytics.crawl_totals(jobs, "seconds", "products", "year")
 
 
+_TEXTS = ("[1,2]", "not json", "5", '"q"', None, '{"a":', "true", '{"a":{"b":1}}', "12 x", "")
+
+
+def row_documents(s, d):
+    """PRJ-22, DQ-06: events as JSON documents: amounts are numbers, times ISO text, texts that hold JSON are what they hold, others stay text; read back by path."""
+    e = table(s, d, "events").select("event_id", "ts", F.col("value").cast("decimal(12,2)").alias("value"), F.col("props").alias("raw_data"), one_of(_TEXTS, F.col("event_id")).alias("tags"))
+    doc = export.row_documents(e)
+    at = lambda p: F.get_json_object("json", p)
+    return doc.select("event_id", at("$.ts").alias("ts"), at("$.value").cast("double").alias("value"), at("$.raw_data.k").cast("int").alias("k"), at("$.tags").alias("tags"), F.contains("json", F.lit('"tags":null')).alias("no_tags"))
+
+
 def _list(values):
     return "[" + ", ".join("null" if v is None else f"'{v}'" for v in values) + "]"
 
 
 QUERIES = {
+    "row_documents": (row_documents, f"""select event_id, regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '\\.000000$', '') as ts, value::decimal(12,2)::double as value, try_cast(json_extract_string(props, '$.k') as int) as k, case t when '"q"' then 'q' else t end as tags, t is null as no_tags
+        from (select *, ({_list(_TEXTS)})[event_id % {len(_TEXTS)} + 1] as t from events)"""),
     "unsafe_urls": (unsafe_urls, f"select page_id, ({list(_SAFE)})[page_id % {len(_SAFE)} + 1] = 1 as safe from pages"),
     "active_sessions": (active_sessions, "select o_orderkey as session, o_custkey as account from orders where not (case when o_orderkey % 17 <> 0 then o_orderstatus = 'P' else false end) and not (o_custkey % 7 <> 0 and o_custkey % 5 = 0) and o_orderdate + interval 30 day > timestamp '1998-01-01'"),
     "gap_fills": (gap_fills, "select id, case when t then title when not api and again then lower(kind) else title end as title, coalesce(image_url, case when again then 'n' || id end) as image_url from (select p_partkey as id, case p_partkey % 3 when 0 then p_name when 1 then ' ' end as title, p_partkey % 3 = 0 as t, p_type as kind, case when p_partkey % 2 = 0 then 'i.jpg' end as image_url, p_partkey % 5 = 0 as api, p_partkey % 4 < 3 as again from part)"),
