@@ -35,10 +35,11 @@ BOUND = 1 << 62
 
 
 def whole_vectors(vectors: DataFrame, scale: int, shift: int) -> DataFrame:
-    """vec_id and x of the rows that have one."""
+    """vec_id and x of the rows that have one, and 128 bits (k0, k1) that stand for x where rows are joined."""
     entry = lambda c: F.least(F.greatest(F.floor(c.cast("double") * scale), F.lit(-BOUND)), F.lit(BOUND)) + F.lit(shift).cast("bigint")
     finite = F.forall("embedding", lambda c: F.coalesce(F.abs(c) < F.lit(float("inf")), F.lit(False)))  # NaN is above infinity
-    return vectors.where((F.size("embedding") > 0) & finite).select("vec_id", F.transform("embedding", entry).alias("x"))
+    whole = vectors.where((F.size("embedding") > 0) & finite).select("vec_id", F.transform("embedding", entry).alias("x"))
+    return whole.select("*", F.xxhash64("x").alias("k0"), F.xxhash64(F.lit("x"), "x").alias("k1"))
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -50,6 +51,23 @@ def numbered(rows: DataFrame) -> DataFrame:
     return parts.join(F.broadcast(sizes), F.col("part") == F.col("own")).select(*rows.columns, (F.col("place") + F.col("behind")).alias("index"))
 
 
+def totals(fit: DataFrame, width: int) -> tuple[int, list[int], list[int], list[int]]:
+    """Rows, and for each dimension the exact sum and the bounds of x. Batches are summed up first, in halves of 31 bits that can't run over."""
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                x = batch["x"].flatten().to_numpy().reshape(len(batch), width)
+                columns = [np.full(width, len(batch)), (x >> 31).sum(axis=0), (x & 0x7FFFFFFF).sum(axis=0), x.min(axis=0), x.max(axis=0)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), *map(pa.array, columns)], names=["pos", "n", "high", "low", "least", "most"])
+
+    parts = fit.select("x").mapInArrow(run, "pos bigint, n bigint, high bigint, low bigint, least bigint, most bigint")
+    whole = lambda c: F.sum(F.col(c).cast("decimal(20,0)")).alias(c)
+    rows = parts.groupBy("pos").agg(F.sum("n").alias("n"), whole("high"), whole("low"), F.min("least").alias("least"), F.max("most").alias("most")).orderBy("pos").collect()
+    return rows[0]["n"], [(int(r["high"]) << 31) + int(r["low"]) for r in rows], [r["least"] for r in rows], [r["most"] for r in rows]
+
+
 def blocks(rows: DataFrame, n: int, width: int) -> BlockMatrix:
     """A matrix of n rows from index and the column of doubles `entries`."""
     vectors = MLUtils.convertVectorColumnsFromML(rows.select("index", array_to_vector("entries").alias("vector")), "vector")
@@ -70,9 +88,9 @@ def product_rows(spark: SparkSession, b: BlockMatrix, by: np.ndarray) -> DataFra
     return callMLlibFunc("getIndexedRows", made._java_matrix_wrapper._java_model).select("index", vector_to_array("vector").alias("entries"))
 
 
-def centred(fit: DataFrame, n: int, sums: list[int], largest: int) -> DataFrame:
-    """index, x, entries (x - S / n) and deviation (the sum of (n x - S)^2) of the fit list. largest: an upper bound of |n x - S|."""
-    kind = np.int64 if largest**2 * len(sums) < BOUND and n * BOUND.bit_length() < BOUND else object
+def centred(fit: DataFrame, n: int, sums: list[int], size: int, off_most: int) -> DataFrame:
+    """index, keys, entries (x - S / n) and deviation (the sum of (n x - S)^2) of the fit list. size and off_most: upper bounds of |x| and |n x - S|, which tell whether 64 bits are enough."""
+    kind = np.int64 if n * size < BOUND and off_most**2 * len(sums) < BOUND else object
     s = np.array(sums, kind)
 
     @tidied
@@ -83,19 +101,18 @@ def centred(fit: DataFrame, n: int, sums: list[int], largest: int) -> DataFrame:
             deviation = pa.array([int(v) if v < 1 << 63 else None for v in (off * off).sum(axis=1)], pa.int64())
             entries = (off / n if kind is np.int64 else np.array([[float(Fraction(v, n)) for v in row] for row in off]).reshape(off.shape)).astype(np.float64)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * len(s)), pa.array(entries.ravel()))
-            yield pa.RecordBatch.from_arrays([batch["index"], batch["x"], flat, deviation], names=["index", "x", "entries", "deviation"])
+            yield pa.RecordBatch.from_arrays([batch["index"], batch["k0"], batch["k1"], flat, deviation], names=["index", "k0", "k1", "entries", "deviation"])
 
-    return fit.select("index", "x").mapInArrow(run, "index bigint, x array<bigint>, entries array<double>, deviation bigint")
+    return fit.select("index", "k0", "k1", "x").mapInArrow(run, "index bigint, k0 bigint, k1 bigint, entries array<double>, deviation bigint")
 
 
-def fitted(fit: DataFrame, components: int) -> DataFrame | None:
-    """x, n, deviation, entries (whitened, by component), shares (explained, likewise) and identity_error of a fit list of vectors of one length; None without any component."""
+def fitted(fit: DataFrame, width: int, components: int) -> DataFrame | None:
+    """keys of x, n, deviation, entries (whitened, by component), shares (explained, likewise) and identity_error of a fit list of vectors of one length; None without any component."""
     spark = fit.sparkSession
     rows = numbered(fit)
-    each = rows.select(F.posexplode("x").alias("pos", "v")).groupBy("pos").agg(F.sum(F.col("v").cast("decimal(20,0)")).alias("s"), F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n")).orderBy("pos").collect()
-    n, sums = each[0]["n"], [int(r["s"]) for r in each]
-    largest = max(max(n * r["high"] - int(r["s"]), int(r["s"]) - n * r["low"]) for r in each)
-    rows = stored(centred(rows, n, sums, largest), "whitening-centred")
+    n, sums, least, most = totals(rows, width)
+    off_most = max(max(n * high - t, t - n * low) for t, low, high in zip(sums, least, most, strict=True))
+    rows = stored(centred(rows, n, sums, max(map(abs, (*least, *most))), off_most), "whitening-centred")
     b = blocks(rows, n, len(sums))
     values, axes = np.linalg.eigh(scatter(b) / n)
     values, axes = values[::-1], axes[:, ::-1]
@@ -108,19 +125,19 @@ def fitted(fit: DataFrame, components: int) -> DataFrame | None:
     spread = scatter(blocks(made.select("index", F.zip_with("entries", middle, lambda a, m: a - m).alias("entries")), n, count)) / n
     error = float(np.abs(spread - np.eye(count)).max())
     shares = F.array(*(F.lit(float(v / values.sum())) for v in values[:count]))
-    return rows.select("index", "x", "deviation").join(made, "index").select("x", F.lit(n).cast("bigint").alias("n"), "deviation", "entries", shares.alias("shares"), F.lit(error).alias("identity_error"))
+    return rows.select("index", "k0", "k1", "deviation").join(made, "index").select("k0", "k1", F.lit(n).cast("bigint").alias("n"), "deviation", "entries", shares.alias("shares"), F.lit(error).alias("identity_error"))
 
 
 def whiten(vectors: DataFrame, components: int = 16, scale: int = 64, shift: int = 1_000_000) -> DataFrame:
     """vec_id, component (from 1, by falling eigenvalue), n, deviation, whitened, explained and identity_error of every row and component."""
     rows = stored(whole_vectors(vectors, scale, shift), "whitening-rows")
-    fit = stored(rows.select("x").distinct(), "whitening-distinct")
+    fit = stored(rows.select("k0", "k1", "x").distinct(), "whitening-distinct")
     widths = [r["w"] for r in fit.select(F.size("x").alias("w")).distinct().orderBy("w").collect()]  # lengths of vectors: one of a source, as a rule
-    parts = [p for w in widths if (p := fitted(fit.where(F.size("x") == w), components)) is not None]
+    parts = [p for w in widths if (p := fitted(fit.where(F.size("x") == w), w, components)) is not None]
     if not parts:
         return rows.limit(0).selectExpr("vec_id", "1 component", "0L n", "0L deviation", "0d whitened", "0d explained", "0d identity_error")
     joined = parts[0]
     for p in parts[1:]:
         joined = joined.union(p)
-    out = rows.join(joined, "x").select("*", F.posexplode("entries").alias("at", "whitened"))
+    out = rows.drop("x").join(joined, ["k0", "k1"]).select("*", F.posexplode("entries").alias("at", "whitened"))
     return out.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.get("shares", F.col("at")).alias("explained"), "identity_error")
