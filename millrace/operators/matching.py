@@ -18,6 +18,8 @@ from millrace.operators.ranges import by_key, stored
 
 #: Rows of a block's side, and pairs of a group that one task settles.
 BLOCK, MOST = 256, 500_000
+#: Blocks that one call of Python compares, about.
+BLOCKS_PACKED = 64
 
 
 def plain(title: str | None) -> str:
@@ -96,16 +98,26 @@ def blocked(one: DataFrame, other: DataFrame, compare: Callable[[list, list, np.
     columns = ["_g", "pos", "title", "_left", "_i", "_j"]
     paired = side(one, True, "_lefts", "_rights", "_i", "_j").select(columns).union(side(other, False, "_rights", "_lefts", "_j", "_i").select(columns))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", kind="stable")
+    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["_left"]], pdf[~pdf["_left"]]
         e, x = a["pos"].to_numpy(), b["pos"].to_numpy()
         rows, cols, scores = compare([plain(t) for t in a["title"]], [plain(t) for t in b["title"]], np.searchsorted(e, x) if later else np.full(len(x), len(e)))
         return pd.DataFrame({"_g": pdf["_g"].iloc[0], "e": e[rows], "x": x[cols], "s": scores})
 
-    # Adaptive execution would join partitions by their bytes, which say nothing of the work behind.
-    paired = paired.repartition(int(one.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_g", "_i", "_j")
-    return stored(paired.groupBy("_g", "_i", "_j").applyInPandas(run, "_g string, e bigint, x bigint, s double"), "pairs")
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos", kind="stable")
+        return pd.concat([compared(own) for _, own in pdf.groupby(["_g", "_i", "_j"], sort=False)])
+
+    n = both.agg(F.sum(F.col("_lefts").cast("bigint") * F.col("_rights"))).first()[0] or 0
+    packed = in_packs(paired, n, BLOCKS_PACKED, "_g", "_i", "_j")
+    return stored(packed.groupBy("_pack").applyInPandas(run, "_g string, e bigint, x bigint, s double"), "pairs")
+
+
+def in_packs(df: DataFrame, n: int, size: int, *by: str) -> DataFrame:
+    """df with `_pack`: small groups (n in all) by the size of a pack or so, since each call of Python costs as much as a small group; as many partitions as are set at the least. Adaptive
+    execution would join partitions by their bytes, which say nothing of the work behind."""
+    packs = max(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // size))
+    return df.withColumn("_pack", F.pmod(F.xxhash64(*by), F.lit(packs))).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_pack")
 
 
 def apart(pairs: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
@@ -125,17 +137,17 @@ def assigned(pairs: DataFrame, most: int = MOST) -> DataFrame:
     """
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["e", "s", "x"], ascending=[True, False, True], kind="stable")
+        pdf = pdf.sort_values(["_g", "e", "s", "x"], ascending=[True, True, False, True], kind="stable").drop(columns="_pack")
         taken, last, keep = set(), None, []
-        for k, (e, x) in enumerate(zip(pdf["e"].tolist(), pdf["x"].tolist(), strict=True)):
-            if e != last and x not in taken:
-                taken.add(x)
-                last = e
+        for k, (g, e, x) in enumerate(zip(pdf["_g"].tolist(), pdf["e"].tolist(), pdf["x"].tolist(), strict=True)):
+            if (g, e) != last and (g, x) not in taken:
+                taken.add((g, x))
+                last = g, e
                 keep.append(k)
         return pdf.iloc[keep]
 
     few, many = apart(pairs, most)
-    out = few.groupBy("_g").applyInPandas(settle, pairs.schema)
+    out = in_packs(few, few.count(), MOST, "_g").groupBy("_pack").applyInPandas(settle, pairs.schema)
     if many is None:
         return out
     left = stored(many, "left")
@@ -156,17 +168,17 @@ def bases(pairs: DataFrame, most: int = MOST) -> DataFrame:
     """
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x", "e"], kind="stable")
+        pdf = pdf.sort_values(["_g", "x", "e"], kind="stable").drop(columns="_pack")
         none, last, keep = set(), None, []
-        for k, (x, e) in enumerate(zip(pdf["x"].tolist(), pdf["e"].tolist(), strict=True)):
-            if x != last and e not in none:
-                none.add(x)
-                last = x
+        for k, (g, x, e) in enumerate(zip(pdf["_g"].tolist(), pdf["x"].tolist(), pdf["e"].tolist(), strict=True)):
+            if (g, x) != last and (g, e) not in none:
+                none.add((g, x))
+                last = g, x
                 keep.append(k)
         return pdf.iloc[keep]
 
     few, many = apart(pairs, most)
-    out = few.groupBy("_g").applyInPandas(settle, pairs.schema).select("_g", "x", "e")
+    out = in_packs(few, few.count(), MOST, "_g").groupBy("_pack").applyInPandas(settle, pairs.schema).select("_g", "x", "e")
     if many is None:
         return out
     left, found = stored(many.select("_g", "e", "x"), "left"), None

@@ -112,7 +112,7 @@ def upsert_merge(s, d):
     new = shape(o.where("o_orderkey % 3 = 0"), "new")
     staged = new.withColumn("seq", F.lit(0)).union(new.where("key % 9 = 0").withColumn("status", F.lit("last")).withColumn("seq", F.lit(1))).union(new.where("key % 30 = 0").withColumn("key", F.lit(None).cast("bigint")).withColumn("seq", F.lit(2)))
     old = shape(o.where("o_custkey % 2 = 0"), "old")
-    made = BucketTable(s, fresh_dir(s, "orders"), ["key"], old.schema)
+    made = BucketTable(s, fresh_dir(s, "orders"), ["key"], old.schema, buckets=16)
     made.upsert(old, source="orders", batch=0)
     for _ in range(2):
         made.upsert(staged, keep=["created"], stamp={"version": F.lit(1)}, order=["seq"], source="orders", batch=1)
