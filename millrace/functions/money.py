@@ -17,6 +17,7 @@ ISO_CODES = (
 SYMBOLS = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY", "₹": "INR", "₩": "KRW", "₽": "RUB", "R$": "BRL", "kr": "SEK", "zł": "PLN", "CHF": "CHF", "A$": "AUD", "C$": "CAD", "NZ$": "NZD", "HK$": "HKD", "S$": "SGD"}
 # Words of lines that hold no product price.
 NOISE = r"(?i)\b(?:shipping|subtotal|total|tax|discount|coupon|cart|was\s+\$|original|compare|regular|list\s+price|you\s+save|msrp|rrp|from\s+\$|starting\s+at|add\s+to|rug\s+pad|protection\s+plan|warranty|accessory|free\s+shipping|estimated|per\s+month|/month|installment)\b"
+# How an amount in a text is written; which price counts as the first depends on it.
 AMOUNT = r"\d{1,3}(?:[,.\s]\d{3})*(?:[.,]\d{1,2})?|\d+[.,]\d{1,2}"
 
 
@@ -52,6 +53,7 @@ def text_price(c: Column | str) -> Column:
     c = column(c)
     coded = F.transform(F.regexp_extract_all(c, F.lit(rf"[A-Z]{{3}}\s+(?:{AMOUNT})"), F.lit(0)), lambda m: F.struct(listed_amount(F.regexp_replace(m, r"^[A-Z]{3}\s+", "")).alias("amount"), F.substring(m, 1, 3).alias("currency")))
     coded = F.filter(coded, lambda m: m["currency"].isin(*ISO_CODES) & m["amount"].isNotNull())
+    # Signs, and what stands before and behind an amount.
     signs = r"[€£¥₹₩₽]|R\$|A\$|C\$|NZ\$|HK\$|S\$|\$|kr|zł|CHF"
     pattern = rf"(?:(?:{signs})\s*)?(?:{AMOUNT})(?:\s*(?:[€£¥₹₩₽]|kr|zł))?(?:\s+[A-Z]{{3}})?"
     lines = F.filter(F.split(c, "\n"), lambda line: ~line.rlike(NOISE))

@@ -10,9 +10,13 @@ from millrace.functions.presence import column, first_truthy, strip
 from millrace.operators import catalog, extract
 
 
+#: The marks of a title in Markdown, the best first.
+TITLE_MARKS = (r"#\s+(.+)$", r"##\s+(.+)$", r"\*\*(.+?)\*\*")
+
+
 def markdown_title(c: Column | str) -> Column:
     """The first heading, else the first of the second order, else bold words at the beginning of a line; of 3 to 300 characters."""
-    found = (strip(F.regexp_extract(column(c), rf"(?md)^{mark}", 1)) for mark in (r"#\s+(.+)$", r"##\s+(.+)$", r"\*\*(.+?)\*\*"))
+    found = (strip(F.regexp_extract(column(c), rf"(?md)^{mark}", 1)) for mark in TITLE_MARKS)
     return F.coalesce(*(F.when(F.length(t).between(3, 300), t) for t in found))
 
 
