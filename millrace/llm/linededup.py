@@ -10,7 +10,8 @@ cut off and the rest is verified by an automaton over the band of diagonals, who
 
 Near lines form classes (connected components), whose first line by doc_id, text and place is kept. Classes grow in three steps: a line is
 compared with one indexed line of each key it probes, then with one of another class of each key that still has several, and last
-the few keys left open are compared in full, between classes only; so a crowd of near lines never makes all pairs.
+the few keys left open are compared in full, between classes only; so a crowd of near lines never makes all pairs for its class. Links are
+counted apart from that, all of them: every line is compared with all lines of each key, whatever their class, and only the counts are stored.
 
 Null and empty texts have no lines and get a row with zeros; rows that repeat both doc_id and text are one document. An empty
 table gives no rows. Lines are told apart by 128-bit hashes (64-bit ones only propose candidates). Columns other than doc_id and text aren't read.
@@ -92,6 +93,9 @@ def meetings(docs: DataFrame, most: int, per_edit: int) -> DataFrame:
     return met.groupBy("key", "code").agg(F.max("own").alias("own"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
+#: Indexed lines of a key that are compared under one join key. Those of larger keys are dealt over blocks, and each block meets all lines of the key.
+BLOCK = 1024
+
 #: Up to so many codes of lines that meet others are broadcast (16 MB of them); more are joined by a shuffle of all lines.
 MOST_BROADCAST = 2_000_000
 
@@ -119,9 +123,9 @@ def may_link(a: Column, b: Column, edits: int) -> Column:
     return (differ("chars") <= 2 * edits) & (differ("pairs") + differ("more") <= 4 * edits)
 
 
-def apart(a: Column, b: Column, edits: int) -> Column:
-    """Whether two places (structs of part, id and signature) lie in different parts and may link."""
-    return (a["part"] != b["part"]) & may_link(a["signature"], b["signature"], edits)
+def apart(a: Column, b: Column, edits: int, by: str = "part") -> Column:
+    """Whether two places (structs of part, id and signature) lie in different parts (or, by id, are different lines) and may link."""
+    return (a[by] != b[by]) & may_link(a["signature"], b["signature"], edits)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -231,12 +235,28 @@ class Meetings:
         pairs = placed.join(mixed_keys(placed), "key").where(apart(F.col("place"), far, self.most))
         return pairs.select(*ordered(F.col("place")["id"], far["id"])).distinct()
 
-    def all_pairs(self, placed: DataFrame) -> DataFrame:
-        """All lines of a key with all lines of another part that are indexed under it."""
-        open_ = placed.join(mixed_keys(placed).select("key"), "key", "left_semi")
-        pairs = open_.where("own").select("key", F.col("place").alias("indexed")).join(open_.select("key", "place"), "key").where(apart(F.col("place"), F.col("indexed"), self.most))
+    def all_pairs(self, placed: DataFrame, by: str = "part", block: int = BLOCK) -> DataFrame:
+        """All lines of a key with all lines of another part (by id: all other lines) that are indexed under it."""
+        keys = placed.groupBy("key").agg(F.ceil(F.count_if("own") / block).alias("blocks"))
+        open_ = placed.join(keys if by == "id" else keys.join(mixed_keys(placed), "key", "left_semi"), "key")
+        indexed = open_.where("own").select("key", F.pmod(F.xxhash64("place.id"), "blocks").alias("block"), F.col("place").alias("indexed"))
+        probes = open_.select("key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), "place")
+        pairs = indexed.join(probes, ["key", "block"]).where(apart(F.col("place"), F.col("indexed"), self.most, by))
         return pairs.select(*ordered(F.col("place")["id"], F.col("indexed")["id"])).distinct()
 
+    def direct(self, placed: DataFrame, block: int = BLOCK) -> DataFrame:
+        """id and direct (the other lines that it links with) of every line that has links; neither pairs nor links are stored."""
+        links = verified(self.all_pairs(placed, "id", block), self.texts, self.most, self.per_edit)
+        return stored(links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("direct")), "line-direct")
+
+    def classes(self) -> DataFrame:
+        """node and component (its class) of every line id that links with another; made from a few links for each line."""
+        edges = self.links(self.first_pairs()).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        for pairs in (self.next_pairs, self.all_pairs):
+            placed = stored(self.placed(stored(connected_components(edges), "line-parts")), "line-placed")
+            edges = edges.union(self.links(pairs(placed)).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        return connected_components(edges)
+
     def links(self, pairs: DataFrame) -> DataFrame:
         return stored(verified(stored(pairs, "line-pairs"), self.texts, self.most, self.per_edit), "line-links")
 
@@ -251,46 +271,45 @@ def mixed_keys(placed: DataFrame) -> DataFrame:
 def near_lines(docs: DataFrame, most: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
     """All links (a, b, distance) between ids of distinct lines. Their number grows with the square of a crowd; near_classes() doesn't make them."""
     found = Meetings(docs, most, per_edit)
-    return found.links(found.all_pairs(found.placed(None)))
+    return found.links(found.all_pairs(stored(found.placed(None), "line-placed"), "id"))
 
 
 def near_classes(docs: DataFrame, most: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
-    """node and component (its class) of every line id that links with another; made from a few links for each line."""
-    found = Meetings(docs, most, per_edit)
-    edges = found.links(found.first_pairs()).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    for pairs in (found.next_pairs, found.all_pairs):
-        placed = stored(found.placed(stored(connected_components(edges), "line-parts")), "line-placed")
-        edges = edges.union(found.links(pairs(placed)).select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    return connected_components(edges)
+    """Meetings.classes() of the lines of docs."""
+    return Meetings(docs, most, per_edit).classes()
 
 
 def dedup_lines(docs: DataFrame, most: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
     """One row for each line: doc_id, text_hash, place, class_id, kept, exact (it repeats a line to the letter), head (the class's first line, null for a line
-    that no other repeats) and linked (the other distinct lines of its class); place is null for a document without lines."""
-    parts = near_classes(docs, most, per_edit)
+    that no other repeats), linked (the other distinct lines of its class) and direct (those of them that it links with itself); place is null for a document
+    without lines."""
+    found = Meetings(docs, most, per_edit)
+    parts, direct = found.classes(), found.direct(stored(found.placed(None), "line-placed"))
     seen = stored(occurrences(docs).select("doc_id", "text_hash", "place", line_id("line").alias("id")), "line-places")
     here = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "place")
     own = seen.where("id is not null").groupBy("id").agg(F.min(here).alias("first"), F.count("*").alias("n"))
     placed = own.join(parts, own["id"] == parts["node"], "left").select("id", "first", "n", F.coalesce("component", "id").alias("class_id"))
     heads = placed.groupBy("class_id").agg(F.min("first").alias("head"), F.sum("n").alias("members"), F.count("*").alias("lines")).where("members > 1")
-    classes = placed.join(heads, "class_id").select("id", "class_id", "first", "head", (F.col("lines") - 1).alias("linked"))
+    classes = placed.join(heads, "class_id").select("id", "class_id", "first", "head", (F.col("lines") - 1).alias("linked")).join(direct, "id", "left")
     joined = seen.join(classes, "id", "left")
     kept, exact = F.col("head").isNull() | (F.col("head") == here), F.col("first").isNotNull() & (F.col("first") != here)
-    return joined.select("doc_id", "text_hash", "place", F.coalesce("class_id", "id").alias("class_id"), kept.alias("kept"), exact.alias("exact"), "head", F.coalesce("linked", F.lit(0)).alias("linked"))
+    return joined.select("doc_id", "text_hash", "place", F.coalesce("class_id", "id").alias("class_id"), kept.alias("kept"), exact.alias("exact"), "head", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("linked", "direct")))
 
 
 def report(docs: DataFrame, most: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
     """One row for each document.
 
     doc_id, n_lines, n_exact and n_near (lines dropped as copies to the letter, and as near), dropped (their places), classes (of its lines that others repeat,
-    the kept ones too: class_id and the doc_id of the class's first line, in order), n_links (other distinct lines that its lines reach by links, summed over its lines) and text_hash.
+    the kept ones too: class_id and the doc_id of the class's first line, in order), n_links (other distinct lines that its lines reach by links, summed over its lines), n_direct_links (those that are few enough edits from the line itself,
+    summed likewise) and text_hash.
     """
     lines = dedup_lines(docs, most, per_edit)
     shared = F.struct(F.lower(F.hex("class_id")).alias("class_id"), F.col("head")["doc_id"].alias("head_doc"))
     sets = {"lines": F.when(F.col("place").isNotNull(), F.col("place")), "dropped": F.when(~F.col("kept"), F.col("place")), "same": F.when(~F.col("kept") & F.col("exact"), F.col("place")), "classes": F.when(F.col("head").isNotNull(), shared)}
-    links = F.struct("place", "linked")
+    links = F.struct("place", "linked", "direct")
     one = lines.groupBy("doc_id", "text_hash").agg(*(F.array_sort(F.collect_set(c)).alias(name) for name, c in sets.items()), F.collect_set(F.when(F.col("linked") > 0, links)).alias("links"))
     count = lambda c: F.size(c).cast("bigint")
+    total = lambda c: F.aggregate("links", F.lit(0).cast("bigint"), lambda sum_, x: sum_ + x[c])
     return one.select(
         "doc_id",
         count("lines").alias("n_lines"),
@@ -298,7 +317,8 @@ def report(docs: DataFrame, most: int = EDITS, per_edit: int = PER_EDIT) -> Data
         (count("dropped") - count("same")).alias("n_near"),
         "dropped",
         "classes",
-        F.aggregate("links", F.lit(0).cast("bigint"), lambda total, x: total + x["linked"]).alias("n_links"),
+        total("linked").alias("n_links"),
+        total("direct").alias("n_direct_links"),
         "text_hash",
     )
 
