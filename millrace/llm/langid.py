@@ -2,8 +2,9 @@
 
 A text is the set of its distinct n-grams of bytes for several n (blended spectrum, presence only), hashed to
 `width` bins. The kernel of two texts is the share of bins that both have, normalized by their sizes.
-Nystroem landmarks stand for the training texts, one-versus-rest kernel ridge regression is solved in their space, and
-texts are scored by batched matrix products of their bins with the landmarks' and of those kernels with the weights.
+Nystroem landmarks span the space in which one-versus-rest kernel ridge regression is solved over all training texts: tasks sum up products of
+their kernels, as whole numbers, so that the sums don't depend on how rows lie in files. Texts are scored by batched matrix products of their bins
+with the landmarks' and of those kernels with the weights.
 
 Only letters count: texts are lower-cased and everything else in ASCII becomes one blank. A text that is
 null or has no letter gets `und` and score 0; so does every text where no labelled row can be learnt from.
@@ -22,12 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.bytewords import slices, text_bytes
-from millrace.llm.common import crc32_mod, hidden, tidied
+from millrace.llm.common import crc32_mod, hidden, stored, tidied
+from millrace.operators.ranges import percentiles
 
 UNKNOWN = "und"
 LOW, LETTERS = "langid_low", "langid_letters"
 #: How like a text is to the learnt texts of its language; see likeness().
 USUAL, SEEN = "langid_usual", "langid_seen"
+#: Kernels are summed in units of 1 / SCALE: products of two stay exact for some 8 * 10^9 texts of a language.
+SCALE = 1 << 15
+#: Sums are added up in pieces of so many numbers.
+PIECE = 512
 
 
 @dataclass
@@ -88,43 +94,98 @@ def texts_of(docs: DataFrame, columns: list[str], *more: F.Column) -> DataFrame:
     return docs.select(*(F.col(f"`{c}`") for c in columns), *more, F.lower(F.coalesce("text", F.lit(""))).alias(LOW), has.alias(LETTERS))
 
 
-def fit(rows: DataFrame, most_rows: int = 2000, landmarks: int = 192, width: int = 1 << 13, grams: tuple[int, ...] = (2, 3), ridge: float = 0.05) -> Model:
-    """Learns from rows (doc_id, text, lang) without null langs.
+def drawn(rows: DataFrame, counts: dict[str, int], most_rows: int, width: int, grams: tuple[int, ...]) -> tuple[np.ndarray, list[str]]:
+    """Bins and langs of about most_rows rows, evenly over the labels and in the order of a hash of doc_id (of the text where it is null): the first are the landmarks.
 
-    At most about most_rows texts are used, drawn by a hash of doc_id and evenly over the labels, so that a rare
-    label is seen too; this bounds what the driver holds (most_rows * width bits).
+    Rows that repeat one id are drawn together or not at all; where that leaves none, the first of all rows are taken.
     """
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    labels = sorted(counts)
-    each = max(1, most_rows // max(1, len(labels)))
-    share = F.coalesce(*(F.when(F.col("lang") == x, F.lit(each / n)) for x, n in counts.items()), F.lit(0.0)) if labels else F.lit(0.0)
-    dice = F.pmod(F.xxhash64("doc_id", F.lit("draw")), F.lit(1_000_003))
-    drawn = texts_of(rows.where(dice < share * 1_000_003), ["lang"], dice.alias("dice")).where(LETTERS)
+    each = max(1, most_rows // len(counts))
+    share = F.coalesce(*(F.when(F.col("lang") == x, F.lit(each / n)) for x, n in counts.items()), F.lit(0.0))
+    dice = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64(LOW, F.lit("draw"))).otherwise(F.xxhash64("doc_id", F.lit("draw"))), F.lit(1_000_003))
+    every = rows.withColumn("dice", dice)
 
     @tidied
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = letter_table()
         for batch in batches:
-            raw, offsets = text_bytes(batch[LOW])
-            for first, last in slices(offsets, 1 << 21):
-                got = presence(letters[raw[offsets[first] : offsets[last]]], offsets[first : last + 1] - offsets[first], width, grams).astype(bool)
-                yield pa.RecordBatch.from_arrays([batch["lang"].slice(first, last - first), batch["dice"].slice(first, last - first), pa.array([x.tobytes() for x in np.packbits(got, axis=1)])], names=["lang", "dice", "bins"])
+            for first, last, got in blocks(batch[LOW], width, grams):
+                yield pa.RecordBatch.from_arrays([batch["lang"].slice(first, last - first), batch["dice"].slice(first, last - first), pa.array([x.tobytes() for x in np.packbits(got.astype(bool), axis=1)])], names=["lang", "dice", "bins"])
+
+    for some in (every.where(F.col("dice") < share * 1_000_003), every):
+        got = some.select("lang", LOW, "dice").mapInArrow(bins, "lang string, dice bigint, bins binary").orderBy("dice", "lang", "bins").limit(2 * most_rows).collect()
+        if got:
+            break
+    return np.unpackbits(np.frombuffer(b"".join(r["bins"] for r in got), np.uint8).reshape(len(got), -1), axis=1).astype(np.float32), [r["lang"] for r in got]
+
+
+def blocks(texts: pa.Array, width: int, grams: tuple[int, ...]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """First row, last row (not included) and bins of blocks of bounded size."""
+    letters = letter_table()
+    raw, offsets = text_bytes(texts)
+    for first, last in ((k, min(hi, k + 512)) for lo, hi in slices(offsets, 1 << 21) for k in range(lo, hi, 512)):
+        yield first, last, presence(letters[raw[offsets[first] : offsets[last]]], offsets[first : last + 1] - offsets[first], width, grams)
+
+
+def kernel_sums(rows: DataFrame, labels: list[str], marks: np.ndarray, grams: tuple[int, ...]) -> np.ndarray:
+    """For each label, over all its rows (lang and LOW): sums of products of two kernels (landmarks x landmarks), of kernels, and of bins, in one list.
+
+    marks: bins of the landmarks. Kernels are whole numbers of 1 / SCALE. A task gives one list for each label, in pieces that are added up apart.
+    """
+    width, roots = marks.shape[1], np.sqrt(np.maximum(marks.sum(axis=1, dtype=np.float64), 1))
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, at = len(roots), {x: i for i, x in enumerate(labels)}
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            y = np.array([at[x] for x in batch["lang"].to_pylist()], int)
+            for first, last, bins in blocks(batch[LOW], width, grams):
+                sizes = np.sqrt(np.maximum(bins.sum(axis=1, dtype=np.float64), 1))
+                kernels = np.rint((bins @ marks.T).astype(np.float64) / sizes[:, None] / roots * SCALE)  # shared bins are counted exactly
+                for label in np.unique(y[first:last]):
+                    own = y[first:last] == label
+                    k = kernels[own]
+                    new = np.concatenate([(k.T @ k).ravel(), k.sum(axis=0), bins[own].sum(axis=0, dtype=np.float64)]).astype(np.int64)
+                    sums[label] = sums[label] + new if label in sums else new
+        for label, total in sums.items():
+            pieces = [total[i : i + PIECE].tolist() for i in range(0, len(total), PIECE)]
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(pieces), pa.int32()), pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.list_(pa.int64()))], names=["label", "piece", "sums"])
+
+    def added(some: pa.Table) -> pa.Table:
+        total = np.sum([x.values.to_numpy() for x in some["sums"]], axis=0)
+        return pa.table({"label": some["label"][:1], "piece": some["piece"][:1], "sums": pa.array([total.tolist()], pa.list_(pa.int64()))})
+
+    schema = "label int, piece int, sums array<bigint>"
+    got = rows.select("lang", LOW).mapInArrow(run, schema).groupBy("label", "piece").applyInArrow(added, schema).collect()
+    out = np.zeros((len(labels), len(roots) * (len(roots) + 1) + width), np.int64)
+    for r in got:
+        out[r["label"], r["piece"] * PIECE : r["piece"] * PIECE + len(r["sums"])] = r["sums"]
+    return out
+
 
-    got = drawn.mapInArrow(bins, "lang string, dice bigint, bins binary").orderBy("dice", "lang", "bins").limit(2 * most_rows).collect()
-    if not got:
+def fit(rows: DataFrame, most_rows: int = 2000, landmarks: int = 192, width: int = 1 << 13, grams: tuple[int, ...] = (2, 3), ridge: float = 0.05) -> Model:
+    """Learns from all rows (doc_id, text, lang) without null langs that have a letter.
+
+    The landmarks are the first of about most_rows texts drawn by a hash of doc_id and evenly over the labels, so that a rare label has some too. The
+    regression and the profiles are over every row; the driver gets their sums (landmarks * landmarks + width numbers for each label).
+    """
+    rows = texts_of(rows, ["doc_id", "lang"]).where(LETTERS)
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
         return Model([], np.zeros((0, width), np.float32), np.zeros((0, 0), np.float32), width, grams, np.zeros((0, width), np.float32))
-    x = np.unpackbits(np.frombuffer(b"".join(r["bins"] for r in got), np.uint8).reshape(len(got), -1), axis=1).astype(np.float32)
-    y = np.array([labels.index(r["lang"]) for r in got])
-    profiles = np.stack([x[y == label].sum(axis=0) / max(1, (y == label).sum()) for label in range(len(labels))]).astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-    rank = np.zeros(len(y), int)
-    for label in range(len(labels)):
-        rank[y == label] = np.arange((y == label).sum())
+    labels = sorted(counts)
+    x, langs = drawn(rows, counts, most_rows, width, grams)
+    seen: dict[str, int] = {}
+    rank = [seen[lang] for lang in langs if [seen.update({lang: seen.get(lang, -1) + 1})]]
     marks = x[np.argsort(rank, kind="stable")[:landmarks]]
-    many, among = (x @ marks.T).astype(np.float64), (marks @ marks.T).astype(np.float64)
-    target = np.where(y[:, None] == np.arange(len(labels)), 1.0, -1.0)
-    weight = 1.0 / np.bincount(y, minlength=len(labels))[y][:, None]  # each label counts alike
-    solved = np.linalg.lstsq(many.T @ (many * weight) + ridge * among / len(among) + 1e-8 * np.eye(len(among)), many.T @ (target * weight), rcond=None)[0]
+    n, each = len(marks), np.array([counts[label] for label in labels], float)
+    sums = kernel_sums(rows, labels, marks, grams)
+    profiles = (sums[:, n * (n + 1) :] / each[:, None]).astype(np.float32)
+    means = sums[:, : n * (n + 1)] / each[:, None]  # each label counts alike
+    among, kernels = means[:, : n * n].sum(axis=0).reshape(n, n) / SCALE**2, means[:, n * n :] / SCALE
+    targets = 2 * np.eye(len(labels)) - 1
+    marks = marks / np.sqrt(np.maximum(marks.sum(axis=1, keepdims=True), 1))
+    own = (marks @ marks.T).astype(np.float64)
+    solved = np.linalg.lstsq(among + ridge * own / n + 1e-8 * np.eye(n), kernels.T @ targets, rcond=None)[0]
     return Model(labels, marks, solved.astype(np.float32), width, grams, profiles)
 
 
@@ -138,12 +199,10 @@ def predict(docs: DataFrame, model: Model, columns: list[str], like: bool = Fals
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, names = letter_table(), np.array(labels, object)
+        names = np.array(labels, object)
         for batch in batches:
-            raw, offsets = text_bytes(batch[LOW])
             has = batch[LETTERS].to_numpy(zero_copy_only=False)
-            for first, last in ((k, min(hi, k + 512)) for lo, hi in slices(offsets, 1 << 21) for k in range(lo, hi, 512)):
-                bins = presence(letters[raw[offsets[first] : offsets[last]]], offsets[first : last + 1] - offsets[first], width, grams)
+            for first, last, bins in blocks(batch[LOW], width, grams):
                 fits = kernel_scores(bins, marks, weights).astype(np.float64)
                 best = fits.argmax(axis=1)
                 odds = np.exp(3 * (fits - fits.max(axis=1, keepdims=True)))
@@ -167,16 +226,15 @@ def identify(docs: DataFrame, **how: float) -> DataFrame:
     return predict(docs, learnt(docs, **how), ["doc_id"]).select("doc_id", (crc32_mod("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
-def bounds(docs: DataFrame, model: Model, most_rows: int = 2000, lost: float = 0.005, slack: float = 0.9) -> tuple[float, float]:
+def bounds(docs: DataFrame, model: Model, lost: float = 0.005, slack: float = 0.9) -> tuple[float, float]:
     """The least USUAL and SEEN of a text in a learnt language: `slack` times what all but a share of `lost` of the held-out labelled rows reach.
 
-    About most_rows held-out rows are looked at. Without any nothing can be measured: both bounds are 0 and refuse no text.
+    All held-out rows are looked at. Without any nothing can be measured: both bounds are 0 and refuse no text.
     """
     held = docs.where(crc32_mod("doc_id", 5) == 0).where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    dice = F.pmod(F.xxhash64("doc_id", "text", F.lit("bounds")), F.lit(1_000_003))
-    some = held.where(dice < most_rows / max(1, held.count()) * 1_000_003)
-    got = predict(some, model, ["lang"], like=True).where("lang_pred = lang").select(USUAL, SEEN).limit(2 * most_rows).collect()
-    return tuple(slack * float(np.quantile([r[c] for r in got], lost)) if got else 0.0 for c in (USUAL, SEEN))
+    got = stored(predict(held, model, ["lang"], like=True).where("lang_pred = lang").select(USUAL, SEEN), "langid-held")
+    reached = (percentiles(got, [], c, {"least": lost}).first() for c in (USUAL, SEEN))
+    return tuple(slack * (r["least"] or 0.0) if r else 0.0 for r in reached)
 
 
 def accepted(docs: DataFrame, **how: float) -> DataFrame:

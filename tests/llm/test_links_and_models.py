@@ -1,11 +1,15 @@
 """All links are counted, and models are learnt from all rows."""
 
 import random
+import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_small_cases import docs, edit_distance
 
-from millrace.llm import linededup
+from millrace.llm import langid, linededup
+from millrace.operators.ranges import percentiles
 
 
 def plain_links(rows):
@@ -44,3 +48,39 @@ def test_link_counts_by_brute_force(spark, block):
     ids = spark.createDataFrame(rows, "doc_id bigint, line string").select("doc_id", linededup.line_id("line").alias("id"))
     got = {r.doc_id: r.direct for r in found.direct(found.placed(None), block).join(ids, "id").collect()}
     assert got == {i: n for i, n in plain_links(rows).items() if n}
+
+
+def test_language_model_is_learnt_from_all_rows(spark, small):
+    """However few rows the landmarks are drawn from, the regression and the profiles are over all rows."""
+    table = spark.read.parquet(f"{small}/documents.parquet").where("lang is not null and text is not null")
+    model = langid.fit(table, most_rows=40, landmarks=24, width=1 << 11)
+    rows = langid.texts_of(table, ["lang"]).where(langid.LETTERS).collect()
+    raw = [r[langid.LOW].encode() for r in rows]
+    letters, offsets = langid.letter_table(), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    bins = langid.presence(letters[np.frombuffer(b"".join(raw), np.uint8)], offsets, 1 << 11, model.grams).astype(float)
+    y = np.array([model.labels.index(r.lang) for r in rows])
+    assert len(y) > 100 and np.allclose(model.profiles, [bins[y == i].mean(axis=0) for i in range(len(model.labels))], atol=1e-6)
+    kernels = (bins / np.sqrt(bins.sum(axis=1, keepdims=True))) @ model.landmarks.T.astype(float)
+    target, weight = np.where(y[:, None] == np.arange(len(model.labels)), 1.0, -1.0), (1 / np.bincount(y)[y])[:, None]
+    own = model.landmarks.astype(float) @ model.landmarks.T.astype(float)
+    plain = np.linalg.solve(kernels.T @ (kernels * weight) + 0.05 * own / len(own) + 1e-8 * np.eye(len(own)), kernels.T @ (target * weight))
+    assert np.allclose(kernels @ model.weights, kernels @ plain, atol=0.02)
+    again = langid.fit(table.repartition(7), most_rows=40, landmarks=24, width=1 << 11)
+    assert np.array_equal(model.weights, again.weights) and np.array_equal(model.profiles, again.profiles)
+    same = table.limit(1).crossJoin(spark.range(300)).select(F.lit(5).alias("doc_id"), "text", "lang")
+    assert langid.fit(same, most_rows=1).landmarks.shape[0]  # rows of one id
+
+
+def test_language_bounds_are_over_all_held_out_rows(spark):
+    """More held-out rows than were looked at before: the bounds are the quantiles of all of them."""
+    dice = random.Random(3)
+    words = {x: ["".join(dice.choice(a) for _ in range(dice.randint(3, 8))) for _ in range(300)] for x, a in (("aa", "abcdefghij"), ("bb", "hijklmnopq"))}
+    rows = [(i, " ".join(dice.choice(words[x]) for _ in range(dice.randint(2, 12))), x) for i in range(15_000) for x in [dice.choice(["aa", "bb"])]]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.learnt(table, landmarks=32, width=1 << 11)
+    held = table.where(F.col("doc_id").isin([i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]))
+    got = langid.predict(held, model, ["lang"], like=True).where("lang_pred = lang")
+    want = [0.9 * np.quantile([r[0] for r in got.select(c).collect()], 0.005) for c in (langid.USUAL, langid.SEEN)]
+    assert held.count() > 2800 and np.allclose(langid.bounds(table, model), want, rtol=1e-12)
+    parted = percentiles(got, [], langid.USUAL, {"least": 0.005}, most=100).first()  # as for more rows than a task should order
+    assert np.isclose(0.9 * parted["least"], want[0], rtol=1e-12)
