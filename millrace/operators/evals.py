@@ -13,8 +13,7 @@ def greedy_match(expected: DataFrame, extracted: DataFrame, group: str, least: f
 
     expected and extracted: group, pos (an integer that tells a group's rows apart), title. Rows without a group meet nobody."""
     side = lambda df: df.where(F.col(group).isNotNull()).select(matching.group_id(group).alias("_g"), F.col("pos").cast("bigint").alias("pos"), "title")
-    pairs = matching.blocked(side(expected), side(extracted), lambda a, b, upto: matching.matches(a, b, upto, least))
-    taken = matching.assigned(pairs, most)
+    taken = matching.assigned(side(expected), side(extracted), least, most)
     wanted = expected.select(group, F.col("pos").cast("bigint").alias("pos"), matching.group_id(group).alias("_own"))
     joined = wanted.join(taken, (F.col("_own") == F.col("_g")) & (F.col("pos") == F.col("e")), "left")
     return joined.select(group, "pos", F.col("x").alias("matched"), F.round(F.coalesce("s", F.lit(0.0)), 6).alias("similarity"))

@@ -1,17 +1,19 @@
 """Titles of a group matched one to one, or merged, where the order of rows decides (JOIN-15, JOIN-16).
 
-Pairs are compared in blocks, each a task of its own however large its group is, and only pairs that are alike enough are kept. What the order decides follows from these:
-in one task for groups of few pairs, else in rounds over all groups at once.
+Titles are compared in blocks, each a task of its own however large its group is. For matching, each distinct title gets a list of the best that it may take, a little longer than it has rows;
+a list that turns out too short is continued. For merging, all pairs of distinct titles that are alike enough are kept. What the order decides follows from these: in one task for groups of few
+lines of lists or pairs, else in rounds over all groups at once.
 """
 
 from __future__ import annotations
 
+from bisect import insort
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.ranges import by_key, stored
@@ -20,6 +22,12 @@ from millrace.operators.ranges import by_key, stored
 BLOCK, MOST = 256, 500_000
 #: Blocks that one call of Python compares, about.
 BLOCKS_PACKED = 64
+#: Titles of either side of a block where lists of the best are made; what a list has beyond the rows of its own title, at first and at the most.
+EXPECTED, OFFERED, SPARE, MOST_SPARE = 256, 65_536, 16, 1_024
+#: Bounds of ratios and ratios are quotients of small numbers: less than this apart they are equal.
+CLOSE = 1e-12
+#: Beyond every pos, and before.
+LAST, FIRST = 2**63 - 1, -(2**63)
 
 
 def plain(title: str | None) -> str:
@@ -42,27 +50,95 @@ def bounds(a: list[str], b: list[str]) -> np.ndarray:
     return 2.0 * common / np.maximum(sizes, 1)
 
 
-def matches(a: list[str], b: list[str], upto: np.ndarray, least: float) -> tuple[list, list, list]:
-    """Places in a and b, and the similarity, of pairs that are similar enough: a title that holds the other is worth the ratio of their lengths, 0.6 at least."""
-    rows, cols, scores = [], [], []
-    hopeful = bounds(a, b) >= least - 1e-9
-    for j, other in enumerate(b):
-        matcher = SequenceMatcher(None, "", other)  # its index is made once for all of a
-        for i, title in enumerate(a[: upto[j]]):
-            if not title or not other:
-                continue
-            if title in other or other in title:
-                s = max(0.6, min(len(title), len(other)) / max(len(title), len(other)))
-            elif hopeful[i, j]:
-                matcher.set_seq1(title)
-                s = matcher.ratio()
-            else:
-                continue
-            if s >= least:
-                rows.append(i)
-                cols.append(j)
-                scores.append(s)
-    return rows, cols, scores
+def similarity(title: str, other: str) -> float:
+    """A title that holds the other is worth the ratio of their lengths, 0.6 at least."""
+    if title in other or other in title:
+        return max(0.6, min(len(title), len(other)) / max(len(title), len(other)))
+    return SequenceMatcher(None, title, other).ratio()
+
+
+class Offers:
+    """Titles of a block in order of pos, laid out to bound their similarities to a title all at once."""
+
+    def __init__(self, titles: list[str], classes: int = 128) -> None:
+        self.titles, self.classes = titles, classes
+        self.size = np.array([len(t) for t in titles], np.int64)
+        codes = np.frombuffer("".join(titles).encode("utf-32-le", "surrogatepass"), np.uint32)
+        rows = np.repeat(np.arange(len(titles)), self.size)
+        self.kinds, kind = np.unique(codes % classes, return_inverse=True)  # those that stand in a title
+        counts = np.bincount(kind * len(titles) + rows, minlength=len(self.kinds) * len(titles)).reshape(len(self.kinds), len(titles))
+        self.counts = counts.astype(np.min_scalar_type(counts.max(initial=0)))
+        self.most, self.varied = counts.max(axis=1, initial=0), counts.min(axis=1, initial=2**40) < counts.max(axis=1, initial=0)
+        known, flat = np.unique(codes, return_inverse=True)
+        self.known = {int(c): i for i, c in enumerate(known)}
+        self.flat = np.append(flat, len(known))  # behind all titles stands what is no letter of any
+        self.start = np.cumsum(self.size) - self.size
+
+    def common(self, title: str) -> np.ndarray:
+        """Letters in common, by class: no fewer than those that match."""
+        codes = np.frombuffer(title.encode("utf-32-le", "surrogatepass"), np.uint32)
+        own = np.minimum(np.bincount(codes % self.classes, minlength=self.classes)[self.kinds], self.most)
+        out = np.full(len(self.titles), own[~self.varied].sum(), np.int32)
+        for c in np.flatnonzero((own > 0) & self.varied):
+            out += np.minimum(self.counts[c], self.counts.dtype.type(own[c]))
+        return out
+
+    def in_order(self, title: str, rows: np.ndarray) -> np.ndarray:
+        """Letters in common in one order, of each 64 letters of the title: no fewer than those that match. The longest common subsequence by the bits of a word."""
+        start, size, out = self.start[rows], self.size[rows], np.zeros(len(rows), np.int64)
+        for at in range(0, len(title), 64):
+            masks = np.zeros(len(self.known) + 1, np.uint64)
+            for i, letter in enumerate(title[at : at + 64]):
+                if (k := self.known.get(ord(letter))) is not None:
+                    masks[k] |= np.uint64(1 << i)
+            left = np.full(len(rows), 2**64 - 1, np.uint64)
+            for j in range(int(size.max(initial=0))):
+                hit = left & masks[self.flat[np.where(j < size, start + j, len(self.flat) - 1)]]
+                left = (left + hit) | (left - hit)
+            out += np.bitwise_count(~left)
+        return out
+
+    def bound(self, title: str, common: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Of similarities, by letters in common: one title can hold the other only if all its letters are there."""
+        ratio = 2.0 * common / np.maximum(len(title) + size, 1)
+        return np.where(common >= np.minimum(len(title), size), np.maximum(ratio, 0.6), ratio)
+
+    def best(self, title: str, k: int, least: float, usable: np.ndarray, behind: Callable[[float, int], bool]) -> list[tuple[float, int]]:
+        """(-similarity, row) of the k best usable ones for which behind() holds; of equals the first.
+
+        Rows come by falling bounds, and the similarity itself is worked out only where the bound says that the row may still be among the k."""
+        upto = self.bound(title, self.common(title), self.size)
+        rows = np.flatnonzero((upto >= least - 1e-9) & usable & (self.size > 0)) if title else np.zeros(0, np.int64)
+        rows = rows[np.argsort(-np.ceil(upto[rows] * 30_000).astype(np.int16), kind="stable")]
+        found, known, at, step = [], {}, 0, 256
+
+        def hopeful(bound: np.ndarray | float, row: np.ndarray | int) -> np.ndarray | bool:
+            if len(found) < k:
+                return bound >= least - 1e-9
+            s, last = -found[-1][0], found[-1][1]
+            return (bound > s + CLOSE) | (bound >= s - CLOSE) & (row < last)
+
+        while at < len(rows):
+            if len(found) == k and upto[rows[at]] + 1 / 30_000 < -found[-1][0]:
+                break
+            part = rows[at : at + step]
+            at, step = at + step, step * 2
+            part = part[hopeful(upto[part], part)]
+            tight = upto[part]
+            near = 2.0 * np.minimum(len(title), self.size[part]) / (len(title) + self.size[part]) >= least - 1e-9  # else one can only hold the other
+            tight[near] = np.minimum(tight[near], self.bound(title, self.in_order(title, part[near]), self.size[part[near]]))
+            part, tight = part[kept := np.asarray(hopeful(tight, part), bool)], tight[kept]
+            for i in np.argsort(-tight, kind="stable").tolist():
+                row = int(part[i])
+                if not hopeful(float(tight[i]), row):
+                    continue
+                other = self.titles[row]
+                if other not in known:
+                    known[other] = similarity(title, other)
+                if (s := known[other]) >= least and behind(s, row):
+                    insort(found, (-s, row))
+                    del found[k:]
+        return found
 
 
 def repeats(a: list[str], b: list[str], upto: np.ndarray, alike: float) -> tuple[list, list, list]:
@@ -129,36 +205,119 @@ def apart(pairs: DataFrame, most: int) -> tuple[DataFrame, DataFrame | None]:
     return by_key(pairs, large, ["_g"], "left_anti"), by_key(pairs, large, ["_g"], "left_semi")
 
 
-def assigned(pairs: DataFrame, most: int = MOST) -> DataFrame:
-    """_g, e, x and s: in the order of e each takes the x of the highest s that is left, of equals the first.
+def listed(wanted: DataFrame, offered: DataFrame, least: float) -> DataFrame:
+    """_g, c, x and s: for each title c of wanted (_g, c, title, k, s_last, x_last) the k best of offered (_g, pos, title, held) behind (s_last, x_last), of equals the first; without those held by one before c."""
+    sizes = lambda df, n, name: df.groupBy(F.col("_g").alias("_own")).agg(F.ceil(F.count("*") / n).cast("int").alias(name))
+    both = stored(sizes(wanted, EXPECTED, "_lefts").join(sizes(offered, OFFERED, "_rights"), "_own"), "sizes")
+    at = lambda c, n: F.expr(f"cast(pmod(xxhash64({c}), {n}) as int)")
+    each = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    sides = lambda df: df.join(both, F.col("_g") == F.col("_own"))
+    left = sides(wanted).select("_g", at("c", "_lefts").alias("_i"), each("_rights").alias("_j"), F.lit(True).alias("_left"), F.col("c").alias("pos"), "title", "k", "s_last", F.col("x_last").alias("other"))
+    right = sides(offered).select("_g", at("pos", "_rights").alias("_j"), each("_lefts").alias("_i"), F.lit(False).alias("_left"), "pos", "title", F.lit(0).cast("bigint").alias("k"), F.lit(0.0).alias("s_last"), F.col("held").alias("other"))
+
+    def compared(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf[pdf["_left"]], pdf[~pdf["_left"]].sort_values("pos", kind="stable")
+        offers, pos, held, out = Offers([plain(t) for t in b["title"]]), b["pos"].to_numpy(), b["other"].to_numpy(), []
+        for c, title, k, s_last, x_last in zip(a["pos"].tolist(), a["title"], a["k"].tolist(), a["s_last"].tolist(), a["other"].tolist(), strict=True):
+            found = offers.best(plain(title), k, least, held >= c, lambda s, row, s_last=s_last, x_last=x_last: s < s_last or s == s_last and pos[row] > x_last)
+            out += [(c, pos[row], -s) for s, row in found]
+        out = pd.DataFrame(out, columns=["c", "x", "s"]).astype({"c": np.int64, "x": np.int64, "s": np.float64})
+        return out.assign(_g=pdf["_g"].iloc[0])[["_g", "c", "x", "s"]]
 
-    In rounds: every e asks for its best; an x stays with the first that asks and turns all later ones down, for good. That is where the order leads too: what the first takes
-    nobody can take from it.
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([compared(own) for _, own in pdf.groupby(["_g", "_i", "_j"], sort=False)])
+
+    n = both.agg(F.sum(F.col("_lefts").cast("bigint") * F.col("_rights"))).first()[0] or 0
+    parts = in_packs(left.unionByName(right), n, BLOCKS_PACKED, "_g", "_i", "_j").groupBy("_pack").applyInPandas(run, "_g string, c bigint, x bigint, s double")
+    ranked = parts.withColumn("_rank", F.row_number().over(Window.partitionBy("_g", "c").orderBy(F.desc("s"), "x")))  # k rows of each block
+    return stored(ranked.join(wanted.select(F.col("_g").alias("_own"), F.col("c").alias("_c"), "k"), (F.col("_g") == F.col("_own")) & (F.col("c") == F.col("_c"))).where("_rank <= k").select("_g", "c", "x", "s"), "lists")
+
+
+_ROWS = "_g string, c bigint, e bigint, x bigint, s double"
+
+
+def settled(members: DataFrame, lists: DataFrame, most: int) -> DataFrame:
+    """_g, c, e, x and s: in the order of e each member (_g, c, e) takes the first of the list of c (_g, c, x, s) that is left; those that get nothing aren't there.
+
+    In rounds, for large groups: of the members of one c each asks for another of its list, the first member for the first; an x stays with the first that asks and turns all later ones down,
+    for good. That is where the order leads too: what the first takes nobody can take from it.
     """
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_g", "e", "s", "x"], ascending=[True, True, False, True], kind="stable").drop(columns="_pack")
-        taken, last, keep = set(), None, []
-        for k, (g, e, x) in enumerate(zip(pdf["_g"].tolist(), pdf["e"].tolist(), pdf["x"].tolist(), strict=True)):
-            if (g, e) != last and (g, x) not in taken:
-                taken.add((g, x))
-                last = g, e
-                keep.append(k)
-        return pdf.iloc[keep]
+    def listing(pdf: pd.DataFrame) -> dict:
+        own = pdf[pdf["_list"]].sort_values(["_g", "c", "s", "x"], ascending=[True, True, False, True], kind="stable")
+        return {key: list(zip(x["x"].tolist(), x["s"].tolist(), x["e"].tolist(), strict=True)) for key, x in own.groupby(["_g", "c"], sort=False)}
 
-    few, many = apart(pairs, most)
-    out = in_packs(few, few.count(), MOST, "_g").groupBy("_pack").applyInPandas(settle, pairs.schema)
+    def asking(pdf: pd.DataFrame) -> zip:
+        own = pdf[~pdf["_list"]].sort_values(["_g", "e"], kind="stable")
+        return zip(own["_g"].tolist(), own["c"].tolist(), own["e"].tolist(), strict=True)
+
+    def frame(rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["_g", "c", "e", "x", "s"]).astype({"c": np.int64, "e": np.int64, "x": np.int64, "s": np.float64})
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        lists, next_at, taken, out = listing(pdf), {}, set(), []
+        for g, c, e in asking(pdf):
+            own, at = lists.get((g, c), ()), next_at.get((g, c), 0)
+            while at < len(own) and (g, own[at][0]) in taken:
+                at += 1
+            next_at[g, c] = at
+            if at < len(own):
+                taken.add((g, own[at][0]))
+                out.append((g, c, e, *own[at][:2]))
+        return frame(out)
+
+    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
+        lists, next_at, out = listing(pdf), {}, []
+        for g, c, e in asking(pdf):
+            own, at = lists.get((g, c), ()), next_at.get((g, c), 0)
+            while at < len(own) and own[at][2] < e:  # who holds it comes before
+                at += 1
+            if at < len(own):
+                out.append((g, c, e, *own[at][:2]))
+            next_at[g, c] = at + 1
+        return frame(out)
+
+    rows = members.select("_g", "c", "e", F.lit(0).cast("bigint").alias("x"), F.lit(0.0).alias("s"), F.lit(False).alias("_list")).unionByName(lists.select("_g", "c", F.lit(LAST).alias("e"), "x", "s", F.lit(True).alias("_list")))
+    few, many = apart(rows, most)
+    out = in_packs(few, few.count(), MOST, "_g").groupBy("_pack").applyInPandas(settle, _ROWS)
     if many is None:
         return out
-    left = stored(many, "left")
+    many, held = stored(many, "left"), None
     while True:
-        asked = left.groupBy("_g", "e").agg(F.max_by(F.struct("x", "s"), F.struct("s", -F.col("x"))).alias("best")).select("_g", "e", "best.x", "best.s")
+        known = many if held is None else many.drop("e").where("_list").join(held.select("_g", "x", "e"), ["_g", "x"], "left").withColumn("e", F.coalesce("e", F.lit(LAST))).unionByName(many.where("not _list"))
+        asked = in_packs(known, known.count(), MOST, "_g", "c").groupBy("_pack").applyInPandas(ask, _ROWS)
         asked = stored(asked, "asked")
-        held = asked.groupBy("_g", "x").agg(F.min("e").alias("_first"), F.count("*").alias("_n"))
-        held = stored(held, "held")
+        held = stored(asked.groupBy("_g", "x").agg(F.min("e").alias("e"), F.count("*").alias("_n")), "held")
         if held.where("_n > 1").isEmpty():
             return out.unionByName(asked)
-        left = stored(left.join(held, ["_g", "x"], "left").where("_first is null or e <= _first").select(many.columns), "left")
+
+
+def assigned(expected: DataFrame, offered: DataFrame, least: float, most: int = MOST) -> DataFrame:
+    """_g, e, x and s: in the order of pos each of expected (_g, pos, title) takes the most similar of offered that is left, if it is similar enough; of equals the first.
+
+    Each distinct title c (the pos of its first row) has a list of the best, as long as it has rows and somewhat longer. Where rows come away empty from a list that may go on, it is continued and all is settled
+    again; what one before c holds by then stays with it or with one before it, so the list leaves it out.
+    """
+    expected, offered = (df.where("pos is not null and title is not null") for df in (expected, offered))
+    expected = expected.groupBy("_g", "pos").agg(F.min("title").alias("title"))  # what joins by pos can't tell rows of one pos apart
+    classes = stored(expected.groupBy("_g", "title").agg(F.min("pos").alias("c"), F.count("*").alias("n")), "titles")
+    key = lambda a, b: (F.col(f"{a}._g") == F.col(f"{b}._g")) & (F.col(f"{a}.title") == F.col(f"{b}.title"))
+    members = stored(expected.alias("a").join(classes.alias("b"), key("a", "b")).select("a._g", "b.c", F.col("a.pos").alias("e")), "members")
+    wanted = classes.select("_g", "c", "title", (F.col("n") + SPARE).alias("k"), F.lit(2.0).alias("s_last"), F.lit(FIRST).alias("x_last"))
+    lists, told, spare, free = None, wanted.select("_g", "c", "k"), SPARE, offered.withColumn("held", F.lit(LAST))
+    while True:
+        more = listed(wanted, free, least)
+        lists = more if lists is None else lists.unionByName(more)
+        taken = stored(settled(members, lists, most), "taken")
+        empty = members.join(taken.select("_g", "e"), ["_g", "e"], "left_anti").groupBy("_g", "c").agg(F.count("*").alias("n"))
+        ends = lists.groupBy("_g", "c").agg(F.count("*").alias("_length"), F.max(F.struct((-F.col("s")).alias("s"), "x")).alias("last"))
+        short = empty.join(ends, ["_g", "c"]).join(told.groupBy("_g", "c").agg(F.sum("k").alias("_asked")), ["_g", "c"]).where("_length >= _asked")
+        spare = min(4 * spare, MOST_SPARE)
+        wanted = stored(short.join(classes.drop("n"), ["_g", "c"]).select("_g", "c", "title", (F.col("n") + spare).alias("k"), (-F.col("last.s")).alias("s_last"), F.col("last.x").alias("x_last")), "wanted")
+        if wanted.isEmpty():
+            return taken.select("_g", "e", "x", "s")
+        told = told.unionByName(wanted.select("_g", "c", "k"))
+        free = offered.join(taken.select("_g", F.col("x").alias("pos"), F.col("e").alias("held")), ["_g", "pos"], "left").withColumn("held", F.coalesce("held", F.lit(LAST)))
 
 
 def bases(pairs: DataFrame, most: int = MOST) -> DataFrame:

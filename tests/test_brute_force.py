@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from difflib import SequenceMatcher
 from html.parser import HTMLParser
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,33 @@ def test_greedy_match_of_odd_titles(spark, least):
         assert [(r.pos, r.matched, r.similarity) for r in sorted(got, key=lambda r: r.pos)] == greedy(left, right, least)
 
 
+def test_greedy_match_keeps_short_lists(spark):
+    """Titles that are all alike: a list for each title, not all pairs, continued where others have taken all that is in it."""
+    left = [(i, f"lamp {i % 45:03d}") for i in range(60)]
+    right = [(i, f"lamp {(i * 7) % 90:03d}" if i % 3 else "lamp") for i in range(150)]
+    frames = [spark.createDataFrame([("v", p, t) for p, t in side], "_g string, pos bigint, title string") for side in (left, right)]
+    wanted = frames[0].select("_g", F.col("pos").alias("c"), "title", F.lit(3).cast("bigint").alias("k"), F.lit(2.0).alias("s_last"), F.lit(matching.FIRST).alias("x_last"))
+    lists = matching.listed(wanted, frames[1].withColumn("held", F.lit(matching.LAST)), 0.5).collect()
+    best = {p: sorted((-plain_similarity(t, u), x) for x, u in right)[:3] for p, t in left}
+    assert {p: sorted((-r.s, r.x) for r in lists if r.c == p) for p in best} == best and len(lists) == 180
+    for most in (100_000, 3):
+        got = matching.assigned(*frames, 0.5, most).collect()
+        assert sorted((r.e, r.x, round(r.s, 6)) for r in got) == greedy(left, right, 0.5)
+
+
+def test_few_similarities_are_worked_out(monkeypatch):
+    """The best of 3,000 numbered titles, by a few comparisons: bounds settle the others."""
+    calls, whole = [], matching.similarity
+    monkeypatch.setattr(matching, "similarity", lambda a, b: calls.append(b) or whole(a, b))
+    titles = [f"item {i:06d}" for i in range(0, 90_000, 30)] + ["", "item", "x" * 300, "item 000040" * 20, "\U0001f600\ud800"]
+    offers = matching.Offers(titles)
+    for title in ("item 012345", "item", "item 000040" * 9, "\ud800", ""):
+        calls.clear()
+        got = offers.best(title, 5, 0.5, np.ones(len(titles), bool), lambda s, row: True)
+        want = sorted((-s, i) for i, t in enumerate(titles) if title and t and (s := whole(title, t)) >= 0.5)[:5]
+        assert got == want and len(calls) < 100
+
+
 def merged(rows, alike):
     """Rows (pos, title, kind) of one page, merged one after the other."""
     kept = []
