@@ -1,34 +1,137 @@
-"""Joins by what texts hold (JOIN-18, JOIN-20, JOIN-22): each pattern is looked up under its rarest trigram, so no task compares all texts with all patterns."""
+"""Joins by what texts hold (JOIN-18, JOIN-20, JOIN-22): stretches of texts that may be patterns are cut out and joined as they are, so no task compares all texts with all patterns."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from millrace.functions import urls
 from millrace.operators.ranges import stored
 
 
-def grams(text: str, n: int) -> Column:
-    """Distinct stretches of n characters."""
-    last = F.length(text) - n + 1
-    return F.array_distinct(F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(F.col(text), i, F.lit(n)))).otherwise(F.array().cast("array<string>")))
+#: Values by which the hash of a stretch of bytes is made: of single bytes, and factors that join two halves, or the beginning and the end of a pattern.
+_DICE = np.random.default_rng(20)
+_BYTES = _DICE.integers(0, 2**64, 256, np.uint64)
+_HALVES, _ENDS, _WHOLE = _DICE.integers(0, 2**63, 64, np.uint64) * np.uint64(2) + np.uint64(1), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Bytes of texts that are hashed at a time, bits for each pattern in the filter and bits of a filter at the most (32 MB).
+PIECE, BITS_EACH, MOST_BITS = 2 << 20, 32, 1 << 28
+
+
+def laid_out(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts in a row, and where each begins (and the last ends)."""
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def hashes(data: np.ndarray, upto: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For 1, 2, 4, ... bytes (upto at the most) the hashes of all stretches of so many."""
+    size, k, h = 1, 0, _BYTES[data]
+    while True:
+        yield size, h
+        if size * 2 > upto or len(h) <= size:
+            return
+        h = h[:-size] * _HALVES[k] + h[size:]
+        size, k = size * 2, k + 1
+
+
+def whole(h: np.ndarray, at: np.ndarray, size: int, length: int) -> np.ndarray:
+    """Hashes of stretches of `length` bytes, of those of their first and last `size` bytes."""
+    return (h[at] * _ENDS + h[at + (length - size)] + np.uint64(length)) * _WHOLE
+
+
+def bit_of(h: np.ndarray, size: int, bits: int) -> np.ndarray:
+    return ((h ^ np.uint64(size)) * _ENDS) >> np.uint64(64 - bits.bit_length() + 1)
+
+
+def pattern_bits(patterns: pa.Array, bits: int) -> np.ndarray:
+    """For each pattern two bits: of its beginning, as long as a power of two allows, and of all of it."""
+    data, offsets = laid_out(patterns)
+    lengths, out = np.diff(offsets), []
+    for size, h in hashes(data, int(lengths.max(initial=1))):
+        for length in np.unique(lengths[(lengths >= size) & (lengths < 2 * size)]).tolist():
+            at = offsets[:-1][lengths == length]
+            out += [bit_of(h[at], size, bits), bit_of(whole(h, at, size, length), 0, bits)]
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def holding(texts: DataFrame, text: str, patterns: DataFrame, pattern: str) -> DataFrame:
-    """text, pattern: distinct pairs in which the text holds the pattern. Null and empty patterns are in nothing; patterns of one or two characters are looked up under themselves."""
-    named = patterns.select(F.col(pattern).alias("pattern")).where("pattern <> ''").distinct().withColumn("size", F.least(F.length("pattern"), F.lit(3)))
+def text_hits(data: np.ndarray, offsets: np.ndarray, lengths: list[int], known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and length of stretches that are patterns by the filter: all that are, and few others."""
+    bits, out = len(known) * 8, []
+    has = lambda bit: (known[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+    for size, h in hashes(data, lengths[-1]):
+        mine = [n for n in lengths if size <= n < 2 * size]
+        if not mine:
+            continue
+        at = np.flatnonzero(has(bit_of(h, size, bits)))
+        row = np.searchsorted(offsets, at, "right") - 1
+        for length in mine:
+            some = at + length <= offsets[row + 1]
+            here, own = at[some], row[some]
+            good = has(bit_of(whole(h, here, size, length), 0, bits))
+            out.append((own[good], here[good], np.full(int(good.sum()), length)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows of PIECE bytes or so, or one row."""
+    at = 0
+    while at < len(offsets) - 1:
+        upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, "right")) - 1)
+        yield at, upto
+        at = upto
+
+
+def pattern_filter(named: DataFrame, pattern: str, n: int) -> np.ndarray:
+    """Bytes of a filter of patterns, put together by words so that the driver holds no pattern."""
+    bits = min(MOST_BITS, max(1 << 12, 1 << (BITS_EACH * n - 1).bit_length()))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = pattern_bits(batch.column(0), bits)
+            word, group = np.unique(bit >> np.uint64(6), return_inverse=True)
+            value = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(value, group, np.uint64(1) << (bit & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(value.view(np.int64))], ["word", "bits"])
+
+    told = named.select(pattern).mapInArrow(words, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, "<i8")
+    out[told["word"].to_numpy()] = told["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def holding(texts: DataFrame, text: str, patterns: DataFrame, pattern: str, *keys: tuple[str, str]) -> DataFrame:
+    """text, pattern: distinct pairs in which the text holds the pattern; with keys (a column of texts and one of patterns), those that agree in them, and the columns of patterns. Null and empty patterns are in nothing.
+
+    Texts are cut where a filter of all patterns says that one may stand, and what is cut out is joined by its bytes: the work follows the length of the texts and what they hold, however many patterns there are."""
+    theirs = [b for _, b in keys]
+    named = patterns.select(F.col(pattern).alias("pattern"), *(F.col(b) for b in theirs)).where("pattern <> ''").distinct()
     named = stored(named, "patterns")
-    told = texts.select(F.col(text).alias("text")).where("text <> ''").distinct()
-    sizes = [r["size"] for r in named.select("size").distinct().collect()]  # three at the most
-    if not sizes:
-        return told.select("text", F.col("text").alias("pattern")).limit(0)
-    indexed = stored(told.select("text", F.explode(F.concat(*(grams("text", n) for n in sorted(sizes)))).alias("gram")), "grams")
-    wanted = named.select("pattern", F.explode(F.coalesce(*(F.when(F.col("size") == n, grams("pattern", n)) for n in sizes))).alias("gram"))
-    spread = indexed.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
-    # A pattern one of whose trigrams is in no text is in none either.
-    rarest = wanted.join(spread, "gram", "left").groupBy("pattern").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"), F.min(F.coalesce("n", F.lit(0))).alias("n")).where("n > 0").select("pattern", "gram")
-    return indexed.join(rarest, "gram").where(F.contains("text", "pattern")).select("text", "pattern")
+    told = texts.select(F.col(text).alias("text"), *(F.col(a).alias(b) for a, b in keys)).where("text <> ''")
+    lengths = sorted(r[0] for r in named.select(F.octet_length("pattern")).distinct().collect())
+    if not lengths:
+        return told.select("text", F.col("text").alias("pattern"), *theirs).limit(0)
+    known = texts.sparkSession.sparkContext.broadcast(pattern_filter(named, "pattern", named.count()))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = laid_out(batch.column(0))
+            for at, upto in pieces(offsets):
+                own = data[offsets[at] : offsets[upto]]
+                row, place, size = text_hits(own, offsets[at : upto + 1] - offsets[at], lengths, known.value)
+                view = memoryview(own)
+                parts = pa.array([bytes(view[p : p + n]) for p, n in zip(place.tolist(), size.tolist(), strict=True)], pa.binary())
+                taken = batch.take(pa.array(row + at))
+                yield pa.RecordBatch.from_arrays([*taken.columns, parts], [*batch.schema.names, "part"])
+
+    found = told.mapInArrow(cut, StructType([*told.schema.fields, StructField("part", BinaryType())]))
+    joined = found.join(named.withColumnsRenamed({b: f"_own_{b}" for b in theirs}), [F.col("part") == F.col("pattern").cast("binary"), *(F.col(b) == F.col(f"_own_{b}") for b in theirs)])
+    return joined.select("text", "pattern", *theirs).distinct()
 
 
 def services(requests: DataFrame, hosts: DataFrame, key: str, url: str) -> DataFrame:
@@ -46,7 +149,8 @@ def erase_shops(gone: DataFrame, products: DataFrame, profiles: DataFrame, progr
     return {
         "products": products.join(shops, F.col("shop_id") == F.col("_gone"), "left_anti"),
         "profiles": profiles.join(shops, F.col("shop_id") == F.col("_gone"), "left_anti"),
-        "progress": progress.join(shops, urls.normalized("shop_url") == F.col("_gone"), "left_anti"),
+        # Normalized before the join, which would do it again for each comparison of its sort.
+        "progress": progress.withColumn("_place", urls.normalized("shop_url")).join(shops, F.col("_place") == F.col("_gone"), "left_anti").drop("_place"),
         "letters": letters.join(held, F.col("body") == F.col("_gone"), "left_anti"),
     }
 

@@ -1,7 +1,10 @@
 """Crawled pages, sites and public APIs on nulls, empty tables, ties and odd answers."""
 
 import json
+import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.operators import extract, layers, substrings
@@ -67,3 +70,18 @@ def test_texts_that_hold_patterns(spark):
     assert {tuple(r) for r in got.collect()} == {(t, p) for t in texts for p in patterns if t and p and p in t}
     none = spark.createDataFrame([], "t string")
     assert substrings.holding(none, "t", none, "t").count() == 0
+
+
+def test_texts_that_hold_many_patterns_and_agree_in_a_key(spark):
+    """Shops whose names have all their short stretches in common: only what is held is joined."""
+    texts = [(i % 3, f'{{"url": "https://shop{i}.test/p"}}') for i in range(400)] + [(1, "é" * 40), (1, ""), (None, "https://shop1.test")]
+    patterns = [(i % 2, f"https://shop{i}.test") for i in range(0, 500, 3)] + [(1, "é" * 33), (1, "é"), (1, "op1"), (None, "https")]
+    frames = spark.createDataFrame(texts, "a int, t string"), spark.createDataFrame(patterns, "b int, p string")
+    got = [tuple(r) for r in substrings.holding(frames[0], "t", frames[1], "p", ("a", "b")).collect()]
+    assert sorted(got) == sorted({(t, p, b) for a, t in texts for b, p in patterns if a == b and a is not None and p in t})
+    data, offsets = substrings.laid_out(pa.array([t for _, t in texts]))
+    known = np.zeros(1 << 17, np.uint8)
+    np.bitwise_or.at(known, (bits := substrings.pattern_bits(pa.array([p for _, p in patterns]), 1 << 20)) >> np.uint64(3), np.uint8(1) << (bits & np.uint64(7)).astype(np.uint8))
+    row, *_ = substrings.text_hits(data, offsets, sorted({len(p.encode()) for _, p in patterns}), known)
+    held = sum(len(re.findall(f"(?={re.escape(p)})", t)) for _, t in texts for p in {p for _, p in patterns})
+    assert held <= len(row) <= held * 1.02
