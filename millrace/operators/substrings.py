@@ -155,23 +155,37 @@ def erase_shops(gone: DataFrame, products: DataFrame, profiles: DataFrame, progr
     }
 
 
-def patch_hits(products: DataFrame, changes: DataFrame, identity: str, columns: list[str]) -> DataFrame:
-    """pos, identity and columns of each product that a change finds: those of the change's shop and key, else of the key and a shop_id that holds the change's domain (its % and _ are wildcards)."""
-    own = products.where(F.col("match_key") != "").select(F.col(identity).alias("_id"), "shop_id", "match_key")
-    asked = changes.where(F.col("match_key") != "").select("pos", "shop", "domain", F.col("match_key").alias("_key"), *columns)
-    exact = asked.join(own, (F.col("shop") == F.col("shop_id")) & (F.col("_key") == F.col("match_key")))
-    exact = stored(exact.select("pos", "_id", *columns), "patch-hits")
-    rest = asked.join(exact.select("pos").distinct(), "pos", "left_anti")
-    loose = rest.join(own, (F.col("_key") == F.col("match_key")) & F.like(F.col("shop_id"), F.concat(F.lit("%"), "domain", F.lit("%")))).select("pos", "_id", *columns)
-    return exact.unionByName(loose)
+def patch_places(own: DataFrame, useful: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """For each shop and key (own: shop_id, match_key) that changes find, how many do and of each column the last of them with its pos (_column, null if none changes it); and the pos of all changes that find one.
+
+    A change finds its own shop with its key, else all shops with its key whose shop_id holds its domain (its % and _ are wildcards). Changes of one place are summed up here, so that nothing grows with changes times products."""
+    summed = [F.count("*").alias("_changes"), *(F.max_by(F.struct("pos", F.col(c).alias("value")), F.when(F.col(c).isNotNull(), F.col("pos"))).alias(f"_{c}") for c in columns)]
+    named = own.select("shop_id", F.col("match_key").alias("_key"))
+    exact = useful.join(named, (F.col("shop") == F.col("shop_id")) & (F.col("match_key") == F.col("_key")), "left_semi")
+    exact = stored(exact, "exact-changes")
+    rest = stored(useful.join(exact.select("pos").distinct(), "pos", "left_anti"), "other-changes")
+    by_domain = stored(rest.groupBy("domain", "match_key").agg(*summed), "domains")
+    wild = (F.col("domain") == "") | F.col("domain").rlike(r"[%_\\]")
+    held = holding(named, "shop_id", by_domain.where(~wild), "domain", ("_key", "match_key")).select(F.col("text").alias("shop_id"), F.col("pattern").alias("domain"), "match_key")
+    like = by_domain.where(wild).join(named, (F.col("match_key") == F.col("_key")) & F.like(F.col("shop_id"), F.concat(F.lit("%"), "domain", F.lit("%")))).select("shop_id", "domain", "match_key")
+    loose = stored(held.unionByName(like), "shops-of-domains")
+    places = exact.groupBy(F.col("shop").alias("shop_id"), "match_key").agg(*summed).unionByName(loose.join(by_domain, ["domain", "match_key"]).drop("domain"))
+    places = places.groupBy("shop_id", "match_key").agg(F.sum("_changes").alias("_changes"), *(F.max_by(f"_{c}", F.col(f"_{c}.pos")).alias(f"_{c}") for c in columns))
+    found = exact.select("pos").unionByName(rest.join(loose, ["domain", "match_key"], "left_semi").select("pos"))
+    return places, found
 
 
 def patch_shops(products: DataFrame, changes: DataFrame, identity: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """JOIN-18: products (identity, shop_id, match_key, columns) after changes (pos, shop, domain, match_key, columns; nulls change nothing, of two changes of a column the later stands), and the counts matched, not_found, invalid (no key, or nothing to change) and total."""
     useful = changes.where((F.col("match_key") != "") & F.expr(" or ".join(f"`{c}` is not null" for c in columns)))
-    hits = stored(patch_hits(products, useful, identity, columns), "patches")
-    last = hits.groupBy("_id").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("pos"))).alias(f"_{c}") for c in columns))
+    useful = stored(useful.select("pos", "shop", "domain", "match_key", *columns), "changes")
+    own = stored(products.where("match_key <> '' and shop_id is not null").groupBy("shop_id", "match_key").agg(F.count("*").alias("_products")), "places")
+    places, found = patch_places(own, useful, columns)
+    places = stored(places, "patches").withColumnsRenamed({"shop_id": "_shop", "match_key": "_key"})
+    hits = products.select(F.col(identity).alias("_id"), "shop_id", "match_key").join(places, (F.col("shop_id") == F.col("_shop")) & (F.col("match_key") == F.col("_key")))
+    last = hits.groupBy("_id").agg(*(F.max_by(f"_{c}", F.col(f"_{c}.pos")).alias(f"_{c}") for c in columns))
     joined = products.join(last, F.col(identity) == F.col("_id"), "left")
-    patched = joined.select(*(F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in products.columns))
-    counts = changes.agg(F.count("*").alias("total")).join(F.broadcast(useful.agg(F.count("*").alias("useful")))).join(F.broadcast(hits.agg(F.count("*").alias("matched"), F.count_distinct("pos").alias("found"))))  # one row each
+    patched = joined.select(*(F.coalesce(f"_{c}.value", c).alias(c) if c in columns else F.col(c) for c in products.columns))
+    matched = places.join(own, (F.col("_shop") == F.col("shop_id")) & (F.col("_key") == F.col("match_key"))).agg(F.coalesce(F.sum(F.col("_changes") * F.col("_products")), F.lit(0)).alias("matched"))
+    counts = changes.agg(F.count("*").alias("total")).join(F.broadcast(useful.agg(F.count("*").alias("useful")))).join(F.broadcast(found.agg(F.count_distinct("pos").alias("found")))).join(F.broadcast(matched))  # one row each
     return patched, counts.select("matched", (F.col("useful") - F.col("found")).alias("not_found"), (F.col("total") - F.col("useful")).alias("invalid"), "total")

@@ -1,10 +1,12 @@
 """Crawled pages, sites and public APIs on nulls, empty tables, ties and odd answers."""
 
 import json
+import random
 import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from millrace.operators import extract, layers, substrings
@@ -72,6 +74,32 @@ def test_texts_that_hold_patterns(spark):
     assert substrings.holding(none, "t", none, "t").count() == 0
 
 
+def test_patches_of_odd_shops(spark):
+    """Wildcards, blank domains, repeated ids, changes without a key: against changes taken one after the other; a place has one row however many changes and products meet there."""
+    dice = random.Random(5)
+    shops, keys = ["https://a.test", "https://www.a.test", "https://b_c.test", "https://bxc.test", "", None], ["k", "l", "", None]
+    products = [(dice.randrange(60), dice.choice(shops), dice.choice(keys), "v", None) for _ in range(80)]
+    changes = [(i, dice.choice(shops), dice.choice(["a.test", "b_c", "%", "", "nowhere", None]), dice.choice(keys), dice.choice([None, f"V{i}"]), dice.choice([None, f"M{i}"])) for i in range(60)]
+    hits, invalid = [], 0
+    for pos, shop, domain, key, *values in changes:
+        if not key or values == [None, None]:
+            invalid += 1
+            continue
+        own = [r for r in products if r[2] == key]
+        like = domain is not None and re.compile(".*" + "".join({"%": ".*", "_": "."}.get(c, re.escape(c)) for c in domain) + ".*")
+        found = [r for r in own if shop is not None and r[1] == shop] or [r for r in own if like and r[1] is not None and like.fullmatch(r[1])]
+        hits += [(pos, r[0], values) for r in found]
+    last = lambda i, c, old: next((v[c] for _, k, v in reversed(hits) if k == i and v[c] is not None), old)
+    frames = spark.createDataFrame(products, "id int, shop_id string, match_key string, vendor string, mpn string"), spark.createDataFrame(changes, "pos int, shop string, domain string, match_key string, vendor string, mpn string")
+    patched, counts = substrings.patch_shops(*frames, "id", ["vendor", "mpn"])
+    assert sorted(map(str, patched.collect())) == sorted(str(Row(id=i, shop_id=s, match_key=k, vendor=last(i, 0, v), mpn=last(i, 1, m))) for i, s, k, v, m in products)
+    done = len({pos for pos, *_ in hits})
+    assert tuple(counts.first()) == (len(hits), 60 - invalid - done, invalid, 60)
+    one = spark.range(500).select(F.lit("https://a.test").alias("shop"), F.lit("a.test").alias("domain"), F.lit("k").alias("match_key"), F.col("id").alias("pos"), F.lit("V").alias("vendor"), F.lit(None).cast("string").alias("mpn"))
+    places, found = substrings.patch_places(spark.createDataFrame([("https://a.test", "k"), ("https://www.a.test", "k")], "shop_id string, match_key string"), one, ["vendor", "mpn"])
+    assert [(r.shop_id, r.match_key, r._changes, r._vendor.pos) for r in places.collect()] == [("https://a.test", "k", 500, 499)] and found.count() == 500
+
+
 def test_texts_that_hold_many_patterns_and_agree_in_a_key(spark):
     """Shops whose names have all their short stretches in common: only what is held is joined."""
     texts = [(i % 3, f'{{"url": "https://shop{i}.test/p"}}') for i in range(400)] + [(1, "é" * 40), (1, ""), (None, "https://shop1.test")]
