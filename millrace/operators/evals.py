@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import matching
+from millrace.operators.ranges import stored
 
 
 def greedy_match(expected: DataFrame, extracted: DataFrame, group: str, least: float = 0.5, most: int = matching.MOST) -> DataFrame:
@@ -24,11 +25,13 @@ def merge_chunks(records: DataFrame, group: str, fields: list[str], alike: float
 
     An untitled record stays if it is its page's only one. records: group, pos, title and more columns, in any order; rows without a group are a page."""
     rows = records.select(matching.group_id(group).alias("_g"), F.col("pos").cast("bigint").alias("_pos"), F.struct(*(F.col(f"`{c}`") for c in records.columns)).alias("row"))
-    titles = rows.select("_g", F.col("_pos").alias("pos"), F.col("row.title").alias("title"))
+    # Rows of one title repeat the same base, so the first of each title stands for all.
+    titles = stored(rows.groupBy("_g", F.col("row.title").alias("title")).agg(F.min("_pos").alias("pos")).where("title is not null and pos is not null"), "titles")
     found = matching.bases(matching.blocked(titles, titles, lambda a, b, upto: matching.repeats(a, b, upto, alike), later=True), most).withColumnsRenamed({"_g": "_own", "x": "_x"})
+    based = titles.join(found, (F.col("_g") == F.col("_own")) & (F.col("pos") == F.col("_x")), "left").select(F.col("_g").alias("_own"), F.col("title").alias("_title"), F.coalesce("e", "pos").alias("e"))
     alone = rows.groupBy(F.col("_g").alias("_page")).agg(F.count("*").alias("_n")).where("_n = 1").select("_page")
-    placed = rows.join(found, (F.col("_g") == F.col("_own")) & (F.col("_pos") == F.col("_x")), "left").join(alone, F.col("_g") == F.col("_page"), "left")
-    titled = F.coalesce(F.trim(F.col("row.title"), F.lit(" \t\n\r\x0b\x0c")) != "", F.lit(False))
+    placed = rows.withColumn("_called", F.col("row.title")).join(based, (F.col("_g") == F.col("_own")) & (F.col("_called") == F.col("_title")), "left").join(alone, F.col("_g") == F.col("_page"), "left")
+    titled = F.coalesce(F.trim(F.col("row.title"), F.lit(matching.BLANK)) != "", F.lit(False))
     placed = placed.where(titled | F.col("_page").isNotNull()).withColumn("base", F.coalesce("e", "_pos"))
     filled = lambda f: F.min_by(F.when(F.col("row")[f].isNotNull() & (F.col("row")[f].cast("string") != ""), F.struct(F.col("row")[f].alias("value"))), F.when(F.col("row")[f].isNotNull() & (F.col("row")[f].cast("string") != ""), F.col("_pos")))["value"]
     merged = placed.groupBy("_g", "base").agg(F.min_by("row", "_pos").alias("first"), *(filled(f).alias(f"filled_{i}") for i, f in enumerate(fields)))

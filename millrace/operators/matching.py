@@ -24,6 +24,9 @@ BLOCK, MOST = 256, 500_000
 BLOCKS_PACKED = 64
 #: Titles of either side of a block where lists of the best are made; what a list has beyond the rows of its own title, at first and at the most.
 EXPECTED, OFFERED, SPARE, MOST_SPARE = 256, 65_536, 16, 1_024
+#: White space, as plain() takes it off, and ratios of pairs that a worker remembers at the most: pages have titles in common.
+BLANK = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+REMEMBERED = 1 << 17
 #: Bounds of ratios and ratios are quotients of small numbers: less than this apart they are equal.
 CLOSE = 1e-12
 #: Beyond every pos, and before.
@@ -141,19 +144,28 @@ class Offers:
         return found
 
 
+_ratios: dict[tuple[str, str], float] = {}
+
+
 def repeats(a: list[str], b: list[str], upto: np.ndarray, alike: float) -> tuple[list, list, list]:
     """Places of pairs of which the one of b repeats the one of a: one begins with the other, or their ratio is over `alike`."""
     rows, cols = [], []
     hopeful = bounds(a, b) > alike - 1e-9
+    if len(_ratios) > REMEMBERED:
+        _ratios.clear()
     for j, other in enumerate(b):
-        matcher = SequenceMatcher(None, "", other)
+        matcher = None  # its index is made once for all of a
         for i, title in enumerate(a[: upto[j]]):
             if not title or not other:
                 continue
             near = title.startswith(other) or other.startswith(title)
             if not near and hopeful[i, j]:
-                matcher.set_seq1(title)
-                near = matcher.ratio() > alike
+                ratio = _ratios.get((title, other))
+                if ratio is None:
+                    matcher = matcher or SequenceMatcher(None, "", other)
+                    matcher.set_seq1(title)
+                    ratio = _ratios[title, other] = matcher.ratio()
+                near = ratio > alike
             if near:
                 rows.append(i)
                 cols.append(j)

@@ -217,6 +217,18 @@ def test_chunk_merge(spark, small):
     assert {(r.page, r.pos, r.title, r.kind) for r in QUERIES["chunk_merge"](spark, small).collect()} == want
 
 
+def test_pages_of_few_titles_compare_each_title_once(spark, monkeypatch):
+    """4,000 rows of 40 titles, some blank in odd ways: the first of each title stands for the others."""
+    names = [f"{c} {n}" for c in ("red", "blue", "old", "hot") for n in ("ring", "rings", "gear", "bolt", "anvil", "gizmo", "rod", "plate", "Rod ")] + ["\xa0", " \u3000", "", None]
+    rows = [(i, names[(i * 31 + i // 7) % 40], None if i % 3 else f"k{i}") for i in range(4000)]
+    compared, whole = [], matching.blocked
+    monkeypatch.setattr(matching, "blocked", lambda one, other, *a, **b: compared.append(one.count()) or whole(one, other, *a, **b))
+    frame = spark.createDataFrame([("p", *r) for r in rows], "page string, pos int, title string, kind string")
+    for most in (100_000, 5):
+        assert {tuple(r) for r in evals.merge_chunks(frame, "page", ["kind"], 0.7, most).collect()} == {("p", *r) for r in merged(rows, 0.7)}
+    assert compared == [39, 39]
+
+
 def test_chunks_of_odd_pages(spark):
     rows = [("a", 2, None, "x", 1), ("b", 1, "", None, 2), ("b", 0, "Red", "", 3), ("b", 2, "red", "r", 4), ("b", 3, "RED HAT", "s", 5), ("c", 0, None, None, 6), ("c", 1, " ", None, 7), (None, 0, "Lamp", None, 8)]
     got = evals.merge_chunks(spark.createDataFrame(rows, "page string, pos int, title string, kind string, row int"), "page", ["kind"])
